@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, packing, quality_rules, tokens, url_filter
+from . import decontamination, licenses, packing, quality_rules, substrings, tokens, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_best_fit_packing": packing.op2,
         "op3_license_scan": licenses.op3,
         "op4_quality_rules": quality_rules.op4,
+        "op5_substring_dedup": substrings.op5,
         "op6_url_filter": url_filter.op6,
         "op7_decontamination": decontamination.op7,
         "op8_token_ids": tokens.op8,
@@ -19,6 +20,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": quality_rules.SQL,
+        "op5_substring_dedup": substrings.SQL,
         "op6_url_filter": url_filter.SQL,
         "op7_decontamination": decontamination.SQL,
     }
