@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, packing, quality_rules, substrings, tokens, url_filter
+from . import decontamination, jaccard, licenses, packing, quality_rules, substrings, tokens, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_url_filter": url_filter.op6,
         "op7_decontamination": decontamination.op7,
         "op8_token_ids": tokens.op8,
+        "op9_ngram_jaccard": jaccard.op9,
     }
 
 
@@ -23,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substrings.SQL,
         "op6_url_filter": url_filter.SQL,
         "op7_decontamination": decontamination.SQL,
+        "op9_ngram_jaccard": jaccard.SQL,
     }
