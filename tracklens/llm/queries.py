@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, licenses, packing, quality_rules, substrings, tokens, url_filter
+from . import decontamination, jaccard, licenses, packing, quality_classifier, quality_rules, substrings, tokens, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1,
         "op2_best_fit_packing": packing.op2,
         "op3_license_scan": licenses.op3,
         "op4_quality_rules": quality_rules.op4,
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op7_decontamination": decontamination.op7,
         "op8_token_ids": tokens.op8,
         "op9_ngram_jaccard": jaccard.op9,
+        "op10_quality_classifier": quality_classifier.op10,
     }
 
 

@@ -214,10 +214,11 @@ def _candidates(docs: DataFrame, sketch, rounds: int, round_: int, n: int, gram:
     return map_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text")), look, "doc_id long, place long, h1 long, h2 long")
 
 
-def dedup(docs: DataFrame, n: int = N, keep: list[str] | None = None, **options) -> DataFrame:
+def dedup(docs: DataFrame, n: int = N, keep: list[str] | None = None, verbatim: bool = False, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space), and the columns in `keep`.
 
-    The documents are shuffled once, to meet the places of their repeated windows.
+    The documents are shuffled once, to meet the places of their repeated windows. verbatim: a text that loses
+    nothing stays as it is, white space included.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     windows = repeated_windows(docs, n, **options)
@@ -246,7 +247,7 @@ def dedup(docs: DataFrame, n: int = N, keep: list[str] | None = None, **options)
             out["n_words"].append(len(words))
             out["n_removed"].append(len(words) - len(stay))
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept.decode("utf-8", "surrogatepass"))
+            out["kept"].append((t if verbatim and not at and t is not None else kept).decode("utf-8", "surrogatepass"))
         return {"doc_id": doc_id} | out | {f"_keep_{c}": m for c, m in zip(keep or [], more, strict=True)}
 
     kinds = dict(own.dtypes)
