@@ -1,23 +1,71 @@
-"""The corpus pipeline: quality classifier, n-gram Jaccard join, substring dedup, decontamination, packing."""
+"""The corpus pipeline: quality classifier, n-gram Jaccard join, substring dedup, decontamination, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns documents with the columns of the table (the last one: its
+pieces), so that each can be written and read again between stages. run() does that in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracklens.llm import packing
+from tracklens.llm import decontamination, jaccard, packing, quality_classifier, substrings
+from tracklens.llm.common import Scratch
 from tracklens.llm.tokens import public_vocabulary
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents that the classifier rejects go."""
+    own = docs.select(*COLUMNS)
+    return quality_classifier.scored(own).where("_score >= 0.5").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9, five words and similarity 0.8: of each group the document with the smallest doc_id stays."""
+    own = docs.select(*COLUMNS)
+    found = jaccard.near_duplicates(own, n=5, num=80, den=100)
+    firsts = found.where("doc_id = component_id").select("doc_id").distinct()
+    return own.join(firsts, "doc_id", "left_semi").unionByName(own.where("doc_id IS NULL")).select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: repeated passages go; a document of which nothing is left goes too."""
+    made = substrings.dedup(docs.select(*COLUMNS), keep=["lang", "source", "n_chars"], verbatim=True)
+    left = made.where("n_removed = 0 OR n_removed < n_words")
+    n = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", n.alias("n_chars"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents with a benchmark phrase go."""
+    own = docs.select(*COLUMNS)
+    found = decontamination.decontaminate(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    bad = found.select(F.col("doc_id").alias("_i"), F.col("doc_hash").alias("_h")).distinct()
+    return own.join(bad, own["doc_id"].eqNullSafe(bad["_i"]) & (F.xxhash64(own["text"].cast("string")) == bad["_h"]), "left_anti").select(*COLUMNS)
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: pieces with their sequence and offset."""
     return packing.pack_documents(docs, public_vocabulary())
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
+]
+#: SQL can express neither the classifier nor the tokenizer; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        made = stage(spark, docs, sf_dir)
+        docs = made if k == len(STAGES) - 1 else scratch.table(made, f"stage{k}")
     return docs
