@@ -28,7 +28,7 @@ def ratio_parts(ratio: Column) -> tuple[Column, Column]:
     """(a, b) of a preset or of "a:b" with a, b > 0 and 0.2 <= a/b <= 8, else nulls; NaN is no number here."""
     parts = F.split(ratio, ":")
     a, b = (F.get(parts, F.lit(i)).try_cast("double") for i in (0, 1))
-    good = (F.size(parts) == 2) & ~F.isnan(a) & ~F.isnan(b) & (a > 0) & (b > 0) & (a / b >= 0.2) & (a / b <= 8.0)
+    good = (F.size(parts) == 2) & ~F.isnan(a) & ~F.isnan(b) & (a > 0) & (b > 0) & (F.try_divide(a, b) >= 0.2) & (F.try_divide(a, b) <= 8.0)
     return F.when(good, a), F.when(good, b)
 
 

@@ -53,7 +53,6 @@ def packet_fields(ticks_: DataFrame) -> DataFrame:
 FIELDS = ["epoch", "fix_type", "lat", "lon", "alt", "h_acc", "v_acc", "vel_e", "vel_n", "vel_up", "speed_acc"]
 
 
-@F.pandas_udf("binary")
 def _pack(epoch: pd.Series, fix: pd.Series, lat: pd.Series, lon: pd.Series, alt: pd.Series, h: pd.Series, v: pd.Series, e: pd.Series, n: pd.Series, up: pd.Series, acc: pd.Series) -> pd.Series:
     make = struct.Struct(LAYOUT).pack
     return pd.Series([make(0, TYPE, *row) for row in zip(epoch, fix.astype(int), lat, lon, alt, h, v, e, n, up, acc, strict=True)])
@@ -61,7 +60,7 @@ def _pack(epoch: pd.Series, fix: pd.Series, lat: pd.Series, lon: pd.Series, alt:
 
 def packets(fields: DataFrame) -> DataFrame:
     """track_id, i, packet (60 bytes)."""
-    return fields.select("track_id", "i", _pack(*FIELDS).alias("packet"))
+    return fields.select("track_id", "i", F.pandas_udf(_pack, "binary")(*FIELDS).alias("packet"))
 
 
 def unpack(packets_: DataFrame, column: str = "packet") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lens as L
@@ -29,17 +31,38 @@ def pixels(spark: SparkSession, width: int, height: int) -> DataFrame:
     return spark.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("row"), F.pmod("id", F.lit(width)).cast("int").alias("col"))
 
 
+def _constants(lens: Row) -> tuple[list[list[float]], dict]:
+    """Rotation matrix and numbers of one lens, as driver-side constants."""
+    w, x, y, z = lens.qw, lens.qx, lens.qy, lens.qz
+    n = math.sqrt(w * w + x * x + y * y + z * z)
+    w, x, y, z = (1.0, 0.0, 0.0, 0.0) if n < 1e-12 else (w / n, x / n, y / n, z / n)
+    m = [[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]]
+    return m, lens.asDict()
+
+
 def grid(spark: SparkSession, lenses: DataFrame, width: int, height: int) -> DataFrame:
-    """lens, row, col, sx, sy (null where invalid), valid, weight. lenses has two rows, so the product is linear in pixels."""
+    """lens, row, col, sx, sy (null where invalid), valid, weight.
+
+    At most two lens rows come to the driver, where they turn into constants: the grid is then a projection of
+    generated pixels with no join, whose steps the optimizer cannot multiply into one another.
+    """
     d = L.pixel_direction(F.col("row"), F.col("col"), width, height)
     rays = pixels(spark, width, height).select("row", "col", *(c.alias(n) for c, n in zip(d, ("dx", "dy", "dz"), strict=True)))
-    m = L.lens_matrix(*(F.col(f"q{c}") for c in "wxyz"))
-    each = rays.join(F.broadcast(lenses.limit(2)), F.lit(True))
-    theta, x, y = L.source_pixel((F.col("dx"), F.col("dy"), F.col("dz")), m, F.col("fx"), F.col("cx"), F.col("cy"), [F.col("dist")[i] for i in range(4)], F.col("scale"), F.col("linear"))
-    got = each.select("lens", "row", "col", theta.alias("theta"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), "width", "height")
-    ok = (F.degrees("theta") < L.HALF_FOV_DEG) & F.col("x").between(0, F.col("width") - 1) & F.col("y").between(0, F.col("height") - 1)
-    whole = lambda c: F.when(ok, F.rint(c).cast("int"))
-    return got.select("lens", "row", "col", whole("x").alias("sx"), whole("y").alias("sy"), ok.alias("valid"), F.when(ok, L.blend_weight(F.col("theta"))).otherwise(F.lit(0.0)).alias("weight"))
+    parts = []
+    for lens in lenses.limit(2).collect():
+        m, k = _constants(lens)
+        turned = R.apply(m, [F.col("dx"), F.col("dy"), F.col("dz")])
+        got = rays.select("row", "col", *((c if isinstance(c, Column) else F.lit(float(c))).alias(n) for c, n in zip(turned, "xyz", strict=True)))
+        eye = [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
+        theta, x, y = L.source_pixel((F.col("x"), F.col("y"), F.col("z")), eye, F.lit(k["fx"]), F.lit(k["cx"]), F.lit(k["cy"]), [F.lit(v) for v in k["dist"]], F.lit(k["scale"]), F.lit(k["linear"]))
+        got = got.select("row", "col", theta.alias("theta"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+        ok = (F.degrees("theta") < L.HALF_FOV_DEG) & F.col("x").between(0, k["width"] - 1) & F.col("y").between(0, k["height"] - 1)
+        whole = lambda c, ok=ok: F.when(ok, F.rint(c).cast("int"))
+        parts.append(got.select(F.lit(int(k["lens"])).alias("lens"), "row", "col", whole("x").alias("sx"), whole("y").alias("sy"), ok.alias("valid"), F.when(ok, L.blend_weight(F.col("theta"))).otherwise(F.lit(0.0)).alias("weight")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def mask(grid_: DataFrame) -> DataFrame:

@@ -51,10 +51,12 @@ def resample(track: DataFrame, windows: DataFrame, rate_hz: float = 1.0, offset_
     the second's.
     """
     ticks = grid(windows, "track_id", "start", F.col("duration_s"), F.lit(rate_hz)).withColumn("at", F.col("tick") + F.lit(round(offset_s * 1e6)))
-    found = bracket(ticks, track.select("track_id", "t", "ord", "lat", "lon", "ele"), "track_id", "at", "t", "ord")
-    # at or beyond an end point nothing is interpolated, so a lone elevation there survives
-    f = F.when((F.col("at") <= F.col("a.t")) | (F.col("a.ord") == F.col("b.ord")) & (F.col("a.t") == F.col("b.t")), F.lit(0.0)).otherwise(fraction(F.col("at"), F.col("a.t"), F.col("b.t")))
-    held = (F.col("at") <= F.col("a.t")) & (F.col("a.ord") == F.col("b.ord")) | (F.col("at") >= F.col("a.t")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.ord") == F.col("b.ord"))
+    points = track.select("track_id", "t", "ord", "lat", "lon", "ele", (F.row_number().over(BY_TIME) == 1).alias("first"))
+    found = bracket(ticks, points, "track_id", "at", "t", "ord")
+    # a is held before (and at) the first point, and from the last one on, where a and b are one point
+    alone = (F.col("a.t") == F.col("b.t")) & (F.col("a.ord") == F.col("b.ord"))
+    held = alone | F.col("a.first") & (F.col("at") <= F.col("a.t"))
+    f = F.when(held, F.lit(0.0)).otherwise(fraction(F.col("at"), F.col("a.t"), F.col("b.t")))
     ele = F.when(held, F.col("a.ele")).otherwise(lerp(F.col("a.ele"), F.col("b.ele"), f))
     got = found.select("track_id", "i", "t_rel", F.col("tick").alias("t"), lerp(F.col("a.lat"), F.col("b.lat"), f).alias("lat"), lerp(F.col("a.lon"), F.col("b.lon"), f).alias("lon"), ele.alias("ele"))
     return with_speed(got)
