@@ -12,12 +12,16 @@ from ..functions.geo import bearing_deg, fraction, haversine_m, lerp
 from .asof import bracket, grid
 
 GAP_S, FULL_PCT = 5.0, 90.0
-BY_TIME = Window.partitionBy("track_id").orderBy("t", "ord")
+
+
+def by_time():
+    return Window.partitionBy("track_id").orderBy("t", "ord")
+
 
 
 def steps(track: DataFrame) -> DataFrame:
     """Each point with dt_s to the next one."""
-    return track.withColumn("next_t", F.lead("t").over(BY_TIME)).withColumn("dt_s", (F.col("next_t") - F.col("t")) / 1e6)
+    return track.withColumn("next_t", F.lead("t").over(by_time())).withColumn("dt_s", (F.col("next_t") - F.col("t")) / 1e6)
 
 
 def gaps(track: DataFrame, longer_than_s: float = GAP_S) -> DataFrame:
@@ -51,7 +55,7 @@ def resample(track: DataFrame, windows: DataFrame, rate_hz: float = 1.0, offset_
     the second's.
     """
     ticks = grid(windows, "track_id", "start", F.col("duration_s"), F.lit(rate_hz)).withColumn("at", F.col("tick") + F.lit(round(offset_s * 1e6)))
-    points = track.select("track_id", "t", "ord", "lat", "lon", "ele", (F.row_number().over(BY_TIME) == 1).alias("first"))
+    points = track.select("track_id", "t", "ord", "lat", "lon", "ele", (F.row_number().over(by_time()) == 1).alias("first"))
     found = bracket(ticks, points, "track_id", "at", "t", "ord")
     # a is held before (and at) the first point, and from the last one on, where a and b are one point
     alone = (F.col("a.t") == F.col("b.t")) & (F.col("a.ord") == F.col("b.ord"))

@@ -143,7 +143,7 @@ _STEP = f"WITH {_T}, s AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS
 
 
 def _steps(s, d):
-    w = track.BY_TIME
+    w = track.by_time()
     return _track(s, d).withColumns({"plat": F.lag("lat").over(w), "plon": F.lag("lon").over(w)}).where("plat IS NOT NULL")
 
 
@@ -198,7 +198,7 @@ rle AS (SELECT track_id, run, count(*) AS cnt, min(duration) AS duration FROM r
 
 
 def _coarse(s, d) -> DataFrame:
-    t = _track(s, d).withColumns({"i": F.row_number().over(track.BY_TIME).cast("long") - 1, "t_rel": (F.col("t") - START_US) / 1e6 / DAY_S})
+    t = _track(s, d).withColumns({"i": F.row_number().over(track.by_time()).cast("long") - 1, "t_rel": (F.col("t") - START_US) / 1e6 / DAY_S})
     return camm.durations(camm.ticks(t, timescale=1), timescale=1)
 
 
@@ -616,7 +616,7 @@ def _(s, d):
     return s.sql(_TREE)
 
 
-@query("pb_varint", "WITH v AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 127), (3, 128), (4, 300), (5, 16384), (6, 2147483647)) AS t(k, v)) SELECT CAST(k AS BIGINT) AS k, CAST(v AS DECIMAL(20, 0)) AS v, CAST(1 AS INTEGER) AS field FROM v")
+@query("pb_varint", "WITH v AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 127), (3, 128), (4, 300), (5, 16384), (6, 2147483647)) AS t(k, v)) SELECT CAST(k AS BIGINT) AS k, CAST(v AS BIGINT) AS v, CAST(1 AS INTEGER) AS field FROM v")
 def _(s, d):
     from ..sources.mp4 import register
 
@@ -628,7 +628,7 @@ def _(s, d):
 
     register(s)
     rows = [(k, bytearray(b"\x08" + encode(v))) for k, v in enumerate((0, 1, 127, 128, 300, 16384, 2147483647))]
-    return s.sql("SELECT k, varint AS v, field FROM {m}, LATERAL pb_fields(raw)", m=s.createDataFrame(rows, "k long, raw binary"))
+    return s.sql("SELECT k, CAST(varint AS BIGINT) AS v, field FROM {m}, LATERAL pb_fields(raw)", m=s.createDataFrame(rows, "k long, raw binary"))
 
 
 @query("browse_filter", r"""WITH e AS (SELECT page_id, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS name FROM pages), x AS (SELECT page_id, name, lower(regexp_extract(name, '(\.[^./]*)$', 1)) AS ext FROM e)

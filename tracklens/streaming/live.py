@@ -40,7 +40,7 @@ class GapState(StatefulProcessor):
         dt = (t.shift(-1) - t).dt.total_seconds()
         at = dt > self.limit
         self.last.update((t.max().to_pydatetime(),))
-        yield pd.DataFrame({"key": [key[0]] * int(at.sum()), "start": t[at], "end": t.shift(-1)[at], "duration_s": dt[at]})
+        yield pd.DataFrame({"key": pd.Series([key[0]] * int(at.sum()), index=t.index[at], dtype=object), "start": t[at], "end": t.shift(-1)[at], "duration_s": dt[at]})
 
     def close(self) -> None:
         return
