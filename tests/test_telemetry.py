@@ -233,3 +233,22 @@ def test_progress_blocks(spark):
 
 def test_packet_layout_is_fixed():
     assert struct.calcsize(camm.LAYOUT) == camm.SIZE == 60
+
+
+def test_plan_strings(spark):
+    cols = "input string, output string, out_w int, codec string, wanted string, has_hardware boolean, quality int, interp string, mode string, has_maps boolean, fps_out double, commands string, maps array<string>"
+    maps = [f"m{i}" for i in range(5)]
+    rows = [("a", "o", 7680, "hevc", "auto", False, 20, "odd", "v360", False, None, None, None), ("b", "o", 3840, "h264", "auto", True, 18, "line", "auto", True, 5.0, "/t/x:y", maps), ("c", "o", 3840, "h264", "cpu", True, 18, "line", "calibrated", False, None, None, None)]
+    a, b, c = catalog.conversion_plan(spark.createDataFrame(rows, cols)).orderBy("input").collect()
+    assert "yaw=90:w=7680:h=3840:interp=lanczos,format=yuv420p10le[v]" in a.argv[a.argv.index("-filter_complex") + 1] and a.argv[-1] == "o" and "libx265" in a.argv
+    graph = b.argv[b.argv.index("-filter_complex") + 1]
+    assert b.mode == "calibrated" and b.argv.count("-i") == 6 and "[0:1]fps=5,format=gbrp[b1]" in graph and r"sendcmd=f=/t/x\:y,v360=e:e" in graph and b.encoder == "h264_nvenc"
+    assert c.argv is None and c.mode is None
+
+
+def test_names_and_views(spark):
+    one = lambda *c: tuple(spark.range(1).select(*c).first())
+    assert one(media.format_bytes(F.lit(1536)), media.format_duration(F.lit(3723.4)), media.format_duration(F.lit(59.6)), media.format_eta(F.lit(-1.0))) == ("1.5 KB", "1h02m03s", "1m00s", "—")
+    assert one(*media.split_name(F.lit("a.b.osv")), *media.split_name(F.lit(".x")), media.basename(F.lit("/a/b/")), media.dirname(F.lit("/a/b"))) == ("a.b", ".osv", ".x", "", "b", "/a")
+    assert one(media.ratio_text(F.lit(2.5), F.lit(3.0)), media.url_quote(F.lit("/a b/c"))) == ("2.5:3", "/a%20b/c")
+    assert one(media.view_yaw(F.lit(190.0)), media.view_latitude(F.lit(99.0)), media.jpeg_q(F.lit(95)), media.jpeg_q(F.lit(100))) == (-170.0, 85.0, 2, 2)

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values.
-RATIOS = {"16:9": (16, 9), "4:3": (4, 3), "1:1": (1, 1), "9:16": (9, 16), "21:9": (21, 9)}
-
 
 def norm180(a: Column) -> Column:
     """Degrees in [-180, 180)."""
@@ -46,8 +43,8 @@ def cylinder_height(w: Column, v_span_deg: Column) -> Column:
 
 
 def jpeg_q(quality: Column) -> Column:
-    """Encoder scale 1 (best) to 31 of a quality in percent."""
-    return F.least(F.lit(31), F.greatest(F.lit(1), F.rint((100 - quality) * 31 / 100 + 1).cast("int")))
+    """Encoder scale 2 (best) to 31 of a quality in percent."""
+    return F.least(F.lit(31), F.greatest(F.lit(2), F.rint((100 - quality) * 31 / 100).cast("int")))
 
 
 def is_equirect(w: Column, h: Column) -> Column:
@@ -116,7 +113,7 @@ def inside(path: Column, roots: Column) -> Column:
 
 def source_kind(path: Column) -> Column:
     e = extension(path)
-    return F.when(e == ".osv", "osv").when(e.isin(".mp4", ".mov", ".m4v"), "mp4").when(e.isin(".jpg", ".jpeg"), "jpeg")
+    return F.when(e == ".osv", "osv").when(e.isin(".mp4", ".mov", ".m4v"), "mp4").when(e.isin(".jpg", ".jpeg"), "jpg")
 
 
 def cache_key(*parts: Column) -> Column:
@@ -127,12 +124,89 @@ def escape_filter_path(path: Column) -> Column:
     return F.regexp_replace(path, r"([\\:,;'\[\]])", r"\\$1")
 
 
+def default_width(path: Column, width: Column) -> Column:
+    """Widest panorama of a source: two fisheye frames side by side for camera files."""
+    return F.when(source_kind(path) == "osv", 2 * width).otherwise(width)
+
+
+def media_type(path: Column) -> Column:
+    e = extension(path)
+    return F.when(e.isin(".osv", ".mp4", ".mov", ".m4v"), "video/mp4").when(e.isin(".jpg", ".jpeg"), "image/jpeg").when(e == ".gpx", "application/gpx+xml").otherwise("application/octet-stream")
+
+
+def url_quote(path: Column) -> Column:
+    """Percent-encoding that leaves slashes and spells a space %20."""
+    return F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+
+
 def format_bytes(n: Column) -> Column:
-    g = lambda power, unit: F.format_string(f"%.1f {unit}", n / float(1024**power))
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, g(1, "KB")).when(n < 1024**3, g(2, "MB")).otherwise(g(3, "GB"))
+    """Up to TB, one decimal from KB on; a dash for null."""
+    big = lambda power, unit: F.format_string(f"%.1f {unit}", n / float(1024**power))
+    return F.when(n.isNull(), "—").when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, big(1, "KB")).when(n < 1024**3, big(2, "MB")).when(n < 1024**4, big(3, "GB")).otherwise(big(4, "TB"))
 
 
 def format_duration(s: Column) -> Column:
-    n = F.floor(s).cast("long")
+    """1h02m03s or 2m03s of the nearest second; a dash for null and NaN."""
+    n = F.floor(s + 0.5).cast("long")
     h, m, sec = F.floor(n / 3600).cast("long"), F.floor(F.pmod(n, F.lit(3600)) / 60).cast("long"), F.pmod(n, F.lit(60))
-    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, sec)).otherwise(F.format_string("%d:%02d", m, sec))
+    return F.when(s.isNull() | F.isnan(s.cast("double")), "—").when(h > 0, F.format_string("%dh%02dm%02ds", h, m, sec)).otherwise(F.format_string("%dm%02ds", m, sec))
+
+
+def format_eta(s: Column) -> Column:
+    return F.when(s < 0, "—").otherwise(format_duration(s))
+
+
+def format_date(mtime: Column) -> Column:
+    """dd/mm/yyyy hh:mm in the session's time zone; empty for null and 0."""
+    return F.when(mtime.isNull() | (mtime == 0), "").otherwise(F.date_format(F.timestamp_seconds(mtime), "dd/MM/yyyy HH:mm"))
+
+
+def split_name(name: Column) -> tuple[Column, Column]:
+    """(base, extension with its dot); hidden names and trailing dots have no extension."""
+    e = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
+    return F.substr(name, F.lit(1), F.length(name) - F.length(e)), e
+
+
+def basename(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*)/*$", 1)
+
+
+def dirname(path: Column) -> Column:
+    return F.regexp_replace(path, r"/[^/]*/*$", "")
+
+
+def ratio_text(a: Column, b: Column) -> Column:
+    """"a:b" with at most two decimals and no trailing zeros."""
+    one = lambda x: F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", ""))
+    return F.concat(one(a), F.lit(":"), one(b))
+
+
+# the viewer's camera, in degrees
+
+
+def view_fov(fov: Column) -> Column:
+    return F.least(F.lit(100.0), F.greatest(F.lit(30.0), fov))
+
+
+def view_latitude(lat: Column) -> Column:
+    return F.least(F.lit(85.0), F.greatest(F.lit(-85.0), lat))
+
+
+def view_yaw(lon: Column) -> Column:
+    """In [-180, 180], both ends kept."""
+    y = lon % 360
+    return F.when(y > 180, y - 360).when(y < -180, y + 360).otherwise(y)
+
+
+def other_fov(fov: Column, ratio: Column) -> Column:
+    """The field of view across, `ratio` being how much longer that side is."""
+    return F.degrees(2 * F.atan(F.tan(F.radians(fov) / 2) * ratio))
+
+
+def frame_fraction(fov: Column, view: Column) -> Column:
+    """Share of a view that a capture frame takes; over 1 it does not fit."""
+    return F.tan(F.radians(fov) / 2) / F.tan(F.radians(view) / 2)
+
+
+def fov_of_fraction(fraction: Column, view: Column) -> Column:
+    return F.degrees(2 * F.atan(fraction * F.tan(F.radians(view) / 2)))

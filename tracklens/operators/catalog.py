@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.media import extension_in, inside
+from ..functions.media import escape_filter_path, extension_in, inside
 
 
 def browse(entries: DataFrame, extensions: str | None = None) -> DataFrame:
@@ -37,7 +37,7 @@ def plan_jobs(inputs: DataFrame, options: dict[str, str], street_view: bool = Fa
     """One queued job an input: id, input, options (known keys with values), status. Street View sets its own rate and tracks."""
     chosen = {k: v for k, v in options.items() if k in OPTIONS and v is not None}
     if street_view:
-        chosen |= {"fps_out": "5", "stabilize": "false"}
+        chosen = {"codec": "hevc", "quality": "20"} | chosen | {"fps_out": "5", "stabilize": "false", "embed_camm": "true"}
     pairs = [x for k, v in sorted(chosen.items()) for x in (F.lit(k), F.lit(str(v)))]
     made = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     return inputs.select(F.sha1("path").alias("id"), F.col("path").alias("input"), made.alias("options"), F.lit("queued").alias("status"))
@@ -48,21 +48,37 @@ def resolve_mode(mode: Column, has_maps: Column) -> Column:
     return F.when(mode == "auto", F.when(has_maps, "calibrated").otherwise("v360")).when((mode == "calibrated") & ~has_maps, F.lit(None)).otherwise(mode)
 
 
-def encoder(codec: Column, wanted: Column, has_hardware: Column) -> tuple[Column, Column]:
-    """(encoder, pixel format) by codec, wish and hardware; auto takes the hardware that is there."""
+def encoder(codec: Column, wanted: Column, has_hardware: Column, quality: Column) -> tuple[Column, Column, Column]:
+    """(encoder, pixel format, arguments) by codec, wish and hardware; auto takes the hardware that is there."""
     hardware = (wanted == "nvenc") | (wanted == "auto") & has_hardware
-    soft = F.when(codec == "hevc", "libx265").otherwise("libx264")
-    return F.when(hardware, F.concat(codec, F.lit("_nvenc"))).otherwise(soft), F.when(hardware & (codec == "hevc"), "p010le").otherwise("yuv420p")
+    h264 = codec == "h264"
+    name = F.when(hardware, F.when(h264, "h264_nvenc").otherwise("hevc_nvenc")).otherwise(F.when(h264, "libx264").otherwise("libx265"))
+    q = quality.cast("string")
+    words = lambda *x: F.array(*(F.lit(w) if isinstance(w, str) else w for w in x))
+    args = F.when(hardware, words("-c:v", name, "-rc", "vbr", "-cq", q, "-b:v", "0", "-preset", "p5")).otherwise(words("-c:v", name, "-crf", q, "-preset", "medium"))
+    return name, F.when(h264, "yuv420p").otherwise("yuv420p10le"), F.when(h264, args).otherwise(F.concat(args, words("-tag:v", "hvc1")))
 
 
 def conversion_plan(jobs: DataFrame) -> DataFrame:
-    """argv of each conversion, as data: jobs has input, output, out_w, codec, wanted, has_hardware, quality, interp, mode, has_maps."""
-    mode = resolve_mode(F.col("mode"), F.col("has_maps"))
-    enc, pix = encoder(F.col("codec"), F.col("wanted"), F.col("has_hardware"))
-    interp = F.when(F.col("interp").isin("lanczos", "line"), F.col("interp")).otherwise("lanczos")
-    got = jobs.withColumns({"_mode": mode, "_enc": enc, "_pix": pix, "_interp": interp, "_h": (F.col("out_w") / 2).cast("int")})
-    graph = F.when(F.col("_mode") == "v360", F.format_string("v360=dfisheye:e:ih_fov=190:iv_fov=190:yaw=90:w=%d:h=%d:interp=%s", "out_w", "_h", "_interp")).otherwise("remap,maskedmerge")
-    argv = F.array(F.lit("ffmpeg"), F.lit("-i"), "input", F.lit("-filter_complex"), graph, F.lit("-c:v"), "_enc", F.lit("-pix_fmt"), "_pix", F.lit("-q"), F.col("quality").cast("string"), "output")
+    """input, mode, encoder, pix_fmt, argv of each conversion, as data; argv is null where the mode has no plan.
+
+    jobs: input, output, out_w, codec, wanted, has_hardware, quality, interp, mode, has_maps, fps_out (null: the
+    source's), commands (path of a command script, null: no stabilisation) and maps (paths: x and y of both lenses, mask).
+    """
+    name, pix, args = encoder(F.col("codec"), F.col("wanted"), F.col("has_hardware"), F.col("quality"))
+    got = jobs.withColumns({"_mode": resolve_mode(F.col("mode"), F.col("has_maps")), "_enc": name, "_pix": pix, "_args": args, "_h": F.floor(F.col("out_w") / 2).cast("int"), "_interp": F.when(F.col("interp").isin("lanczos", "line"), F.col("interp")).otherwise("lanczos")})
+    rate = F.when(F.col("fps_out").isNotNull(), F.concat(F.lit("fps="), F.regexp_replace(F.col("fps_out").cast("string"), r"\.0$", ""), F.lit(","))).otherwise("")
+    script = F.when(F.col("commands").isNotNull(), F.concat(F.lit("sendcmd=f="), escape_filter_path(F.col("commands")), F.lit(","))).otherwise("")
+    start = F.when(F.col("commands").isNotNull(), "yaw=0:pitch=0:roll=0").otherwise("yaw=90")
+    size = F.format_string("w=%d:h=%d:interp=%s", "out_w", "_h", "_interp")
+    single = F.concat(F.lit("[0:0][0:1]hstack[s];[s]"), rate, script, F.lit("v360=input=dfisheye:output=e:ih_fov=190:iv_fov=190:"), start, F.lit(":"), size, F.lit(",format="), F.col("_pix"), F.lit("[v]"))
+    lens = lambda i: F.concat(F.lit(f"[0:{i}]"), rate, F.lit(f"format=gbrp[b{i}];[b{i}][{2 * i + 1}:v][{2 * i + 2}:v]remap=fill=black[e{i}];"))
+    turn = F.when(F.col("commands").isNotNull(), F.concat(script, F.lit("v360=e:e:yaw=0:pitch=0:roll=0:"), size, F.lit(","))).otherwise("")
+    pair = F.concat(lens(0), lens(1), F.lit("[5:v]format=gbrp[mk];[e0][e1][mk]maskedmerge[mg];[mg]"), turn, F.lit("format="), F.col("_pix"), F.lit("[v]"))
+    calibrated = F.col("_mode") == "calibrated"
+    inputs = F.when(calibrated, F.flatten(F.transform("maps", lambda m: F.array(F.lit("-i"), m)))).otherwise(F.array().cast("array<string>"))
+    words = lambda *x: F.array(*(F.lit(w) if isinstance(w, str) else w for w in x))
+    argv = F.concat(words("ffmpeg", "-hide_banner", "-y", "-i", F.col("input")), inputs, words("-filter_complex", F.when(calibrated, pair).otherwise(single), "-map", "[v]", "-map", "0:a?", "-c:a", "copy"), F.col("_args"), words("-progress", "pipe:1", "-nostats", F.col("output")))
     return got.select("input", F.col("_mode").alias("mode"), F.col("_enc").alias("encoder"), F.col("_pix").alias("pix_fmt"), F.when(F.col("_mode").isNotNull(), argv).alias("argv"))
 
 

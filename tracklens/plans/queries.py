@@ -579,11 +579,20 @@ def _(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", rnd(media.norm180(F.col("l_extendedprice") / 10.0 - 2000.0), 4).alias("a"))
 
 
-@query("even_and_quality", f"SELECT p_partkey, {_EVEN.format('p_retailprice')} AS even, least(31, greatest(1, CAST(round_even((100 - p_size * 2) * 31e0 / 100 + 1, 0) AS INTEGER))) AS q, p_size <> 0 AND abs(p_retailprice / p_size / 10e0 - 2) <= 0.04e0 AS equirect FROM part")
+@query("even_and_quality", f"SELECT p_partkey, {_EVEN.format('p_retailprice')} AS even, least(31, greatest(2, CAST(round_even((100 - p_size * 2) * 31e0 / 100, 0) AS INTEGER))) AS q, p_size <> 0 AND abs(p_retailprice / p_size / 10e0 - 2) <= 0.04e0 AS equirect FROM part")
 def _(s, d):
     return table(s, d, "part").select("p_partkey", media.even(F.col("p_retailprice")).alias("even"), media.jpeg_q(F.col("p_size") * 2).alias("q"), media.is_equirect(F.col("p_retailprice") / 10.0, F.col("p_size").cast("double")).alias("equirect"))
 
 
+@query("view_algebra", """SELECT p_partkey, least(100e0, greatest(30e0, p_size * 3e0)) AS fov, least(85e0, greatest(-85e0, p_size * 5e0 - 125)) AS lat,
+ round(CASE WHEN p_retailprice % 360e0 > 180 THEN p_retailprice % 360e0 - 360 ELSE p_retailprice % 360e0 END, 5) + 0e0 AS yaw, round(degrees(2 * atan(tan(radians(40e0 + p_size) / 2) * 16 / 9e0)), 5) AS h_fov,
+ round(tan(radians(40e0 + p_size) / 2) / tan(radians(90e0) / 2), 6) AS fraction, round(degrees(2 * atan(p_size / 50e0 * tan(radians(90e0) / 2))), 5) AS fov_back FROM part""")
+def _(s, d):
+    n = F.col("p_size").cast("double")
+    return table(s, d, "part").select("p_partkey", media.view_fov(n * 3).alias("fov"), media.view_latitude(n * 5 - 125).alias("lat"), rnd(media.view_yaw(F.col("p_retailprice")), 5).alias("yaw"), rnd(media.other_fov(n + 40, F.lit(16 / 9)), 5).alias("h_fov"),
+                                      rnd(media.frame_fraction(n + 40, F.lit(90.0))).alias("fraction"), rnd(media.fov_of_fraction(n / 50, F.lit(90.0)), 5).alias("fov_back"))
+
+
 # containers, catalog, jobs
 
 _CHUNK = """ch AS (SELECT o_custkey AS clip, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS chunk, o_orderkey * 1000 AS off FROM orders WHERE o_custkey <= 200),
@@ -690,12 +699,12 @@ _MODE = "CASE WHEN m = 'auto' THEN CASE WHEN maps THEN 'calibrated' ELSE 'v360'
 
 @query("media_plan", f"""WITH j AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'calibrated' ELSE 'v360' END AS m, p_size % 2 = 0 AS maps, CASE WHEN p_size % 3 = 0 THEN 'hevc' ELSE 'h264' END AS codec, CASE p_size % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'nvenc' ELSE 'cpu' END AS want, p_partkey % 5 < 2 AS hw FROM part),
 k AS (SELECT *, want = 'nvenc' OR want = 'auto' AND hw AS hard FROM j)
-SELECT p_partkey, {_MODE} AS mode, CASE WHEN hard THEN codec || '_nvenc' WHEN codec = 'hevc' THEN 'libx265' ELSE 'libx264' END AS encoder, CASE WHEN hard AND codec = 'hevc' THEN 'p010le' ELSE 'yuv420p' END AS pix_fmt, CASE WHEN {_MODE} IS NOT NULL THEN 12 ELSE 0 END AS n_args FROM k""")
+SELECT p_partkey, {_MODE} AS mode, CASE WHEN hard THEN codec || '_nvenc' WHEN codec = 'hevc' THEN 'libx265' ELSE 'libx264' END AS encoder, CASE WHEN codec = 'hevc' THEN 'yuv420p10le' ELSE 'yuv420p' END AS pix_fmt, CASE WHEN {_MODE} IS NOT NULL THEN 17 + CASE WHEN {_MODE} = 'calibrated' THEN 10 ELSE 0 END + CASE WHEN hard THEN 10 ELSE 6 END + CASE WHEN codec = 'hevc' THEN 2 ELSE 0 END ELSE 0 END AS n_args FROM k""")
 def _(s, d):
     c, k = F.col, F.col("p_partkey") % 3
     jobs = table(s, d, "part").select(c("p_partkey").cast("string").alias("input"), F.lit("out.mp4").alias("output"), F.lit(7680).alias("out_w"), F.when(c("p_size") % 3 == 0, "hevc").otherwise("h264").alias("codec"),
                                       F.when(c("p_size") % 4 == 0, "auto").when(c("p_size") % 4 == 1, "nvenc").otherwise("cpu").alias("wanted"), (c("p_partkey") % 5 < 2).alias("has_hardware"), F.lit(20).alias("quality"), F.lit("lanczos").alias("interp"),
-                                      F.when(k == 0, "auto").when(k == 1, "calibrated").otherwise("v360").alias("mode"), (c("p_size") % 2 == 0).alias("has_maps"))
+                                      F.when(k == 0, "auto").when(k == 1, "calibrated").otherwise("v360").alias("mode"), (c("p_size") % 2 == 0).alias("has_maps"), F.lit(5.0).alias("fps_out"), F.lit(None).cast("string").alias("commands"), F.array(*(F.lit(f"m{i}.pgm") for i in range(5))).alias("maps"))
     got = catalog.conversion_plan(jobs)
     return got.select(c("input").cast("long").alias("p_partkey"), "mode", "encoder", "pix_fmt", F.when(c("argv").isNotNull(), F.size("argv")).otherwise(0).alias("n_args"))
 
@@ -707,7 +716,7 @@ def _(s, d):
 
 
 @query("format_sizes", """SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024e0 * 10 + 0.5e0) / 10) ELSE printf('%.1f MB', n_chars / 1048576e0) END AS bytes,
- CASE WHEN n_chars >= 3600 THEN printf('%d:%02d:%02d', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) ELSE printf('%d:%02d', n_chars // 60, n_chars % 60) END AS clock FROM documents""")
+ CASE WHEN n_chars >= 3600 THEN printf('%dh%02dm%02ds', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) ELSE printf('%dm%02ds', n_chars // 60, n_chars % 60) END AS clock FROM documents""")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", media.format_bytes(F.col("n_chars")).alias("bytes"), media.format_duration(F.col("n_chars")).alias("clock"))
 
