@@ -167,7 +167,7 @@ def _sketch(docs: DataFrame, log_cells: int, rounds: int, round_: int, n: int, g
     return out
 
 
-def repeated_windows(docs: DataFrame, n: int = N, gram: int = GRAM, max_sketch_bytes: int = MAX_SKETCH_BYTES) -> DataFrame:
+def repeated_windows(docs: DataFrame, n: int = N, gram: int = GRAM, max_sketch_bytes: int = MAX_SKETCH_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, place: the windows that also start in a document with a smaller doc_id.
 
     place: first word in the low 32 bits, crc32 of the text above them (it tells apart rows with equal doc_id).
@@ -186,6 +186,8 @@ def repeated_windows(docs: DataFrame, n: int = N, gram: int = GRAM, max_sketch_b
         one = _candidates(d, shared, rounds, r, n, gram)
         found = one if found is None else found.unionByName(one)
     first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
+    # written, so that the join reads an exchange on either side and a window in a third of all documents can be split
+    first = (scratch or Scratch(spark, "windows")).table(first, "first")
     return found.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("doc_id") > F.col("first"))).select("doc_id", "place")
 
 
@@ -221,7 +223,7 @@ def dedup(docs: DataFrame, n: int = N, keep: list[str] | None = None, verbatim:
     nothing stays as it is, white space included.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
-    windows = repeated_windows(docs, n, **options)
+    windows = repeated_windows(docs, n, scratch=scratch, **options)
     # runs of windows: only their first and last places travel on
     key = ["_doc", "_crc"]
     places = windows.select(F.col("doc_id").alias("_doc"), F.shiftright("place", 32).alias("_crc"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("_at"))
