@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, WORD_HASH, Scratch, map_batches, texts
 from .components import components
+from .native import bloom, bloom_blocks, possible_hits
 
 SHORT = 10
 MAX_LOG_CELLS, SLICE = 22, 1 << 18
@@ -181,7 +182,11 @@ class Join:
             made = [shared.value.tokens(shingles(t, n)) for t in text]
             return {"doc_id": doc_id, "n": [len(x) for x in made], "tokens": [x.tobytes() for x in made]}
 
-        wanted = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
+        # a Bloom filter of bounded size keeps most other texts out of the shuffle
+        ids = self.scratch.table(ids, f"{name}-ids")
+        n_blocks = bloom_blocks(ids.count())
+        likely = possible_hits(self.docs, "doc_id", bloom(ids, "doc_id", n_blocks), n_blocks).where("_maybe").select("doc_id", "text")
+        wanted = likely.join(ids, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
         return self.scratch.table(map_batches(wanted, make, "doc_id long, n int, tokens binary"), name)
 
     def verified(self, pairs: DataFrame, sets: DataFrame, residual: bool) -> DataFrame:

@@ -29,3 +29,35 @@ def bind(value: Column, f) -> Column:
 def small(df, n_rows: int, row_bytes: int):
     """df, broadcast if its measured size allows it."""
     return F.broadcast(df) if n_rows * row_bytes <= BROADCAST_BYTES else df
+
+
+# blocked Bloom filter: a key sets one bit in each of the four longs of one 256-bit block
+
+BITS_PER_KEY, BLOCK_BITS = 16, 256
+
+
+def bloom_blocks(n_keys: int) -> int:
+    """Blocks of a filter for n_keys, within BROADCAST_BYTES. Beyond that it passes more and still loses nothing."""
+    return max(1, min(-(-n_keys * BITS_PER_KEY // BLOCK_BITS), BROADCAST_BYTES // 64))
+
+
+def _bits(key: Column) -> list[Column]:
+    second = F.xxhash64(key, F.lit("bit"))
+    return [F.shiftrightunsigned(second, 6 * j).bitwiseAND(F.lit(63)).cast("int") for j in range(4)]
+
+
+def bloom(keys, column: str, n_blocks: int):
+    """_block and its four longs."""
+    one, key = F.lit(1).cast("long"), F.col(column)
+    bits = keys.select(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("_block"), *(F.call_function("shiftleft", one, b).alias(f"_w{j}") for j, b in enumerate(_bits(key))))
+    return bits.groupBy("_block").agg(*(F.bit_or(f"_w{j}").alias(f"_w{j}") for j in range(4)))
+
+
+def possible_hits(rows, column: str, filter_, n_blocks: int):
+    """rows with _maybe: whether the filter has all of a key's bits. The filter's size is bounded by bloom_blocks."""
+    key = F.col(column)
+    probed = rows.withColumn("_at", F.pmod(F.xxhash64(key), F.lit(n_blocks))).join(small(filter_, n_blocks, 64), F.col("_at") == F.col("_block"), "left")
+    found = F.lit(True)
+    for j, b in enumerate(_bits(key)):
+        found &= F.call_function("getbit", F.coalesce(F.col(f"_w{j}"), F.lit(0).cast("long")), b) == 1
+    return probed.withColumn("_maybe", found).drop("_at", "_block", *(f"_w{j}" for j in range(4)))

@@ -13,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import ascii_lower, small
+from .native import ascii_lower, bloom, bloom_blocks, possible_hits, small
 
-BITS_PER_URL, BLOCK_BITS = 16, 256
 #: Fixed values: (verdict, host, path) of the rules; the longest that fits wins.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: The query lists the pages of hosts with one of these labels.
@@ -44,27 +43,6 @@ def fitting(h: Column, p: Column, rules: list[tuple[str, str, str]], value) -> C
     return F.coalesce(F.lit(None).cast("string"), *(F.when(((h == rh) | h.endswith(f".{rh}")) & p.startswith(rp), F.lit(value((v, rh, rp)))) for v, rh, rp in order))
 
 
-def _bits(url: Column) -> list[Column]:
-    second = F.xxhash64(url, F.lit("bit"))
-    return [F.shiftrightunsigned(second, 6 * j).bitwiseAND(F.lit(63)).cast("int") for j in range(4)]
-
-
-def bloom(listed: DataFrame, n_blocks: int) -> DataFrame:
-    """_block and its four longs, from a table with column _url."""
-    one = F.lit(1).cast("long")
-    bits = listed.select(F.pmod(F.xxhash64("_url"), F.lit(n_blocks)).alias("_block"), *(F.call_function("shiftleft", one, b).alias(f"_w{j}") for j, b in enumerate(_bits(F.col("_url")))))
-    return bits.groupBy("_block").agg(*(F.bit_or(f"_w{j}").alias(f"_w{j}") for j in range(4)))
-
-
-def possible_hits(urls: DataFrame, filter_: DataFrame, n_blocks: int) -> DataFrame:
-    """urls (with _url) and _maybe: whether the filter has all of a URL's bits."""
-    probed = urls.withColumn("_at", F.pmod(F.xxhash64("_url"), F.lit(n_blocks))).join(small(filter_, n_blocks, 64), F.col("_at") == F.col("_block"), "left")
-    found = F.lit(True)
-    for j, b in enumerate(_bits(F.col("_url"))):
-        found &= F.call_function("getbit", F.coalesce(F.col(f"_w{j}"), F.lit(0).cast("long")), b) == 1
-    return probed.withColumn("_maybe", found).drop("_at", "_block", *(f"_w{j}" for j in range(4)))
-
-
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict. listed: a table whose column `url` holds URLs to block where no rule fits."""
     parsed = pages.select(F.col("page_id"), F.col("url").cast("string").alias("_raw")).select("page_id", host(F.col("_raw")).alias("host"), path(F.col("_raw")).alias("path"))
@@ -72,9 +50,9 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     ruled = parsed.withColumn("rule", fitting(h, p, rules, lambda r: r[1] + r[2])).withColumn("_verdict", fitting(h, p, rules, lambda r: r[0]))
     keys = listed.select(F.col("url").cast("string").alias("_raw")).select(canonical(host(F.col("_raw")), path(F.col("_raw"))).alias("_url")).where("_url <> ''").distinct()
     n = keys.count()
-    n_blocks = max(1, -(-n * BITS_PER_URL // BLOCK_BITS))
+    n_blocks = bloom_blocks(n)
     decided = ruled.where(F.col("_verdict").isNotNull()).select("page_id", "host", "path", "rule", F.col("_verdict").alias("verdict"))
-    probed = possible_hits(ruled.where(F.col("_verdict").isNull()).withColumn("_url", canonical(h, p)), bloom(keys, n_blocks), n_blocks)
+    probed = possible_hits(ruled.where(F.col("_verdict").isNull()).withColumn("_url", canonical(h, p)), "_url", bloom(keys, "_url", n_blocks), n_blocks)
     clear = probed.where(~F.col("_maybe")).select("page_id", "host", "path", "rule", F.lit("allow").alias("verdict"))
     exact = probed.where("_maybe").join(small(keys.select(F.col("_url").alias("_listed")), n, 256), F.col("_url") == F.col("_listed"), "left")
     hits = exact.select("page_id", "host", "path", "rule", F.when(F.col("_listed").isNotNull(), "block").otherwise("allow").alias("verdict"))
