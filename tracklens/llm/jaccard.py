@@ -196,7 +196,7 @@ class Join:
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
         def check(a: list, b: list, ta: list, tb: list) -> dict[str, list]:
-            out = {"linked": [], "n": [], "uu": [], "ul": [], "lu": []}
+            out = {"linked": [], "n": [], "d": [], "uu": [], "ul": [], "lu": []}
             for x, y in zip(ta, tb, strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 merged = np.concatenate([x, y])
@@ -204,27 +204,41 @@ class Join:
                 same = merged[1:] == merged[:-1]
                 common = int(same.sum())
                 linked = common > 0 and den * common >= num * (len(x) + len(y) - common)
-                keys = {"uu": [], "ul": [], "lu": []}
+                keys, d = {"uu": [], "ul": [], "lu": []}, 0
                 if residual:
                     alone = np.ones(len(merged), bool)
                     alone[1:] &= ~same
                     alone[:-1] &= ~same
-                    keys = _difference_keys(merged[alone], len(x), len(y), linked, num, den)
+                    keys, d = _difference_keys(merged[alone], len(x), len(y), linked, num, den), int(alone.sum())
                 out["linked"].append(linked)
                 out["n"].append(len(y))
+                out["d"].append(d)
                 for k, v in keys.items():
                     out[k].append(v)
             return {"a": a, "b": b} | out
 
-        return map_batches(both, check, "a long, b long, linked boolean, n int, uu array<long>, ul array<long>, lu array<long>", text="tb")
+        return map_batches(both, check, "a long, b long, linked boolean, n int, d int, uu array<long>, ul array<long>, lu array<long>", text="tb")
 
     def residual_pairs(self, star: DataFrame) -> DataFrame:
-        """Pairs under one leader whose differences from it share prefix tokens, at least one of them unlinked."""
-        key = lambda c, s: star.where(F.size(c) > 0).select(F.col("a").alias("leader"), F.explode(c).alias("token"), F.col("b").alias(f"{s}"), F.col("n").alias(f"n{s}"))
-        fits = self._fits(F.col("nx"), F.col("ny"))
-        uu = key("uu", "x").join(key("uu", "y"), ["leader", "token"]).where((F.col("x") < F.col("y")) & fits)
-        ul = key("ul", "x").join(key("lu", "y"), ["leader", "token"]).where(fits)
-        return uu.unionByName(ul).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+        """Pairs under one leader whose differences from it share prefix tokens, at least one of them unlinked.
+
+        The keys are long enough for any partner; for the pair at hand, whose sizes are known, the shared token
+        must lie in the shorter prefix that its own least overlap leaves.
+        """
+
+        def key(c: str, s: str) -> DataFrame:
+            own = star.where(F.size(c) > 0).select(F.col("a").alias("leader"), F.posexplode(c).alias(f"p{s}", "token"), F.col("b").alias(s), F.col("n").alias(f"n{s}"), F.col("d").alias(f"d{s}"))
+            return own
+
+        most = F.floor((F.col("nx") + F.col("ny")) * (self.den - self.num) / (self.den + self.num))
+        shared = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - most) / 2))
+        fits = self._fits(F.col("nx"), F.col("ny")) & (F.col("px") <= F.col("dx") - shared) & (F.col("py") <= F.col("dy") - shared)
+        x, y = key("uu", "x").alias("x"), key("uu", "y").alias("y")
+        same = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token"))
+        uu = x.join(y, same & fits & (F.col("x.x") < F.col("y.y")))
+        ul = key("ul", "x").alias("x").join(key("lu", "y").alias("y"), same & fits)
+        pick = lambda df: df.select(F.col("x.x").alias("x"), F.col("y.y").alias("y"))
+        return pick(uu).unionByName(pick(ul)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
