@@ -603,9 +603,19 @@ sz AS (SELECT o_custkey AS clip, row_number() OVER (PARTITION BY o_custkey ORDER
 j AS (SELECT ex.clip, chunk, off, k, ex.sample, size FROM ex JOIN sz ON ex.clip = sz.clip AND ex.sample = sz.sample)
 SELECT clip, CAST(sample AS BIGINT) AS sample, CAST(chunk AS BIGINT) AS chunk, CAST(off + sum(size) OVER (PARTITION BY clip, chunk ORDER BY k) - size AS BIGINT) AS off, size, CAST(sample * 40 AS BIGINT) AS pts FROM j""")
 def _(s, d):
+    return _expanded(s, d, table(s, d, "orders").where("o_custkey <= 200"))
+
+
+@query("stsc_expand_all")
+def _(s, d):
+    """All clips; the SQL of stsc_expand has only those up to 200."""
+    return _expanded(s, d, table(s, d, "orders"))
+
+
+def _expanded(s, d, orders: DataFrame) -> DataFrame:
     from ..sources.mp4 import expand_samples
 
-    o = table(s, d, "orders").where("o_custkey <= 200").select(F.col("o_custkey").alias("clip"), "o_orderkey")
+    o = orders.select(F.col("o_custkey").alias("clip"), "o_orderkey")
     chunks = o.groupBy("clip").agg(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x * 1000).alias("chunk_offsets"))
     li = table(s, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
