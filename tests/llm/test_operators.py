@@ -240,6 +240,24 @@ def test_toxicity(spark, docs, empty):
     assert all(r.predicted == 0 for r in t.toxicity(docs, lab.limit(0)).collect())
 
 
+def test_toxicity_of_rare_words(spark):
+    """Each toxic word is in a few examples only; texts that have no other one are found and have evidence."""
+    from tracklens.llm import toxicity as t
+
+    rng = random.Random(19)
+    rows = []
+    for i in range(400):
+        w = prose(rng, 60)
+        if i % 4 == 0:
+            w[rng.randrange(60)] = "zq" + "abcdefghijklmnop"[i // 4 % 16] * 4
+        rows.append((i, " ".join(w)))
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = [r for r in t.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), lab).collect() if r.held_out]
+    assert all(r.evidence for r in got)
+    assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in got) / len(got) > 0.9
+    assert sum(r.predicted for r in got) > 10
+
+
 def test_quality_classifier(spark, docs, empty):
     from tracklens.llm import quality_classifier as q
 

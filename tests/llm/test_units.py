@@ -152,6 +152,25 @@ def test_nearest_equals_brute_force():
         assert [j for j in who[i] if j >= 0] == order or np.allclose([s[i, j] for j in order], best[i][: len(order)], atol=2e-5)
 
 
+def test_postings_equal_brute_force():
+    rng = np.random.default_rng(5)
+    n, terms = 60, 1500  # more terms than have a row of weights
+    v = rng.random((n, terms)) * (rng.random((n, terms)) < 0.1)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    who, term = np.nonzero(v)
+    m = toxicity.Model(np.ones(terms), np.arange(n), np.zeros(n, np.float32), toxicity.Postings.of(n, terms, term, who, v[who, term]), None, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), 0.1)
+    assert len(m.vectors.who) and (m.vectors.at >= 0).sum() == toxicity.DENSE_TERMS
+    best, near = m.closest([(np.flatnonzero(x), x[x > 0]) for x in v], np.arange(n))
+    s = v @ v.T
+    np.fill_diagonal(s, -1)
+    assert np.allclose(best, -np.sort(-s, axis=1)[:, : toxicity.K], atol=2e-6) and np.allclose(np.take_along_axis(s, near, 1), best, atol=2e-6)
+
+
+def test_no_term_is_left_out():
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(21), np.arange(181)))
+    assert (toxicity.relevance(a, b, 20, 180) > 0).all()
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(4)
     x = rng.random(500)

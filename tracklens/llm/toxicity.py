@@ -1,16 +1,16 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine through a block-max index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine through postings of all terms of the examples.
 
-fit() takes a bounded, hash-chosen sample of labelled rows (`MAX_EXAMPLES` of each class), keeps the terms that
-are clearly more frequent in toxic examples (chi-square and rate ratio; at most `MAX_TERMS`), weighs them by
-document frequency over all documents, and indexes the examples' vectors in blocks with the maximum weight of
-each term in each block. A query skips a block when its bound is below the k-th best similarity found so far,
-so the k nearest examples are exact. Votes weighted by similarity are calibrated on the examples themselves,
-each left out of its own vote, by isotonic regression with the classes' true shares.
+fit() takes a bounded, hash-chosen sample of labelled rows (`MAX_EXAMPLES` of each class) and indexes every term
+of them: the vocabulary is bounded by the sample. A term weighs its document frequency over all documents times
+its relevance, a smooth function of the examples' chi-square that is never zero: no term is left out. Each text
+is searched on all terms that any example has, all postings of these are read, and the k nearest are exact.
+Votes weighted by similarity are calibrated on the examples themselves, each left out of its own vote, by
+isotonic regression with the classes' true shares.
 
 Terms are lower-cased runs of letters and their 4- and 5-letter beginnings (marked `~`), which carry inflected
 and obfuscated forms. Scores use the text only: never labels, lang, source or doc_id.
 
-Defined cases: null and empty texts, and texts without any kept term, have no neighbours and get the share of
+Defined cases: null and empty texts, and texts without any term of the examples, have no neighbours and get the share of
 toxic examples among such texts; without usable labels every score is 0.5 shrunk to the class share (0 if there
 are none); a doc_id labelled twice counts as toxic if any label says so; rows with equal doc_id are scored one
 by one; ties in similarity go to the smaller doc_id.
@@ -18,19 +18,23 @@ by one; ties in similarity go to the smaller doc_id.
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, Scratch, map_batches, texts
 
-#: Bounds of the model: examples of each class, terms; neighbours that vote; examples in a block.
-MAX_EXAMPLES, MAX_TERMS, K, BLOCK = 2000, 1024, 15, 64
-MIN_CHI2, MIN_RATIO, MIN_DOCS = 40.0, 4.0, 4
+#: Bound of the model: examples of each class. Neighbours that vote; examples in a block of dense vectors.
+MAX_EXAMPLES, K, BLOCK = 2000, 15, 64
+#: Relevance of a term without any lean to a class, and the chi-square at which it is a quarter of the greatest.
+FLOOR, HALF_CHI2 = 0.001, 20.0
+#: So many of the most frequent terms have a row of weights instead of a list: the same sums, made faster.
+DENSE_TERMS = 1024
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -48,37 +52,99 @@ def terms_of(word: str) -> list[str]:
 
 
 class TermIds(dict):
-    """word -> ids of its kept terms, or None; kept while the table is small."""
+    """word -> ids of those of its terms that examples have; kept while the table is small."""
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> tuple[int, ...] | None:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        value = self[word] = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary) or None
+        value = self[word] = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
         return value
 
 
+def count_terms(ids: TermIds, text: str | None) -> dict[int, int]:
+    n: dict[int, int] = {}
+    for word, k in Counter(text.split()).items() if text else ():
+        for term in ids[word]:
+            n[term] = n.get(term, 0) + k
+    return n
+
+
+@dataclass
+class Postings:
+    """Weights of the examples by term, all of them."""
+
+    n: int  # examples
+    at: np.ndarray  # term -> its row in dense, -1: it has a list
+    dense: np.ndarray
+    start: np.ndarray  # term -> where its list starts
+    who: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, n: int, n_terms: int, term: np.ndarray, who: np.ndarray, weight: np.ndarray) -> Postings:
+        df = np.bincount(term, minlength=n_terms)
+        often = np.argsort(-df, kind="stable")[:DENSE_TERMS]
+        at = np.full(n_terms, -1, np.int32)
+        at[often] = np.arange(len(often))
+        dense = np.zeros((len(often), n), np.float32)
+        is_dense = at[term] >= 0
+        dense[at[term[is_dense]], who[is_dense]] = weight[is_dense]
+        term, who, weight = term[~is_dense], who[~is_dense], weight[~is_dense]
+        order = np.argsort(term, kind="stable")
+        start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
+        return cls(n, at, dense, start, who[order].astype(np.int32), weight[order].astype(np.float32))
+
+    def similarity(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of each row (terms, weights) and each example, over all their terms."""
+        q = np.zeros((len(rows), len(self.dense)), np.float32)
+        for i, (t, w) in enumerate(rows):
+            on = self.at[t] >= 0
+            q[i, self.at[t[on]]] = w[on]
+        s = (q @ self.dense).astype(np.float64)
+        for i, (t, w) in enumerate(rows):
+            n = self.start[t + 1] - self.start[t]
+            where = np.repeat(self.start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            s[i] += np.bincount(self.who[where], self.weight[where] * np.repeat(w, n), self.n)
+        return s
+
+
 @dataclass
 class Model:
-    idf: np.ndarray
+    idf: np.ndarray  # weight of each term
     ids: np.ndarray  # doc_id of each example
     toxic: np.ndarray
-    vectors: np.ndarray  # examples x terms, unit length
-    bounds: np.ndarray  # terms x blocks
+    vectors: Postings | np.ndarray  # of unit length; dense: examples x terms
+    bounds: np.ndarray | None  # terms x blocks, for dense vectors only
     knots: tuple[np.ndarray, np.ndarray]  # vote -> score
     empty: float  # score of texts without terms
 
-    def weigh(self, rows: list[tuple[list[int], list[int]]]) -> np.ndarray:
-        q = np.zeros((len(rows), len(self.idf)), np.float32)
-        for i, (t, n) in enumerate(rows):
-            q[i, t] = (1 + np.log(n)) * self.idf[t]
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        return q / np.where(norm > 0, norm, 1)
+    def weigh(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for t, n in rows:
+            w = (1 + np.log(n)) * self.idf[t]
+            out.append((t, w / np.linalg.norm(w)))
+        return out
+
+    def closest(self, rows: list[tuple[np.ndarray, np.ndarray]], leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """nearest() of weighed rows by the postings; every positive similarity counts, as 1e-6 at least."""
+        n, k = len(self.ids), min(K, max(1, len(self.ids)))
+        if not n:
+            return np.full((len(rows), 1), -1.0), np.full((len(rows), 1), -1, np.int64)
+        s = self.vectors.similarity(rows)
+        s = np.where(s > 0, np.maximum(np.rint(s * 1e6), 1), -1).astype(np.int64)
+        if leave_out is not None:
+            s[np.arange(len(rows)), leave_out] = -1
+        key = -s * n + np.arange(n)  # all different: ties go to the smaller example
+        top = np.sort(np.partition(key, k - 1, axis=1)[:, :k], axis=1)
+        who = top % n
+        best = np.take_along_axis(s, who, 1)
+        return np.where(best > 0, best / 1e6, -1.0), np.where(best > 0, who, -1)
 
     def nearest(self, q: np.ndarray, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Similarity and example number of the K nearest of each query; -1 where there are fewer."""
+        """Similarity and example number of the K nearest of each query in dense vectors, by blocks; -1 where there are fewer."""
         m, k = len(q), min(K, max(1, len(self.ids)))
         best, who = np.full((m, k), -1.0, np.float32), np.full((m, k), -1, np.int64)
         bound = q @ self.bounds + np.float32(1e-4)
@@ -123,39 +189,36 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return at, np.maximum.accumulate(value)
 
 
-def vectors(docs: DataFrame, vocabulary: dict[str, int], scratch: Scratch) -> DataFrame:
-    """doc_id, terms, counts of every document: the one pass over all texts."""
+def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+    """Documents with each term, and all documents: one pass over all texts."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def start() -> TermIds:
         return TermIds(shared.value)
 
-    def look(ids: TermIds, doc_id: list, text: list) -> dict[str, list]:
-        out = {"doc_id": doc_id, "terms": [], "counts": []}
+    def look(ids: TermIds, doc_id: list, text: list) -> dict[str, object]:
+        n = np.zeros(len(ids.vocabulary), np.int64)
         for t in text:
-            n: dict[int, int] = {}
-            for hit in filter(None, map(ids.__getitem__, t.split())) if t else ():
-                for term in hit:
-                    n[term] = n.get(term, 0) + 1
-            out["terms"].append(list(n))
-            out["counts"].append(list(n.values()))
-        return out
+            n[list({x for w in set(t.split()) for x in ids[w]} if t else ())] += 1
+        on = np.flatnonzero(n)
+        return {"term": pa.array(np.append(on, -1), pa.int32()), "n": pa.array(np.append(n[on], len(doc_id)))}
 
-    return scratch.table(map_batches(texts(docs), look, "doc_id long, terms array<int>, counts array<int>", init=start), "vectors")
+    got = map_batches(texts(docs), look, "term int, n long", init=start).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = got["term"].to_numpy(), got["n"].to_numpy()
+    df = np.zeros(len(vocabulary), np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
 
 
-def _vocabulary(examples: DataFrame, n_pos: int, n_neg: int) -> list[str]:
-    """Terms of toxic examples by chi-square, from one grouped count."""
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = F.lit(float(n_pos)) - a, F.lit(float(n_neg)) - b
-    chi2 = (n_pos + n_neg) * F.pow(a * d - b * c, 2) / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
-    counts = examples.select("toxic", F.explode("found").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    clear = counts.where((a + b >= MIN_DOCS) & (a * n_neg >= MIN_RATIO * b * n_pos)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-    return [r.term for r in clear.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()]
+def relevance(a: np.ndarray, b: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Of terms in a toxic and b clean examples: from FLOOR to 1 + FLOOR, smooth in chi-square."""
+    c, d = n_pos - a, n_neg - b
+    chi2 = (n_pos + n_neg) * (a * d - b * c) ** 2.0 / np.maximum(1.0, (a + b) * (c + d) * float(n_pos) * n_neg)
+    return FLOOR + (chi2 / (chi2 + HALF_CHI2)) ** 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """The model and the vectors of all documents. labels: doc_id, toxic; only rows outside the evaluation fold are used."""
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Model, dict[str, int]]:
+    """The model and its vocabulary. labels: doc_id, toxic; only rows outside the evaluation fold are used."""
     spark = docs.sparkSession
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     lab = lab.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -165,65 +228,78 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Model, Da
     n_class = [sum(t == c for _, t in chosen) for c in (0, 1)]
 
     def find(doc_id: list, toxic: list, text: list) -> dict[str, list]:
-        return {"doc_id": doc_id, "toxic": toxic, "found": [sorted({x for w in set(t.split()) for x in terms_of(w)}) if t else [] for t in text]}
+        out = {"doc_id": doc_id, "toxic": toxic, "found": [], "counts": []}
+        for t in text:
+            n: dict[str, int] = {}
+            for w, k in Counter(t.split()).items() if t else ():
+                for x in terms_of(w):
+                    n[x] = n.get(x, 0) + k
+            out["found"].append(sorted(n))
+            out["counts"].append([n[x] for x in out["found"][-1]])
+        return out
 
     mine = texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")  # 2 * MAX_EXAMPLES ids
-    examples = scratch.table(map_batches(mine, find, "doc_id long, toxic int, found array<string>"), "examples")
-    vocabulary = {t: i for i, t in enumerate(_vocabulary(examples, n_class[1], n_class[0]))}
-    vec = vectors(docs, vocabulary, scratch)
-    n_docs = vec.count()
-    df = {r.term: r.n for r in vec.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([math.log((n_docs + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(vocabulary))], np.float32)
-    rows = vec.join(F.broadcast(sample), "doc_id").collect()  # the examples' kept terms
-    return _model(idf, rows, totals, n_class), vec
-
-
-def _model(idf: np.ndarray, rows: list, totals: dict[int, int], n_class: list[int]) -> Model:
-    seen, unique = set(), []
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.terms, r.counts)):
-        if r.doc_id not in seen:
-            seen.add(r.doc_id)
-            unique.append(r)
-    full = [r for r in unique if r.terms]
+    found = scratch.table(map_batches(mine, find, "doc_id long, toxic int, found array<string>, counts array<int>"), "examples")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("found", "counts", "toxic")).alias("e"))  # one row a doc_id
+    rows = one.select("doc_id", "e.*").orderBy("doc_id").toArrow().combine_chunks()
+    terms = rows["found"].combine_chunks().flatten().dictionary_encode() if len(rows) else pa.array([], pa.string()).dictionary_encode()
+    vocabulary = {x: i for i, x in enumerate(terms.dictionary.to_pylist())}
+    df, n_docs = frequencies(docs, vocabulary)
+    idf = np.log((n_docs + 1) / (df + 1)) + 1
+    return _model(idf, rows, terms.indices.to_numpy(), totals, n_class), vocabulary
+
+
+def _model(idf: np.ndarray, rows: pa.Table, term: np.ndarray, totals: dict[int, int], n_class: list[int]) -> Model:
+    """rows: doc_id, toxic, counts of each example, by doc_id; term: the ids of all their terms, one after the other."""
+    toxic = rows["toxic"].to_numpy()
+    size = np.array([len(c) for c in rows["counts"]], np.int64)
     weight = [totals.get(c, 0) / max(1, n_class[c]) for c in (0, 1)]
-    none = [sum(not r.terms and r.toxic == c for r in unique) * weight[c] for c in (0, 1)]
+    none = [((size == 0) & (toxic == c)).sum() * weight[c] for c in (0, 1)]
     share = totals.get(1, 0) / max(1, sum(totals.values()))
-    empty = (none[1] + share) / (sum(none) + 1)
-    full.sort(key=lambda r: (min(r.terms), r.doc_id))  # like examples share a block
-    m = Model(idf, np.array([r.doc_id for r in full], np.int64), np.array([r.toxic for r in full], np.float32), np.zeros((0, len(idf)), np.float32), np.zeros((len(idf), 0), np.float32), (np.array([0.0, 1.0]), np.array([0.0, 1.0])), empty)
-    if full:
-        m.vectors = m.weigh([(list(r.terms), list(r.counts)) for r in full])
-        m.bounds = np.stack([m.vectors[i : i + BLOCK].max(0) for i in range(0, len(full), BLOCK)], 1)
-        vote = np.concatenate([m.votes(*m.nearest(m.vectors[i : i + 256], np.arange(i, min(i + 256, len(full))))) for i in range(0, len(full), 256)])
+    empty = float((none[1] + share) / (sum(none) + 1))
+    full = np.flatnonzero(size)
+    m = Model(idf, rows["doc_id"].to_numpy()[full], toxic[full].astype(np.float32), Postings.of(0, len(idf), *(np.zeros(0, np.int64),) * 3), None, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), empty)
+    if len(full):
+        who = np.repeat(np.arange(len(full)), size[full])
+        count = rows["counts"].combine_chunks().flatten().to_numpy()
+        a, b = (np.bincount(term[m.toxic[who] == c], minlength=len(idf)) for c in (1, 0))
+        m.idf = idf * relevance(a, b, int((toxic == 1).sum()), int((toxic == 0).sum()))
+        ends = np.cumsum(size[full])[:-1]
+        vectors = m.weigh(list(zip(np.split(term, ends), np.split(count, ends), strict=True)))
+        m.vectors = Postings.of(len(full), len(idf), term, who, np.concatenate([w for _, w in vectors]))
+        vote = np.concatenate([m.votes(*m.closest(vectors[i : i + 256], np.arange(i, min(i + 256, len(full))))) for i in range(0, len(full), 256)])
         ok = ~np.isnan(vote)
         if ok.any():
             m.knots = isotonic(vote[ok], m.toxic[ok], np.where(m.toxic[ok] > 0, weight[1], weight[0]))
     return m
 
 
-def scores(vec: DataFrame, model: Model) -> DataFrame:
+def scores(docs: DataFrame, model: Model, vocabulary: dict[str, int]) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (the nearest examples with similarity and label)."""
-    shared = vec.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, vocabulary))
+
+    def start() -> TermIds:
+        return TermIds(shared.value[1])
 
-    def rate(doc_id: list, terms: list, counts: list) -> dict[str, list]:
-        m = shared.value
+    def rate(words: TermIds, doc_id: list, text: list) -> dict[str, list]:
+        m = shared.value[0]
         out = {"doc_id": doc_id, "score": [m.empty] * len(doc_id), "evidence": [[] for _ in doc_id]}
-        full = [i for i, t in enumerate(terms) if t]
-        for at in range(0, len(full), 256):
-            own = full[at : at + 256]
-            best, who = m.nearest(m.weigh([(terms[i], counts[i]) for i in own]))
-            for i, s, b, w in zip(own, m.score(m.votes(best, who)).tolist(), best.tolist(), who.tolist(), strict=True):
+        counts = [(i, n) for i, t in enumerate(text) if (n := count_terms(words, t))]
+        for at in range(0, len(counts), 256):
+            own = counts[at : at + 256]
+            rows = m.weigh([(np.fromiter(n, np.int64, len(n)), np.fromiter(n.values(), np.float64, len(n))) for _, n in own])
+            best, who = m.closest(rows)
+            for (i, _), s, b, w in zip(own, m.score(m.votes(best, who)).tolist(), best.tolist(), who.tolist(), strict=True):
                 out["score"][i] = round(s, 6)
                 out["evidence"][i] = [{"doc_id": int(m.ids[e]), "similarity": x, "toxic": int(m.toxic[e])} for x, e in zip(b, w, strict=True) if e >= 0]
         return out
 
-    made = map_batches(vec.select("doc_id", "terms", "counts"), rate, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
+    made = map_batches(texts(docs), rate, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>", init=start)
     return made.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model, vec = fit(docs, labels, Scratch(docs.sparkSession, "toxicity"))
-    return scores(vec, model)
+    return scores(docs, *fit(docs, labels, Scratch(docs.sparkSession, "toxicity")))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
