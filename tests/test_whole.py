@@ -20,3 +20,28 @@ def test_stsc_expand_all(spark, tmp_path):
                     off, sample = off + sizes[sample], sample + 1
     got = [(r.clip, r.sample, r.chunk, r.off, r.size, r.pts) for r in QUERIES["stsc_expand_all"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want and {r[0] for r in got} == {7, 200, 201, 950}
+
+
+def test_imu_resample_all(spark, tmp_path):
+    import math
+    import random
+
+    from tracklens.plans.queries import QUERIES
+
+    rng = random.Random(4)
+    sizes = {0: 1, 1: 12, 2: 71}
+    rows = [(100 * c + i, [rng.gauss(0, 1) for _ in range(4)], c) for c, n in sizes.items() for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r[0], r[1]): r[2:] for r in QUERIES["imu_resample_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(c, k) for c, n in sizes.items() for k in range(math.floor((n - 1) * 0.8) + 1)}
+    for (c, k), q in got.items():
+        own = [r[1] for r in rows if r[2] == c]
+        at = min(k / 0.8, sizes[c] - 1)
+        i = min(int(at), sizes[c] - 1)
+        a, b = ([x / math.hypot(*v) for x in v] for v in (own[i], own[min(i + 1, sizes[c] - 1)]))
+        d = sum(x * y for x, y in zip(a, b))
+        b, d, f = [x * math.copysign(1, d) for x in b], min(abs(d), 1), at - i
+        u, v = (1 - f, f) if d > 0.9995 else (math.sin((1 - f) * math.acos(d)) / math.sin(math.acos(d)), math.sin(f * math.acos(d)) / math.sin(math.acos(d)))
+        want = [u * x + v * y for x, y in zip(a, b)]
+        want = [x / math.hypot(*want) for x in want]
+        assert abs(abs(sum(x * y for x, y in zip(want, q))) - 1) < 1e-4, (c, k)

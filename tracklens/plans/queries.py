@@ -339,6 +339,15 @@ def _(s, d):
     return imu.resample(*_clips(s, d)).select("clip", "frame", *_four(R.quat("q")))
 
 
+@query("imu_resample_all")
+def _(s, d):
+    """Each clip to its last orientation; the SQL of imu_resample has the first 20 frames."""
+    series, clips = _clips(s, d)
+    last = series.groupBy("clip").agg(F.max("t").alias("last"))
+    whole = clips.drop("n_frames").join(last, "clip").select("clip", "fps", (F.floor(F.col("last") * F.col("fps")) + 1).alias("n_frames"))
+    return imu.resample(series, whole).select("clip", "frame", *_four(R.quat("q")))
+
+
 @query("imu_clock", """WITH c AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (ORDER BY conv_id, turn) - 1 AS ord FROM conversations)
 SELECT conv_id AS frame, turn AS subidx, CAST(ord AS BIGINT) AS ord, round(conv_id + turn / n, 6) + 0e0 AS t, 'frame' AS unit FROM c""")
 def _(s, d):
