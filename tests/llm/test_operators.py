@@ -203,6 +203,15 @@ def test_decontamination(spark, docs, empty, corpus):
     assert near.where("NOT exact AND doc_id = 12").count() > 0
 
 
+def test_null_ids_count_distinct_shingles(spark):
+    from tracklens.llm import jaccard
+
+    rows = [(None, "a b c d e f " * 4), (None, "one"), (None, None), (1, "a b c d e f " * 4)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles) for r in got) == [(0, 0), (0, 1), (0, 6), (1, 6)]
+    assert all(r.component_id == r.doc_id for r in got)
+
+
 def test_url_filter(spark):
     from tracklens.llm import url_filter as u
 

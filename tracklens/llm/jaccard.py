@@ -291,9 +291,12 @@ def _difference_keys(d: np.ndarray, leader: int, own: int, linked: bool, num: in
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for Jaccard >= num / den on word n-grams."""
     out = Join(docs, n, num, den).run()
-    rest = texts(docs).where("doc_id IS NULL")
-    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    return out.unionByName(rest.select("doc_id", F.when(words > 0, F.greatest(F.lit(1), words - n + 1)).otherwise(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    rest = texts(docs).where("doc_id IS NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
+
+    def count(doc_id: list, text: list) -> dict[str, list]:
+        return {"doc_id": doc_id, "n_shingles": [len(shingles(t, n)) for t in text], "component_id": doc_id}
+
+    return out.unionByName(map_batches(rest, count, "doc_id long, n_shingles long, component_id long"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
