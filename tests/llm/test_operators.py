@@ -203,6 +203,20 @@ def test_decontamination(spark, docs, empty, corpus):
     assert near.where("NOT exact AND doc_id = 12").count() > 0
 
 
+def test_ids_of_single_documents(docs, corpus):
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from tracklens.llm import tokens
+    from tracklens.llm.common import Scratch
+
+    path = tokens.public_vocabulary()
+    lib = Tokenizer.from_file(path)
+    store = tokens.write_ids(docs, Scratch(docs.sparkSession, "t"), path, end_id=2)
+    want = sorted((i, [*lib.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in corpus if i in (0, 20, 62, 63))
+    assert sorted((r.doc_id, r.ids) for r in tokens.ids_of(store, [63, 0, 62, 20, 12345]).collect()) == want
+
+
 def test_null_ids_count_distinct_shingles(spark):
     from tracklens.llm import jaccard
 

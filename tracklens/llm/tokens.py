@@ -6,7 +6,7 @@ works on single characters below U+0300, so a text's ids are its words' ids in a
 that does not hold (other scripts, special tokens) and every text with U+001C-U+001F goes to the library whole.
 
 write_ids() stores ids as records of concatenated ids with Elias-Fano document boundaries; read_ids() reads
-them back through the select structure.
+all of them back in order, ids_of() those of single documents through the select structure.
 """
 
 from __future__ import annotations
@@ -247,6 +247,24 @@ def read_ids(store: DataFrame) -> DataFrame:
     return map_batches(store.select("part", "doc_ids", "bounds", "width", "ids", "before"), decode, "doc_id long, start long, n_tokens long, ids_crc32 long", text="ids")
 
 
+def ids_of(store: DataFrame, wanted: list[int]) -> DataFrame:
+    """doc_id, ids of the wanted documents (a row each copy), their boundaries found by select; no others are unpacked."""
+    look = set(wanted)
+
+    def decode(doc_ids: list, bounds: list, width: list, ids: list) -> dict[str, list]:
+        out = {"doc_id": [], "ids": []}
+        for docs, b, w, raw in zip(doc_ids, bounds, width, ids, strict=True):
+            ef, flat = EliasFano.from_bytes(b), np.frombuffer(raw, f"<u{w}")
+            for k, doc in enumerate(docs):
+                if doc in look:
+                    out["doc_id"].append(doc)
+                    out["ids"].append(flat[ef.select(k) : ef.select(k + 1)].tolist())
+        return out
+
+    holds = F.arrays_overlap("doc_ids", F.array(*map(F.lit, look)).cast("array<long>"))
+    return map_batches(store.where(holds).select("doc_ids", "bounds", "width", "ids"), decode, "doc_id long, ids array<long>", text="ids")
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-ids")
     return read_ids(write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch, public_vocabulary(), end_id=2))
