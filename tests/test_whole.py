@@ -45,3 +45,21 @@ def test_imu_resample_all(spark, tmp_path):
         want = [u * x + v * y for x, y in zip(a, b)]
         want = [x / math.hypot(*want) for x in want]
         assert abs(abs(sum(x * y for x, y in zip(want, q))) - 1) < 1e-4, (c, k)
+
+
+def test_lens_lut_scale_all(spark, tmp_path):
+    import math
+
+    from tracklens.plans.queries import _DIST, QUERIES
+
+    keys = [1, 7, 8, 9, 16, 2000]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.p_partkey: (r.lens, r.scale) for r in QUERIES["lens_lut_scale_all"](spark, str(tmp_path)).collect()}
+    t0, t = math.radians(85), math.radians(90)
+    poly = t0 + sum(k * t0 ** (2 * i + 3) for i, k in enumerate(_DIST))
+    slope = 1 + sum((2 * i + 3) * k * t0 ** (2 * i + 2) for i, k in enumerate(_DIST))
+    radius = 1048.43787 * (poly + slope * (t - t0))
+    assert set(got) == set(keys)
+    for key, (n, scale) in got.items():
+        mean = sum(math.hypot(1800 * math.cos(i / 3) + n, 1800 * math.sin(i / 3)) for i in range(1, 14)) / 13
+        assert n == key % 8 and abs(scale - mean / radius) < 2e-6

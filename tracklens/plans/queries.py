@@ -435,11 +435,20 @@ def _(s, d):
 # fourteen table points around (100 + lens, 200), the first of which is a header
 @query("lens_lut_scale", f"WITH p AS (SELECT part.p_partkey % 8 AS lens, k FROM part, unnest(range(1, 14)) AS r(k) WHERE p_partkey < 8), m AS (SELECT lens, avg(sqrt(pow(1800e0 * cos(k / 3e0) + lens, 2) + pow(1800e0 * sin(k / 3e0), 2))) AS mean FROM p GROUP BY lens), a AS (SELECT lens, mean, {_LENS}, radians(90e0) AS t FROM m) SELECT lens, round(mean / (fx * {_TAN}), 6) AS scale FROM a")
 def _(s, d):
-    p = table(s, d, "part").where("p_partkey < 8").select((F.col("p_partkey") % 8).alias("lens"))
+    return _lut_scales(table(s, d, "part").where("p_partkey < 8").select((F.col("p_partkey") % 8).alias("lens")), "lens")
+
+
+@query("lens_lut_scale_all")
+def _(s, d):
+    """All rows of part by p_partkey; the SQL of lens_lut_scale has those below 8."""
+    return _lut_scales(table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 8).alias("lens")), "p_partkey", "lens")
+
+
+def _lut_scales(p: DataFrame, *keep: str) -> DataFrame:
     k = F.sequence(F.lit(0), F.lit(13))
     x = F.transform(k, lambda i: F.lit(100.0) + F.col("lens") + F.lit(1800.0) * F.cos(i / 3.0))
     y = F.transform(k, lambda i: F.lit(200.0) + F.lit(1800.0) * F.sin(i / 3.0))
-    return p.select("lens", rnd(lens.lut_scale(F.lit(1048.43787), F.lit(100.0), F.lit(200.0), [F.lit(v) for v in _DIST], x, y)).alias("scale"))
+    return p.select(*keep, rnd(lens.lut_scale(F.lit(1048.43787), F.lit(100.0), F.lit(200.0), [F.lit(v) for v in _DIST], x, y)).alias("scale"))
 
 
 W, H = 128, 64
