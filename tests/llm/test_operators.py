@@ -136,7 +136,7 @@ def brute_substrings(rows, n):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"max_sketch_bytes": 200}])
+@pytest.mark.parametrize("options", [{}, {"shard_anchors": 50}])
 def test_substring_dedup(docs, empty, corpus, options):
     from tracklens.llm import substrings
 

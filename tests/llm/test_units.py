@@ -1,7 +1,6 @@
 """The parts that need no session, against brute force."""
 
 import random
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -99,17 +98,27 @@ def test_runs_and_anchors_depend_on_words_alone():
 
 
 def test_sketch_never_underestimates():
+    """Partial counts of batches, dealt to shards and added there: every anchor of two documents is found, few others are."""
     rng = np.random.default_rng(1)
-    keys = rng.integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(1)
-    a, b = substrings.Sketch(14), substrings.Sketch(14)
-    a.add(keys[:3000])
-    b.add(keys[2500:])
-    z = zlib.compress
-    for r in range(substrings.ROWS):
-        seen, again = substrings._merged([z(a.bits[r, 0].tobytes()), z(b.bits[r, 0].tobytes())], [z(a.bits[r, 1].tobytes()), z(b.bits[r, 1].tobytes())])
-        a.bits[r, 0], a.bits[r, 1] = np.frombuffer(zlib.decompress(seen), np.uint8), np.frombuffer(zlib.decompress(again), np.uint8)
-    found = a.repeated(keys)
-    assert found[2500:3000].all() and found.mean() < 0.4
+    anchors = np.unique(rng.integers(0, 1 << 63, 6000).astype(np.uint64))[:5000]
+    rng.shuffle(anchors)
+    batches = [(np.concatenate([anchors[:2000], anchors[:100]]), np.concatenate([np.zeros(2000), np.ones(100)])), (anchors[1900:4000], np.full(2100, 2)), (anchors[4000:], np.full(1000, 3))]
+    single, twice, known = [], [], set()
+    for a, doc in batches:
+        alone, others, both = substrings.partial_counts(a, doc)
+        single.append(a[alone])
+        twice.append(both)
+        known |= set(a[others].tolist())
+    assert known == set(anchors[:100].tolist()) == set(np.concatenate(twice).tolist())
+    single = np.concatenate(single)
+    on = substrings.merged_repeats(single, np.concatenate(twice))
+    assert set(anchors[1900:2000].tolist()) <= set(single[on].tolist()) and on.mean() < 0.1
+    assert substrings.merged_repeats(anchors[:5], anchors[3:8]).tolist() == [False, False, False, True, True]
+
+
+def test_windows_known_within_a_batch():
+    h1, h2, doc = np.array([5, 7, 5, 5, 7, 9, 9], np.uint64), np.array([1, 2, 1, 8, 2, 3, 3], np.uint64), np.array([1, 1, 2, 2, 3, 4, 4])
+    assert substrings.known_later(h1, h2, doc).tolist() == [False, False, True, False, True, False, False]
 
 
 def test_residual_prefixes_find_every_linked_pair():

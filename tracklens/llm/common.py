@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +18,6 @@ from pyspark.sql import types as T
 
 #: Text bytes that one call of a batch function gets at most (a longer text comes alone).
 CHUNK_BYTES = 2 << 20
-#: Bytes and rows in one Arrow batch between the JVM and a Python worker.
-ARROW_BYTES, ARROW_ROWS = 8 << 20, 4096
 #: Entries of a worker's word cache before it starts anew.
 CACHE_WORDS = 300_000
 
@@ -24,10 +25,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The cluster's spark.checkpoint.dir. A folder of our own only in local mode, where driver and tasks share one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="tracklens-")
         import shutil
@@ -44,7 +47,8 @@ def drop(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables of one operator call in the shared folder: written once, read often, found again after lost executors.
 
-    They go when the Spark application ends its Python process (drop_all), or earlier with drop(name).
+    Results are lazy and read them, so they stay until the workspace() around the call ends, or else until the
+    Python process does.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -70,6 +74,18 @@ class Scratch:
 _scratches: list[Scratch] = []
 
 
+@contextmanager
+def workspace() -> Iterator[None]:
+    """Drops at its end the intermediate tables of all operators called inside. Write or collect their results before."""
+    before = len(_scratches)
+    try:
+        yield
+    finally:
+        for s in _scratches[before:]:
+            s.drop()
+        del _scratches[before:]
+
+
 @atexit.register
 def _drop_all() -> None:
     for s in _scratches:
@@ -85,6 +101,19 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def chunks(batch: pa.RecordBatch, at: int | None = 0) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most CHUNK_BYTES of text in column `at`, whatever the session's batch size."""
+    n, start = batch.num_rows, 0
+    sizes = None if at is None else pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
+    while start < n:
+        end, held = start + 1, 0 if sizes is None else sizes[start]
+        while end < n and (sizes is None or held + sizes[end] <= CHUNK_BYTES):
+            held += 0 if sizes is None else sizes[end]
+            end += 1
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_batches(
     df: DataFrame,
     func: Callable[..., dict[str, list]],
@@ -96,31 +125,19 @@ def map_batches(
 
     init, if given, runs once a task; its result is func's first argument.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     arrow = arrow_schema(schema)
     names, at = df.columns, df.columns.index(text) if text in df.columns else None
-    limit = CHUNK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = (init(),) if init else ()
         for batch in batches:
-            cols = batch.columns
-            n, start = batch.num_rows, 0
-            sizes = None if at is None else pa.compute.fill_null(pa.compute.binary_length(cols[at]), 0).to_pylist()
-            while start < n:
-                end, held = start + 1, 0 if sizes is None else sizes[start]
-                while end < n and (sizes is None or held + sizes[end] <= limit):
-                    held += 0 if sizes is None else sizes[end]
-                    end += 1
-                out = func(*head, *(c.slice(start, end - start).to_pylist() for c in cols))
+            for part in chunks(batch, at):
+                out = func(*head, *(c.to_pylist() for c in part.columns))
                 if out is not None:
                     made = pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
                     if made.num_rows:
                         yield made
-                start = end
 
     return df.select(*names).mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_HASH, Scratch, map_batches, texts
+from .common import LOWER, WORD_HASH, Scratch, chunks, map_batches, texts
 from .components import components
 from .native import bloom, bloom_blocks, possible_hits
 
@@ -85,8 +85,8 @@ def order(docs: DataFrame, n: int) -> Order:
 
         cells, salt = np.zeros(1 << log_cells, np.uint32), TaskContext.get().partitionId() % salts
         for batch in batches:
-            got = [shingles(t.as_py(), n) for t in batch.column(0)]
-            if got:
+            for part in chunks(batch):
+                got = [shingles(t.as_py(), n) for t in part.column(0)]
                 at, c = np.unique(np.concatenate(got) >> np.uint64(64 - log_cells), return_counts=True)
                 cells[at.astype(np.int64)] += c.astype(np.uint32)
         for s in range(0, len(cells), per):

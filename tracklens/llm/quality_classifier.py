@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_BYTES, CACHE_WORDS, map_batches, texts
+from .common import CACHE_WORDS, map_batches, texts
 
 MAX_TRAIN, DIMS, ROUNDS = 8000, 1024, 100
 _SYMBOLS, _UPPER, _LETTERS = b"#*$%&<>^~=", bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
@@ -184,11 +184,9 @@ def score_column(spark, model: Model):
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """The documents with `_score`. Batches hold few rows, since texts may be long."""
+    """The documents with `_score`."""
     spark = docs.sparkSession
     model = fit(docs)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return docs.withColumn("_score", score_column(spark, model)(F.col("text").cast("string").cast("binary")))
 
 

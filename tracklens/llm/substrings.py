@@ -2,15 +2,16 @@
 
 Pass 1, the count-min prefilter. Every window has an anchor: of its `GRAM`-word runs the one with the smallest
 hash, which depends on the window's words alone. About one word in sixteen starts an anchor, so sketches over
-anchors stay small, and an anchor's count is never below that of any of its windows. Each task counts the
-distinct anchors of its documents in a count-min sketch whose cells saturate at two (all that is asked is
-"more than one document?"); the sketches merge by saturating addition, in two steps.
-Pass 2 groups exactly, by 128-bit fingerprints of the whole window, the windows whose anchor is estimated to
-occur twice: the smallest doc_id of each group, combined before the shuffle, then joined back to the windows.
-No repeated window is lost, since the estimate never falls short.
-
-The sketch grows with the corpus up to `max_sketch_bytes`. Beyond it, anchors are dealt by hash to rounds, each
-with a sketch of its own: memory stays bounded and every window is still handled, at one more pass a round.
+anchors stay small, and an anchor's count is never below that of any of its windows. Each batch of documents
+counts its distinct anchors (one, or two and more: all that is asked is "more than one document?") and deals
+these partial counts by hash to sketch shards. A shard adds them up in a count-min sketch with cells that
+saturate at two and is probed where it lives. The number of shards follows the size of the corpus, so that a
+shard's memory and the work a byte of text do not depend on it; an anchor that a third of all documents have
+reaches its shard once a batch.
+Pass 2 reads the documents that have anchors estimated to occur twice and groups the windows of these anchors
+exactly, by two polynomials over two independent 64-bit word hashes: of equal windows in one batch only those of
+the smallest doc_id travel on, the others are known to go; the smallest doc_id of each group is combined before
+the shuffle and joined back. No repeated window is lost, since no estimate falls short.
 
 Defined cases: null texts have no words and lose none; equal rows and rows with equal doc_id never remove
 each other's words (no doc_id is smaller), and rows with equal doc_id but other texts are told apart by them;
@@ -22,16 +23,20 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASH, Scratch, map_batches, texts
+from .common import CACHE_WORDS, WORD_HASH, Scratch, map_batches, texts
+from .native import bloom, bloom_blocks, possible_hits
 
 N, GRAM = 50, 20
-ROWS, CELLS_PER_ANCHOR, MAX_SKETCH_BYTES, SLICE_CELLS = 3, 2, 64 << 20, 1 << 19
+#: Rows of a sketch, cells an anchor in each, and anchors that a shard holds on average.
+ROWS, CELLS_PER_ANCHOR, SHARD_ANCHORS = 3, 8, 1 << 20
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -74,6 +79,19 @@ def _word_ids(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
 
 
+class _SecondHash(dict):
+    """Another 64-bit hash of each word, independent of WORD_HASH."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word, seed=0x5EED)
+        return value
+
+
+_SECOND = _SecondHash()
+
+
 def _anchors(ids: np.ndarray, n: int, gram: int) -> np.ndarray:
     """The anchor of each window."""
     return _sliding_min(_mix(_runs(ids, gram, _P)), n - gram + 1)
@@ -83,10 +101,6 @@ def _cells(anchors: np.ndarray, log_cells: int) -> list[np.ndarray]:
     return [(anchors * np.uint64(c)) >> np.uint64(64 - log_cells) for c in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03)[:ROWS]]
 
 
-def _round_of(anchors: np.ndarray, rounds: int) -> np.ndarray:
-    return (anchors >> np.uint64(7)) % np.uint64(rounds)
-
-
 class Sketch:
     """Count-min cells that saturate at two, as two bit vectors a row: seen, seen again."""
 
@@ -113,126 +127,157 @@ class Sketch:
         return out
 
 
-def _merged(seen: list[bytes], again: list[bytes]) -> tuple[bytes, bytes]:
-    a = b = None
-    for x, y in zip(seen, again, strict=True):
-        x, y = np.frombuffer(zlib.decompress(x), np.uint8), np.frombuffer(zlib.decompress(y), np.uint8)
-        a, b = (x, y) if a is None else (a | x, b | y | (a & x))
-    return zlib.compress(a.tobytes(), 1), zlib.compress(b.tobytes(), 1)
+def partial_counts(anchors: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries whose anchor one document of the batch has, entries of the other anchors, these anchors), from pairs of anchor and document."""
+    order = np.argsort(anchors, kind="stable")
+    a = anchors[order]
+    first = np.ones(len(a), bool)
+    first[1:] = a[1:] != a[:-1]
+    alone = first.copy()
+    alone[:-1] &= first[1:]
+    return order[alone], order[~alone], a[first & ~alone]
 
 
-_SLICES = "row int, slice int, salt int, seen binary, again binary"
+def merged_repeats(single: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """One shard: which of the single entries the sums of all partial counts estimate at two or more."""
+    sketch = Sketch(max(10, (CELLS_PER_ANCHOR * (len(single) + len(twice))).bit_length()))
+    for part in (single, twice, twice):
+        sketch.add(part)
+    return sketch.repeated(single)
 
 
-def _sketch(docs: DataFrame, log_cells: int, rounds: int, round_: int, n: int, gram: int) -> Sketch:
-    """The merged sketch of one round. Slices of cells merge in two grouped steps, so no task gets them all."""
-    from collections.abc import Iterator
+_COUNTS = "shard int, single binary, doc binary, crc binary, twice binary, known binary, known_doc binary, known_crc binary"
+_COUNT_ARROW = pa.schema([("shard", pa.int32()), *((k, pa.binary()) for k in ("single", "doc", "crc", "twice", "known", "known_doc", "known_crc"))])
 
-    n_parts = max(1, docs.rdd.getNumPartitions())
-    salts = max(1, int(n_parts**0.5))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def repeated_anchors(docs: DataFrame, n: int, gram: int, shard_anchors: int) -> DataFrame:
+    """doc_id, crc (of the text), anchor: the anchors of each document that are estimated to occur in another one."""
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_shards = max(1, n_bytes // 6 * 2 // (n - gram + 2) // shard_anchors)
 
-        sketch, salt = Sketch(log_cells), TaskContext.get().partitionId() % salts
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(0):
-                ids = _word_ids((text.as_py() or b"").split())
-                if len(ids) >= n:
-                    found.append(np.unique(_anchors(ids, n, gram)))
-            if found:
-                a = np.concatenate(found)
-                sketch.add(a[_round_of(a, rounds) == round_] if rounds > 1 else a)
-        per = min(SLICE_CELLS, 1 << log_cells) >> 3
-        for r in range(ROWS):
-            for s in range(0, sketch.bits.shape[2], per):
-                seen, again = sketch.bits[r, :, s : s + per]
-                if seen.any():
-                    yield pa.RecordBatch.from_pylist([{"row": r, "slice": s // per, "salt": salt, "seen": zlib.compress(seen.tobytes(), 1), "again": zlib.compress(again.tobytes(), 1)}], schema=schema)
-
-    schema = pa.schema([("row", pa.int32()), ("slice", pa.int32()), ("salt", pa.int32()), ("seen", pa.binary()), ("again", pa.binary())])
-
-    def merge(group: pa.Table) -> pa.Table:
-        a, b = _merged(group["seen"].to_pylist(), group["again"].to_pylist())
-        first = group.slice(0, 1)
-        return pa.table({"row": first["row"], "slice": first["slice"], "salt": first["salt"], "seen": pa.array([a], pa.binary()), "again": pa.array([b], pa.binary())}, schema=schema)
-
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, _SLICES)
-    once = parts.groupBy("row", "slice", "salt").applyInArrow(merge, _SLICES)
-    out, per = Sketch(log_cells), min(SLICE_CELLS, 1 << log_cells) >> 3
-    for r in once.groupBy("row", "slice").applyInArrow(merge, _SLICES).toLocalIterator():  # bounded by max_sketch_bytes
-        out.bits[r.row, 0, r.slice * per : (r.slice + 1) * per] = np.frombuffer(zlib.decompress(r.seen), np.uint8)
-        out.bits[r.row, 1, r.slice * per : (r.slice + 1) * per] = np.frombuffer(zlib.decompress(r.again), np.uint8)
-    return out
+            found, size, crcs = [], [], []
+            for text in batch.column(1):
+                t = text.as_py()
+                ids = _word_ids(t.split())
+                found.append(np.unique(_anchors(ids, n, gram)) if len(ids) >= n else ids[:0])
+                size.append(len(found[-1]))
+                crcs.append(zlib.crc32(t) if size[-1] else 0)
+            if not sum(size):
+                continue
+            anchors = np.concatenate(found)
+            doc = np.repeat(batch.column(0).to_numpy(), size)
+            crc = np.repeat(np.array(crcs, np.uint32), size)
+            alone, known, twice = partial_counts(anchors, doc)
+            shard = lambda a: ((a * _Q) >> np.uint64(33)) % np.uint64(n_shards)
+            own, other, others = shard(anchors[alone]), shard(anchors[known]), shard(twice)
+            rows = []
+            order = [np.argsort(x, kind="stable") for x in (own, other, others)]
+            present = np.unique(np.concatenate([own, other]))
+            cut = [(np.searchsorted(x[o], present), np.searchsorted(x[o], present, "right")) for x, o in zip((own, other, others), order, strict=True)]
+            for k, s in enumerate(present.tolist()):
+                i, j, m = (o[c[0][k] : c[1][k]] for o, c in zip(order, cut, strict=True))
+                i, j = alone[i], known[j]
+                rows.append({"shard": s, "single": anchors[i].tobytes(), "doc": doc[i].tobytes(), "crc": crc[i].tobytes(), "twice": twice[m].tobytes(), "known": anchors[j].tobytes(), "known_doc": doc[j].tobytes(), "known_crc": crc[j].tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema=_COUNT_ARROW)
+
+    found_schema = pa.schema([("doc_id", pa.int64()), ("crc", pa.int32()), ("anchor", pa.int64())])
+
+    def probe(group: pa.Table) -> pa.Table:
+        flat = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in group[c].to_pylist()])
+        single = flat("single", np.uint64)
+        on = merged_repeats(single, flat("twice", np.uint64))
+        anchors = np.concatenate([single[on], flat("known", np.uint64)])
+        ids = np.concatenate([flat("doc", np.int64)[on], flat("known_doc", np.int64)])
+        crcs = np.concatenate([flat("crc", np.int32)[on], flat("known_crc", np.int32)])
+        return pa.table({"doc_id": ids, "crc": crcs, "anchor": anchors.view(np.int64)}, schema=found_schema)
+
+    parts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(count, _COUNTS)
+    return parts.groupBy("shard").applyInArrow(probe, "doc_id long, crc int, anchor long")
+
+
+def _crc(text: Column) -> Column:
+    c = F.crc32(text.cast("binary"))
+    return F.when(c < 1 << 31, c).otherwise(c - (1 << 32)).cast("int")
+
+
+def repeated_windows(docs: DataFrame, scratch: Scratch, n: int = N, gram: int = GRAM, shard_anchors: int = SHARD_ANCHORS) -> DataFrame:
+    """doc_id, crc (of the text: it tells apart rows with equal doc_id), at: the windows that also start in a document with a smaller doc_id."""
+    d = texts(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * n - 1))
+    hits = repeated_anchors(d, n, gram, shard_anchors).groupBy("doc_id", "crc").agg(F.collect_list("anchor").alias("anchors"))  # fewer than the document has words
+    hits = scratch.table(hits, "anchors")
+    found = scratch.table(_candidates(_likely(d, hits, "doc_id").where("_maybe").drop("_maybe"), hits, n, gram), "windows")
+    open_ = found.where("h1 IS NOT NULL")
+    first = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
+    # written, so that the join reads an exchange on either side and can be split where a window is in many batches
+    first = scratch.table(first, "first")
+    gone = open_.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("doc_id") > F.col("first")))
+    return gone.select("doc_id", "crc", "at").unionByName(found.where("h1 IS NULL").select("doc_id", "crc", "at"))
+
 
+def _likely(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """docs with _maybe: false for documents whose doc_id is surely not among ids (a stored table)."""
+    keys = ids.select(F.col(key).alias("doc_id")).distinct()
+    n_blocks = bloom_blocks(keys.count())
+    return possible_hits(docs, "doc_id", bloom(keys, "doc_id", n_blocks), n_blocks)
 
-def repeated_windows(docs: DataFrame, n: int = N, gram: int = GRAM, max_sketch_bytes: int = MAX_SKETCH_BYTES, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, place: the windows that also start in a document with a smaller doc_id.
 
-    place: first word in the low 32 bits, crc32 of the text above them (it tells apart rows with equal doc_id).
+def _candidates(docs: DataFrame, hits: DataFrame, n: int, gram: int) -> DataFrame:
+    """The windows whose anchor is estimated to occur in two documents, with their fingerprints.
+
+    A window that a document with a smaller doc_id has in the same batch is known to go: h1 and h2 are null.
     """
-    spark = docs.sparkSession
-    d = texts(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * n - 1))
-    n_bytes = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_anchors = max(1, n_bytes // 6 * 2 // (n - gram + 2))
-    cells = ROWS * CELLS_PER_ANCHOR * n_anchors
-    rounds = max(1, -(-cells // (4 * max_sketch_bytes)))
-    log_cells = max(10, (CELLS_PER_ANCHOR * n_anchors // rounds).bit_length())
-    log_cells = min(log_cells, max(10, (4 * max_sketch_bytes // ROWS).bit_length() - 1))
-    found = None
-    for r in range(rounds):
-        shared = spark.sparkContext.broadcast(_sketch(d, log_cells, rounds, r, n, gram))
-        one = _candidates(d, shared, rounds, r, n, gram)
-        found = one if found is None else found.unionByName(one)
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
-    # written, so that the join reads an exchange on either side and a window in a third of all documents can be split
-    first = (scratch or Scratch(spark, "windows")).table(first, "first")
-    return found.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("doc_id") > F.col("first"))).select("doc_id", "place")
-
-
-def _candidates(docs: DataFrame, sketch, rounds: int, round_: int, n: int, gram: int) -> DataFrame:
-    """Fingerprints of the windows whose anchor is estimated to occur in two documents."""
-
-    def look(doc_id: list, text: list) -> dict[str, list]:
-        h1, h2, ids_, place = [], [], [], []
-        for i, t in zip(doc_id, text, strict=True):
-            ids = _word_ids(t.split())
-            if len(ids) < n:
-                continue
-            anchors = _anchors(ids, n, gram)
-            own = sketch.value.repeated(anchors)
-            if rounds > 1:
-                own &= _round_of(anchors, rounds) == round_
-            at = np.flatnonzero(own)
-            if len(at):
-                h1.append(_runs(ids, n, _P)[at])
-                h2.append(_runs(ids, n, _Q)[at])
-                ids_.append(np.full(len(at), i, np.int64))
-                place.append(at.astype(np.int64) | zlib.crc32(t) << 31 << 1 if zlib.crc32(t) < 1 << 31 else at.astype(np.int64) | (zlib.crc32(t) - (1 << 32)) << 32)
-        join = lambda x, kind: np.concatenate(x).view(kind) if x else np.zeros(0, kind)
-        return {"doc_id": pa.array(join(ids_, np.int64)), "place": pa.array(join(place, np.int64)), "h1": pa.array(join(h1, np.int64)), "h2": pa.array(join(h2, np.int64))}
-
-    return map_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text")), look, "doc_id long, place long, h1 long, h2 long")
+    own = docs.withColumn("_crc", _crc(F.col("text")))
+    joined = own.join(hits.select(F.col("doc_id").alias("_doc"), F.col("crc").alias("_c"), "anchors"), (F.col("doc_id") == F.col("_doc")) & (F.col("_crc") == F.col("_c")))
+
+    def look(doc_id: list, text: list, crc: list, anchors: list) -> dict[str, object]:
+        h1, h2, ids_, crcs, place = ([np.zeros(0, k)] for k in (np.uint64, np.uint64, np.int64, np.int32, np.int32))
+        for i in sorted(range(len(doc_id)), key=doc_id.__getitem__):
+            words = text[i].split()
+            ids = _word_ids(words)
+            at = np.flatnonzero(np.isin(_anchors(ids, n, gram), np.array(anchors[i], np.int64).view(np.uint64)))
+            second = np.fromiter(map(_SECOND.__getitem__, words), np.uint64, len(words))
+            h1.append(_runs(ids, n, _P)[at])
+            h2.append(_runs(second, n, _Q)[at])
+            ids_.append(np.full(len(at), doc_id[i], np.int64))
+            crcs.append(np.full(len(at), crc[i], np.int32))
+            place.append(at.astype(np.int32))
+        h1, h2, ids_, crcs, place = map(np.concatenate, (h1, h2, ids_, crcs, place))
+        known = known_later(h1, h2, ids_)
+        return {"doc_id": pa.array(ids_), "crc": pa.array(crcs), "at": pa.array(place), "h1": pa.array(h1.view(np.int64), mask=known), "h2": pa.array(h2.view(np.int64), mask=known)}
+
+    return map_batches(joined.select("doc_id", F.col("text").cast("binary").alias("text"), "_crc", "anchors"), look, "doc_id long, crc int, at int, h1 long, h2 long")
+
+
+def known_later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows a smaller doc has as well, of windows in ascending order of doc."""
+    order = np.argsort(h1, kind="stable")
+    a, b, d = h1[order], h2[order], doc[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    start = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+    out = np.zeros(len(a), bool)
+    out[order] = d > d[start]
+    return out
 
 
 def dedup(docs: DataFrame, n: int = N, keep: list[str] | None = None, verbatim: bool = False, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space), and the columns in `keep`.
 
-    The documents are shuffled once, to meet the places of their repeated windows. verbatim: a text that loses
-    nothing stays as it is, white space included.
+    Documents that lose words are shuffled to meet the places of their windows, others stay where they are.
+    verbatim: a text that loses nothing stays as it is, white space included.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
-    windows = repeated_windows(docs, n, scratch=scratch, **options)
-    # runs of windows: only their first and last places travel on
-    key = ["_doc", "_crc"]
-    places = windows.select(F.col("doc_id").alias("_doc"), F.shiftright("place", 32).alias("_crc"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("_at"))
-    found = scratch.table(places.groupBy(*key).agg(F.collect_set("_at").alias("_places")), "places")
+    windows = repeated_windows(docs, scratch, n, **options)
+    # the starts of a document's windows, one integer each: never more than its text has words
+    found = scratch.table(windows.groupBy(F.col("doc_id").alias("_doc"), F.col("crc").alias("_c")).agg(F.collect_set("at").alias("_places")), "places")
     extra = [F.col(c).alias(f"_keep_{c}") for c in keep or []]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
-    crc = F.crc32(F.col("text").cast("binary"))
-    own = own.withColumn("_crc32", F.when(crc < 1 << 31, crc).otherwise(crc - (1 << 32)))
-    joined = own.join(found, (F.col("doc_id") == F.col("_doc")) & (F.col("_crc32") == F.col("_crc")), "left")
+    probed = _likely(own, found, "_doc").withColumn("_maybe", F.coalesce("_maybe", F.lit(False)))
+    may = probed.where("_maybe").drop("_maybe").withColumn("_crc32", _crc(F.col("text")))
+    joined = may.join(found, (F.col("doc_id") == F.col("_doc")) & (F.col("_crc32") == F.col("_c")), "left").drop("_crc32", "_doc", "_c")
+    joined = joined.unionByName(probed.where("NOT _maybe").drop("_maybe").withColumn("_places", F.lit(None).cast("array<int>")))
 
     def cut(doc_id: list, text: list, places: list, *more: list) -> dict[str, list]:
         out = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "kept")}
