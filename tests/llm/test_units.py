@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tracklens.llm import jaccard, licenses, packing, quality_classifier, quality_rules, substrings, tokens, toxicity
-from tracklens.llm.common import alnum_words, space_words
+from tracklens.llm.common import FOLD, alnum_words, space_words
 
 
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [5, 5, 9], [0, 1, 10**12], list(range(0, 5000, 7)), sorted(random.Random(1).choices(range(10**6), k=3000))])
@@ -212,3 +212,57 @@ def test_words_and_license_scan():
     assert ("apache-2.0", 1, 9) in spans
     assert ix.scan(b"apache. license version 3") [4:6] == ("apache", "apache")
     assert ix.scan(None) == (0, 0, None, None, "", "", 0.0, [])
+
+
+def brute_license_scan(ix, text):
+    """Every template at every start, by the definition."""
+    words = text.translate(FOLD).split()
+    base, labels, spans, score = [], set(), set(), 0.0
+    for label, template, keys, is_base in ix.templates:
+        if is_base:
+            at = [s for s in range(len(words)) if tuple(words[s : s + len(template)]) == template]
+            base += [(s, label) for s in at]
+            spans |= {(label, s, s + len(template)) for s in at}
+            labels |= {label for _ in at}
+            score = max([score, *(1.0 for _ in at)])
+            continue
+        rare = sorted(set(template), key=lambda w: (-ix.idf[w], w))[: licenses.ANCHORS]
+        for s in range(1 - len(template), len(words)):
+            fits = [w for j, w in enumerate(template) if 0 <= s + j < len(words) and words[s + j] == w]
+            share = sum(ix.idf[w] for w in fits) / sum(ix.idf[w] for w in template)
+            around = b" " + b" ".join(words[max(0, s - licenses.SLACK) : max(0, s + len(template) + licenses.SLACK)]) + b" "
+            if len(set(fits) & set(rare)) >= min(licenses.AGREE, len(rare)) and share >= licenses.MIN_SHARE and all(b" " + b" ".join(k) + b" " in around for k in keys):
+                labels.add(label)
+                spans.add((label, max(0, s), min(len(words), s + len(template))))
+                score = max(score, min(1.0, share))
+    at = [s for s, _ in base]
+    return len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score, spans
+
+
+def test_license_scan_equals_brute_force():
+    rng = random.Random(6)
+    df = {w: rng.randrange(1, 500) for w in licenses.VOCABULARY}
+    ix = licenses.Index(1000, df)
+    whole = [t for t, _ in licenses.TEMPLATES.values()] + [t.upper() for t in licenses.BASE]
+    filler = [w.decode() for w in licenses.VOCABULARY] + ["foo", "bar", "baz"]
+    found = set()
+    for k in range(120):
+        text = whole[k % len(whole)].split()
+        for _ in range(rng.randrange(0, 6)):  # edits, some of which move the words behind them
+            at = rng.randrange(len(text) + 1)
+            text[at : at + rng.randrange(0, 3)] = rng.choices(filler, k=rng.randrange(0, 2))
+        text = (" ".join(rng.choices(filler, k=rng.randrange(20))) + " " + " ".join(text) + " " + rng.choice(whole) * (k % 3 == 0)).encode()
+        *got, spans = ix.scan(text)
+        *want, want_spans = brute_license_scan(ix, text)
+        assert got[:6] == want[:6] and abs(got[6] - want[6]) < 1e-9 and sorted(spans) == sorted(want_spans)
+        found |= set(got[5].split(","))
+    assert set(licenses.TEMPLATES) <= found
+
+
+def test_license_scan_intersects_postings():
+    """A start that a single anchor proposes does not survive."""
+    ix = licenses.Index(1000, {})
+    k = next(k for k, t in enumerate(ix.templates) if t[0] == "mit-text")
+    a, b = list(ix.postings[k].items())[:2]
+    assert ix.starts(k, {a[0]: [100]}) == [] and ix.starts(k, {a[0]: [100], b[0]: [0]}) == []
+    assert ix.starts(k, {a[0]: [7 + a[1][0]], b[0]: [7 + b[1][0], 900]}) == [7]

@@ -17,11 +17,13 @@ def queries() -> dict:
         "op8_token_ids": tokens.op8,
         "op9_ngram_jaccard": jaccard.op9,
         "op10_quality_classifier": quality_classifier.op10,
+        "license_base_columns": licenses.base_columns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "license_base_columns": licenses.BASE_SQL,
         "op4_quality_rules": quality_rules.SQL,
         "op5_substring_dedup": substrings.SQL,
         "op6_url_filter": url_filter.SQL,
