@@ -328,3 +328,24 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == clean
     assert sum(r.length for r in got) == sum(len(lib.encode(after[i], add_special_tokens=False).ids) + 1 for i in clean)
+
+
+def test_url_filter_hits_false_positives_and_big_lists(spark, monkeypatch):
+    """A filter of one block passes nearly everything; the exact join then decides, broadcast or shuffled."""
+    from pyspark.sql import functions as F
+
+    from tracklens.llm import url_filter as u
+
+    urls = [f"http://{w}h{i % 7}.org/p/{i}{tail}" for i in range(60) for w, tail in (("", ""), ("www.", "/"), ("m.", ".html?x"))] + ["http://H1.org/p/1", None, None, "http://h1.org/" + "x" * 50_000]
+    pages = spark.createDataFrame([(i // 2, x, "v") for i, x in enumerate(urls)], "page_id long, url string, verdict string")
+    bad = {f"h{i % 7}.org/p/{i}" for i in range(0, 60, 3)}
+    listed = spark.createDataFrame([(f"https://www.{x}/#y",) for x in sorted(bad)] * 2 + [("http://h1.org/" + "x" * 50_000,)], "url string")
+    want = sorted("block" if x and (f"h{i // 3 % 7}.org/p/{i // 3}" in bad or i >= 183) and i not in (180,) else "allow" for i, x in enumerate(urls))
+    monkeypatch.setattr(u, "bloom_blocks", lambda n: 1)
+    keys = listed.select(u.canonical(u.host(F.col("url")), u.path(F.col("url"))).alias("k"))
+    own = pages.select(u.canonical(u.host(F.col("url")), u.path(F.col("url"))).alias("k"))
+    false = u.possible_hits(own, "k", u.bloom(keys, "k", 1), 1).where("_maybe").join(keys, "k", "left_anti").count()
+    assert false > 0
+    for limit in (u.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(u, "BROADCAST_BYTES", limit)
+        assert sorted(r.verdict for r in u.judge(pages, listed).collect()) == want

@@ -147,8 +147,8 @@ def base_columns(spark, sf_dir: str) -> DataFrame:
 BASE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p(phrase, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
-h AS (SELECT doc_id, i - 1 AS at, label FROM d, unnest(range(1, len(w) + 1)) AS r(i), p WHERE w[i:i + len(phrase) - 1] = phrase AND w[i] = phrase[1]),
-g AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id)
+h AS (SELECT doc_id, i - 1 AS place, label FROM d, unnest(range(1, len(w) + 1)) AS r(i), p WHERE w[i:i + len(phrase) - 1] = phrase AND w[i] = phrase[1]),
+g AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels
 FROM d LEFT JOIN g USING (doc_id)
 """
