@@ -199,8 +199,31 @@ def test_decontamination(spark, docs, empty, corpus):
     assert by_row(got, *cols) == sorted(want, key=repr) and any(x[2] for x in want)
     assert d.decontaminate(empty, bench).count() == 0
     assert d.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
-    _, near = d.matches(docs, spark.createDataFrame([(1, " ".join(reversed(texts[12].split()[20:30])))], "item_id long, text string"), slop=4)
-    assert near.where("NOT exact AND doc_id = 12").count() > 0
+
+
+def test_decontamination_by_proximity(spark):
+    """All words of a window, as often as it has them, within len + slop words: against every span of every text."""
+    from tracklens.llm import decontamination as d
+
+    rng = random.Random(3)
+    rows, items = [], [(1, "a b c a d e"), (2, "k l"), (3, "z")]
+    for i in range(60):
+        w = rng.choices("a b c d e k l x y".split(), [2, 1, 1, 1, 1, 0.4, 0.4, 4, 4], k=rng.randrange(0, 40))
+        rows.append((i, " ".join(w + ["z"] * (i == 7))))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for n, slop in ((4, 2), (10, 0)):
+        want = {}
+        for i, t in rows:
+            w = t.split()
+            for item, s in items:
+                k = s.split()
+                for g in [k[a : a + n] for a in range(max(1, len(k) - n + 1))]:
+                    spans = [w[p : p + len(g) + slop] for p in range(len(w))]
+                    if any(all(x.count(y) >= g.count(y) for y in g) for x in spans):
+                        want.setdefault(i, set()).add(str(item))
+        got = d.decontaminate(docs, bench, n=n, slop=slop)
+        assert {r.doc_id: set(r.near_items) for r in got.collect() if r.n_near} == want and len(want) > 2
+        assert got.where("size(array_except(items, near_items)) > 0").count() == 0
 
 
 def test_ids_of_single_documents(docs, corpus):

@@ -1,15 +1,17 @@
 """Benchmark decontamination by a distributed positional inverted index. JVM only.
 
 A window is `n` consecutive words of a benchmark item (an item of fewer words is one window). How often each
-benchmark word occurs in the corpus gives every window its rarest term. The index stores, for those terms
-only, the position and the neighbourhood of each occurrence in the corpus. A window's list is then shifted by
-the term's offset and intersected with the rest of the window in the stored neighbourhood, which proves an
-exact phrase, or finds all the window's words within `slop` more positions (proximity). Anchor terms are tried
-in blocks of at most `BLOCK_TERMS`, so a benchmark of any size is handled in passes of bounded memory.
+benchmark word occurs in the corpus gives every window its `RARE` rarest terms. The stored index holds the
+postings of those terms: document, term, position. The lists of a window's terms are shifted by the terms'
+offsets and intersected: a start survives where all of them agree (exact phrases), or a place where they lie
+within `len + slop` words of each other (proximity). Only documents with such candidates are read again, to verify
+all the window's words: in their places, or, for proximity, as often as the window has them within `len + slop`
+consecutive words. Corpus words meet the terms in a hash join, broadcast while their measured number allows.
 
 Defined cases: null texts have no words; a document without words has no hit; repeated item texts count as
-items of their own; rows with equal doc_id are told apart by their texts, and equal rows get equal results;
-items with a null item_id hit but are not listed; empty tables give no hits or no rows.
+items of their own; of equally rare terms the first by spelling is taken; rows with equal doc_id are told apart by
+their texts, and equal rows get equal results; items with a null item_id hit but are not listed; other columns
+are ignored; empty tables give no hits or no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .native import alnum_words, bind, small
+from .native import BROADCAST_BYTES, alnum_words, bind, bloom, bloom_blocks, possible_hits, small
 
 N = 10
-BLOCK_TERMS = 20_000
+#: Rarest terms of a window whose postings are intersected (fewer where the window has fewer different words).
+RARE = 2
+KEY = ["doc_id", "doc_hash"]
 
 
 def windows(bench: DataFrame, n: int = N) -> DataFrame:
@@ -39,73 +43,112 @@ def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
 
 
 def anchored(win: DataFrame, counts: DataFrame) -> DataFrame:
-    """The windows with their rarest term and its offset (of equals: the first by spelling, then by offset)."""
-    each = win.select("item", "at", "words", "len", F.posexplode("words").alias("off", "term")).join(counts, "term")
-    best = each.groupBy("item", "at", "words", "len").agg(F.min(F.struct("n", "term", "off")).alias("b"))
-    return best.select("item", "at", "words", "len", F.col("b.term").alias("anchor"), F.col("b.off").alias("off"))
-
-
-def index(docs: DataFrame, terms: list[str], radius: int) -> DataFrame:
-    """One row a document: its key, n_words, and postings of the terms: pos, word, ctx (its neighbourhood) and mid (its place there)."""
-
-    def postings(w: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.element_at(w, i).isin(terms))
-
-        def one(i: Column) -> Column:
-            low = F.greatest(F.lit(1), i - radius)
-            return F.struct((i - 1).alias("pos"), F.element_at(w, i).alias("word"), F.slice(w, low, i - low + 1 + radius).alias("ctx"), (i - low).alias("mid"))
-
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.size(w) > 0, F.transform(at, one)).alias("postings"))
-
-    return docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), bind(alnum_words(F.col("text")), postings).alias("x")).select("doc_id", "doc_hash", "x.n_words", "x.postings")
-
-
-def matches(docs: DataFrame, bench: DataFrame, n: int = N, slop: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents with n_words, hits: doc_id, doc_hash, item, start, end, exact). slop None: exact phrases only."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontamination")
+    """The windows with `rare`: their rarest terms, each with its first offset."""
+    each = win.select("item", "at", "words", "len", F.posexplode("words").alias("off", "term"))
+    terms = each.groupBy("item", "at", "words", "len", "term").agg(F.min("off").alias("off")).join(counts, "term")
+    ranked = terms.groupBy("item", "at", "words", "len").agg(F.array_sort(F.collect_list(F.struct("n", "term", "off"))).alias("r"))  # n entries at most
+    return ranked.select(F.xxhash64("item", "at").alias("win"), "item", "at", "words", "len", F.slice("r", 1, RARE).alias("rare"))
+
+
+def index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """doc_id, doc_hash, n_words, term, pos: a row for each posting of the terms, and one without term for each document."""
+    words = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), alnum_words(F.col("text")).alias("w"))
+    # place 0 stands for the document itself, so that one pass gives its postings and its size
+    places = words.select("doc_id", "doc_hash", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "word"))
+    known = F.broadcast(terms) if fits(n_terms) else terms
+    found = places.join(known, F.col("word") == F.col("term"), "left").where("term IS NOT NULL OR pos = 0")
+    return found.select("doc_id", "doc_hash", "n_words", "term", (F.col("pos") - 1).alias("pos"))
+
+
+def fits(n_terms: int) -> bool:
+    return n_terms * 64 <= BROADCAST_BYTES
+
+
+def candidates(posting: DataFrame, win: DataFrame, n_windows: int, slop: int | None) -> DataFrame:
+    """doc_id, doc_hash, win, start: where the shifted lists of a window's rare terms meet."""
+    rare = win.select("win", "len", F.size("rare").alias("n_rare"), F.posexplode("rare").alias("k", "r"))
+    rare = rare.select("win", "len", "n_rare", "k", F.col("r.term").alias("_term"), F.col("r.off").alias("off"))
+    lists = posting.join(small(rare, RARE * n_windows, 64), F.col("term") == F.col("_term"))
+    if slop is None:
+        met = lists.groupBy(*KEY, "win", (F.col("pos") - F.col("off")).alias("start"), "n_rare").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("met"))
+        return met.where("met = (1 << n_rare) - 1").select(*KEY, "win", "start")
+    # proximity: the rarest term's place, and the other's within reach
+    first = lists.where("k = 0").select(*KEY, "win", "len", "n_rare", F.col("pos").alias("start"))
+    other = lists.where("k = 1").select(F.col("doc_id").alias("_i"), F.col("doc_hash").alias("_h"), F.col("win").alias("_w"), F.col("pos").alias("_p"))
+    near = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("doc_hash") == F.col("_h")) & (F.col("win") == F.col("_w")) & (F.abs(F.col("_p") - F.col("start")) < F.col("len") + slop)
+    return first.join(other, near, "left").where("n_rare = 1 OR _p IS NOT NULL").select(*KEY, "win", "start").distinct()
+
+
+def verified(docs: DataFrame, found: DataFrame, win: DataFrame, n_windows: int, slop: int | None) -> DataFrame:
+    """doc_id, doc_hash, item, start, end of the candidates whose words are all there."""
+    own = found.join(small(win.select("win", "item", "words", "len"), n_windows, 256), "win")
+    per_doc = own.groupBy(*KEY).agg(F.collect_set(F.struct("start", "item", "words", "len")).alias("c")).select(F.col("doc_id").alias("_i"), F.col("doc_hash").alias("_h"), "c")
+    # a Bloom filter keeps texts without candidates out of the join
+    hashes = found.select("doc_hash").distinct()
+    n_blocks = bloom_blocks(hashes.count())
+    d = docs.withColumn("doc_hash", F.xxhash64("text"))
+    likely = possible_hits(d, "doc_hash", bloom(hashes, "doc_hash", n_blocks), n_blocks).where("_maybe").select(*KEY, "text").distinct()
+    joined = likely.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("doc_hash") == F.col("_h")))
+
+    def exact(w: Column) -> Column:
+        held = F.filter("c", lambda c: (c["start"] >= 0) & (F.slice(w, F.greatest(c["start"], F.lit(0)) + 1, c["len"]) == c["words"]))
+        return F.transform(held, lambda c: F.struct(c["item"].alias("item"), c["start"].cast("int").alias("start"), (c["start"] + c["len"]).cast("int").alias("end")))
+
+    def near(w: Column) -> Column:
+        size = lambda c: c["len"] + F.lit(slop)
+        span = lambda c, s: F.slice(w, s + 1, size(c))
+        times = lambda words, x: F.size(F.filter(words, lambda y: y == x))
+        whole = lambda c, s: F.forall(F.array_distinct(c["words"]), lambda x: times(span(c, s), x) >= times(c["words"], x))
+        starts = lambda c: F.sequence(F.greatest(F.lit(0), c["start"] - size(c) + 1), c["start"])
+        first = F.transform("c", lambda c: F.struct(c["item"].alias("item"), F.array_min(F.filter(starts(c), lambda s: whole(c, s))).cast("int").alias("start"), size(c).alias("n")))
+        return F.transform(F.filter(first, lambda c: c["start"].isNotNull()), lambda c: F.struct(c["item"].alias("item"), c["start"].alias("start"), F.least(c["start"] + c["n"], F.size(w)).cast("int").alias("end")))
+
+    hits = joined.select(*KEY, bind(alnum_words(F.col("text")), exact if slop is None else near).alias("hits"))
+    return hits.select(*KEY, F.inline("hits")).distinct()
+
+
+def matches(docs: DataFrame, bench: DataFrame, n: int = N, slop: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(documents with n_words, exact hits, proximity hits if slop is given): hits are doc_id, doc_hash, item, start, end."""
+    scratch = Scratch(docs.sparkSession, "decontamination")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     win = scratch.table(windows(bench, n), "windows")
     terms = scratch.table(win.select(F.explode("words").alias("term")).distinct(), "terms")
     win = scratch.table(anchored(win, term_counts(d, terms, terms.count())), "anchored")
-    n_windows, radius = win.count(), n - 1 + (slop or 0)
-    anchors = win.select("anchor").distinct().orderBy("anchor")
-    # the anchors come to the driver a block at a time: their number follows the benchmark, not the corpus
-    blocks, block = [], []
-    for r in anchors.toLocalIterator():
-        block.append(r.anchor)
-        if len(block) == BLOCK_TERMS:
-            blocks.append(block)
-            block = []
-    if block or not blocks:
-        blocks.append(block)
-    found, base = None, None
-    for k, block in enumerate(blocks):
-        stored = scratch.table(index(d, block, radius), f"index{k}")
-        base = stored.select("doc_id", "doc_hash", "n_words") if base is None else base
-        posting = stored.where(F.size("postings") > 0).select("doc_id", "doc_hash", F.inline("postings"))
-        first = F.col("mid") - F.col("off")
-        phrase = (first >= 0) & (F.slice("ctx", F.greatest(first, F.lit(0)) + 1, F.col("len")) == F.col("words"))
-        near = F.lit(False) if slop is None else F.size(F.array_except("words", "ctx")) == 0
-        hit = posting.join(small(win, n_windows, 256), (F.col("word") == F.col("anchor")) & (phrase | near))
-        low = F.col("pos") - F.col("mid")
-        some = hit.select("doc_id", "doc_hash", "item", F.when(phrase, F.col("pos") - F.col("off")).otherwise(low).alias("start"), F.when(phrase, F.col("pos") - F.col("off") + F.col("len")).otherwise(low + F.size("ctx")).alias("end"), phrase.alias("exact"))
-        found = some if found is None else found.unionByName(some)
-    return base, found.distinct()
-
-
-def decontaminate(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, doc_hash, n_words, n_hit, n_items, items_sha256, contaminated, items."""
-    base, hits = matches(docs, bench, n)
-    key = ["doc_id", "doc_hash"]
-    spans = hits.groupBy(*key, "start", "end").agg(F.collect_set("item").alias("items"))
-    before = F.max("end").over(Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    n_windows = win.count()
+    rare = win.select(F.explode("rare.term").alias("term")).distinct()
+    stored = scratch.table(index(d, rare, rare.count()), "index")
+    base, posting = stored.where("term IS NULL").select(*KEY, "n_words"), stored.where("term IS NOT NULL")
+    found = scratch.table(candidates(posting, win, n_windows, None), "candidates")
+    near = None
+    if slop is not None:
+        near = verified(d, scratch.table(candidates(posting, win, n_windows, slop), "near"), win, n_windows, slop)
+    return base, verified(d, found, win, n_windows, None), near
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, n: int = N, slop: int | None = None) -> DataFrame:
+    """doc_id, doc_hash, n_words, n_hit, n_items, items_sha256, contaminated, items; with slop also n_near and near_items.
+
+    n_near: spans of `len + slop` words that hold all words of a window in any order; exact hits are among them.
+    """
+    base, hits, near = matches(docs, bench, n, slop)
+    spans = hits.groupBy(*KEY, "start", "end").agg(F.collect_set("item").alias("items"))
+    before = F.max("end").over(Window.partitionBy(*KEY).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     new = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0)))))
-    per_doc = new.groupBy(*key).agg(F.sum("new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_i"), F.col("doc_hash").alias("_h"), "n_hit", "items")
-    all_ = base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("doc_hash") == F.col("_h")), "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return all_.select("doc_id", "doc_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), items.alias("items"))
+    per_doc = new.groupBy(*KEY).agg(F.sum("new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def with_doc(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.withColumnRenamed("doc_id", "_i").withColumnRenamed("doc_hash", "_h")
+        return left.join(right, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("doc_hash") == F.col("_h")), "left").drop("_i", "_h")
+
+    all_ = with_doc(base, per_doc)
+    none = F.array().cast("array<string>")
+    items = F.coalesce("items", none)
+    out = [*KEY, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), items.alias("items")]
+    if near is not None:
+        spots = near.groupBy(*KEY).agg(F.countDistinct("start", "end").alias("n_near"), F.array_sort(F.collect_set("item")).alias("near_items"))
+        all_ = with_doc(all_, spots)
+        out += [F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("near_items", none).alias("near_items")]
+    return all_.select(*out)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
