@@ -83,30 +83,52 @@ def test_license_scan(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
-def test_token_ids(docs, empty, corpus):
-    pytest.importorskip("public_tokenizers")
+def test_token_ids(docs, empty, corpus, tmp_path):
     from tokenizers import Tokenizer
 
     from tracklens.llm import tokens
-    from tracklens.llm.common import Scratch
 
     path = tokens.public_vocabulary()
     lib = Tokenizer.from_file(path)
-    got = sorted(tokens.read_ids(tokens.write_ids(docs, Scratch(docs.sparkSession, "t"), path, end_id=2)).collect(), key=lambda r: r.start)
+    got = sorted(tokens.read_ids(tokens.write_ids(docs, str(tmp_path / "ids"), path, end_id=2)).collect(), key=lambda r: r.start)
     order = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     at = 0
     for r, (i, t) in zip(got, order, strict=True):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
-    assert tokens.read_ids(tokens.write_ids(empty, Scratch(docs.sparkSession, "t"), path, end_id=2)).count() == 0
+    again = tokens.open_ids(docs.sparkSession, str(tmp_path / "ids"))
+    assert again.agg({"n_docs": "sum"}).first()[0] == len(corpus)
+    assert tokens.read_ids(tokens.write_ids(empty, str(tmp_path / "none"), path, end_id=2)).count() == 0
 
 
-def test_packing(docs, empty):
-    pytest.importorskip("public_tokenizers")
+def test_token_ids_are_read_by_select(monkeypatch):
+    """Every boundary and doc_id comes from select; one that is off by one is seen."""
+    from tracklens.llm import tokens
+
+    ef = lambda *v: tokens.EliasFano.build(np.array(v, np.uint64)).to_bytes()
+    record = tokens.Record(1, -7, ef(0, 5, 5, 900), ef(0, 1, 4, 4, 9, 10), 2, np.arange(10, dtype="<u2").tobytes())
+    assert [record.doc_id(k) for k in range(len(record))] == [None, -7, -2, -2, 893]
+    assert [record.span(k) for k in range(len(record))] == [(0, 1), (1, 4), (4, 4), (4, 9), (9, 10)]
+    assert [list(record.find(i)) for i in (-7, -2, 893, -8, 0, 1000)] == [[1], [2, 3], [4], [], [], []]
+    select = tokens.EliasFano.select
+    monkeypatch.setattr(tokens.EliasFano, "select", lambda self, i: select(self, i) + 1)
+    assert record.span(1) == (2, 5) and record.doc_id(1) == -6
+
+
+def test_packing(docs, empty, corpus):
+    """Pieces are the library's ids of each row, cut at the capacity; bins are gapless and nearly as few as can be."""
+    from tokenizers import Tokenizer
+
     from tracklens.llm import packing, tokens
 
+    lib = Tokenizer.from_file(tokens.public_vocabulary())
     got = packing.pack_documents(docs, tokens.public_vocabulary(), capacity=512, keep_ids=True).collect()
+    want = []
+    for i, t in corpus:
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
+        want += [(i, p, at, np.array(ids[at : at + 512], "<u4").tobytes()) for p, at in enumerate(range(0, len(ids), 512))]
+    assert sorted(((r.doc_id, r.piece, r.start, bytes(r.ids)) for r in got), key=repr) == sorted(want, key=repr)
     bins: dict[int, list] = {}
     for r in got:
         assert len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
@@ -226,16 +248,14 @@ def test_decontamination_by_proximity(spark):
         assert got.where("size(array_except(items, near_items)) > 0").count() == 0
 
 
-def test_ids_of_single_documents(docs, corpus):
-    pytest.importorskip("public_tokenizers")
+def test_ids_of_single_documents(docs, corpus, tmp_path):
     from tokenizers import Tokenizer
 
     from tracklens.llm import tokens
-    from tracklens.llm.common import Scratch
 
     path = tokens.public_vocabulary()
     lib = Tokenizer.from_file(path)
-    store = tokens.write_ids(docs, Scratch(docs.sparkSession, "t"), path, end_id=2)
+    store = tokens.write_ids(docs, str(tmp_path / "ids"), path, end_id=2)
     want = sorted((i, [*lib.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in corpus if i in (0, 20, 62, 63))
     assert sorted((r.doc_id, r.ids) for r in tokens.ids_of(store, [63, 0, 62, 20, 12345]).collect()) == want
 
@@ -323,8 +343,8 @@ def test_quality_classifier(spark, docs, empty):
 
 def test_pipeline_stages(spark, tmp_path, corpus):
     """run() against the stages' brute-force versions: which documents stay, and which words of them."""
-    pytest.importorskip("public_tokenizers")
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
     rng = random.Random(13)
     rows = [(i, t, "en", "s", len(t or "")) for i, t in corpus if i is not None and i < 62] + [(200 + i, " ".join(prose(rng, 90)), "en", "s", 1) for i in range(30)]
     rows += [(300 + i, " ".join(x.upper() + "!!" for x in prose(rng, 60)), "en", "s", 1) for i in range(12)]

@@ -23,7 +23,6 @@ def test_elias_fano_is_small():
 
 
 def test_word_ids_equal_the_library():
-    pytest.importorskip("public_tokenizers")
     path = tokens.public_vocabulary()
     enc = tokens.encoder(path)
     rng = random.Random(4)

@@ -5,12 +5,18 @@ word and worker: the vocabulary's pre-tokenizer never joins characters across wh
 works on single characters below U+0300, so a text's ids are its words' ids in a row. Every word for which
 that does not hold (other scripts, special tokens) and every text with U+001C-U+001F goes to the library whole.
 
-write_ids() stores ids as records of concatenated ids with Elias-Fano document boundaries; read_ids() reads
-all of them back in order, ids_of() those of single documents through the select structure.
+write_ids() stores ids at a path as records of concatenated ids; document boundaries and doc_ids of a record are
+Elias-Fano sequences. open_ids() finds a store again. read_ids() reads all documents and ids_of() single ones, both
+through select: no 64-bit table of offsets is written or unpacked.
+
+Defined cases: a null or empty text has no ids but the end id; null doc_ids come first, rows with equal doc_id in
+the order of their texts; negative doc_ids are stored as any others; a text of any length is one document of one
+record; other columns are ignored; an empty table gives an empty store.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import struct
 import zlib
@@ -181,11 +187,13 @@ class EliasFano:
         return cls(n, universe, b[32 : 32 + a], b[32 + a : 32 + a + c], np.frombuffer(b, "<u8", offset=32 + a + c))
 
 
-STORE = "part int, record long, before long, n_docs long, n_ids long, doc_ids array<long>, bounds binary, width int, ids binary"
+#: A record: its place (range partition, number, ids before it there), its documents (the first `n_null` have no
+#: doc_id; the others' doc_ids less `first_id`), their boundaries, and the ids.
+STORE = "part int, record long, before long, n_docs long, n_ids long, n_null long, first_id long, doc_ids binary, bounds binary, width int, ids binary"
 
 
-def write_ids(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int | None = None) -> DataFrame:
-    """The store of all documents in ascending doc_id order (null first, equal ids by text); end_id closes each document.
+def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = None) -> DataFrame:
+    """Writes the store of all documents in ascending doc_id order to `path` and opens it; end_id closes each document.
 
     One range exchange of the texts; each task then encodes its range in order and writes records of bounded size.
     """
@@ -198,12 +206,15 @@ def write_ids(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int |
     def encode(state: dict, doc_id: list, text: list) -> dict[str, list]:
         enc = encoder(vocabulary)
         end = tail if tail is not None else np.array([end_id], enc.dtype).tobytes()
-        width, out = enc.dtype.itemsize, {k: [] for k in ("part", "record", "before", "n_docs", "n_ids", "doc_ids", "bounds", "width", "ids")}
+        width, out = enc.dtype.itemsize, {k: [] for k in ("part", "record", "before", "n_docs", "n_ids", "n_null", "first_id", "doc_ids", "bounds", "width", "ids")}
 
         def flush(ids: list[int | None], parts: list[bytes]) -> None:
             lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // width
             bounds = np.concatenate([[0], np.cumsum(lengths)])
-            for k, v in (("part", state["part"]), ("record", state["record"]), ("before", state["before"]), ("n_docs", len(ids)), ("n_ids", int(bounds[-1])), ("doc_ids", ids), ("bounds", EliasFano.build(bounds).to_bytes()), ("width", width), ("ids", b"".join(parts))):
+            real = [i for i in ids if i is not None]  # nulls are first
+            first = real[0] if real else 0
+            own = EliasFano.build(np.array([i - first for i in real], np.uint64)).to_bytes()
+            for k, v in (("part", state["part"]), ("record", state["record"]), ("before", state["before"]), ("n_docs", len(ids)), ("n_ids", int(bounds[-1])), ("n_null", len(ids) - len(real)), ("first_id", first), ("doc_ids", own), ("bounds", EliasFano.build(bounds).to_bytes()), ("width", width), ("ids", b"".join(parts))):
                 out[k].append(v)
             state["record"] += 1
             state["before"] += int(bounds[-1])
@@ -221,7 +232,39 @@ def write_ids(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int |
             flush(ids, parts)
         return out
 
-    return scratch.table(map_batches(ordered, encode, STORE, init=start), "ids")
+    map_batches(ordered, encode, STORE, init=start).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return open_ids(docs.sparkSession, path)
+
+
+def open_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The store at a path that write_ids() wrote."""
+    return spark.read.schema(STORE).parquet(path)
+
+
+class Record:
+    """The documents of one stored record, found by select."""
+
+    def __init__(self, n_null: int, first_id: int, doc_ids: bytes, bounds: bytes, width: int, ids: bytes):
+        self.n_null, self.first_id, self.names, self.bounds = n_null, first_id, EliasFano.from_bytes(doc_ids), EliasFano.from_bytes(bounds)
+        self.flat = np.frombuffer(ids, f"<u{width}")
+
+    def __len__(self) -> int:
+        return self.bounds.n - 1
+
+    def doc_id(self, k: int) -> int | None:
+        return None if k < self.n_null else self.first_id + self.names.select(k - self.n_null)
+
+    def span(self, k: int) -> tuple[int, int]:
+        return self.bounds.select(k), self.bounds.select(k + 1)
+
+    def find(self, doc_id: int) -> range:
+        """Numbers of the documents with this doc_id, by bisection over select."""
+        at = lambda x: bisect.bisect_left(range(self.names.n), x, key=self.names.select)
+        wanted = doc_id - self.first_id
+        return range(self.n_null + at(wanted), self.n_null + at(wanted + 1)) if wanted >= 0 else range(0)
+
+
+_FIELDS = ["n_null", "first_id", "doc_ids", "bounds", "width", "ids"]
 
 
 def read_ids(store: DataFrame) -> DataFrame:
@@ -232,39 +275,41 @@ def read_ids(store: DataFrame) -> DataFrame:
     for r in per_part:
         base[r.part], total = total, total + r.n
     shared = spark.sparkContext.broadcast(base)
-    def decode(part: list, doc_ids: list, bounds: list, width: list, ids: list, before: list) -> dict[str, list]:
+
+    def decode(part: list, before: list, *fields: list) -> dict[str, list]:
         out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
-        for p, docs, b, w, raw, skip in zip(part, doc_ids, bounds, width, ids, before, strict=True):
-            ef, flat = EliasFano.from_bytes(b), np.frombuffer(raw, f"<u{w}")
-            at = ef.all()
-            for k, doc in enumerate(docs):
-                out["doc_id"].append(doc)
-                out["start"].append(shared.value[p] + skip + int(at[k]))
-                out["n_tokens"].append(int(at[k + 1] - at[k]))
-                out["ids_crc32"].append(crc(flat[at[k] : at[k + 1]]))
+        for p, skip, *own in zip(part, before, *fields, strict=True):
+            record = Record(*own)
+            for k in range(len(record)):
+                at, end = record.span(k)
+                out["doc_id"].append(record.doc_id(k))
+                out["start"].append(shared.value[p] + skip + at)
+                out["n_tokens"].append(end - at)
+                out["ids_crc32"].append(crc(record.flat[at:end]))
         return out
 
-    return map_batches(store.select("part", "doc_ids", "bounds", "width", "ids", "before"), decode, "doc_id long, start long, n_tokens long, ids_crc32 long", text="ids")
+    return map_batches(store.select("part", "before", *_FIELDS), decode, "doc_id long, start long, n_tokens long, ids_crc32 long", text="ids")
 
 
 def ids_of(store: DataFrame, wanted: list[int]) -> DataFrame:
-    """doc_id, ids of the wanted documents (a row each copy), their boundaries found by select; no others are unpacked."""
-    look = set(wanted)
+    """doc_id, ids of the wanted documents (a row each copy); no other boundaries are looked at."""
+    look = sorted(set(wanted))
 
-    def decode(doc_ids: list, bounds: list, width: list, ids: list) -> dict[str, list]:
+    def decode(*fields: list) -> dict[str, list]:
         out = {"doc_id": [], "ids": []}
-        for docs, b, w, raw in zip(doc_ids, bounds, width, ids, strict=True):
-            ef, flat = EliasFano.from_bytes(b), np.frombuffer(raw, f"<u{w}")
-            for k, doc in enumerate(docs):
-                if doc in look:
+        for own in zip(*fields, strict=True):
+            record = Record(*own)
+            for doc in look:
+                for k in record.find(doc):
+                    at, end = record.span(k)
                     out["doc_id"].append(doc)
-                    out["ids"].append(flat[ef.select(k) : ef.select(k + 1)].tolist())
+                    out["ids"].append(record.flat[at:end].tolist())
         return out
 
-    holds = F.arrays_overlap("doc_ids", F.array(*map(F.lit, look)).cast("array<long>"))
-    return map_batches(store.where(holds).select("doc_ids", "bounds", "width", "ids"), decode, "doc_id long, ids array<long>", text="ids")
+    from_ = F.lit(look[-1] if look else 0) >= F.col("first_id")  # records are in ascending order
+    return map_batches(store.where(from_).select(*_FIELDS), decode, "doc_id long, ids array<long>", text="ids")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "token-ids")
-    return read_ids(write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch, public_vocabulary(), end_id=2))
+    path = f"{Scratch(spark, 'token-ids').root}/ids"
+    return read_ids(write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_vocabulary(), end_id=2))
