@@ -198,6 +198,29 @@ def test_jaccard_join(docs, empty, corpus, n, num, monkeypatch):
         assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_join_of_large_groups_stays_linear(spark, monkeypatch):
+    """Two families of 400 different near copies each, which share passages but do not link: pairs grow with the members, not their product."""
+    from tracklens.llm import jaccard, native
+
+    rng = random.Random(21)
+    shared, rows = prose(rng, 60), []
+    for f in range(2):
+        base = shared + prose(rng, 60)
+        for i in range(400):
+            w = list(base)
+            w[rng.randrange(60, 120)] = f"edit{i}"
+            rows.append((1000 * f + i, " ".join(w)))
+    rows += [(5000 + i, rows[7][1]) for i in range(300)]
+    monkeypatch.setattr(native, "SPLIT", 40)  # so that joins have parts here
+    seen = []
+    verified = jaccard.Join.verified
+    monkeypatch.setattr(jaccard.Join, "verified", lambda self, pairs, *a: seen.append(pairs.count()) or verified(self, pairs, *a))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n=3, num=90, den=100).collect()
+    want = {i: 0 if i < 1000 or i >= 5000 else 1000 for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(rows)
+    assert sum(seen) < 40 * 800
+
+
 def test_decontamination(spark, docs, empty, corpus):
     from tracklens.llm import decontamination as d
 

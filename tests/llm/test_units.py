@@ -138,7 +138,7 @@ def test_residual_prefixes_find_every_linked_pair():
         link = lambda a, b: den * len(a & b) >= num * len(a | b)
         if not link(x, y) or link(x, leader) and link(y, leader):
             continue
-        keys = [jaccard._difference_keys(np.array(sorted(s ^ leader), np.uint64), len(leader), len(s), link(s, leader), num, den) for s in (x, y)]
+        keys = [jaccard._difference_keys(np.array([*sorted(s - leader), *sorted(leader - s)], np.uint64), len(leader), len(s), link(s, leader), num, den) for s in (x, y)]
         if x == y:
             continue
         dx, dy = len(x ^ leader), len(y ^ leader)

@@ -11,12 +11,19 @@ all be made, but none between different texts may be lost.
    which need k shared tokens, less those that only long lists could hold. In long lists, each size class
    elects the member with most shared tokens as leader, and members pair with it alone: a group of copies
    costs as many pairs as it has members.
-4. Groups expand to their sets and pairs are verified on the whole sets.
+4. Groups of one set are verified pair by pair. Of a pair with a larger group one group's first set is the leader
+   of the other group's sets, as it is of its own: members are never multiplied with members. Links are
+   decided on the whole sets.
 5. Residual join. Let d(x) = x XOR leader. x and y then differ by d(x) XOR d(y). If both link to the leader
    they are connected. If x does not, a y that links to x shares more than half of d(y) with d(x): so the
-   prefix rule is applied again, to the differences, under each leader. Those pairs are verified too.
+   prefix rule is applied again, to the differences, under each leader, tokens that the leader lacks first (what
+   the leader has and its members lack is common to all of them). Short lists give pairs to verify; a long list
+   elects one of its members as leader of the others, whose differences go through this step again. Each
+   round takes lists four times as long as short, so the rounds end.
 6. Components of all links.
 
+Joins on keys that may be hot (tokens, leaders, equal sets, labels) deal their rows to parts.
+
 Defined cases: a null or blank text has no n-grams, size 0, and is a component of its own; a text of fewer
 words than n is one n-gram; a doc_id is one node, and each row of it gets the component of its own text; a null doc_id
 links with nothing and has a null component; an empty table gives no rows.
@@ -35,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, WORD_HASH, Scratch, chunks, map_batches, texts
 from .components import components
-from .native import bloom, bloom_blocks, possible_hits
+from .native import SPLIT, bloom, bloom_blocks, heavy_keys, possible_hits, small, spread_join
 
 SHORT = 10
 MAX_LOG_CELLS, SLICE = 22, 1 << 18
@@ -122,7 +129,7 @@ class Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int):
         self.spark, self.n, self.num, self.den = docs.sparkSession, n, num, den
         self.docs = texts(docs).where("doc_id IS NOT NULL")
-        self.scratch = Scratch(self.spark, "jaccard")
+        self.scratch, self.n_joins = Scratch(self.spark, "jaccard"), 0
         self.order = self.spark.sparkContext.broadcast(order(self.docs, n))
 
     # sizes a and b can link
@@ -151,27 +158,33 @@ class Join:
         return self.scratch.table(map_batches(self.docs.select("doc_id", F.col("text").cast("binary").alias("text")), summarise, schema), "summaries")
 
     def lists(self, summaries: DataFrame, groups: DataFrame) -> DataFrame:
-        """token, gid, n, long (whether more than SHORT groups have it): the prefix tokens that several groups share."""
+        """token, gid, n, m (how many groups have it): the prefix tokens that several groups share."""
         own = summaries.join(groups.select(F.col("gid").alias("doc_id"), F.col("n").alias("_n"), F.col("pre1").alias("_p1"), F.col("pre2").alias("_p2")), "doc_id").where("n = _n AND pre1 = _p1 AND pre2 = _p2")
         postings = own.select(F.col("doc_id").alias("gid"), "n", F.explode("prefix").alias("token"))
-        counts = postings.groupBy(F.col("token").alias("_t")).agg(F.count("*").alias("m")).where("m > 1")
-        return self.scratch.table(postings.join(counts, F.col("token") == F.col("_t")).select("token", "gid", "n", (F.col("m") > SHORT).alias("long")), "lists")
+        counts = self.scratch.table(postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+        heavy = self.scratch.table(heavy_keys(counts, ["token"], n="m"), "heavy-tokens")
+        return self.scratch.table(spread_join(postings, counts, ["token"], "gid", heavy).select("token", "gid", "n", "m"), "lists")
 
     def group_pairs(self, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(pairs of short lists with enough shared tokens, leader pairs of long lists): a, b."""
-        long_ = lists.where("long").groupBy("gid").agg(F.count("*").alias("n_long"))
-        short = lists.where("NOT long").join(long_, "gid", "left").select("token", F.struct("gid", "n", F.coalesce("n_long", F.lit(0)).alias("l")).alias("m"))
+        is_long = F.col("m") > SHORT
+        long_ = lists.where(is_long).groupBy("gid").agg(F.count("*").alias("n_long"))
+        short = lists.where(~is_long).join(long_, "gid", "left").select("token", F.struct("gid", "n", F.coalesce("n_long", F.lit(0)).alias("l")).alias("m"))
         members = short.groupBy("token").agg(F.array_sort(F.collect_list("m")).alias("ms"))  # SHORT at most
         first = members.select("ms", F.posexplode("ms").alias("i", "x")).select("x", F.explode(F.slice("ms", F.col("i") + 2, SHORT)).alias("y"))
         shared = first.where((F.col("x.gid") < F.col("y.gid")) & self._fits(F.col("x.n"), F.col("y.n"))).groupBy(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("x.n", "y.n")).alias("n"), F.min(F.least("x.l", "y.l")).alias("l"))
         direct = shared.where(F.col("c") >= F.greatest(F.lit(1), _k(F.col("n")) - F.col("l"))).select("a", "b")
         # fewer long-list tokens than any partner needs: short lists alone decide
         least = F.ceil(F.col("n") * self.num / self.den)
-        members = lists.where("long").join(long_, "gid").where(F.col("n_long") >= _k(least))
+        members = lists.where(is_long).join(long_, "gid").where(F.col("n_long") >= _k(least))
         bucket = F.floor(F.log("n") / float(np.log(self.den / self.num))).cast("int")
-        keyed = members.select("token", "gid", "n_long", F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
-        leaders = keyed.groupBy("token", "bucket").agg(F.max(F.struct("n_long", -F.col("gid"))).alias("m")).select("token", "bucket", (-F.col("m.col2")).alias("a"))
-        star = keyed.join(leaders, ["token", "bucket"]).where("gid <> a").select("a", F.col("gid").alias("b")).distinct()
+        keyed = members.select("token", "gid", "m", "n_long", F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+        # a list's length is known, so members are dealt to parts at once, and the leader goes to each of them
+        parts = F.ceil(F.col("m") / SPLIT).cast("int")
+        keyed = keyed.withColumn("part", F.pmod(F.xxhash64("gid"), parts).cast("int"))
+        best = keyed.groupBy("token", "bucket", "part").agg(F.max(F.struct("n_long", -F.col("gid"))).alias("b"), F.max("m").alias("m"))
+        leaders = best.groupBy("token", "bucket").agg(F.max("b").alias("b"), F.max("m").alias("m")).select("token", "bucket", (-F.col("b.col2")).alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        star = keyed.join(leaders, ["token", "bucket", "part"]).where("gid <> a").select("a", F.col("gid").alias("b")).distinct()
         return direct, star
 
     def sets(self, ids: DataFrame, name: str) -> DataFrame:
@@ -190,17 +203,23 @@ class Join:
         return self.scratch.table(map_batches(wanted, make, "doc_id long, n int, tokens binary"), name)
 
     def verified(self, pairs: DataFrame, sets: DataFrame, residual: bool) -> DataFrame:
-        """a, b, linked and, if asked for, the keys of b's difference from a: uu, ul or lu, as arrays of tokens."""
+        """a, b, linked and, if asked for, the keys of b's difference from a: uu, ul or lu, as arrays of tokens.
+
+        A leader has many members, so its set goes to parts of them; a member has few leaders.
+        """
         num, den = self.num, self.den
         side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("tokens").alias(f"t{s}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+        self.n_joins += 1
+        heavy = self.scratch.table(heavy_keys(pairs, ["a"]), f"heavy-leaders{self.n_joins}")
+        both = spread_join(pairs, side("a"), ["a"], "b", heavy).join(side("b"), "b").select("a", "b", "ta", "tb")
 
         def check(a: list, b: list, ta: list, tb: list) -> dict[str, list]:
             out = {"linked": [], "n": [], "d": [], "uu": [], "ul": [], "lu": []}
             for x, y in zip(ta, tb, strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 merged = np.concatenate([x, y])
-                merged.sort()
+                order = np.argsort(merged, kind="stable")
+                merged = merged[order]
                 same = merged[1:] == merged[:-1]
                 common = int(same.sum())
                 linked = common > 0 and den * common >= num * (len(x) + len(y) - common)
@@ -209,7 +228,8 @@ class Join:
                     alone = np.ones(len(merged), bool)
                     alone[1:] &= ~same
                     alone[:-1] &= ~same
-                    keys, d = _difference_keys(merged[alone], len(x), len(y), linked, num, den), int(alone.sum())
+                    mine = order >= len(x)
+                    keys, d = _difference_keys(np.concatenate([merged[alone & mine], merged[alone & ~mine]]), len(x), len(y), linked, num, den), int(alone.sum())
                 out["linked"].append(linked)
                 out["n"].append(len(y))
                 out["d"].append(d)
@@ -219,59 +239,84 @@ class Join:
 
         return map_batches(both, check, "a long, b long, linked boolean, n int, d int, uu array<long>, ul array<long>, lu array<long>", text="tb")
 
-    def residual_pairs(self, star: DataFrame) -> DataFrame:
-        """Pairs under one leader whose differences from it share prefix tokens, at least one of them unlinked.
+    def residual_pairs(self, star: DataFrame, short: int, name: str) -> DataFrame:
+        """a, b, star: pairs under one leader whose differences from it share prefix tokens, at least one of them unlinked.
 
         The keys are long enough for any partner; for the pair at hand, whose sizes are known, the shared token
-        must lie in the shorter prefix that its own least overlap leaves.
+        must lie in the shorter prefix that its own least overlap leaves. Lists of more than `short` members elect
+        the one with the smallest doc_id, an unlinked one if there is any, and pair the others with it.
         """
-
-        def key(c: str, s: str) -> DataFrame:
-            own = star.where(F.size(c) > 0).select(F.col("a").alias("leader"), F.posexplode(c).alias(f"p{s}", "token"), F.col("b").alias(s), F.col("n").alias(f"n{s}"), F.col("d").alias(f"d{s}"))
-            return own
-
+        t = self.scratch.table
+        # kind 0: unlinked with unlinked; kind 1: unlinked with linked
+        each = [(0, "uu", True), (1, "ul", True), (1, "lu", False)]
+        entry = [star.where(F.size(c) > 0).select(F.lit(k).alias("kind"), F.col("a").alias("leader"), F.posexplode(c).alias("p", "token"), F.lit(u).alias("u"), F.col("b").alias("x"), "n", "d") for k, c, u in each]
+        entries = entry[0].unionByName(entry[1]).unionByName(entry[2])
+        key = ["kind", "leader", "token"]
+        one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+        sizes = entries.groupBy(*key).agg(one(F.col("u")).alias("n_u"), one(~F.col("u")).alias("n_l"), F.min(F.struct(~F.col("u"), "x")).alias("z"))
+        meets = F.when(F.col("kind") == 0, F.col("n_u") > 1).otherwise((F.col("n_u") > 0) & (F.col("n_l") > 0))
+        sizes = t(sizes.where(meets).select(*key, (F.col("n_u") + F.col("n_l")).alias("m"), F.col("z.x").alias("z")), f"{name}-lists")
+        heavy = t(heavy_keys(sizes, key, n="m"), f"{name}-heavy")
+        held = t(spread_join(entries, sizes, key, "x", heavy), f"{name}-entries")
         most = F.floor((F.col("nx") + F.col("ny")) * (self.den - self.num) / (self.den + self.num))
         shared = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - most) / 2))
         fits = self._fits(F.col("nx"), F.col("ny")) & (F.col("px") <= F.col("dx") - shared) & (F.col("py") <= F.col("dy") - shared)
-        x, y = key("uu", "x").alias("x"), key("uu", "y").alias("y")
-        same = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token"))
-        uu = x.join(y, same & fits & (F.col("x.x") < F.col("y.y")))
-        ul = key("ul", "x").alias("x").join(key("lu", "y").alias("y"), same & fits)
-        pick = lambda df: df.select(F.col("x.x").alias("x"), F.col("y.y").alias("y"))
-        return pick(uu).unionByName(pick(ul)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+        side = lambda s: held.where(F.col("m") <= short).select(*key, *(F.col(c).alias(f"{c}{s}") for c in ("x", "p", "u", "n", "d")))
+        # of unlinked ones the smaller doc_id first; else the unlinked one first
+        once = F.when(F.col("kind") == 0, F.col("xx") < F.col("xy")).otherwise(F.col("ux") & ~F.col("uy"))
+        near = side("x").join(side("y"), key).where(fits & once & (F.col("xx") != F.col("xy")))
+        near = near.select(F.least("xx", "xy").alias("a"), F.greatest("xx", "xy").alias("b")).distinct().withColumn("star", F.lit(False))
+        far = held.where((F.col("m") > short) & (F.col("x") != F.col("z"))).select(F.col("z").alias("a"), F.col("x").alias("b")).distinct().withColumn("star", F.lit(True))
+        return near.unionByName(far)
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         t, summaries = self.scratch.table, self.summaries()
         key = summaries.where("n > 0").select("doc_id", "n", "set1", "set2", "pre1", "pre2")
-        rep = key.groupBy("set1", "set2").agg(F.min("doc_id").alias("sid"), F.first("n").alias("n"), F.first("pre1").alias("pre1"), F.first("pre2").alias("pre2"))
+        rep = key.groupBy("set1", "set2").agg(F.min("doc_id").alias("sid"), F.count("*").alias("n_docs"), F.first("n").alias("n"), F.first("pre1").alias("pre1"), F.first("pre2").alias("pre2"))
         rep = t(rep, "sets")
-        groups = t(rep.groupBy("pre1", "pre2", "n").agg(F.min("sid").alias("gid"), F.count("*").alias("n_sets")), "groups")
+        group = ["pre1", "pre2", "n"]
+        groups = t(rep.groupBy(*group).agg(F.min("sid").alias("gid"), F.count("*").alias("n_sets")), "groups")
         lists = self.lists(summaries, groups)
         self.scratch.free()
         direct, star = self.group_pairs(lists)
-        # groups expand to their sets; sets of one group pair with its first
-        several = rep.join(groups.where("n_sets > 1"), ["pre1", "pre2", "n"]).select("gid", "sid")
-        expand = lambda p, s: p.join(several.select(F.col("gid").alias(s), F.col("sid").alias(f"_{s}")), s, "left").withColumn(s, F.coalesce(f"_{s}", s)).drop(f"_{s}")
-        pairs = t(expand(expand(direct, "a"), "b").select("a", "b", F.lit(False).alias("star")).unionByName(
-            expand(expand(star, "a"), "b").select("a", "b", F.lit(True).alias("star"))).unionByName(
-            several.select(F.col("gid").alias("a"), F.col("sid").alias("b"), F.lit(True).alias("star"))).where("a <> b").groupBy("a", "b").agg(F.bool_or("star").alias("star")), "pairs")
+        # the sets of larger groups; each group's first is their leader
+        large = groups.where("n_sets > 1")
+        several = t(spread_join(rep.select("sid", *group), large.select(*group, "gid"), group, "sid", t(heavy_keys(large, group, n="n_sets"), "heavy-groups")).select("gid", "sid"), "several")
+        wide = t(large.select("gid", "n_sets"), "wide")
+        n_wide = wide.count()
+        has = lambda p, s: p.join(small(wide.select(F.col("gid").alias(s), F.lit(True).alias(f"_{s}")), n_wide, 32), s, "left").withColumn(f"_{s}", F.coalesce(f"_{s}", F.lit(False)))
+        pairs = has(has(direct.withColumn("star", F.lit(False)).unionByName(star.withColumn("star", F.lit(True))), "a"), "b")
+        pairs = t(pairs.select("a", "b", (F.col("star") | F.col("_a") | F.col("_b")).alias("star"), F.col("_b").alias("wide")), "group-pairs")
+        heavy = t(heavy_keys(wide, ["gid"], n="n_sets"), "heavy-expansions")
+        members = spread_join(several, pairs.where("wide").select("a", F.col("b").alias("gid")), ["gid"], "sid", heavy).select("a", F.col("sid").alias("b"), F.lit(True).alias("star"))
+        own = several.select(F.col("gid").alias("a"), F.col("sid").alias("b"), F.lit(True).alias("star"))
+        pairs = pairs.where("NOT wide").select("a", "b", "star").unionByName(members).unionByName(own).where("a <> b")
+        pairs = t(pairs.groupBy("a", "b").agg(F.bool_or("star").alias("star")), "pairs")
         self.scratch.free()
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         sets = self.sets(ids, "tokens")
         self.scratch.free()
-        checked = t(self.verified(pairs.where("star").select("a", "b"), sets, True).unionByName(self.verified(pairs.where("NOT star").select("a", "b"), sets, False)), "checked")
-        more = self.verified(self.residual_pairs(checked), sets, False)
-        links = t(checked.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b")), "links")
-        self.scratch.free()
-        labels = components(links, self.scratch).select(F.col("node").alias("sid"), F.col("component"))
+        links, short, round_ = None, SHORT, 0
+        while True:
+            far, near = pairs.where("star").select("a", "b"), pairs.where("NOT star").select("a", "b")
+            checked = t(self.verified(far, sets, True).withColumn("star", F.lit(True)).unionByName(self.verified(near, sets, False).withColumn("star", F.lit(False))), f"checked{round_}")
+            found = checked.where("linked").select("a", "b")
+            links = found if links is None else links.unionByName(found)
+            pairs = t(self.residual_pairs(checked.where("star"), short, f"residual{round_}"), f"pairs{round_}")
+            self.scratch.free()
+            round_, short = round_ + 1, 4 * short
+            if not pairs.limit(1).count():
+                break
+        labels = components(t(links, "links"), self.scratch).select(F.col("node").alias("sid"), F.col("component"))
         known = rep.select("set1", "set2", "sid").join(labels, "sid", "left").select("set1", "set2", F.coalesce("component", "sid").alias("component"))
-        rows = summaries.select("doc_id", "n", "set1", "set2").join(known, ["set1", "set2"], "left")
+        heavy = t(heavy_keys(rep, ["set1", "set2"], n="n_docs"), "heavy-sets")
+        rows = spread_join(summaries.select("doc_id", "n", "set1", "set2"), known, ["set1", "set2"], "doc_id", heavy, "left")
         return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _difference_keys(d: np.ndarray, leader: int, own: int, linked: bool, num: int, den: int) -> dict[str, np.ndarray]:
-    """Prefixes of the difference d of a set of size `own` from its leader, for the residual join.
+    """Prefixes of the difference d of a set of size `own` from its leader (what the leader lacks comes first), for the residual join.
 
     A pair of sizes p and q links when its difference is at most (p + q) (den - num) / (den + num). most: the
     largest difference own can have from a partner; least: the fewest tokens an unlinked partner differs by.

@@ -61,3 +61,33 @@ def possible_hits(rows, column: str, filter_, n_blocks: int):
     for j, b in enumerate(_bits(key)):
         found &= F.call_function("getbit", F.coalesce(F.col(f"_w{j}"), F.lit(0).cast("long")), b) == 1
     return probed.withColumn("_maybe", found).drop("_at", "_block", *(f"_w{j}" for j in range(4)))
+
+
+#: Rows of one key that a join leaves together.
+SPLIT = 256
+
+
+def heavy_keys(rows, keys: list[str], n=None):
+    """The keys of more than SPLIT rows and into how many parts they go: _parts. n: the count, where a column has it already."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")) if n is None else rows.select(*keys, F.col(n).alias("_n"))
+    return counts.where(F.col("_n") > SPLIT).select(*keys, F.ceil(F.col("_n") / SPLIT).cast("int").alias("_parts"))
+
+
+def spread_join(rows, lookup, keys: list[str], by: str, heavy, how: str = "inner"):
+    """rows join lookup on keys of which a few may have very many rows: those are dealt by the hash of `by` to parts,
+    and lookup's row is copied to each part. heavy: stored heavy_keys(rows), which has at most rows / SPLIT rows.
+    """
+    n = heavy.count()
+    if not n:
+        return rows.join(lookup, keys, how)
+    parts = small(heavy.select(*(F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)), "_parts"), n, 64)
+
+    def with_parts(df):
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same &= df[k] == F.col(f"_h{i}")
+        return df.join(parts, same, "left").drop(*(f"_h{i}" for i in range(len(keys))))
+
+    left = with_parts(rows).withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    right = with_parts(lookup).withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
