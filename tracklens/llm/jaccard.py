@@ -19,7 +19,7 @@ all be made, but none between different texts may be lost.
    prefix rule is applied again, to the differences, under each leader, tokens that the leader lacks first (what
    the leader has and its members lack is common to all of them). Short lists give pairs to verify; a long list
    elects one of its members as leader of the others, whose differences go through this step again. Each
-   round takes lists four times as long as short, so the rounds end.
+   round takes lists eight times as long as short, so the rounds end.
 6. Components of all links.
 
 Joins on keys that may be hot (tokens, leaders, equal sets, labels) deal their rows to parts.
@@ -208,7 +208,13 @@ class Join:
         A leader has many members, so its set goes to parts of them; a member has few leaders.
         """
         num, den = self.num, self.den
-        side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("tokens").alias(f"t{s}"))
+        n_blocks = bloom_blocks(pairs.count())
+
+        def side(s: str) -> DataFrame:
+            """The sets of this side's documents; a Bloom filter keeps most others out of the shuffle."""
+            own = sets.select(F.col("doc_id").alias(s), F.col("tokens").alias(f"t{s}"))
+            return possible_hits(own, s, bloom(pairs.select(s).distinct(), s, n_blocks), n_blocks).where("_maybe").drop("_maybe")
+
         self.n_joins += 1
         heavy = self.scratch.table(heavy_keys(pairs, ["a"]), f"heavy-leaders{self.n_joins}")
         both = spread_join(pairs, side("a"), ["a"], "b", heavy).join(side("b"), "b").select("a", "b", "ta", "tb")
@@ -297,7 +303,7 @@ class Join:
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         sets = self.sets(ids, "tokens")
         self.scratch.free()
-        links, short, round_ = None, SHORT, 0
+        links, short, round_ = None, 8 * SHORT, 0
         while True:
             far, near = pairs.where("star").select("a", "b"), pairs.where("NOT star").select("a", "b")
             checked = t(self.verified(far, sets, True).withColumn("star", F.lit(True)).unionByName(self.verified(near, sets, False).withColumn("star", F.lit(False))), f"checked{round_}")
@@ -305,7 +311,7 @@ class Join:
             links = found if links is None else links.unionByName(found)
             pairs = t(self.residual_pairs(checked.where("star"), short, f"residual{round_}"), f"pairs{round_}")
             self.scratch.free()
-            round_, short = round_ + 1, 4 * short
+            round_, short = round_ + 1, 8 * short
             if not pairs.limit(1).count():
                 break
         labels = components(t(links, "links"), self.scratch).select(F.col("node").alias("sid"), F.col("component"))
