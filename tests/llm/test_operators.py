@@ -347,6 +347,48 @@ def test_toxicity_of_rare_words(spark):
     assert sum(r.predicted for r in got) > 10
 
 
+def test_toxicity_evidence_equals_brute_force(spark):
+    """Neighbours, similarities and ties of whole texts, from TF-IDF vectors made here."""
+    from collections import Counter
+
+    from tracklens.llm import toxicity as t
+    from tracklens.llm.common import Scratch
+
+    rng = random.Random(23)
+    rows = [(i, " ".join(prose(rng, 40, 0.5) + ["vile"] * (i % 5 == 0))) for i in range(150)]
+    rows += [(200 + i, rows[3 + i % 2][1]) for i in range(6)] + [(300, None), (301, "1 2 3"), (302, rows[0][1]), (302, rows[1][1])]
+    lab = [(i, int(i % 5 == 0)) for i, _ in rows if i < 210] * 2
+    docs = spark.createDataFrame([(i, x, "x") for i, x in rows], "doc_id long, text string, evidence string").repartition(3)
+    model, vocabulary = t.fit(docs, spark.createDataFrame(lab, "doc_id long, toxic int"), Scratch(spark, "t"))
+    terms = lambda x: Counter(y for w in (x or "").split() for y in t.terms_of(w))
+    known = {i: terms(x) for i, x in rows if i < 210 and zlib.crc32(str(i).encode()) % 5}
+    assert set(vocabulary) == {y for n in known.values() for y in n} and model.ids.tolist() == sorted(known)
+    df = Counter(y for _, x in rows for y in set(terms(x)))
+    a, b = (Counter(y for i, n in known.items() if int(i % 5 == 0) == c for y in n) for c in (1, 0))
+    pos = sum(i % 5 == 0 for i in known)
+    weight = {y: (np.log((len(rows) + 1) / (df[y] + 1)) + 1) * t.relevance(np.array([a[y]]), np.array([b[y]]), pos, len(known) - pos)[0] for y in vocabulary}
+
+    def vector(n):
+        v = {y: (1 + np.log(c)) * weight[y] for y, c in n.items() if y in weight}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {y: x / size for y, x in v.items()}
+
+    index = {i: vector(n) for i, n in known.items()}
+    texts = dict(rows)
+    got = t.scores(docs, model, vocabulary).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id >= 300:
+            assert r.doc_id == 302 or (r.evidence == [] and abs(model.empty - r.score) < 1e-5)
+            continue
+        q = vector(terms(texts[r.doc_id]))
+        best = sorted(((-round(sum(x * v.get(y, 0) for y, x in q.items()), 6), i) for i, v in index.items()))[: t.K]
+        assert np.allclose([e.similarity for e in r.evidence], [-x for x, _ in best], atol=2e-6)
+        assert all(abs(sum(x * index[e.doc_id].get(y, 0) for y, x in q.items()) - e.similarity) < 2e-6 for e in r.evidence)
+        near = [e.doc_id for e in r.evidence if e.similarity > 1 - 1e-6]
+        assert near == sorted(near) and (not 200 <= r.doc_id < 206 or set(near) >= {i for i in index if i >= 200 and i % 2 == r.doc_id % 2})
+
+
 def test_quality_classifier(spark, docs, empty):
     from tracklens.llm import quality_classifier as q
 

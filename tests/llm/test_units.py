@@ -147,31 +147,27 @@ def test_residual_prefixes_find_every_linked_pair():
         assert k[0]["uu"] & k[1]["uu"] or k[0]["ul"] & k[1]["lu"] or k[0]["lu"] & k[1]["ul"]
 
 
-def test_nearest_equals_brute_force():
-    rng = np.random.default_rng(3)
-    v = np.abs(rng.normal(size=(200, 30))) * (rng.random((200, 30)) < 0.2)
-    v = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    bounds = np.stack([v[i : i + toxicity.BLOCK].max(0) for i in range(0, 200, toxicity.BLOCK)], 1)
-    m = toxicity.Model(np.ones(30, np.float32), np.arange(200), rng.integers(0, 2, 200).astype(np.float32), v, bounds, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), 0.1)
-    best, who = m.nearest(v[:50])
-    s = np.round(v[:50] @ v.T, 5)
-    for i in range(50):
-        order = sorted((j for j in range(200) if s[i, j] > 0), key=lambda j: (-s[i, j], j))[: toxicity.K]
-        assert [j for j in who[i] if j >= 0] == order or np.allclose([s[i, j] for j in order], best[i][: len(order)], atol=2e-5)
-
-
 def test_postings_equal_brute_force():
+    """The k nearest by block maxima, ties included, and blocks that are skipped on the way."""
     rng = np.random.default_rng(5)
-    n, terms = 60, 1500  # more terms than have a row of weights
-    v = rng.random((n, terms)) * (rng.random((n, terms)) < 0.1)
+    n, terms = 900, 1500  # more terms than have a row of weights
+    v = rng.random((n, terms)) * (rng.random((n, terms)) < 0.02)
+    v[np.arange(n), rng.integers(0, 40, n)] += 6.0  # families with a heavy term of their own
+    v[500:520] = v[0]  # ties
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     who, term = np.nonzero(v)
-    m = toxicity.Model(np.ones(terms), np.arange(n), np.zeros(n, np.float32), toxicity.Postings.of(n, terms, term, who, v[who, term]), None, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), 0.1)
+    m = toxicity.Model(np.ones(terms), np.arange(n), np.zeros(n, np.float32), toxicity.Postings.of(n, terms, term, who, v[who, term]), (np.array([0.0, 1.0]), np.array([0.0, 1.0])), 0.1)
     assert len(m.vectors.who) and (m.vectors.at >= 0).sum() == toxicity.DENSE_TERMS
-    best, near = m.closest([(np.flatnonzero(x), x[x > 0]) for x in v], np.arange(n))
-    s = v @ v.T
-    np.fill_diagonal(s, -1)
-    assert np.allclose(best, -np.sort(-s, axis=1)[:, : toxicity.K], atol=2e-6) and np.allclose(np.take_along_axis(s, near, 1), best, atol=2e-6)
+    s = np.rint((v @ v.T) * 1e6)
+    for out in (None, np.arange(n)):
+        if out is not None:
+            np.fill_diagonal(s, -1)
+        best, near = m.closest([(np.flatnonzero(x), x[x > 0]) for x in v], out)
+        assert m.vectors.scored < 0.5
+        assert np.allclose(best * 1e6, -np.sort(-s, axis=1)[:, : toxicity.K], atol=1.5) and np.allclose(np.take_along_axis(s, near, 1), best * 1e6, atol=1.5)
+    assert m.closest([(np.flatnonzero(v[0]), v[0][v[0] > 0])])[1][0].tolist() == [0, *range(500, 514)]
+    few = toxicity.Postings.of(3, 4, np.array([0, 1, 2]), np.array([0, 1, 2]), np.ones(3))
+    assert toxicity.Model(np.ones(4), np.arange(3), np.zeros(3, np.float32), few, m.knots, 0.1).closest([(np.array([1, 3]), np.array([0.6, 0.8]))])[1].tolist() == [[1, -1, -1]]
 
 
 def test_no_term_is_left_out():

@@ -1,10 +1,14 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine through postings of all terms of the examples.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine through block-max postings of all terms of the examples.
 
 fit() takes a bounded, hash-chosen sample of labelled rows (`MAX_EXAMPLES` of each class) and indexes every term
 of them: the vocabulary is bounded by the sample. A term weighs its document frequency over all documents times
-its relevance, a smooth function of the examples' chi-square that is never zero: no term is left out. Each text
-is searched on all terms that any example has, all postings of these are read, and the k nearest are exact.
-Votes weighted by similarity are calibrated on the examples themselves, each left out of its own vote, by
+its relevance, a smooth function of the examples' chi-square that is never zero: no term is left out.
+
+Examples with the same heaviest term stand side by side, in blocks of `BLOCK`. A text is searched on all terms that
+any example has. Rare terms' postings are added up example by example; for frequent terms each block's greatest
+weights bound what it can still gain. The blocks of greatest bound are scored first, then every other one whose
+bound reaches the k-th best similarity; the rest is skipped, and the k nearest are exact.
+Votes weighted by distance are calibrated on the examples themselves, each left out of its own vote, by
 isotonic regression with the classes' true shares.
 
 Terms are lower-cased runs of letters and their 4- and 5-letter beginnings (marked `~`), which carry inflected
@@ -13,14 +17,16 @@ and obfuscated forms. Scores use the text only: never labels, lang, source or do
 Defined cases: null and empty texts, and texts without any term of the examples, have no neighbours and get the share of
 toxic examples among such texts; without usable labels every score is 0.5 shrunk to the class share (0 if there
 are none); a doc_id labelled twice counts as toxic if any label says so; rows with equal doc_id are scored one
-by one; ties in similarity go to the smaller doc_id.
+by one; ties in similarity (of six digits) go to the smaller doc_id; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, Scratch, map_batches, texts
 
-#: Bound of the model: examples of each class. Neighbours that vote; examples in a block of dense vectors.
-MAX_EXAMPLES, K, BLOCK = 2000, 15, 64
+#: Bound of the model: examples of each class. Neighbours that vote; examples in a block; blocks that are scored first.
+MAX_EXAMPLES, K, BLOCK, FIRST = 2000, 15, 16, 4
 #: Relevance of a term without any lean to a class, and the chi-square at which it is a quarter of the greatest.
 FLOOR, HALF_CHI2 = 0.001, 20.0
-#: So many of the most frequent terms have a row of weights instead of a list: the same sums, made faster.
+#: So many of the most frequent terms have rows of weights with block maxima; the others have lists.
 DENSE_TERMS = 1024
+#: A neighbour of similarity s votes with weight 1 / (DISTANCE - s).
+DISTANCE = 1.05
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -64,51 +72,80 @@ class TermIds(dict):
         return value
 
 
-def count_terms(ids: TermIds, text: str | None) -> dict[int, int]:
-    n: dict[int, int] = {}
-    for word, k in Counter(text.split()).items() if text else ():
-        for term in ids[word]:
-            n[term] = n.get(term, 0) + k
-    return n
+def count_terms(ids: TermIds, words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Term ids in ascending order and how often each occurs."""
+    return np.unique(np.fromiter(chain.from_iterable(map(ids.__getitem__, words)), np.int64), return_counts=True)
 
 
 @dataclass
 class Postings:
-    """Weights of the examples by term, all of them."""
+    """Weights of the examples by term, all of them, with block maxima of the frequent terms."""
 
     n: int  # examples
+    place: np.ndarray  # example -> where it stands in its block order
     at: np.ndarray  # term -> its row in dense, -1: it has a list
-    dense: np.ndarray
+    dense: np.ndarray  # frequent terms x places, in whole blocks
+    bounds: np.ndarray  # frequent terms x blocks
     start: np.ndarray  # term -> where its list starts
-    who: np.ndarray
+    who: np.ndarray  # places
     weight: np.ndarray
 
     @classmethod
     def of(cls, n: int, n_terms: int, term: np.ndarray, who: np.ndarray, weight: np.ndarray) -> Postings:
+        heaviest = np.zeros(n, np.int64)
+        by_weight = np.argsort(weight, kind="stable")
+        heaviest[who[by_weight]] = term[by_weight]
+        place = np.empty(n, np.int64)
+        place[np.argsort(heaviest, kind="stable")] = np.arange(n)
+        who = place[who]
+        n_blocks = -(-n // BLOCK)
         df = np.bincount(term, minlength=n_terms)
         often = np.argsort(-df, kind="stable")[:DENSE_TERMS]
         at = np.full(n_terms, -1, np.int32)
         at[often] = np.arange(len(often))
-        dense = np.zeros((len(often), n), np.float32)
+        dense = np.zeros((len(often), n_blocks * BLOCK), np.float32)
         is_dense = at[term] >= 0
         dense[at[term[is_dense]], who[is_dense]] = weight[is_dense]
         term, who, weight = term[~is_dense], who[~is_dense], weight[~is_dense]
         order = np.argsort(term, kind="stable")
         start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
-        return cls(n, at, dense, start, who[order].astype(np.int32), weight[order].astype(np.float32))
+        return cls(n, place, at, dense, dense.reshape(len(often), n_blocks, BLOCK).max(2, initial=0), start, who[order].astype(np.int32), weight[order].astype(np.float32))
 
-    def similarity(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Of each row (terms, weights) and each example, over all their terms."""
-        q = np.zeros((len(rows), len(self.dense)), np.float32)
+    def similarity(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: np.ndarray | None = None) -> np.ndarray:
+        """Of each row (terms, weights) and each place, exact for the k nearest at least; -1 in skipped blocks and padding."""
+        m, (n_dense, n_blocks) = len(rows), self.bounds.shape
+        q = np.zeros((m, n_dense), np.float32)
+        s = np.zeros((m, n_blocks * BLOCK), np.float64)
         for i, (t, w) in enumerate(rows):
             on = self.at[t] >= 0
             q[i, self.at[t[on]]] = w[on]
-        s = (q @ self.dense).astype(np.float64)
-        for i, (t, w) in enumerate(rows):
+            t, w = t[~on], w[~on]
             n = self.start[t + 1] - self.start[t]
             where = np.repeat(self.start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            s[i] += np.bincount(self.who[where], self.weight[where] * np.repeat(w, n), self.n)
-        return s
+            s[i] = np.bincount(self.who[where], self.weight[where] * np.repeat(w, n), s.shape[1])
+        bound = q @ self.bounds + s.reshape(m, n_blocks, BLOCK).max(2) + 1e-5  # more than rounding can take away
+        s[:, self.n :] = -1
+        out = np.full_like(s, -1)
+        todo = np.zeros((m, n_blocks), bool)
+        first = min(n_blocks, max(FIRST, -(-(k + 1) // BLOCK)))
+        np.put_along_axis(todo, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, 1)
+        done = np.zeros_like(todo)
+        for step in range(2):
+            for b in np.flatnonzero(todo.any(0)):
+                on, own = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                out[on, own] = q[on] @ self.dense[:, own] + s[on, own]
+            done |= todo
+            if step == 0:
+                out[:, self.n :] = -1
+                if leave_out is not None:
+                    out[np.arange(m), self.place[leave_out]] = -1
+                least = -np.partition(-out, k - 1, axis=1)[:, k - 1] if k <= out.shape[1] else np.full(m, -1.0)
+                todo = (bound >= least[:, None]) & ~done
+        self.scored = float(done.mean()) if m else 0.0
+        out[:, self.n :] = -1
+        if leave_out is not None:
+            out[np.arange(m), self.place[leave_out]] = -1
+        return out
 
 
 @dataclass
@@ -116,8 +153,7 @@ class Model:
     idf: np.ndarray  # weight of each term
     ids: np.ndarray  # doc_id of each example
     toxic: np.ndarray
-    vectors: Postings | np.ndarray  # of unit length; dense: examples x terms
-    bounds: np.ndarray | None  # terms x blocks, for dense vectors only
+    vectors: Postings  # of unit length
     knots: tuple[np.ndarray, np.ndarray]  # vote -> score
     empty: float  # score of texts without terms
 
@@ -129,45 +165,20 @@ class Model:
         return out
 
     def closest(self, rows: list[tuple[np.ndarray, np.ndarray]], leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """nearest() of weighed rows by the postings; every positive similarity counts, as 1e-6 at least."""
+        """Similarity and number of the K nearest examples of weighed rows, -1 where there are fewer; every positive similarity counts, as 1e-6 at least."""
         n, k = len(self.ids), min(K, max(1, len(self.ids)))
         if not n:
             return np.full((len(rows), 1), -1.0), np.full((len(rows), 1), -1, np.int64)
-        s = self.vectors.similarity(rows)
+        s = self.vectors.similarity(rows, k, leave_out)[:, self.vectors.place]
         s = np.where(s > 0, np.maximum(np.rint(s * 1e6), 1), -1).astype(np.int64)
-        if leave_out is not None:
-            s[np.arange(len(rows)), leave_out] = -1
         key = -s * n + np.arange(n)  # all different: ties go to the smaller example
         top = np.sort(np.partition(key, k - 1, axis=1)[:, :k], axis=1)
         who = top % n
         best = np.take_along_axis(s, who, 1)
         return np.where(best > 0, best / 1e6, -1.0), np.where(best > 0, who, -1)
 
-    def nearest(self, q: np.ndarray, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Similarity and example number of the K nearest of each query in dense vectors, by blocks; -1 where there are fewer."""
-        m, k = len(q), min(K, max(1, len(self.ids)))
-        best, who = np.full((m, k), -1.0, np.float32), np.full((m, k), -1, np.int64)
-        bound = q @ self.bounds + np.float32(1e-4)
-        for b in np.argsort(-bound.max(0, initial=0), kind="stable"):
-            on = np.flatnonzero((bound[:, b] >= best[:, -1]) & (bound[:, b] > 2e-4))
-            if not len(on):
-                continue
-            low, high = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
-            s = np.round(q[on] @ self.vectors[low:high].T, 5)
-            s[s <= 0] = -1
-            if leave_out is not None:
-                own = leave_out[on] - low
-                inside = (own >= 0) & (own < high - low)
-                s[np.flatnonzero(inside), own[inside]] = -1
-            all_s = np.concatenate([best[on], s], 1)
-            all_w = np.concatenate([who[on], np.broadcast_to(np.arange(low, high), s.shape)], 1)
-            all_w = np.where(all_s < 0, -1, all_w)
-            rank = np.lexsort((np.where(all_w < 0, np.iinfo(np.int64).max, all_w), -all_s), axis=1)[:, :k]
-            best[on], who[on] = np.take_along_axis(all_s, rank, 1), np.take_along_axis(all_w, rank, 1)
-        return best, who
-
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
-        w = np.where(who >= 0, best, 0)
+        w = np.where(who >= 0, 1 / (DISTANCE - np.minimum(best, 1)), 0)
         total = w.sum(1)
         return np.where(total > 0, (w * self.toxic[np.maximum(who, 0)]).sum(1) / np.where(total > 0, total, 1), np.nan)
 
@@ -199,7 +210,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray
     def look(ids: TermIds, doc_id: list, text: list) -> dict[str, object]:
         n = np.zeros(len(ids.vocabulary), np.int64)
         for t in text:
-            n[list({x for w in set(t.split()) for x in ids[w]} if t else ())] += 1
+            n[count_terms(ids, set(t.split()) if t else ())[0]] += 1
         on = np.flatnonzero(n)
         return {"term": pa.array(np.append(on, -1), pa.int32()), "n": pa.array(np.append(n[on], len(doc_id)))}
 
@@ -258,7 +269,7 @@ def _model(idf: np.ndarray, rows: pa.Table, term: np.ndarray, totals: dict[int,
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     empty = float((none[1] + share) / (sum(none) + 1))
     full = np.flatnonzero(size)
-    m = Model(idf, rows["doc_id"].to_numpy()[full], toxic[full].astype(np.float32), Postings.of(0, len(idf), *(np.zeros(0, np.int64),) * 3), None, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), empty)
+    m = Model(idf, rows["doc_id"].to_numpy()[full], toxic[full].astype(np.float32), Postings.of(0, len(idf), *(np.zeros(0, np.int64),) * 3), (np.array([0.0, 1.0]), np.array([0.0, 1.0])), empty)
     if len(full):
         who = np.repeat(np.arange(len(full)), size[full])
         count = rows["counts"].combine_chunks().flatten().to_numpy()
@@ -284,11 +295,10 @@ def scores(docs: DataFrame, model: Model, vocabulary: dict[str, int]) -> DataFra
     def rate(words: TermIds, doc_id: list, text: list) -> dict[str, list]:
         m = shared.value[0]
         out = {"doc_id": doc_id, "score": [m.empty] * len(doc_id), "evidence": [[] for _ in doc_id]}
-        counts = [(i, n) for i, t in enumerate(text) if (n := count_terms(words, t))]
+        counts = [(i, n) for i, t in enumerate(text) if t and len((n := count_terms(words, t.split()))[0])]
         for at in range(0, len(counts), 256):
             own = counts[at : at + 256]
-            rows = m.weigh([(np.fromiter(n, np.int64, len(n)), np.fromiter(n.values(), np.float64, len(n))) for _, n in own])
-            best, who = m.closest(rows)
+            best, who = m.closest(m.weigh([n for _, n in own]))
             for (i, _), s, b, w in zip(own, m.score(m.votes(best, who)).tolist(), best.tolist(), who.tolist(), strict=True):
                 out["score"][i] = round(s, 6)
                 out["evidence"][i] = [{"doc_id": int(m.ids[e]), "similarity": x, "toxic": int(m.toxic[e])} for x, e in zip(b, w, strict=True) if e >= 0]
@@ -303,4 +313,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("evidence")
+    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
