@@ -9,7 +9,7 @@ from ..sources.mp4 import CONTAINERS, BoxError, boxes, track
 
 #: Id of the spherical V1 box, sample entries that take sv3d, codecs' names, unity matrix.
 SPHERICAL_UUID = bytes.fromhex("ffcc8263f8554a938814587a02521fdd")
-VIDEO_ENTRIES = {b"avc1", b"avc3", b"hvc1", b"hev1", b"mp4v", b"av01", b"vp09"}
+VIDEO_ENTRIES = {b"avc1", b"avc3", b"hvc1", b"hev1", b"mp4v", b"av01", b"vp09", b"apcn", b"apch"}
 UNITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 GENERATOR = "tracklens"
 SPHERICAL_XML = (
@@ -118,7 +118,7 @@ def add_packets(buf: bytes, packets: list[bytes], durations: list[int], timescal
     media, moov = relocated(buf)
     mvhd = moov.find(b"mvhd")
     if mvhd is None:
-        raise BoxError("box 'mvhd' not found in moov")
+        raise BoxError("the movie has no header box")
     movie_scale = struct.unpack_from(">I", mvhd.raw, 20 if mvhd.raw[0] == 1 else 12)[0]
     track_id = struct.unpack(">I", mvhd.raw[-4:])[0]
     mvhd.raw = mvhd.raw[:-4] + u32(track_id + 1)
