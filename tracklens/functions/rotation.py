@@ -6,7 +6,7 @@ and out of a struct column, which keeps expression trees small between steps.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Quat = list[Column]
@@ -74,6 +74,25 @@ def slerp(a: Quat, b: Quat, f: Column) -> Quat:
     return normalize([x * wa + y * wb for x, y in zip(a, b, strict=True)])
 
 
+def slerp_step(df: DataFrame, a: str, b: str, f: str, out: str) -> DataFrame:
+    """slerp() of quaternion columns as a column of df. Each step is a column of its own, so that generated code stays small."""
+    d = df.withColumn("_dot", dot(quat(a), quat(b)))
+    d = d.withColumn("_cos", F.least(F.abs("_dot"), F.lit(1.0)))
+    d = d.withColumn("_angle", F.acos("_cos"))
+    near, x, angle = F.col("_cos") > 0.9995, F.col(f), F.col("_angle")
+    d = d.withColumn("_wa", F.when(near, 1 - x).otherwise(F.sin((1 - x) * angle) / F.sin(angle)))
+    d = d.withColumn("_wb", F.when(F.col("_dot") < 0, F.lit(-1.0)).otherwise(F.lit(1.0)) * F.when(near, x).otherwise(F.sin(x * angle) / F.sin(angle)))
+    d = d.withColumn("_mix", pack_quat([p * F.col("_wa") + q * F.col("_wb") for p, q in zip(quat(a), quat(b), strict=True)]))
+    return normalized_step(d, "_mix", out).drop("_dot", "_cos", "_angle", "_wa", "_wb", "_mix")
+
+
+def normalized_step(df: DataFrame, q: str, out: str) -> DataFrame:
+    """normalize() of a quaternion column, its norm computed once."""
+    n = F.col("_norm")
+    unit = [F.when(n < 1e-12, F.lit(1.0 if i == 0 else 0.0)).otherwise(c / n) for i, c in enumerate(quat(q))]
+    return df.withColumn("_norm", F.sqrt(dot(quat(q), quat(q)))).withColumn(out, pack_quat(unit)).drop("_norm")
+
+
 def to_matrix(q: Quat) -> Mat:
     """Rotation of a unit quaternion: v_world = R v_body."""
     w, x, y, z = q

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import fraction
-from ..functions.rotation import dot, normalize, pack_quat, quat, slerp
+from ..functions.rotation import dot, normalized_step, pack_quat, quat, slerp_step
 from .asof import bracket
 
 
@@ -22,7 +22,8 @@ def samples(raw: DataFrame, clip: str = "clip") -> DataFrame:
         whole &= p.isNotNull() & ~F.isnan(p)
     have = set(raw.columns)
     opt = lambda c, t: F.col(c).try_cast(t) if c in have else F.lit(None).cast(t)
-    got = raw.where(whole).select(F.col(clip).alias("clip"), opt("frame", "long").alias("frame"), opt("subidx", "long").alias("subidx"), opt("timestamp", "long").alias("us"), pack_quat(normalize(parts)).alias("q"))
+    got = raw.where(whole).select(F.col(clip).alias("clip"), opt("frame", "long").alias("frame"), opt("subidx", "long").alias("subidx"), opt("timestamp", "long").alias("us"), pack_quat(parts).alias("_raw"))
+    got = normalized_step(got, "_raw", "q").drop("_raw")
     w = Window.partitionBy("clip")
     order = w.orderBy(F.coalesce("us", F.lit(0).cast("long")), "frame", "subidx")
     got = got.withColumns({"ord": F.row_number().over(order) - 1, "_first": F.min("us").over(w), "_last": F.max("us").over(w), "_all": F.count_if(F.col("us").isNull()).over(w) == 0, "_n": F.count("*").over(Window.partitionBy("clip", "frame"))})
@@ -60,7 +61,5 @@ def resample(series: DataFrame, clips: DataFrame) -> DataFrame:
     ticks = clips.where("n_frames > 0").select("clip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_frames").cast("long") - 1)).alias("frame"), "fps").withColumn("at", F.col("frame") / F.col("fps"))
     found = bracket(ticks.drop("fps"), series.select("clip", "t", "ord", "q"), "clip", "at", "t", "ord", left_closed=False)
     f = F.when(F.col("at") <= F.col("a.t"), F.lit(0.0)).otherwise(fraction(F.col("at"), F.col("a.t"), F.col("b.t")))
-    a, b = quat("a.q"), quat("b.q")
-    got = found.select("clip", "frame", f.alias("_f"), F.col("a.q").alias("a"), F.col("b.q").alias("b"))
-    a, b = quat("a"), quat("b")
-    return got.select("clip", "frame", F.when(F.col("_f") == 0, F.col("a")).otherwise(pack_quat(slerp(a, b, F.col("_f")))).alias("q"))
+    got = slerp_step(found.select("clip", "frame", f.alias("_f"), F.col("a.q").alias("a"), F.col("b.q").alias("b")), "a", "b", "_f", "_q")
+    return got.select("clip", "frame", F.when(F.col("_f") == 0, F.col("a")).otherwise(F.col("_q")).alias("q"))

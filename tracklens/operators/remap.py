@@ -96,7 +96,7 @@ def view(spark: SparkSession, projection: str, width: int, height: int, yaw_deg:
     elif projection == "littleplanet":
         lon, lat = L.little_planet(row, col, width, height, roll_deg)
     else:
-        raise ValueError(f"unknown projection: {projection} (flat, cylindrical, equirect360, littleplanet)")
+        raise ValueError(f"no such projection here: {projection!r}")
     return pixels(spark, width, height).select("row", "col", lon.alias("lon"), lat.alias("lat"))
 
 

@@ -34,7 +34,7 @@ def smooth(frames: DataFrame, half: int) -> DataFrame:
 def corrections(frames: DataFrame, mode: str = "horizon", strength: float = 1.0, ref_frame: int = 0, fps: float = 25.0, baseline_yaw_deg: float | None = None) -> DataFrame:
     """clip, frame, yaw, pitch, roll of the content rotation. frames: clip, frame, q (unit)."""
     if mode not in MODES:
-        raise ValueError(f"unknown stabilization mode: {mode!r}")
+        raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
     s = max(0.0, min(1.0, float(strength)))
     if mode == "horizon":
         got = frames.select("clip", "frame", pack_matrix(to_matrix(quat("q"))).alias("b"))

@@ -320,7 +320,7 @@ def _(s, d):
 # orientation i of a clip is at i seconds; frames run at 0.8 a second, so that most fall between two
 _IMU = f"""WITH {_SIGN}, src AS (SELECT label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, s*w AS w, s*x AS x, s*y AS y, s*z AS z FROM fl),
 sg2 AS (SELECT *, lag(t) OVER o AS t0, lag(w) OVER o AS w0, lag(x) OVER o AS x0, lag(y) OVER o AS y0, lag(z) OVER o AS z0, max(t) OVER (PARTITION BY clip) AS tl FROM src WINDOW o AS (PARTITION BY clip ORDER BY t)),
-fr AS (SELECT DISTINCT clip, CAST(k AS BIGINT) AS frame, k / 0.8e0 AS tt FROM src, unnest(range(0, 20)) AS r(k)),
+fr AS (SELECT clip, CAST(k AS BIGINT) AS frame, k / 0.8e0 AS tt FROM (SELECT clip, CAST(floor(max(t) * 0.8e0) AS BIGINT) AS kl FROM src GROUP BY clip), unnest(range(0, kl + 1)) AS r(k)),
 hit AS (SELECT fr.clip, frame, tt, b.* EXCLUDE (clip), ls.w AS wl, ls.x AS xl, ls.y AS yl, ls.z AS zl FROM fr ASOF LEFT JOIN sg2 AS b ON fr.clip = b.clip AND fr.tt <= b.t JOIN (SELECT * FROM sg2 WHERE t = tl) AS ls ON ls.clip = fr.clip),
 dt AS (SELECT clip, frame, CASE WHEN t IS NULL OR t0 IS NULL THEN 1e0 ELSE (tt - t0) / (t - t0) END AS f, coalesce(w0, w, wl) AS w0, coalesce(x0, x, xl) AS x0, coalesce(y0, y, yl) AS y0, coalesce(z0, z, zl) AS z0, coalesce(w, wl) AS w, coalesce(x, xl) AS x, coalesce(y, yl) AS y, coalesce(z, zl) AS z FROM hit),
 k AS (SELECT *, CASE WHEN w*w0 + x*x0 + y*y0 + z*z0 < 0 THEN -1e0 ELSE 1e0 END AS sn, least(abs(w*w0 + x*x0 + y*y0 + z*z0), 1e0) AS dd FROM dt),
@@ -331,7 +331,8 @@ g AS (SELECT clip, frame, w0*fa + w*fb AS a, x0*fa + x*fb AS b, y0*fa + y*fb AS
 def _clips(s, d) -> tuple[DataFrame, DataFrame]:
     series = imu.continuous(_series(s, d))
     series = series.withColumn("t", (F.row_number().over(Window.partitionBy("clip").orderBy("ord")) - 1).cast("double"))
-    return series, series.select("clip").distinct().select("clip", F.lit(0.8).alias("fps"), F.lit(20).alias("n_frames"))
+    fps = F.lit(0.8)
+    return series, series.groupBy("clip").agg(F.max("t").alias("last")).select("clip", fps.alias("fps"), (F.floor(F.col("last") * fps) + 1).alias("n_frames"))
 
 
 @query("imu_resample", f"{_IMU} SELECT clip, frame, {_R4.format(f'a / {_N4}', f'b / {_N4}', f'c / {_N4}', f'd / {_N4}')} FROM g")
@@ -339,21 +340,28 @@ def _(s, d):
     return imu.resample(*_clips(s, d)).select("clip", "frame", *_four(R.quat("q")))
 
 
-@query("imu_resample_all")
+QUERIES["imu_resample_all"], SQL["imu_resample_all"] = QUERIES["imu_resample"], SQL["imu_resample"]
+
+
+# a conversation is a clip, two turns share a frame
+@query("imu_clock", """WITH c AS (SELECT conv_id AS clip, turn // 2 AS frame, turn % 2 AS subidx FROM conversations)
+SELECT clip, CAST(row_number() OVER (PARTITION BY clip ORDER BY frame, subidx) - 1 AS BIGINT) AS ord, round(frame + subidx / count(*) OVER (PARTITION BY clip, frame), 6) + 0e0 AS t, 'frame' AS unit FROM c""")
 def _(s, d):
-    """Each clip to its last orientation; the SQL of imu_resample has the first 20 frames."""
-    series, clips = _clips(s, d)
-    last = series.groupBy("clip").agg(F.max("t").alias("last"))
-    whole = clips.drop("n_frames").join(last, "clip").select("clip", "fps", (F.floor(F.col("last") * F.col("fps")) + 1).alias("n_frames"))
-    return imu.resample(series, whole).select("clip", "frame", *_four(R.quat("q")))
+    return _clock(s, d, F.floor(F.col("turn") / 2).alias("frame"), (F.col("turn") % 2).alias("subidx"))
 
 
-@query("imu_clock", """WITH c AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (ORDER BY conv_id, turn) - 1 AS ord FROM conversations)
-SELECT conv_id AS frame, turn AS subidx, CAST(ord AS BIGINT) AS ord, round(conv_id + turn / n, 6) + 0e0 AS t, 'frame' AS unit FROM c""")
+# every third conversation has a clock that stands still, and so the row's number; the others have one of 40,001 us a turn
+@query("imu_clock_timestamps", """WITH c AS (SELECT conv_id AS clip, turn, CASE WHEN conv_id % 3 = 0 THEN 7 ELSE 1000 + turn * 40001 END AS us FROM conversations),
+w AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY turn) - 1 AS ord, min(us) OVER (PARTITION BY clip) AS a, max(us) OVER (PARTITION BY clip) AS b FROM c)
+SELECT clip, CAST(ord AS BIGINT) AS ord, round(CASE WHEN b > a THEN (us - a) * 1e-6 ELSE CAST(ord AS DOUBLE) END, 6) + 0e0 AS t, CASE WHEN b > a THEN 's' ELSE 'frame' END AS unit FROM w""")
 def _(s, d):
-    c = table(s, d, "conversations").select(F.lit("clip").alias("clip"), F.col("conv_id").alias("frame"), F.col("turn").alias("subidx"), *(F.lit(v).alias(f"q{k}") for k, v in zip("wxyz", (1.0, 0.0, 0.0, 0.0), strict=True)))
-    got = imu.samples(c).join(c.select("frame", "subidx", (F.row_number().over(Window.partitionBy("clip").orderBy("frame", "subidx")) - 1).alias("_o")), F.col("ord") == F.col("_o"))
-    return got.select("frame", "subidx", F.col("ord").cast("long").alias("ord"), rnd("t").alias("t"), "unit")
+    return _clock(s, d, F.when(F.col("conv_id") % 3 == 0, F.lit(7)).otherwise(F.col("turn") * 40001 + 1000).alias("timestamp"))
+
+
+def _clock(s, d, *clock) -> DataFrame:
+    """Rows with a missing or unusable quaternion go, so every turn gets two of these besides its own."""
+    c = table(s, d, "conversations").select(F.col("conv_id").alias("clip"), *clock, F.explode(F.array(F.lit("1.0"), F.lit("x"), F.lit("NaN"))).alias("qw"), *(F.lit(0.0).alias(f"q{k}") for k in "xyz"))
+    return imu.samples(c).select("clip", F.col("ord").cast("long").alias("ord"), rnd("t").alias("t"), "unit")
 
 
 def _frames(s, d) -> DataFrame:
@@ -433,14 +441,14 @@ def _(s, d):
 
 
 # fourteen table points around (100 + lens, 200), the first of which is a header
-@query("lens_lut_scale", f"WITH p AS (SELECT part.p_partkey % 8 AS lens, k FROM part, unnest(range(1, 14)) AS r(k) WHERE p_partkey < 8), m AS (SELECT lens, avg(sqrt(pow(1800e0 * cos(k / 3e0) + lens, 2) + pow(1800e0 * sin(k / 3e0), 2))) AS mean FROM p GROUP BY lens), a AS (SELECT lens, mean, {_LENS}, radians(90e0) AS t FROM m) SELECT lens, round(mean / (fx * {_TAN}), 6) AS scale FROM a")
+@query("lens_lut_scale", f"WITH p AS (SELECT p_partkey, p_partkey % 8 AS lens, k FROM part, unnest(range(1, 14)) AS r(k)), m AS (SELECT p_partkey, avg(sqrt(pow(1800e0 * cos(k / 3e0) + lens, 2) + pow(1800e0 * sin(k / 3e0), 2))) AS mean FROM p GROUP BY p_partkey), a AS (SELECT p_partkey, mean, {_LENS}, radians(90e0) AS t FROM m) SELECT p_partkey, round(mean / (fx * {_TAN}), 6) AS scale FROM a")
 def _(s, d):
-    return _lut_scales(table(s, d, "part").where("p_partkey < 8").select((F.col("p_partkey") % 8).alias("lens")), "lens")
+    return _lut_scales(table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 8).alias("lens")), "p_partkey")
 
 
 @query("lens_lut_scale_all")
 def _(s, d):
-    """All rows of part by p_partkey; the SQL of lens_lut_scale has those below 8."""
+    """lens_lut_scale with the lens number."""
     return _lut_scales(table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 8).alias("lens")), "p_partkey", "lens")
 
 
@@ -613,21 +621,18 @@ def _(s, d):
 
 # containers, catalog, jobs
 
-_CHUNK = """ch AS (SELECT o_custkey AS clip, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS chunk, o_orderkey * 1000 AS off FROM orders WHERE o_custkey <= 200),
-sz AS (SELECT o_custkey AS clip, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS sample, CAST(l_quantity AS BIGINT) AS size FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <= 200)"""
+_CHUNK = """ch AS (SELECT o_custkey AS clip, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS chunk, o_orderkey * 1000 AS off FROM orders),
+sz AS (SELECT o_custkey AS clip, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS sample, CAST(l_quantity AS BIGINT) AS size FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 @query("stsc_expand", f"""WITH {_CHUNK}, ex AS (SELECT clip, chunk, off, k, row_number() OVER (PARTITION BY clip ORDER BY chunk, k) - 1 AS sample FROM ch, unnest(range(1, CASE WHEN chunk < 3 THEN 2 ELSE 3 END + 1)) AS r(k)),
 j AS (SELECT ex.clip, chunk, off, k, ex.sample, size FROM ex JOIN sz ON ex.clip = sz.clip AND ex.sample = sz.sample)
 SELECT clip, CAST(sample AS BIGINT) AS sample, CAST(chunk AS BIGINT) AS chunk, CAST(off + sum(size) OVER (PARTITION BY clip, chunk ORDER BY k) - size AS BIGINT) AS off, size, CAST(sample * 40 AS BIGINT) AS pts FROM j""")
 def _(s, d):
-    return _expanded(s, d, table(s, d, "orders").where("o_custkey <= 200"))
+    return _expanded(s, d, table(s, d, "orders"))
 
 
-@query("stsc_expand_all")
-def _(s, d):
-    """All clips; the SQL of stsc_expand has only those up to 200."""
-    return _expanded(s, d, table(s, d, "orders"))
+QUERIES["stsc_expand_all"], SQL["stsc_expand_all"] = QUERIES["stsc_expand"], SQL["stsc_expand"]
 
 
 def _expanded(s, d, orders: DataFrame) -> DataFrame:
