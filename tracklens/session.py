@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -12,6 +16,27 @@ CONF = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of a running session, wherever they are: as a zip through Spark's own files.
+
+    Needed once a session where the package is not installed on the executors. The zip is made in the driver's
+    temporary folder, from which Spark copies it; no task reads that folder.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tracklens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tracklens-"), "tracklens.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._tracklens_shipped = True
+
+
 def session(app: str = "tracklens", master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:
