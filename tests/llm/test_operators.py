@@ -406,6 +406,45 @@ def test_quality_classifier(spark, docs, empty):
     assert q.classify(empty).count() == 0
 
 
+def test_pipeline_rows_without_doc_id_and_repeated_rows(spark, corpus, tmp_path):
+    """Every stage on the awkward rows: one row of a group, copies without doc_id too; null and blank texts are rejected."""
+    import corpus_pipeline as p
+
+    rng = random.Random(31)
+    a, b, c, d = (" ".join(prose(rng, 90)) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (None, a), (3, b), (3, c), (None, d), (None, d), (None, None), (5, None), (6, " \t"), *corpus]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string, n_words int")
+    bench = spark.createDataFrame([(1, " ".join(c.split()[10:30])), (None, None)], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    fine = p.quality(spark, docs, str(tmp_path))
+    assert fine.columns == p.COLUMNS and fine.where("text IS NULL OR trim(text) = ''").count() == 0
+    own = docs.where("doc_id IS NULL OR doc_id < 4 OR doc_id IN (5, 6)").limit(11)
+    got = sorted(((r.doc_id, r.text) for r in p.near_duplicates(spark, own, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, a), (3, b), (3, c), (None, d), (None, None), (5, None), (6, " \t")], key=repr)
+    left = p.decontaminate(spark, own, str(tmp_path))
+    assert sorted((r.doc_id or 0 for r in left.collect())) == sorted(i or 0 for i, t in rows[:11] if t != c)
+    packed = p.pack(spark, docs, str(tmp_path))
+    assert packed.select("doc_id", "piece", "offset", "sequence_id").distinct().count() == packed.count() >= len(rows)
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_quality_classifier_agrees_with_labels(spark):
+    """On the labelled rows of the test tables, which training never sees; equal rows get equal scores."""
+    import os
+
+    from tracklens.llm import quality_classifier as q
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = q.classify(docs.unionByName(docs)).distinct()
+    assert got.count() == docs.select("doc_id").distinct().count()
+    rows = got.join(labels.where("quality IS NOT NULL"), "doc_id").select("kept", "quality").collect()
+    assert len(rows) > 30 and sum(r.kept == bool(r.quality) for r in rows) / len(rows) > 0.95
+
+
 def test_pipeline_stages(spark, tmp_path, corpus):
     """run() against the stages' brute-force versions: which documents stay, and which words of them."""
     import corpus_pipeline
