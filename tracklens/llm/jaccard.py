@@ -202,10 +202,10 @@ class Join:
         wanted = likely.join(ids, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
         return self.scratch.table(map_batches(wanted, make, "doc_id long, n int, tokens binary"), name)
 
-    def verified(self, pairs: DataFrame, sets: DataFrame, residual: bool) -> DataFrame:
-        """a, b, linked and, if asked for, the keys of b's difference from a: uu, ul or lu, as arrays of tokens.
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """a, b, star, linked and, of star pairs, the keys of b's difference from a: uu, ul or lu, as arrays of tokens.
 
-        A leader has many members, so its set goes to parts of them; a member has few leaders.
+        Star pairs and others share the joins. A leader has many members, so its set goes to parts of them; a member has few leaders.
         """
         num, den = self.num, self.den
         n_blocks = bloom_blocks(pairs.count())
@@ -217,11 +217,11 @@ class Join:
 
         self.n_joins += 1
         heavy = self.scratch.table(heavy_keys(pairs, ["a"]), f"heavy-leaders{self.n_joins}")
-        both = spread_join(pairs, side("a"), ["a"], "b", heavy).join(side("b"), "b").select("a", "b", "ta", "tb")
+        both = spread_join(pairs, side("a"), ["a"], "b", heavy).join(side("b"), "b").select("a", "b", "star", "ta", "tb")
 
-        def check(a: list, b: list, ta: list, tb: list) -> dict[str, list]:
+        def check(a: list, b: list, star: list, ta: list, tb: list) -> dict[str, list]:
             out = {"linked": [], "n": [], "d": [], "uu": [], "ul": [], "lu": []}
-            for x, y in zip(ta, tb, strict=True):
+            for residual, x, y in zip(star, ta, tb, strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 merged = np.concatenate([x, y])
                 order = np.argsort(merged, kind="stable")
@@ -241,9 +241,9 @@ class Join:
                 out["d"].append(d)
                 for k, v in keys.items():
                     out[k].append(v)
-            return {"a": a, "b": b} | out
+            return {"a": a, "b": b, "star": star} | out
 
-        return map_batches(both, check, "a long, b long, linked boolean, n int, d int, uu array<long>, ul array<long>, lu array<long>", text="tb")
+        return map_batches(both, check, "a long, b long, star boolean, linked boolean, n int, d int, uu array<long>, ul array<long>, lu array<long>", text="tb")
 
     def residual_pairs(self, star: DataFrame, short: int, name: str) -> DataFrame:
         """a, b, star: pairs under one leader whose differences from it share prefix tokens, at least one of them unlinked.
@@ -305,8 +305,7 @@ class Join:
         self.scratch.free()
         links, short, round_ = None, 8 * SHORT, 0
         while True:
-            far, near = pairs.where("star").select("a", "b"), pairs.where("NOT star").select("a", "b")
-            checked = t(self.verified(far, sets, True).withColumn("star", F.lit(True)).unionByName(self.verified(near, sets, False).withColumn("star", F.lit(False))), f"checked{round_}")
+            checked = t(self.verified(pairs, sets), f"checked{round_}")
             found = checked.where("linked").select("a", "b")
             links = found if links is None else links.unionByName(found)
             pairs = t(self.residual_pairs(checked.where("star"), short, f"residual{round_}"), f"pairs{round_}")
