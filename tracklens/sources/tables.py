@@ -48,9 +48,14 @@ def iso_time(c: Column) -> Column:
 
 
 def read_gpx(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """track_id (the path), ord, t, lat, lon, ele, speed. strict: a broken file or time raises; else its points go."""
+    """scan_gpx of the files at path."""
+    return scan_gpx(spark.read.format("binaryFile").load(path).select("path", "content"), strict)
+
+
+def scan_gpx(files: DataFrame, strict: bool = True) -> DataFrame:
+    """track_id (the path), ord, t, lat, lon, ele, speed of files (path, content). strict: a broken file or time raises; else its points go."""
+    spark = files.sparkSession
     spark.udtf.register("gpx_points", GpxPoints)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     got = spark.sql("SELECT path AS track_id, p.* FROM {files}, LATERAL gpx_points(content) AS p", files=files)
     t = iso_time(F.col("time"))
     if strict:
