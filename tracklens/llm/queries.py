@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, licenses, packing, quality_classifier, quality_rules, resampling, spelling, substrings, tokens, toxicity, url_filter
+from . import decontamination, extraction, jaccard, licenses, packing, quality_classifier, quality_rules, resampling, spelling, substrings, tokens, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_token_ids": tokens.op8,
         "op9_ngram_jaccard": jaccard.op9,
         "op10_quality_classifier": quality_classifier.op10,
+        "op11_html_extraction": extraction.op11,
         "op12_spelling_variants": spelling.op12,
         "op13_importance_resampling": resampling.op13,
         "license_base_columns": licenses.base_columns,
@@ -31,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_filter": url_filter.SQL,
         "op7_decontamination": decontamination.SQL,
         "op9_ngram_jaccard": jaccard.SQL,
+        "op11_html_extraction": extraction.SQL,
         "op12_spelling_variants": spelling.SQL,
         "op13_importance_resampling": resampling.SQL,
     }
