@@ -31,7 +31,7 @@ from .native import small
 from .resampling import CRC, CRC_TABLE
 
 #: Words of a piece of the trie, at most (a piece below the last branching may not be cut further and needs not be).
-PIECE = 20_000
+PIECE = 4_000
 #: Levels looked at in the first round of cutting; every round looks twice as far.
 LEVELS = 3
 
