@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.media import eta_s, out_time_s, progress, speed_factor
 
 
+def pairs(lines: DataFrame, *more: str) -> DataFrame:
+    """job, seq, k, v from job, seq, line; k is null for a line without `=`."""
+    text = F.trim("line")
+    has = text.contains("=")
+    return lines.select("job", "seq", F.when(has, F.trim(F.substring_index(text, "=", 1))).alias("k"), F.when(has, F.expr("substring(trim(line), instr(trim(line), '=') + 1)")).alias("v"), *more)
+
+
 def blocks(lines: DataFrame) -> DataFrame:
     """job, block, kv (last value of a key wins), from job, seq, line. Lines without `=` are skipped; an open block is not shown."""
-    text = F.trim("line")
-    got = lines.where(text.contains("=")).select("job", "seq", F.trim(F.substring_index(text, "=", 1)).alias("k"), F.expr("substring(trim(line), instr(trim(line), '=') + 1)").alias("v"))
+    got = pairs(lines).where("k IS NOT NULL")
     w = Window.partitionBy("job").orderBy("seq")
     got = got.withColumn("block", F.sum(F.when(F.col("k") == "progress", 1).otherwise(0)).over(w) - F.when(F.col("k") == "progress", 1).otherwise(0))
     last = got.groupBy("job", "block", "k").agg(F.max_by("v", "seq").alias("v"), F.max("seq").alias("seq"))

@@ -17,6 +17,15 @@ def tumbling(events: DataFrame, time: str, key: list[str], width: str, late: str
     return marked.groupBy(w.alias("w"), *key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *key, "n", "total")
 
 
+def sliding(events: DataFrame, time: str, key: list[str], width: str, slide: str, late: str) -> DataFrame:
+    """Counts and sums of `value` in overlapping windows. On a stream a window is shown once the watermark has passed its end,
+    and a row counts only in those of its windows that had not been passed when it came.
+    """
+    marked = events.withWatermark(time, late) if events.isStreaming else events
+    w = F.window(time, width, slide)
+    return marked.groupBy(w.alias("w"), *key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *key, "n", "total")
+
+
 def sessions(events: DataFrame, time: str, key: str, gap: str, late: str) -> DataFrame:
     """Sessions that end after a gap."""
     marked = events.withWatermark(time, late) if events.isStreaming else events
