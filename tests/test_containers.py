@@ -183,3 +183,30 @@ def test_growth_equals_rebuilding_the_file(spark):
             assert got[name, o] == (o + sum(n for _, at, n in put if at <= o), s + more[o])
     chunks = spark.createDataFrame([("p", 0, 5), ("p", 1, 12), ("p", 2, 400)], "path string, chunk int, chunk_off long")
     assert [r.new_chunk_off for r in container.moved_chunks(chunks, spark.createDataFrame([("p", None, 12, 10)], "path string, parent_off long, at long, n long")).orderBy("chunk").collect()] == [5, 22, 410]
+
+
+@pytest.mark.parametrize("first", ["moov", "mdat"])
+def test_muxed_files_equal_the_bytes_function(spark, tmp_path, first):
+    from tracklens.sinks import boxes as B
+    from tracklens.sinks import container
+
+    mvhd = full(b"mvhd", 0, 0, 1000, 0, *[0] * 20, 7)
+    video = trak(1, b"avc1", [3, 4], [0, 0]).replace(b"meta" + bytes(12), b"vide" + bytes(12))
+    size = len(box(b"moov", mvhd + video))
+    at = 16 + 8 + (size if first == "moov" else 0)
+    video = trak(1, b"avc1", [3, 4], [at, at + 3]).replace(b"meta" + bytes(12), b"vide" + bytes(12))
+    moov, mdat = box(b"moov", mvhd + video), box(b"mdat", b"abcdefg")
+    buf = box(b"ftyp", bytes(8)) + (moov + mdat if first == "moov" else mdat + moov)
+    (tmp_path / "a.mp4").write_bytes(buf)
+    packets = [bytes([k]) * 60 for k in range(4)]
+    files = spark.createDataFrame([(str(tmp_path / "a.mp4"), "a.mp4"), (str(tmp_path / "a.mp4"), "copy/b.mp4")], "path string, name string")
+    rows = spark.createDataFrame([(str(tmp_path / "a.mp4"), k, packets[k], 90_000) for k in (2, 0, 3, 1)], "path string, i int, packet binary, duration int")
+    container.write_files(container.muxed(files, rows, spherical=True), str(tmp_path / "out"))
+    media, tree = B.relocated(buf)
+    B.with_spherical(tree)
+    want = media + B.with_packets(tree, len(media), packets, [90_000] * 4) + tree.write()
+    for name in ("a.mp4", "copy/b.mp4"):
+        got = (tmp_path / "out" / name).read_bytes()
+        assert got == want and [p for p, _ in B.read_packets(got)] == [0, 90_000, 180_000, 270_000] and B.spherical_xml(got)
+    container.write_files(container.muxed(files.limit(1)), str(tmp_path / "plain"))
+    assert sorted((tmp_path / "plain").iterdir())[0].read_bytes() == media + B.relocated(buf)[1].write()

@@ -39,12 +39,13 @@ def parts(s, d) -> DataFrame:
     stbl = box("stbl", box("stsd", zero, one, box(codec, be(F.lit(0), 8))), box("stts", zero, one, be(n), be(F.lit(40))), box("stsc", zero, one, one, one, one), box("stsz", zero, zero, be(n), words(lambda e: be(e["q"]))), box("co64", zero, be(n), chunks))
     mdia = box("mdia", box("mdhd", be(F.lit(0), 12), be(F.lit(25)), be(F.lit(0), 8)), box("hdlr", be(F.lit(0), 8), F.hex(F.lit("meta")), be(F.lit(0), 12)), box("minf", stbl))
     tracks = placed.select("clip", "k", box("trak", box("tkhd", be(F.lit(0), 12), be(F.col("k")), be(F.lit(0), 8)), mdia).alias("hex"))
-    moov = tracks.groupBy("clip").agg((F.sum(F.length("hex") / 2) + 8).cast("long").alias("n"))
+    mvhd = box("mvhd", be(F.lit(0), 12), be(F.lit(1000)), be(F.lit(0), 80), be(F.lit(1_000_000)))
+    moov = tracks.groupBy("clip").agg((F.sum(F.length("hex") / 2) + 8 + 108).cast("long").alias("n"))
     name = F.format_string("clip-%02d.mp4", "clip").alias("name")
     row = lambda df, section, order, hex_: df.select(name, (F.lit(section) * F.lit(1 << 40) + order).cast("long").alias("part"), F.unhex(hex_).alias("bytes"))
     head = row(total, 0, F.lit(0), F.concat(box("ftyp", be(F.lit(0), 8)), be(F.col("media") + 8), F.hex(F.lit("mdat"))))
     media = row(placed, 1, F.col("k"), words(lambda e: e["data"]))
-    return head.unionByName(media).unionByName(row(moov, 2, F.lit(0), F.concat(be(F.col("n")), F.hex(F.lit("moov"))))).unionByName(row(tracks, 3, F.col("k"), F.col("hex")))
+    return head.unionByName(media).unionByName(row(moov, 2, F.lit(0), F.concat(be(F.col("n")), F.hex(F.lit("moov")), mvhd))).unionByName(row(tracks, 3, F.col("k"), F.col("hex")))
 
 
 def _written(s, d) -> str:
@@ -79,7 +80,7 @@ def _(s, d):
 
 
 @query("media_chunks", f"""WITH l AS (SELECT o_custkey % {FILES} AS clip, count(DISTINCT o_orderkey) AS tracks, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
-z AS (SELECT clip, 24 + q + 8 + 248 * tracks + 12 * n AS size FROM l)
+z AS (SELECT clip, 24 + q + 8 + 108 + 248 * tracks + 12 * n AS size FROM l)
 SELECT clip, c AS chunk, 100 + c * 65536 AS off, least(65536, size - 100 - c * 65536) AS n_bytes FROM z, unnest(range(0, 1000000)) AS g(c) WHERE 100 + c * 65536 < size""")
 def _(s, d):
     """All bytes from the hundredth on, in chunks, each read by the range it begins in."""
@@ -88,13 +89,13 @@ def _(s, d):
 
 
 _GROWN = f"""{_SAMPLES}, t AS (SELECT clip, k, trak, count(*) AS n, sum(q) AS q, min(off) AS media FROM x GROUP BY ALL),
-p AS (SELECT clip, k, trak, n, media, 24 + sum(q) OVER (PARTITION BY clip) + 8 + sum(248 + 12 * n) OVER (PARTITION BY clip ORDER BY k) - 248 - 12 * n AS off, 248 + 12 * n AS size FROM t)"""
+p AS (SELECT clip, k, trak, n, media, 24 + sum(q) OVER (PARTITION BY clip) + 8 + 108 + sum(248 + 12 * n) OVER (PARTITION BY clip ORDER BY k) - 248 - 12 * n AS off, 248 + 12 * n AS size FROM t)"""
 
 
 @query("mp4_box_growth", f"""{_GROWN}, g AS (SELECT *, CASE WHEN k % 2 = 0 THEN 32 ELSE 0 END AS more FROM p),
 s AS (SELECT clip, k, off, off + sum(more) OVER (PARTITION BY clip ORDER BY k) - more + 100 AS new_off, size, size + more AS new_size FROM g)
 SELECT clip, 1 AS depth, CAST(off AS BIGINT) AS off, CAST(new_off AS BIGINT) AS new_off, CAST(size AS BIGINT) AS size, CAST(new_size AS BIGINT) AS new_size FROM s
-UNION ALL SELECT clip, 0, CAST(min(off) - 8 AS BIGINT), CAST(min(off) - 8 + 100 AS BIGINT), CAST(sum(size) + 8 AS BIGINT), CAST(sum(size) + 8 + sum(more) AS BIGINT) FROM g GROUP BY clip""")
+UNION ALL SELECT clip, 0, CAST(min(off) - 116 AS BIGINT), CAST(min(off) - 116 + 100 AS BIGINT), CAST(sum(size) + 116 AS BIGINT), CAST(sum(size) + 116 + sum(more) AS BIGINT) FROM g GROUP BY clip""")
 def _(s, d):
     """moov and its tracks after every second track got 32 bytes more at its end and the file 100 bytes before mdat."""
     boxes = ranged.read(s, "mp4_boxes", _written(s, d))
@@ -105,3 +106,25 @@ def _(s, d):
     inserts = even.select("path", F.col("off").alias("parent_off"), (F.col("off") + F.col("size")).alias("at"), F.lit(32).cast("long").alias("n"))
     front = own.where("typ = 'moov'").select("path", F.lit(None).cast("long").alias("parent_off"), F.lit(16).cast("long").alias("at"), F.lit(100).cast("long").alias("n"))
     return container.grown(own, inserts.unionByName(front)).select(_clip, "depth", "off", "new_off", "size", "new_size")
+
+
+@query("camm_mux_round_trip", f"""WITH m AS (SELECT o_custkey % {FILES} AS clip, 24 + CAST(sum(l_quantity) AS BIGINT) AS media FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+e AS (SELECT user_id % {FILES} AS clip, epoch_us(ts) / 1e6 AS epoch, value, event_id, row_number() OVER (PARTITION BY user_id % {FILES} ORDER BY event_id) - 1 AS i FROM events),
+t AS (SELECT *, CAST(round_even((i + event_id % 3 / 10e0) * 90000e0, 0) AS BIGINT) AS tick FROM e)
+SELECT clip, CAST(i AS BIGINT) AS sample, CAST(media + 8 + 60 * i AS BIGINT) AS off, tick - first(tick) OVER (PARTITION BY clip ORDER BY i) AS pts, round(epoch, 6) + 0e0 AS epoch, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 2 END AS fix_type, round(value, 6) + 0e0 AS lat FROM t JOIN m USING (clip)""")
+def _(s, d):
+    """A packet track put into each file from rows of events, media copied by range, and read back by range."""
+    from ..operators import camm
+
+    source = _written(s, d)
+    files = ranged.read(s, "mp4_boxes", source).where("typ = 'ftyp'").select("path", F.regexp_extract("path", r"[^/]+$", 0).alias("name"))
+    e = table(s, d, "events").select((F.col("user_id") % FILES).alias("track_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("epoch"), "value", "event_id")
+    e = e.withColumn("i", F.row_number().over(Window.partitionBy("track_id").orderBy("event_id")) - 1).withColumn("t_rel", F.col("i") + F.col("event_id") % 3 / 10)
+    timed = camm.durations(camm.ticks(e))
+    zero = [F.lit(0.0).alias(c) for c in ("lon", "alt", "h_acc", "v_acc", "vel_e", "vel_n", "vel_up", "speed_acc")]
+    packed = camm.packets(timed.select("track_id", "i", "epoch", F.when(F.col("event_id") % 2 == 0, 3).otherwise(2).alias("fix_type"), F.col("value").alias("lat"), *zero))
+    named = packed.join(timed.select("track_id", "i", "duration"), ["track_id", "i"]).withColumn("name", F.format_string("clip-%02d.mp4", "track_id"))
+    path = Scratch(s, "muxed").path("clips")
+    container.write_files(container.muxed(files, named.join(files, "name").select("path", "i", "packet", "duration")), path)
+    got = camm.unpack(ranged.read(s, "mp4_samples", path, codec="camm", payload=True), "payload")
+    return got.select(_clip, "sample", "off", "pts", F.round("epoch", 6).alias("epoch"), "fix_type", F.round("lat", 6).alias("lat"))

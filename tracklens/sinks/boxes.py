@@ -111,11 +111,10 @@ def runs(values: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def add_packets(buf: bytes, packets: list[bytes], durations: list[int], timescale: int = TIMESCALE) -> bytes:
-    """The file with a track of packets (60 bytes each) appended; moov goes to the end. No packets is an error."""
+def with_packets(moov: Tree, at: int, packets: list[bytes], durations: list[int], timescale: int = TIMESCALE) -> bytes:
+    """The mdat box of the packets, which begins at byte `at`; moov gets their track. No packets is an error."""
     if not packets:
         raise BoxError("no packets to write")
-    media, moov = relocated(buf)
     mvhd = moov.find(b"mvhd")
     if mvhd is None:
         raise BoxError("the movie has no header box")
@@ -123,7 +122,7 @@ def add_packets(buf: bytes, packets: list[bytes], durations: list[int], timescal
     track_id = struct.unpack(">I", mvhd.raw[-4:])[0]
     mvhd.raw = mvhd.raw[:-4] + u32(track_id + 1)
     data = box(b"mdat", *packets)
-    first = len(media) + len(data) - sum(map(len, packets))
+    first = at + len(data) - sum(map(len, packets))
     total = sum(durations)
     place = full(b"stco", u32(1, first)) if first + len(data) <= 0xFFFFFFFF else full(b"co64", u32(1), struct.pack(">Q", first))
     entry = box(b"camm", bytes(6), struct.pack(">H", 1))
@@ -134,7 +133,13 @@ def add_packets(buf: bytes, packets: list[bytes], durations: list[int], timescal
     mdia = box(b"mdia", full(b"mdhd", u32(0, 0, timescale, total), struct.pack(">HH", 0x55C4, 0)), hdlr, minf)
     tkhd = full(b"tkhd", u32(0, 0, track_id, 0, round(total / timescale * movie_scale), 0, 0), bytes(8), UNITY, u32(0, 0), flags=7)
     moov.children += Tree.parse(box(b"trak", tkhd, mdia))
-    return media + data + moov.write()
+    return data
+
+
+def add_packets(buf: bytes, packets: list[bytes], durations: list[int], timescale: int = TIMESCALE) -> bytes:
+    """The file with a track of packets (60 bytes each) appended; moov goes to the end."""
+    media, moov = relocated(buf)
+    return media + with_packets(moov, len(media), packets, durations, timescale) + moov.write()
 
 
 def read_packets(buf: bytes) -> list[tuple[int, tuple]]:
@@ -150,9 +155,8 @@ def read_packets(buf: bytes) -> list[tuple[int, tuple]]:
     return []
 
 
-def add_spherical(buf: bytes) -> bytes:
-    """The file with sv3d in the first video track's sample entry and the V1 XML at that track's end."""
-    media, moov = relocated(buf)
+def with_spherical(moov: Tree) -> None:
+    """sv3d in the first video track's sample entry and the V1 XML at that track's end."""
     for trak in (c for c in moov.children if c.typ == b"trak"):
         hdlr, stsd = trak.find(b"mdia", b"hdlr"), trak.find(b"mdia", b"minf", b"stbl", b"stsd")
         if hdlr is None or hdlr.raw[8:12] != b"vide":
@@ -164,10 +168,16 @@ def add_spherical(buf: bytes) -> bytes:
         n = struct.unpack_from(">I", stsd.raw, 8)[0]
         stsd.raw = stsd.raw[:8] + u32(n + len(sv3d)) + stsd.raw[12 : 8 + n] + sv3d + stsd.raw[8 + n :]
         trak.children.append(Tree(b"uuid", SPHERICAL_UUID + SPHERICAL_XML.encode()))
-        return media + moov.write()
+        return
     raise BoxError("no video track")
 
 
+def add_spherical(buf: bytes) -> bytes:
+    media, moov = relocated(buf)
+    with_spherical(moov)
+    return media + moov.write()
+
+
 def spherical_xml(buf: bytes) -> str | None:
     for _, _, typ, off, size, head in boxes(buf):
         if typ == b"uuid" and buf[off + head : off + head + 16] == SPHERICAL_UUID:

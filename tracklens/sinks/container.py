@@ -111,6 +111,50 @@ def write_files(parts: DataFrame, path: str) -> None:
     own.repartition("name").sortWithinPartitions("name", "part").write.format("file_parts").mode("append").save(path)
 
 
+def muxed(files: DataFrame, packets: DataFrame | None = None, spherical: bool = False) -> DataFrame:
+    """Parts (for write_files) of files (path, name) with a track of packets (path, i, packet, duration) and spherical boxes.
+
+    Media stay where they are and are copied by range when written; only the moov box is read, changed and put at the end, its
+    chunk offsets moved if it stood before media. A file's packets (60 bytes each) are one task's, as a clip is.
+    """
+    own = files.select("path", "name")
+    if packets is None:
+        joined = own.withColumn("packets", F.array().cast("array<struct<i:long,packet:binary,duration:long>>"))
+    else:
+        rows = F.struct(F.col("i").cast("long").alias("i"), "packet", F.col("duration").cast("long").alias("duration"))
+        joined = own.join(packets.groupBy("path").agg(F.sort_array(F.collect_list(rows)).alias("packets")), "path", "left")
+
+    def run(batches):
+        import pyarrow as pa
+
+        from ..sources.mp4 import BoxError
+        from ..sources.ranged import RangedFile, walk
+        from .boxes import Tree, _move_chunks, with_packets, with_spherical
+
+        names = [x.split()[0] for x in PARTS.split(", ")]
+        types = [pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
+        for batch in batches:
+            for row in batch.to_pylist():
+                with RangedFile(row["path"]) as f:
+                    tops = [(typ, off, size) for depth, _, typ, off, size, _ in walk(f) if depth == 0]
+                    place = next(((off, size) for typ, off, size in tops if typ == b"moov"), None)
+                    if place is None:
+                        raise BoxError(f"{row['path']} has no moov box")
+                    moov = Tree.parse(f.at(*place))[0]
+                kept = [(off, size) for _, off, size in tops if off != place[0]]
+                _move_chunks(moov, *place)
+                parts = [(row["name"], k, None, row["path"], off, size) for k, (off, size) in enumerate(kept)]
+                if spherical:
+                    with_spherical(moov)
+                if row["packets"]:
+                    data = with_packets(moov, sum(size for _, size in kept), [p["packet"] for p in row["packets"]], [p["duration"] for p in row["packets"]])
+                    parts.append((row["name"], len(parts), data, None, None, None))
+                parts.append((row["name"], len(parts), moov.write(), None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=names)
+
+    return joined.mapInArrow(run, PARTS)
+
+
 def grown(box_table: DataFrame, inserts: DataFrame) -> DataFrame:
     """The boxes of box_table (path, depth, parent_off, off, size and more) after inserts (path, parent_off, at, n): new_off, new_size.
 
