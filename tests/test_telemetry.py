@@ -185,7 +185,7 @@ def test_imu_clock_units_and_resample(spark):
 
 
 def test_remap_grid_invariants(spark):
-    g = remap.grid(spark, remap.ideal_lenses(spark), 172, 86)
+    g = remap.grid(remap.ideal_lenses(spark), 172, 86)
     ok = g.where("valid")
     assert ok.count() > 0.5 * g.count() and ok.agg(F.max("sx")).first()[0] < 3840
     m = {r.m for r in remap.mask(g).collect()}

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rotation import Mat, apply, normalize, to_matrix
+from .rotation import Mat, apply
 
 #: Fixed values of the lens model, in degrees: end of the polynomial, half field of view, half width of the blend, yaw of the panorama.
 LINEAR_FROM_DEG, HALF_FOV_DEG, FADE_DEG, YAW_DEG = 85.0, 96.0, 5.0, 90.0
@@ -19,13 +19,13 @@ def polynomial(t: Column, dist: list[Column]) -> Column:
     """Odd polynomial t + k1 t^3 + ... up to LINEAR_FROM_DEG, its tangent beyond."""
     t0 = math.radians(LINEAR_FROM_DEG)
     value, slope = F.lit(t0), F.lit(1.0)
-    inner, square = F.lit(1.0), t * t
-    power = square
     for i, k in enumerate(dist):
         n = 2 * i + 3
         value, slope = value + k * t0**n, slope + n * k * t0 ** (n - 1)
-        inner, power = inner + k * power, power * square
-    return F.when(t <= t0, t * inner).otherwise(value + slope * (t - t0))
+    inner = F.lit(0.0)
+    for k in reversed(dist):
+        inner = (inner + k) * (t * t)
+    return F.when(t <= t0, t * (1 + inner)).otherwise(value + slope * (t - t0))
 
 
 def lut_scale(fx: Column, cx: Column, cy: Column, dist: list[Column], lut1: Column, lut2: Column) -> Column:
@@ -54,17 +54,14 @@ def pixel_direction(row: Column, col: Column, width: int, height: int) -> tuple[
     return F.cos(lat) * F.sin(lon), F.cos(lat) * F.cos(lon), F.sin(lat)
 
 
-def lens_matrix(qw: Column, qx: Column, qy: Column, qz: Column) -> Mat:
-    return to_matrix(normalize([qw, qx, qy, qz]))
+def off_axis(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """(theta, rho) of a direction in the lens's own axes: its angle from the optical axis, its length across it."""
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z))), F.greatest(F.hypot(x, y), F.lit(1e-12))
 
 
-def source_pixel(d: tuple[Column, Column, Column], m: Mat, fx: Column, cx: Column, cy: Column, dist: list[Column], scale: Column, linear: Column) -> tuple[Column, Column, Column]:
-    """(theta, x, y): angle from the optical axis and pixel of a body direction."""
-    x, y, z = apply(m, list(d))
-    theta = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z)))
-    rho = F.greatest(F.hypot(x, y), F.lit(1e-12))
-    r = F.when(linear, fx * theta).otherwise(scale * fx * polynomial(theta, dist))
-    return theta, cx + r * x / rho, cy + r * y / rho
+def radius(theta: Column, fx: Column, dist: list[Column], scale: Column, linear: Column) -> Column:
+    """Distance in pixels from the image centre of what is seen at theta."""
+    return F.when(linear, fx * theta).otherwise(scale * fx * polynomial(theta, dist))
 
 
 def blend_weight(theta: Column) -> Column:
@@ -83,24 +80,27 @@ def equirect(row: Column, col: Column, width: int, height: int) -> tuple[Column,
     return (u - 0.5) * (2 * math.pi), (v - 0.5) * math.pi
 
 
-def cylindrical(row: Column, col: Column, width: int, height: int, yaw_deg: float = 0.0, v_span_deg: float = 60.0) -> tuple[Column, Column]:
+def _within(x: Column, low: float, high: float) -> Column:
+    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+
+
+def cylindrical(row: Column, col: Column, width: int, height: int, yaw_deg: Column, v_span_deg: Column) -> tuple[Column, Column]:
     u, v = _uv(row, col, width, height)
-    span = math.radians(min(150.0, max(10.0, v_span_deg)))
-    return math.radians(yaw_deg) + (u - 0.5) * (2 * math.pi), F.atan((v - 0.5) * (2 * math.tan(span / 2)))
+    return F.radians(yaw_deg) + (u - 0.5) * (2 * math.pi), F.atan((v - 0.5) * (2 * F.tan(F.radians(_within(v_span_deg, 10.0, 150.0)) / 2)))
 
 
-def little_planet(row: Column, col: Column, width: int, height: int, rotation_deg: float = 0.0, fov_deg: float = 250.0) -> tuple[Column, Column]:
+def little_planet(row: Column, col: Column, width: int, height: int, rotation_deg: Column, fov_deg: float = 250.0) -> tuple[Column, Column]:
     u, v = _uv(row, col, width, height)
     x, y = 2 * u - 1, 2 * v - 1
     theta = 2 * F.atan(F.hypot(x, y) * math.tan(math.radians(fov_deg) / 4))
-    return F.atan2(y, x) + math.radians(rotation_deg), theta - math.pi / 2
+    return F.atan2(y, x) + F.radians(rotation_deg), theta - math.pi / 2
 
 
-def flat(row: Column, col: Column, width: int, height: int, m: Mat, h_fov_deg: float = 90.0) -> tuple[Column, Column]:
+def flat(row: Column, col: Column, width: int, height: int, m: Mat, h_fov_deg: Column) -> tuple[Column, Column]:
     """Pinhole rays turned by m (see rotation.euler_matrix)."""
     u, v = _uv(row, col, width, height)
-    half = math.tan(math.radians(min(140.0, max(30.0, h_fov_deg))) / 2)
-    x, y, z = apply(m, [(2 * u - 1) * half, (2 * v - 1) * (half * height / width), F.lit(1.0)])
+    half = F.tan(F.radians(_within(h_fov_deg, 30.0, 140.0)) / 2)
+    x, y, z = apply(m, [(2 * u - 1) * half, (2 * v - 1) * half * (height / width), F.lit(1.0)])
     return F.atan2(x, z), F.atan2(y, F.hypot(x, z))
 
 
@@ -110,9 +110,9 @@ def equirect_uv(lon: Column, lat: Column) -> tuple[Column, Column]:
     return u - F.floor(u), F.greatest(F.lit(0.0), F.least(F.lit(1.0), lat / math.pi + 0.5))
 
 
-def letterbox(row: Column, col: Column, width: int, height: int, src_w: float, src_h: float) -> tuple[Column, Column, Column]:
+def letterbox(row: Column, col: Column, width: int, height: int, src_w: Column, src_h: Column) -> tuple[Column, Column, Column]:
     """(u, v, inside) of a picture shown whole and centred in a view."""
-    scale = min(width / src_w, height / src_h)
+    scale = F.least(width / src_w, height / src_h)
     u = ((col + 0.5) - (width - src_w * scale) / 2) / (src_w * scale)
     v = ((row + 0.5) - (height - src_h * scale) / 2) / (src_h * scale)
     return u, v, u.between(0, 1) & v.between(0, 1)

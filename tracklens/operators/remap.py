@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lens as L
@@ -31,79 +29,92 @@ def pixels(spark: SparkSession, width: int, height: int) -> DataFrame:
     return spark.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("row"), F.pmod("id", F.lit(width)).cast("int").alias("col"))
 
 
-def _constants(lens: Row) -> tuple[list[list[float]], dict]:
-    """Rotation matrix and numbers of one lens, as driver-side constants."""
-    w, x, y, z = lens.qw, lens.qx, lens.qy, lens.qz
-    n = math.sqrt(w * w + x * x + y * y + z * z)
-    w, x, y, z = (1.0, 0.0, 0.0, 0.0) if n < 1e-12 else (w / n, x / n, y / n, z / n)
-    m = [[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]]
-    return m, lens.asDict()
-
-
-def grid(spark: SparkSession, lenses: DataFrame, width: int, height: int) -> DataFrame:
-    """lens, row, col, sx, sy (null where invalid), valid, weight.
+def grids(lenses: DataFrame, width: int, height: int, by: tuple[str, ...] = ("clip",)) -> DataFrame:
+    """by, lens, row, col, sx, sy (null where invalid), valid, weight: the grid of every clip's lenses.
 
-    At most two lens rows come to the driver, where they turn into constants: the grid is then a projection of
-    generated pixels with no join, whose steps the optimizer cannot multiply into one another.
+    lenses: by and the columns of LENS_DDL, a row a lens. Pixels are generated beside the lens rows, so a calibration is never
+    joined to pixels nor sent to the driver; rows of pixels are dealt out, so one large clip is as parallel as many small ones.
     """
-    d = L.pixel_direction(F.col("row"), F.col("col"), width, height)
-    rays = pixels(spark, width, height).select("row", "col", *(c.alias(n) for c, n in zip(d, ("dx", "dy", "dz"), strict=True)))
-    parts = []
-    for lens in lenses.limit(2).collect():
-        m, k = _constants(lens)
-        turned = R.apply(m, [F.col("dx"), F.col("dy"), F.col("dz")])
-        got = rays.select("row", "col", *((c if isinstance(c, Column) else F.lit(float(c))).alias(n) for c, n in zip(turned, "xyz", strict=True)))
-        eye = [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
-        theta, x, y = L.source_pixel((F.col("x"), F.col("y"), F.col("z")), eye, F.lit(k["fx"]), F.lit(k["cx"]), F.lit(k["cy"]), [F.lit(v) for v in k["dist"]], F.lit(k["scale"]), F.lit(k["linear"]))
-        got = got.select("row", "col", theta.alias("theta"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
-        ok = (F.degrees("theta") < L.HALF_FOV_DEG) & F.col("x").between(0, k["width"] - 1) & F.col("y").between(0, k["height"] - 1)
-        whole = lambda c, ok=ok: F.when(ok, F.rint(c).cast("int"))
-        parts.append(got.select(F.lit(int(k["lens"])).alias("lens"), "row", "col", whole("x").alias("sx"), whole("y").alias("sy"), ok.alias("valid"), F.when(ok, L.blend_weight(F.col("theta"))).otherwise(F.lit(0.0)).alias("weight")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def mask(grid_: DataFrame) -> DataFrame:
-    """row, col, m: share of the second lens in 0..255, half where neither sees the pixel."""
-    w = grid_.groupBy("row", "col").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("lens") == 1, F.col("weight")).otherwise(0.0)).alias("second"))
-    return w.select("row", "col", F.rint(F.when(F.col("total") > 0, F.col("second") / F.col("total")).otherwise(F.lit(0.5)) * 255).cast("int").alias("m"))
-
-
-def gather(grid_: DataFrame, image: DataFrame) -> DataFrame:
-    """lens, row, col, r, g, b: nearest source pixels, black where there is none. image: lens, sx, sy, r, g, b."""
-    hit = grid_.select("lens", "row", "col", "sx", "sy").join(image, ["lens", "sx", "sy"], "left")
-    return hit.select("lens", "row", "col", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"))
-
-
-def blend(gathered: DataFrame, mask_: DataFrame) -> DataFrame:
-    """row, col, r, g, b: both lenses mixed by the mask."""
+    key = [*by, "lens"]
+    unit = R.normalized_step(lenses.withColumn("_raw", R.pack_quat([F.col(f"q{c}") for c in "wxyz"])), "_raw", "_q")
+    m = R.to_matrix(R.quat("_q"))
+    names = [[f"_m{i}{j}" for j in range(3)] for i in range(3)]
+    matrix = [(c if isinstance(c, Column) else F.lit(float(c))).alias(n) for cs, ns in zip(m, names, strict=True) for c, n in zip(cs, ns, strict=True)]
+    given = [*key, "fx", "cx", "cy", "width", "height", "scale", "linear"]
+    dist = [f"_k{i}" for i in range(4)]
+    # what holds for a lens is worked out before its pixels are, and every later step names the columns of the one before
+    each = unit.select(*given, *(F.col("dist")[i].alias(n) for i, n in enumerate(dist)), *matrix)
+    rows = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("row")).repartition(*key, "row")
+    px = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col"))
+    rays = px.select("*", *(c.alias(n) for c, n in zip(L.pixel_direction(F.col("row"), F.col("col"), width, height), ("dx", "dy", "dz"), strict=True)))
+    turn = R.apply([[F.col(n) for n in ns] for ns in names], [F.col("dx"), F.col("dy"), F.col("dz")])
+    turned = rays.select(*given, *dist, "row", "col", *(c.alias(n) for c, n in zip(turn, ("dx", "dy", "dz"), strict=True)))
+    theta, rho = L.off_axis(F.col("dx"), F.col("dy"), F.col("dz"))
+    bent = turned.select("*", theta.alias("theta"), rho.alias("rho"))
+    bent = bent.select("*", L.radius(F.col("theta"), F.col("fx"), [F.col(n) for n in dist], F.col("scale"), F.col("linear")).alias("r"))
+    x, y = (F.col(c) + F.col("r") * F.col(v) / F.col("rho") for c, v in (("cx", "dx"), ("cy", "dy")))
+    seen = bent.select(*key, "row", "col", "width", "height", "theta", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    ok = (F.degrees("theta") < L.HALF_FOV_DEG) & F.col("x").between(0, F.col("width") - 1) & F.col("y").between(0, F.col("height") - 1)
+    whole = lambda c: F.when(ok, F.rint(c).cast("int"))
+    return seen.select(*key, "row", "col", whole("x").alias("sx"), whole("y").alias("sy"), ok.alias("valid"), F.when(ok, L.blend_weight(F.col("theta"))).otherwise(F.lit(0.0)).alias("weight"))
+
+
+def grid(lenses: DataFrame, width: int, height: int) -> DataFrame:
+    """The grid of one pair of lenses."""
+    return grids(lenses, width, height, ())
+
+
+def mask(grid_: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, row, col, m: share of the second lens in 0..255, half where neither sees the pixel."""
+    w = grid_.groupBy(*by, "row", "col").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("lens") == 1, F.col("weight")).otherwise(0.0)).alias("second"))
+    return w.select(*by, "row", "col", F.rint(F.when(F.col("total") > 0, F.col("second") / F.col("total")).otherwise(F.lit(0.5)) * 255).cast("int").alias("m"))
+
+
+def gather(grid_: DataFrame, image: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, lens, row, col, r, g, b: nearest source pixels, black where there is none. image: by, lens, sx, sy, r, g, b."""
+    hit = grid_.select(*by, "lens", "row", "col", "sx", "sy").join(image, [*by, "lens", "sx", "sy"], "left")
+    return hit.select(*by, "lens", "row", "col", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"))
+
+
+def blend(gathered: DataFrame, mask_: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, row, col, r, g, b: both lenses mixed by the mask."""
     share = F.when(F.col("lens") == 1, F.col("m")).otherwise(255 - F.col("m")) / 255.0
-    got = gathered.join(mask_, ["row", "col"])
-    return got.groupBy("row", "col").agg(*(F.rint(F.sum(F.col(c) * share)).cast("int").alias(c) for c in "rgb"))
+    got = gathered.join(mask_, [*by, "row", "col"])
+    return got.groupBy(*by, "row", "col").agg(*(F.rint(F.sum(F.col(c) * share)).cast("int").alias(c) for c in "rgb"))
 
 
-def view(spark: SparkSession, projection: str, width: int, height: int, yaw_deg: float = 0.0, pitch_deg: float = 0.0, roll_deg: float = 0.0, h_fov_deg: float = 90.0, v_span_deg: float = 60.0) -> DataFrame:
-    """row, col, lon, lat seen by each pixel of a view; little planets are mirrored."""
-    row, col = F.col("row"), F.col("col")
+def views(params: DataFrame, projection: str, width: int, height: int) -> DataFrame:
+    """The columns of params, row, col, lon, lat seen by each pixel of every view; little planets are mirrored.
+
+    params: a row a view, with those of yaw_deg, pitch_deg, roll_deg, h_fov_deg, v_span_deg that the projection takes.
+    """
+    px = params.select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("row")).repartition("row", *params.columns)
+    px = px.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col"))
+    row, col, given = F.col("row"), F.col("col"), F.col
     if projection == "flat":
-        lon, lat = L.flat(row, col, width, height, R.euler_matrix(F.lit(float(yaw_deg)), F.lit(float(pitch_deg)), F.lit(float(roll_deg))), h_fov_deg)
+        lon, lat = L.flat(row, col, width, height, R.euler_matrix(given("yaw_deg"), given("pitch_deg"), given("roll_deg")), given("h_fov_deg"))
     elif projection == "cylindrical":
-        lon, lat = L.cylindrical(row, col, width, height, yaw_deg, v_span_deg)
+        lon, lat = L.cylindrical(row, col, width, height, given("yaw_deg"), given("v_span_deg"))
     elif projection == "equirect360":
         lon, lat = L.equirect(row, col, width, height)
     elif projection == "littleplanet":
-        lon, lat = L.little_planet(row, col, width, height, roll_deg)
+        lon, lat = L.little_planet(row, col, width, height, given("roll_deg"))
     else:
         raise ValueError(f"no such projection here: {projection!r}")
-    return pixels(spark, width, height).select("row", "col", lon.alias("lon"), lat.alias("lat"))
+    return px.select(*params.columns, "row", "col", lon.alias("lon"), lat.alias("lat"))
+
+
+def view(spark: SparkSession, projection: str, width: int, height: int, yaw_deg: float = 0.0, pitch_deg: float = 0.0, roll_deg: float = 0.0, h_fov_deg: float = 90.0, v_span_deg: float = 60.0) -> DataFrame:
+    """row, col, lon, lat of one view."""
+    params = {"yaw_deg": yaw_deg, "pitch_deg": pitch_deg, "roll_deg": roll_deg, "h_fov_deg": h_fov_deg, "v_span_deg": v_span_deg}
+    one = spark.range(1).select(*(F.lit(float(v)).alias(k) for k, v in params.items()))
+    return views(one, projection, width, height).select("row", "col", "lon", "lat")
 
 
-def sample(view_: DataFrame, image: DataFrame, src_w: int, src_h: int) -> DataFrame:
-    """row, col, r, g, b: nearest pixel of an equirect image (row, col, r, g, b) for each view pixel."""
+def sample(view_: DataFrame, image: DataFrame, src_w: int, src_h: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, row, col, r, g, b: nearest pixel of an equirect image (by, row, col, r, g, b) for each view pixel."""
     u, v = L.equirect_uv(F.col("lon"), F.col("lat"))
     at = lambda c, n: F.least(F.lit(n - 1), F.floor(c * n)).cast("int")
-    keyed = view_.select("row", "col", at(u, src_w).alias("_c"), at(v, src_h).alias("_r"))
-    src = image.select(F.col("row").alias("_r"), F.col("col").alias("_c"), "r", "g", "b")
-    return keyed.join(src, ["_r", "_c"], "left").select("row", "col", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"))
+    keyed = view_.select(*by, "row", "col", at(u, src_w).alias("_c"), at(v, src_h).alias("_r"))
+    src = image.select(*by, F.col("row").alias("_r"), F.col("col").alias("_c"), "r", "g", "b")
+    return keyed.join(src, [*by, "_r", "_c"], "left").select(*by, "row", "col", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"))

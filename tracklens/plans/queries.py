@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, lens, media
 from ..functions import rotation as R
-from ..operators import camm, catalog, imu, progress, remap, stabilize, track
+from ..operators import camm, catalog, imu, progress, stabilize, track
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -435,11 +435,6 @@ _T0 = "radians(85e0)"
 _TAN = f"({_POLY.replace('t', _T0, 1).replace('pow(t,', f'pow({_T0},')} + (1 + 3*k1*pow({_T0}, 2) + 5*k2*pow({_T0}, 4) + 7*k3*pow({_T0}, 6) + 9*k4*pow({_T0}, 8)) * (t - {_T0}))"
 
 
-@query("lens_radial_model", f"WITH a AS (SELECT CAST(deg AS BIGINT) AS deg, radians(CAST(deg AS DOUBLE)) AS t, {_LENS} FROM range(0, 121) AS r(deg)) SELECT deg, round(fx * CASE WHEN t <= {_T0} THEN {_POLY} ELSE {_TAN} END, 6) AS r FROM a")
-def _(s, d):
-    return s.range(121).select(F.col("id").alias("deg"), rnd(F.lit(1048.43787) * lens.polynomial(F.radians(F.col("id").cast("double")), [F.lit(k) for k in _DIST])).alias("r"))
-
-
 # fourteen table points around (100 + lens, 200), the first of which is a header
 @query("lens_lut_scale", f"WITH p AS (SELECT p_partkey, p_partkey % 8 AS lens, k FROM part, unnest(range(1, 14)) AS r(k)), m AS (SELECT p_partkey, avg(sqrt(pow(1800e0 * cos(k / 3e0) + lens, 2) + pow(1800e0 * sin(k / 3e0), 2))) AS mean FROM p GROUP BY p_partkey), a AS (SELECT p_partkey, mean, {_LENS}, radians(90e0) AS t FROM m) SELECT p_partkey, round(mean / (fx * {_TAN}), 6) AS scale FROM a")
 def _(s, d):
@@ -459,114 +454,6 @@ def _lut_scales(p: DataFrame, *keep: str) -> DataFrame:
     return p.select(*keep, rnd(lens.lut_scale(F.lit(1048.43787), F.lit(100.0), F.lit(200.0), [F.lit(v) for v in _DIST], x, y)).alias("scale"))
 
 
-W, H = 128, 64
-_GRID = f"""px AS (SELECT CAST(id // {W} AS INTEGER) AS "row", CAST(id % {W} AS INTEGER) AS col FROM range(0, {W * H}) AS r(id)),
-ray AS (SELECT "row", col, (col + 0.5e0) / {W} * 2 * pi() - pi() + radians(90e0) AS lon, pi() / 2 - ("row" + 0.5e0) / {H} * pi() AS lat FROM px),
-dir AS (SELECT "row", col, cos(lat) * sin(lon) AS dx, cos(lat) * cos(lon) AS dy, sin(lat) AS dz FROM ray),
-ls AS (SELECT 0 AS lens, -dx AS x, dz AS y, dy AS z, "row", col, -1 AS sgn FROM dir UNION ALL SELECT 1, dx, dz, dy, "row", col, 1 FROM dir)"""
-# back lens: R = [[-1,0,0],[0,0,-1],[0,-1,0]]; front lens: R = [[1,0,0],[0,0,-1],[0,1,0]]
-_GRID = _GRID.replace("SELECT 0 AS lens, -dx AS x, dz AS y, dy AS z,", "SELECT 0 AS lens, -dx AS x, -dz AS y, -dy AS z,").replace("SELECT 1, dx, dz, dy,", "SELECT 1, dx, -dz, dy,")
-_MAP = f"""{_GRID}, th AS (SELECT *, acos(greatest(-1e0, least(1e0, z))) AS theta, greatest(sqrt(x*x + y*y), 1e-12) AS rho, 0.5e0 * 3840 * (3735e0 / 3840) / radians(95e0) AS fx FROM ls),
-xy AS (SELECT *, round(1919.5e0 + fx * theta * x / rho, 6) AS sx, round(1919.5e0 + fx * theta * y / rho, 6) AS sy FROM th),
-ok AS (SELECT *, degrees(theta) < 96e0 AND sx BETWEEN 0 AND 3839 AND sy BETWEEN 0 AND 3839 AS valid FROM xy),
-gr AS (SELECT lens, "row", col, CASE WHEN valid THEN CAST(round_even(sx, 0) AS INTEGER) END AS sx, CASE WHEN valid THEN CAST(round_even(sy, 0) AS INTEGER) END AS sy, valid, CASE WHEN valid THEN greatest(0e0, least(1e0, (radians(95e0) - theta) / radians(10e0))) ELSE 0e0 END AS weight FROM ok)"""
-
-
-def _grid(s) -> DataFrame:
-    return remap.grid(s, remap.ideal_lenses(s), W, H)
-
-
-@query("remap_grid", f"WITH {_MAP} SELECT lens, \"row\", col, coalesce(sx, -1) AS sx, coalesce(sy, -1) AS sy, valid, round(weight, 6) + 0e0 AS weight FROM gr")
-def _(s, d):
-    return _grid(s).withColumns({"weight": rnd("weight"), "sx": F.coalesce("sx", F.lit(-1)), "sy": F.coalesce("sy", F.lit(-1))})
-
-
-@query("remap_valid_ratio", f"WITH {_MAP} SELECT lens, count(*) AS n, count(*) FILTER (valid) AS n_valid, round(count(*) FILTER (valid) / count(*), 6) AS ratio FROM gr GROUP BY lens")
-def _(s, d):
-    return _grid(s).groupBy("lens").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), rnd(F.count_if("valid") / F.count("*")).alias("ratio"))
-
-
-_MASK = 'mk AS (SELECT "row", col, CAST(round_even(CASE WHEN sum(weight) > 0 THEN sum(CASE WHEN lens = 1 THEN weight ELSE 0e0 END) / sum(weight) ELSE 0.5e0 END * 255, 0) AS INTEGER) AS m FROM gr GROUP BY "row", col)'
-
-
-@query("blend_mask", f'WITH {_MAP}, {_MASK} SELECT "row", col, m FROM mk')
-def _(s, d):
-    return remap.mask(_grid(s))
-
-
-# a source picture whose every third column is missing
-_IMG = 'im AS (SELECT lens, sx, sy, CAST((sx + sy) % 256 AS INTEGER) AS r, CAST(sx % 256 AS INTEGER) AS g, CAST((sy + lens) % 256 AS INTEGER) AS b FROM (SELECT DISTINCT lens, sx, sy FROM gr WHERE valid AND sx % 3 <> 0))'
-_GATHER = 'gt AS (SELECT gr.lens, gr."row", gr.col, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM gr LEFT JOIN im ON gr.lens = im.lens AND gr.sx = im.sx AND gr.sy = im.sy)'
-
-
-def _image(grid: DataFrame) -> DataFrame:
-    p = grid.where("valid AND sx % 3 <> 0").select("lens", "sx", "sy").distinct()
-    return p.select("lens", "sx", "sy", ((F.col("sx") + F.col("sy")) % 256).alias("r"), (F.col("sx") % 256).alias("g"), ((F.col("sy") + F.col("lens")) % 256).alias("b"))
-
-
-@query("remap_gather", f'WITH {_MAP}, {_IMG}, {_GATHER} SELECT lens, "row", col, r, g, b FROM gt')
-def _(s, d):
-    return remap.gather(_grid(s), _image(_grid(s)))
-
-
-@query("blend_merge", f'WITH {_MAP}, {_MASK}, {_IMG}, {_GATHER} SELECT gt."row", gt.col, ' + ", ".join(f"CAST(round_even(sum({c} * CASE WHEN lens = 1 THEN m / 255e0 ELSE (255 - m) / 255e0 END), 0) AS INTEGER) AS {c}" for c in "rgb") + ' FROM gt JOIN mk ON gt."row" = mk."row" AND gt.col = mk.col GROUP BY 1, 2')
-def _(s, d):
-    g = _grid(s)
-    return remap.blend(remap.gather(g, _image(g)), remap.mask(g))
-
-
-_UV = f'uv AS (SELECT CAST(id // {W} AS INTEGER) AS "row", CAST(id % {W} AS INTEGER) AS col, (id % {W} + 0.5e0) / {W} AS u, (id // {W} + 0.5e0) / {H} AS v FROM range(0, {W * H}) AS r(id))'
-
-
-def _lonlat(df: DataFrame) -> DataFrame:
-    return df.select("row", "col", rnd("lon").alias("lon"), rnd("lat").alias("lat"))
-
-
-def _view_sql(lon: str, lat: str, more: str = "", src: str = "uv") -> str:
-    return f'WITH {_UV}{more} SELECT "row", col, round({lon}, 6) + 0e0 AS lon, round({lat}, 6) + 0e0 AS lat FROM {src}'
-
-
-@query("project_equirect", _view_sql("(u - 0.5e0) * 2 * pi()", "(v - 0.5e0) * pi()"))
-def _(s, d):
-    return _lonlat(remap.view(s, "equirect360", W, H))
-
-
-@query("project_cylindrical", _view_sql("radians(30e0) + (u - 0.5e0) * 2 * pi()", "atan((v - 0.5e0) * 2 * tan(radians(70e0) / 2))"))
-def _(s, d):
-    return _lonlat(remap.view(s, "cylindrical", W, H, yaw_deg=30.0, v_span_deg=70.0))
-
-
-@query("project_littleplanet", _view_sql("atan2(2*v - 1, 2*u - 1) + radians(40e0)", "2 * atan(sqrt(pow(2*u - 1, 2) + pow(2*v - 1, 2)) * tan(radians(250e0) / 4)) - pi() / 2"))
-def _(s, d):
-    return _lonlat(remap.view(s, "littleplanet", W, H, roll_deg=40.0))
-
-
-_CY, _SY, _CP, _SP = "cos(radians(30e0))", "sin(radians(30e0))", "cos(radians(10e0))", "sin(radians(10e0))"
-_FLAT = f', ry AS (SELECT "row", col, (2*u - 1) * tan(radians(90e0) / 2) AS x, (2*v - 1) * tan(radians(90e0) / 2) * {H} / {W} AS y FROM uv), tn AS (SELECT "row", col, {_CY}*x + {_SY}*{_SP}*y + {_SY}*{_CP} AS x, {_CP}*y - {_SP} AS y, {_CY}*{_SP}*y - {_SY}*x + {_CY}*{_CP} AS z FROM ry)'
-
-
-@query("project_flat", _view_sql("atan2(x, z)", "atan2(y, sqrt(x*x + z*z))", _FLAT, "tn"))
-def _(s, d):
-    return _lonlat(remap.view(s, "flat", W, H, yaw_deg=30.0, pitch_deg=10.0))
-
-
-@query("equirect_sample", f"""WITH {_UV}, a AS (SELECT "row", col, radians(30e0) + (u - 0.5e0) * 2 * pi() AS lon, atan((v - 0.5e0) * 2 * tan(radians(70e0) / 2)) AS lat FROM uv),
-b AS (SELECT "row", col, lon / (2 * pi()) + 0.5e0 AS u, greatest(0e0, least(1e0, lat / pi() + 0.5e0)) AS v FROM a),
-c AS (SELECT "row", col, CAST(least(39, floor((u - floor(u)) * 40)) AS INTEGER) AS sc, CAST(least(19, floor(v * 20)) AS INTEGER) AS sr FROM b)
-SELECT "row", col, sr AS r, sc AS g, CAST((sr * 40 + sc) % 256 AS INTEGER) AS b FROM c""")
-def _(s, d):
-    image = remap.pixels(s, 40, 20).select("row", "col", F.col("row").alias("r"), F.col("col").alias("g"), ((F.col("row") * 40 + F.col("col")) % 256).alias("b"))
-    return remap.sample(remap.view(s, "cylindrical", W, H, yaw_deg=30.0, v_span_deg=70.0), image, 40, 20)
-
-
-@query("letterbox", f"""WITH {_UV}, s AS (SELECT "row", col, least({W} / 1000e0, {H} / 250e0) AS k FROM uv),
-a AS (SELECT "row", col, ((col + 0.5e0) - ({W} - 1000 * k) / 2) / (1000 * k) AS u, (("row" + 0.5e0) - ({H} - 250 * k) / 2) / (250 * k) AS v FROM s)
-SELECT "row", col, round(u, 6) + 0e0 AS u, round(v, 6) + 0e0 AS v, u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 AS inside FROM a""")
-def _(s, d):
-    u, v, inside = lens.letterbox(F.col("row"), F.col("col"), W, H, 1000.0, 250.0)
-    return remap.pixels(s, W, H).select("row", "col", rnd(u).alias("u"), rnd(v).alias("v"), inside.alias("inside"))
-
-
 # scalars
 
 
@@ -658,21 +545,6 @@ def _(s, d):
     return s.sql(_TREE)
 
 
-@query("pb_varint", "WITH v AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 127), (3, 128), (4, 300), (5, 16384), (6, 2147483647)) AS t(k, v)) SELECT CAST(k AS BIGINT) AS k, CAST(v AS BIGINT) AS v, CAST(1 AS INTEGER) AS field FROM v")
-def _(s, d):
-    from ..sources.mp4 import register
-
-    def encode(n: int) -> bytes:
-        out = b""
-        while n > 0x7F:
-            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
-        return out + bytes([n])
-
-    register(s)
-    rows = [(k, bytearray(b"\x08" + encode(v))) for k, v in enumerate((0, 1, 127, 128, 300, 16384, 2147483647))]
-    return s.sql("SELECT k, CAST(varint AS BIGINT) AS v, field FROM {m}, LATERAL pb_fields(raw)", m=s.createDataFrame(rows, "k long, raw binary"))
-
-
 @query("browse_filter", r"""WITH e AS (SELECT page_id, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS name FROM pages), x AS (SELECT page_id, name, lower(regexp_extract(name, '(\.[^./]*)$', 1)) AS ext FROM e)
 SELECT page_id, name FROM x WHERE NOT starts_with(name, '.') AND ext IN ('.html', '.htm')""")
 def _(s, d):
@@ -776,4 +648,4 @@ def _(s, d):
     return sessions(_events(s, d), "ts", "user_id", "6 hours", "10 minutes").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-from . import container_queries, file_queries, stream_queries  # noqa: E402,F401  (they add their queries to the catalogue)
+from . import container_queries, file_queries, stream_queries, view_queries  # noqa: E402,F401  (they add their queries to the catalogue)
