@@ -44,9 +44,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = small(repeated, repeated.count(), 32)
     once = kept.join(ids, "doc_id", "left_anti").select(*COLUMNS)
     again = kept.join(ids, "doc_id", "left_semi").withColumn("_text", by_text).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
-    nameless = own.where("doc_id IS NULL").withColumn("_text", by_text).dropDuplicates(["_text"])
-    known = own.where("doc_id IS NOT NULL").select(by_text.alias("_text"))
-    return once.unionByName(again).unionByName(nameless.join(known, "_text", "left_anti").select(*COLUMNS))
+    named = once.unionByName(again)
+    nameless = own.where("doc_id IS NULL")
+    if not nameless.limit(1).count():
+        return named
+    nameless = nameless.withColumn("_text", by_text).dropDuplicates(["_text"])
+    known = own.where("doc_id IS NOT NULL").select(by_text.alias("_text")).distinct()  # one row a text, combined before its shuffle
+    return named.unionByName(nameless.join(known, "_text", "left_anti").select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,3 +158,23 @@ def test_template_classes_must_nest():
     run = lambda ids: {r[2]: (r[3], r[4]) for r in extraction._check("h", tokens, ids, [0] * 4, [0] * 4, [0] * 4, [0] * 4)}
     assert run([1, 3, 4, 2])[20][1] and not run([3, 1, 4, 2])[20][1]
     assert run([1, 3, 4, 2])[20][0] != run([1, 4, 3, 2])[20][0]
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "some words of a test item that nobody else has at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_near_duplicates_keep_nameless_texts_once(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b = text(random.Random(1), 60), text(random.Random(2), 60)
+    rows = [(1, a), (2, a), (None, a), (None, b), (None, b), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == sorted([(False, 1, a), (True, 0, b), (True, 0, "")])
