@@ -35,7 +35,7 @@ def track_coverage(points: DataFrame, windows: DataFrame, offset_s: float = 0.0)
 def track_packets(points: DataFrame, windows: DataFrame, rate_hz: float = 1.0, offset_s: float = 0.0) -> DataFrame:
     """track_id, i, tick, duration, packet: what a metadata track holds."""
     ticks = camm.durations(camm.ticks(track.velocity(track.resample(points, windows, rate_hz, offset_s), 1 / rate_hz)))
-    return ticks.select("track_id", "i", "tick", "duration").join(camm.packets(camm.packet_fields(ticks)), ["track_id", "i"])
+    return camm.packets(camm.packet_fields(ticks, "tick", "duration"), "tick", "duration")
 
 
 def frame_corrections(rate: DataFrame, frames: DataFrame, clips: DataFrame, source_fps: float, **options) -> DataFrame:

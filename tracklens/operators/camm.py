@@ -44,9 +44,9 @@ def pts(run_table: DataFrame, by: str = "track_id") -> DataFrame:
     return each.select(by, (F.row_number().over(w).cast("long") - 1).alias("sample"), (F.sum("duration").over(w) - F.col("duration")).alias("pts"))
 
 
-def packet_fields(ticks_: DataFrame) -> DataFrame:
-    """The fields of one packet a tick (t in microseconds)."""
-    return ticks_.select("track_id", "i", (F.col("t") / 1e6).alias("epoch"), F.when(F.col("ele").isNotNull(), 3).otherwise(2).alias("fix_type"), "lat", "lon", F.coalesce("ele", F.lit(0.0)).alias("alt"),
+def packet_fields(ticks_: DataFrame, *keep: str) -> DataFrame:
+    """The fields of one packet a tick (t in microseconds), and the columns to keep."""
+    return ticks_.select("track_id", "i", *keep, (F.col("t") / 1e6).alias("epoch"), F.when(F.col("ele").isNotNull(), 3).otherwise(2).alias("fix_type"), "lat", "lon", F.coalesce("ele", F.lit(0.0)).alias("alt"),
                          F.lit(H_ACC).alias("h_acc"), F.lit(V_ACC).alias("v_acc"), "vel_e", "vel_n", "vel_up", F.lit(SPEED_ACC).alias("speed_acc"))
 
 
@@ -58,9 +58,9 @@ def _pack(epoch: pd.Series, fix: pd.Series, lat: pd.Series, lon: pd.Series, alt:
     return pd.Series([make(0, TYPE, *row) for row in zip(epoch, fix.astype(int), lat, lon, alt, h, v, e, n, up, acc, strict=True)])
 
 
-def packets(fields: DataFrame) -> DataFrame:
-    """track_id, i, packet (60 bytes)."""
-    return fields.select("track_id", "i", F.pandas_udf(_pack, "binary")(*FIELDS).alias("packet"))
+def packets(fields: DataFrame, *keep: str) -> DataFrame:
+    """track_id, i, the columns to keep, packet (60 bytes)."""
+    return fields.select("track_id", "i", *keep, F.pandas_udf(_pack, "binary")(*FIELDS).alias("packet"))
 
 
 def unpack(packets_: DataFrame, column: str = "packet") -> DataFrame:

@@ -54,7 +54,10 @@ def _written(s, d) -> str:
     return path
 
 
-_clip = F.regexp_extract("path", r"clip-(\d+)\.mp4$", 1).cast("long").alias("clip")
+def _clip():
+    return F.regexp_extract("path", r"clip-(\d+)\.mp4$", 1).cast("long").alias("clip")
+
+
 _SAMPLES = f"""WITH l AS (SELECT o_custkey % {FILES} AS clip, o_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, q) - 1 AS sample, dense_rank() OVER (PARTITION BY clip ORDER BY k) - 1 AS trak FROM l),
 x AS (SELECT *, 24 + sum(q) OVER (PARTITION BY clip ORDER BY k, sample ROWS UNBOUNDED PRECEDING) - q AS off FROM r)"""
@@ -64,7 +67,7 @@ x AS (SELECT *, 24 + sum(q) OVER (PARTITION BY clip ORDER BY k, sample ROWS UNBO
 def _(s, d):
     """Round trip of sink and source: each file in ranges of 64 KiB, samples with their bytes."""
     got = ranged.read(s, "mp4_samples", _written(s, d), range_bytes=1 << 16, payload=True)
-    return got.select(_clip, "trak", "track_id", "codec", "sample", "off", "size", "pts", F.hex("payload").alias("payload"))
+    return got.select(_clip(), "trak", "track_id", "codec", "sample", "off", "size", "pts", F.hex("payload").alias("payload"))
 
 
 @query("mp4_frame_at", f"""{_SAMPLES}, f AS (SELECT clip, k, off, q, sample FROM x WHERE trak = 0), c AS (SELECT DISTINCT clip, g.i / 2e0 AS t FROM f, unnest(range(0, 20)) AS g(i)),
@@ -76,7 +79,7 @@ def _(s, d):
     index = Scratch(s, "samples").table(ranged.read(s, "mp4_samples", path).drop("payload"), "index")
     wanted = index.select("path").distinct().select("path", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")).select("path", (F.col("i") / 2).alias("t"))
     got = ranged.payloads_of(ranged.frames_at(index, wanted))
-    return got.select(_clip, "t", "sample", "off", "size", F.length("payload").cast("long").alias("n_read"))
+    return got.select(_clip(), "t", "sample", "off", "size", F.length("payload").cast("long").alias("n_read"))
 
 
 @query("media_chunks", f"""WITH l AS (SELECT o_custkey % {FILES} AS clip, count(DISTINCT o_orderkey) AS tracks, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
@@ -85,7 +88,7 @@ SELECT clip, c AS chunk, 100 + c * 65536 AS off, least(65536, size - 100 - c * 6
 def _(s, d):
     """All bytes from the hundredth on, in chunks, each read by the range it begins in."""
     got = ranged.read(s, "byte_chunks", _written(s, d), range_bytes=1 << 17, chunk_bytes=1 << 16, first=100)
-    return got.select(_clip, "chunk", "off", F.length("bytes").cast("long").alias("n_bytes"))
+    return got.select(_clip(), "chunk", "off", F.length("bytes").cast("long").alias("n_bytes"))
 
 
 _GROWN = f"""{_SAMPLES}, t AS (SELECT clip, k, trak, count(*) AS n, sum(q) AS q, min(off) AS media FROM x GROUP BY ALL),
@@ -105,7 +108,7 @@ def _(s, d):
     even = inner.withColumn("file", F.regexp_extract("path", r"[^/]+$", 0)).join(keys, ["file", "r"]).where("k % 2 = 0")
     inserts = even.select("path", F.col("off").alias("parent_off"), (F.col("off") + F.col("size")).alias("at"), F.lit(32).cast("long").alias("n"))
     front = own.where("typ = 'moov'").select("path", F.lit(None).cast("long").alias("parent_off"), F.lit(16).cast("long").alias("at"), F.lit(100).cast("long").alias("n"))
-    return container.grown(own, inserts.unionByName(front)).select(_clip, "depth", "off", "new_off", "size", "new_size")
+    return container.grown(own, inserts.unionByName(front)).select(_clip(), "depth", "off", "new_off", "size", "new_size")
 
 
 @query("camm_mux_round_trip", f"""WITH m AS (SELECT o_custkey % {FILES} AS clip, 24 + CAST(sum(l_quantity) AS BIGINT) AS media FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
@@ -122,9 +125,9 @@ def _(s, d):
     e = e.withColumn("i", F.row_number().over(Window.partitionBy("track_id").orderBy("event_id")) - 1).withColumn("t_rel", F.col("i") + F.col("event_id") % 3 / 10)
     timed = camm.durations(camm.ticks(e))
     zero = [F.lit(0.0).alias(c) for c in ("lon", "alt", "h_acc", "v_acc", "vel_e", "vel_n", "vel_up", "speed_acc")]
-    packed = camm.packets(timed.select("track_id", "i", "epoch", F.when(F.col("event_id") % 2 == 0, 3).otherwise(2).alias("fix_type"), F.col("value").alias("lat"), *zero))
-    named = packed.join(timed.select("track_id", "i", "duration"), ["track_id", "i"]).withColumn("name", F.format_string("clip-%02d.mp4", "track_id"))
+    packed = camm.packets(timed.select("track_id", "i", "duration", "epoch", F.when(F.col("event_id") % 2 == 0, 3).otherwise(2).alias("fix_type"), F.col("value").alias("lat"), *zero), "duration")
+    named = packed.withColumn("name", F.format_string("clip-%02d.mp4", "track_id"))
     path = Scratch(s, "muxed").path("clips")
     container.write_files(container.muxed(files, named.join(files, "name").select("path", "i", "packet", "duration")), path)
     got = camm.unpack(ranged.read(s, "mp4_samples", path, codec="camm", payload=True), "payload")
-    return got.select(_clip, "sample", "off", "pts", F.round("epoch", 6).alias("epoch"), "fix_type", F.round("lat", 6).alias("lat"))
+    return got.select(_clip(), "sample", "off", "pts", F.round("epoch", 6).alias("epoch"), "fix_type", F.round("lat", 6).alias("lat"))

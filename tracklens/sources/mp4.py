@@ -139,10 +139,13 @@ def expand_samples(tracks: DataFrame, key: list[str]) -> DataFrame:
     tracks: key, sizes, chunk_offsets, stsc, stts. Chunks meet their run by interval (first <= chunk < next first),
     samples are numbered through the chunks and cut off where the sizes end.
     """
-    chunks = tracks.select(*key, F.posexplode("chunk_offsets").alias("_c", "chunk_off"), "stsc").withColumn("chunk", F.col("_c") + 1)
-    run = F.filter("stsc", lambda r: r.getField("first") <= F.col("chunk"))
-    spc = F.element_at(F.transform(run, lambda r: r.getField("spc")), -1)
-    per = chunks.withColumn("spc", F.when(F.size(run) > 0, spc).otherwise(F.lit(0).cast("long"))).where("spc > 0").select(*key, "chunk", "chunk_off", F.explode(F.sequence(F.lit(1).cast("long"), F.col("spc"))).alias("k"))
+    chunks = tracks.select(*key, F.posexplode("chunk_offsets").alias("_c", "chunk_off")).select(*key, (F.col("_c") + 1).cast("long").alias("chunk"), "chunk_off")
+    last = F.size("chunk_offsets").cast("long")
+    first = tracks.select(*key, last.alias("_last"), F.posexplode("stsc").alias("_r", "r")).select(*key, "_last", "_r", F.col("r.first").cast("long").alias("first"), F.col("r.spc").cast("long").alias("spc"))
+    until = F.least(F.coalesce(F.lead("first").over(Window.partitionBy(*key).orderBy("_r")) - 1, F.col("_last")), F.col("_last"))
+    # a run's chunks are listed, so that they meet their offsets by number
+    of_runs = first.withColumn("_until", until).where("spc > 0 AND first <= _until").select(*key, "spc", F.explode(F.sequence("first", "_until")).alias("chunk"))
+    per = chunks.join(of_runs, [*key, "chunk"]).select(*key, "chunk", "chunk_off", F.explode(F.sequence(F.lit(1).cast("long"), F.col("spc"))).alias("k"))
     numbered = per.withColumn("sample", F.row_number().over(Window.partitionBy(*key).orderBy("chunk", "k")) - 1)
     sizes = tracks.select(*key, F.posexplode("sizes").alias("sample", "size"))
     before = F.sum("size").over(Window.partitionBy(*key, "chunk").orderBy("k")) - F.col("size")
@@ -161,5 +164,9 @@ def metadata_track(tracks: DataFrame, samples: DataFrame, codec: str = "djmd") -
 
 
 def payloads(files: DataFrame, samples: DataFrame) -> DataFrame:
-    """The samples with their bytes: one row a sample, cut from the file's content in the JVM."""
-    return samples.join(files.select("path", "content"), "path").withColumn("payload", F.substr("content", F.col("off").cast("int") + 1, F.col("size").cast("int"))).drop("content")
+    """The samples with their bytes, cut in the JVM: a file's samples come to its one row. For files of at most 2 GB that are
+    columns already; ranged.payloads_of() reads from files of any size.
+    """
+    own = samples.groupBy("path").agg(F.collect_list(F.struct(*samples.columns)).alias("_s"))
+    cut = F.transform("_s", lambda x: F.struct(x.alias("s"), F.substring(F.col("content"), x["off"].cast("int") + 1, x["size"].cast("int")).alias("payload")))
+    return files.select("path", "content").join(own, "path").select(F.explode(cut).alias("x")).select("x.s.*", "x.payload")
