@@ -24,6 +24,54 @@ def first_by(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFr
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def tree(files: DataFrame) -> DataFrame:
+    """dir, parent (null above the top), name, path, is_dir of all that lies in any folder: folders are those of the files' paths."""
+    parts = F.split(F.regexp_replace("path", "^/+|/+$", ""), "/+")
+    each = files.select(parts.alias("p"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k"))
+    folder = lambda n: F.concat(F.lit("/"), F.array_join(F.slice("p", F.lit(1), n), "/"))
+    k = F.col("k")
+    rows = each.select(folder(k - 1).alias("dir"), F.when(k > 1, folder(F.greatest(k - 2, F.lit(0)))).alias("parent"), F.element_at("p", k).alias("name"), folder(k).alias("path"), (k < F.size("p")).alias("is_dir"))
+    return rows.where("name <> ''").distinct()
+
+
+def listing(index: DataFrame, folder: str, root: str, extensions: str | None = None) -> DataFrame:
+    """One folder of tree() as browse() shows it, with its parent; a root has none."""
+    own = index.where(F.col("dir") == folder).withColumn("parent", F.lit(None).cast("string") if folder == root else F.col("parent"))
+    return browse(own, extensions)
+
+
+def shortcuts(sources: list[DataFrame], index: DataFrame) -> DataFrame:
+    """label, path, kind of all sources (label, path, kind, ord) in their order, each path once, folders of tree() only."""
+    ranked = [x.select("label", "path", "kind", F.struct(F.lit(i).alias("source"), F.col("ord").cast("long").alias("ord")).alias("_o")) for i, x in enumerate(sources)]
+    every = ranked[0]
+    for x in ranked[1:]:
+        every = every.unionByName(x)
+    first = every.groupBy("path").agg(F.min_by(F.struct("label", "kind"), "_o").alias("s"))
+    return first.join(index.where("is_dir").select("path").distinct(), "path", "left_semi").select("s.label", "path", "s.kind")
+
+
+def selected(entries: DataFrame, selection: DataFrame) -> DataFrame:
+    """The entries whose path is in the selection (path)."""
+    return entries.join(selection.select("path"), "path", "left_semi")
+
+
+def first_present(values: Column, *names: str) -> Column:
+    """The value of the first of these names that a map has, null values included as in a document."""
+    out = F.lit(None)
+    for n in reversed(names):
+        out = F.when(F.map_contains_key(values, F.lit(n)), F.try_element_at(values, F.lit(n))).otherwise(out)
+    return out
+
+
+def error_tail(lines: DataFrame, key: str = "job", n_lines: int = 40, n_chars: int = 800) -> DataFrame:
+    """key, tail: the end of each key's last lines (seq, line), joined by line feeds; a limit on ranks drops the rest before its sort."""
+    w = Window.partitionBy(key).orderBy(F.desc("seq"))
+    last = lines.select(key, "seq", "line").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_lines)
+    got = last.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "line"))).alias("_l"))
+    text = F.btrim(F.array_join(F.transform("_l", lambda x: F.concat(x["line"], F.lit("\n"))), ""), F.lit(" \n\t\r"))
+    return got.select(key, F.right(text, F.lit(n_chars)).alias("tail"))
+
+
 def removable(roots: DataFrame) -> DataFrame:
     """Camera mounts by their folder's name."""
     return roots.where(F.col("name").startswith("mtp:") | F.col("name").startswith("gphoto2:"))
