@@ -210,3 +210,17 @@ def test_muxed_files_equal_the_bytes_function(spark, tmp_path, first):
         assert got == want and [p for p, _ in B.read_packets(got)] == [0, 90_000, 180_000, 270_000] and B.spherical_xml(got)
     container.write_files(container.muxed(files.limit(1)), str(tmp_path / "plain"))
     assert sorted((tmp_path / "plain").iterdir())[0].read_bytes() == media + B.relocated(buf)[1].write()
+
+
+def test_movie_headers(spark, tmp_path, big):
+    from tracklens.sources import ranged
+
+    long = box(b"mvhd", bytes([1]) + bytes(3) + struct.pack(">QQIQ", 1, 2, 600, 1 << 40) + bytes(76) + struct.pack(">I", 9))
+    video = trak(5, b"xxxx", [1], [0]).replace(b"meta" + bytes(12), b"vide" + bytes(12))
+    (tmp_path / "a").write_bytes(box(b"moov", long + trak(4, b"djmd", [1], [0]) + video))
+    (tmp_path / "b").write_bytes(box(b"ftyp", bytes(8)))
+    (tmp_path / "c").write_bytes(box(b"moov", trak(4, b"djmd", [1], [0])))
+    got = {r.path[-1]: tuple(r)[1:] for r in ranged.read(spark, "mp4_headers", str(tmp_path)).collect()}
+    assert got == {"a": (600, 1 << 40, 9, 1, 5, "xxxx", False), "c": (None,) * 7}
+    with ranged.RangedFile(big[0]) as f:
+        assert list(ranged.HeaderReader({"path": big[0]}).rows(f, big[0], 0, 1)) and f.read_bytes < 3000

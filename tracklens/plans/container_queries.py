@@ -37,7 +37,7 @@ def parts(s, d) -> DataFrame:
     chunks = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: be(F.col("at") + F.aggregate(F.slice("x", F.lit(1), i - 1), F.lit(0).cast("long"), lambda a, e: a + e["q"]), 8)), "")
     codec = F.when(F.col("k") % 3 == 0, "avc1").otherwise("djmd")
     stbl = box("stbl", box("stsd", zero, one, box(codec, be(F.lit(0), 8))), box("stts", zero, one, be(n), be(F.lit(40))), box("stsc", zero, one, one, one, one), box("stsz", zero, zero, be(n), words(lambda e: be(e["q"]))), box("co64", zero, be(n), chunks))
-    mdia = box("mdia", box("mdhd", be(F.lit(0), 12), be(F.lit(25)), be(F.lit(0), 8)), box("hdlr", be(F.lit(0), 8), F.hex(F.lit("meta")), be(F.lit(0), 12)), box("minf", stbl))
+    mdia = box("mdia", box("mdhd", be(F.lit(0), 12), be(F.lit(25)), be(F.lit(0), 8)), box("hdlr", be(F.lit(0), 8), F.hex(F.when(F.col("k") % 3 == 0, "vide").otherwise("meta")), be(F.lit(0), 12)), box("minf", stbl))
     tracks = placed.select("clip", "k", box("trak", box("tkhd", be(F.lit(0), 12), be(F.col("k")), be(F.lit(0), 8)), mdia).alias("hex"))
     mvhd = box("mvhd", be(F.lit(0), 12), be(F.lit(1000)), be(F.lit(0), 80), be(F.lit(1_000_000)))
     moov = tracks.groupBy("clip").agg((F.sum(F.length("hex") / 2) + 8 + 108).cast("long").alias("n"))
@@ -70,6 +70,13 @@ def _(s, d):
     return got.select(_clip(), "trak", "track_id", "codec", "sample", "off", "size", "pts", F.hex("payload").alias("payload"))
 
 
+@query("mp4_movie_headers", f"""{_SAMPLES}, v AS (SELECT clip, min(trak) AS trak, min(k) AS k FROM x WHERE k % 3 = 0 GROUP BY clip)
+SELECT DISTINCT x.clip, CAST(1000 AS BIGINT) AS timescale, CAST(0 AS BIGINT) AS duration, CAST(1000000 AS BIGINT) AS next_track_id, CAST(v.trak AS INTEGER) AS video_trak, v.k AS video_track_id, CASE WHEN v.k IS NOT NULL THEN 'avc1' END AS entry, CASE WHEN v.k IS NOT NULL THEN true END AS known_entry FROM x LEFT JOIN v USING (clip)""")
+def _(s, d):
+    """Movie headers and the first video track with its sample entry, from reads of the headers alone."""
+    return ranged.read(s, "mp4_headers", _written(s, d)).select(_clip(), "timescale", "duration", "next_track_id", "video_trak", "video_track_id", "entry", "known_entry")
+
+
 @query("mp4_frame_at", f"""{_SAMPLES}, f AS (SELECT clip, k, off, q, sample FROM x WHERE trak = 0), c AS (SELECT DISTINCT clip, g.i / 2e0 AS t FROM f, unnest(range(0, 20)) AS g(i)),
 h AS (SELECT c.clip, c.t, max(sample) AS sample FROM c JOIN f ON f.clip = c.clip AND (40 * sample) / 25e0 <= t GROUP BY ALL)
 SELECT h.clip, t, CAST(h.sample AS BIGINT) AS sample, CAST(off AS BIGINT) AS off, q AS size, q AS n_read FROM h JOIN f ON f.clip = h.clip AND f.sample = h.sample""")

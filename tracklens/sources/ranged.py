@@ -1,6 +1,6 @@
 """Containers of any size by byte ranges: boxes, samples and chunks of files, without reading whole files.
 
-Spark data sources `mp4_boxes`, `mp4_samples` and `byte_chunks` (register() makes them known) read `path`, a file or a folder on
+Spark data sources `mp4_boxes`, `mp4_headers`, `mp4_samples` and `byte_chunks` (register() makes them known) read `path`, a file or a folder on
 any file system that Arrow opens. A partition is a list of byte ranges of at most `range_bytes`, so large files are shared
 out and small ones packed together. A range's task seeks to box headers, reads the moov box (tables only, no media)
 and then only the samples that begin in its range. Filters on track_id, codec and seconds are taken before any payload is read.
@@ -8,6 +8,7 @@ and then only the samples that begin in its range. Filters on track_id, codec an
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -183,6 +184,42 @@ class PushingSampleReader(SampleReader):
                 yield f
 
 
+class HeaderReader(_Reader):
+    """The movie header and the first video track, one row a file that has a moov box."""
+
+    def rows(self, f: RangedFile, path: str, lo: int, hi: int) -> Iterator[tuple]:
+        from ..sinks.boxes import VIDEO_ENTRIES
+
+        if lo:
+            return
+        for depth, _, typ, off, size, head in walk(f):
+            if depth == 0 and typ == b"moov":
+                break
+        else:
+            return
+        scale = duration = following = None
+        for depth, _, typ, at, n, h in walk(f, off + head, off + size, 1, off):
+            if depth == 1 and typ == b"mvhd":
+                body = f.at(at + h, n - h)
+                long = body[0] == 1
+                scale, duration = struct.unpack_from(">IQ" if long else ">II", body, 20 if long else 12)
+                (following,) = struct.unpack(">I", body[-4:])
+        video = next(((k, t["track_id"], t["codec"]) for k, t in enumerate(tracks(f)) if t["handler"] == "vide"), (None, None, None))
+        yield path, scale, duration, following, *video, None if video[2] is None else video[2].encode("latin-1") in VIDEO_ENTRIES
+
+
+class Mp4HeaderSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "mp4_headers"
+
+    def schema(self) -> str:
+        return "path string, timescale long, duration long, next_track_id long, video_trak int, video_track_id long, entry string, known_entry boolean"
+
+    def reader(self, schema) -> DataSourceReader:
+        return HeaderReader(dict(self.options))
+
+
 class Mp4BoxSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -222,7 +259,7 @@ class Mp4SampleSource(DataSource):
 def register(spark: SparkSession) -> None:
     from ..sinks.container import FileSink
 
-    for source in (Mp4BoxSource, ByteChunkSource, Mp4SampleSource, FileSink):
+    for source in (Mp4BoxSource, Mp4HeaderSource, ByteChunkSource, Mp4SampleSource, FileSink):
         spark.dataSource.register(source)
 
 
