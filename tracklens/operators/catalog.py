@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.media import escape_filter_path, extension_in, inside
+from ..functions.media import cache_key, escape_filter_path, extension_in, inside, source_kind, url_quote
 
 
 def browse(entries: DataFrame, extensions: str | None = None) -> DataFrame:
@@ -130,6 +130,32 @@ def conversion_plan(jobs: DataFrame) -> DataFrame:
     return got.select("input", F.col("_mode").alias("mode"), F.col("_enc").alias("encoder"), F.col("_pix").alias("pix_fmt"), F.when(F.col("_mode").isNotNull(), argv).alias("argv"))
 
 
+#: The arguments of the two proxies that browsers can play, before and after the input and the graph.
+PREVIEW = ["-vf", "scale=1920:960", "-c:v", "libx264", "-pix_fmt", "yuv420p", "-crf", "23", "-preset", "veryfast", "-c:a", "aac", "-movflags", "+faststart", "-progress", "pipe:1", "-nostats", "-f", "mp4"]
+NAVIGATION = ["-filter_complex", "[0:0][0:1]hstack[s];[s]v360=input=dfisheye:output=e:ih_fov=190:iv_fov=190:yaw=90:w=688:h=344:interp=line,format=yuv420p[v]", "-map", "[v]", "-an", "-c:v", "libx264", "-preset", "ultrafast", "-crf", "26", "-movflags", "+faststart", "-f", "mp4"]
+
+
+def proxies(files: DataFrame, cached: DataFrame, folder: str) -> DataFrame:
+    """path, kind, target, url, argv of the proxy of each finished output (preview) and camera file (navigation).
+
+    files: path, mtime (text as in the key; null counts as 0), finished. cached: path of proxies that are there. argv is null
+    where the target is there already; it writes beside the target, from where a finished file is moved. Files that
+    share path and mtime share one proxy; other files have no row.
+    """
+    mtime = F.coalesce("mtime", F.lit("0"))
+    kinds = F.array(
+        F.when(F.col("finished"), F.struct(F.lit("preview").alias("kind"), F.concat(F.lit(f"{folder}/previews/"), cache_key(F.col("path"), mtime), F.lit(".mp4")).alias("target"))),
+        F.when(source_kind(F.col("path")) == "osv", F.struct(F.lit("navigation").alias("kind"), F.concat(F.lit(f"{folder}/"), cache_key(F.col("path"), mtime, F.lit("navproxy")), F.lit("_nav.mp4")).alias("target"))),
+    )
+    each = files.select("path", F.explode(kinds).alias("p")).where("p IS NOT NULL").select("path", "p.*").distinct()
+    there = cached.select(F.col("path").alias("target")).distinct().withColumn("_there", F.lit(True))
+    words = lambda x: F.array(*map(F.lit, x))
+    own = F.when(F.col("kind") == "preview", words(PREVIEW)).otherwise(words(NAVIGATION))
+    argv = F.concat(words(["ffmpeg", "-y", "-v", "error", "-i"]), F.array("path"), own, F.array(F.concat("target", F.lit(".part"))))
+    url = F.concat(F.lit("/api/media?path="), url_quote(F.col("target")))
+    return each.join(there, "target", "left").select("path", "kind", "target", url.alias("url"), F.when(F.col("_there").isNull(), argv).alias("argv"))
+
+
 def latest(events: DataFrame, key: str = "job", order: str = "seq") -> DataFrame:
     """The last state of each job of an append-only log, combined before the shuffle."""
     rest = [c for c in events.columns if c != key]

@@ -648,4 +648,4 @@ def _(s, d):
     return sessions(_events(s, d), "ts", "user_id", "6 hours", "10 minutes").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-from . import catalog_queries, container_queries, file_queries, stream_queries, view_queries  # noqa: E402,F401  (they add their queries to the catalogue)
+from . import catalog_queries, container_queries, file_queries, settings_queries, stream_queries, view_queries  # noqa: E402,F401  (they add their queries to the catalogue)

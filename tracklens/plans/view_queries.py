@@ -28,11 +28,12 @@ ok AS (SELECT *, degrees(t) < 96e0 AND sx BETWEEN 0 AND 3839 AND sy BETWEEN 0 AN
 gr AS (SELECT clip, lens, "row", col, CASE WHEN valid THEN CAST(round_even(sx, 0) AS INTEGER) END AS sx, CASE WHEN valid THEN CAST(round_even(sy, 0) AS INTEGER) END AS sy, valid, CASE WHEN valid THEN greatest(0e0, least(1e0, (radians(95e0) - t) / radians(10e0))) ELSE 0e0 END AS weight FROM ok)"""
 
 
-def calibrations(s, d) -> DataFrame:
-    """clip and the columns of remap.LENS_DDL, two rows a clip."""
+def calibrations(s, d, clips: DataFrame | None = None) -> DataFrame:
+    """clip and the columns of remap.LENS_DDL, two rows a clip (clips: clip; else the suppliers)."""
     ideal = [F.struct(*(F.lit(v).alias(k) for k, v in x.items() if k in ("qw", "qx", "qy", "qz")), F.lit(x["lens"]).alias("lens")) for x in L.ideal_lenses()]
     k, fx = F.col("clip"), L.ideal_lenses()[0]["fx"]
-    got = table(s, d, "supplier").select(F.col("s_suppkey").alias("clip"), F.explode(F.array(*ideal)).alias("x"))
+    clips = table(s, d, "supplier").select(F.col("s_suppkey").alias("clip")) if clips is None else clips
+    got = clips.select("clip", F.explode(F.array(*ideal)).alias("x"))
     return got.select("clip", F.col("x.lens").alias("lens"), (F.lit(fx) * (1 + k % 10 * 0.004)).alias("fx"), (1919.3 + k % 7 * 0.11 + F.col("x.lens") * 0.05).alias("cx"), (1919.6 - k % 5 * 0.13).alias("cy"),
                       F.array(*map(F.lit, _DIST)).alias("dist"), F.lit(3840.0).alias("width"), F.lit(3840.0).alias("height"), (1 + k % 4 * 0.01).alias("scale"), (k % 3 == 0).alias("linear"), *(f"x.q{c}" for c in "wxyz"))
 
