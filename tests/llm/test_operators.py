@@ -496,3 +496,77 @@ def test_url_filter_hits_false_positives_and_big_lists(spark, monkeypatch):
     for limit in (u.BROADCAST_BYTES, 0):
         monkeypatch.setattr(u, "BROADCAST_BYTES", limit)
         assert sorted(r.verdict for r in u.judge(pages, listed).collect()) == want
+
+
+def test_quality_classifier_against_brute_force(spark):
+    """Votes, EM and scorer again, document by document and without the operator's code for them."""
+    import math
+
+    from tracklens.llm import quality_classifier as q
+
+    rng = random.Random(11)
+    nouns = "house river green table stone night paper winter market bridge".split()
+    fine = [" ".join(rng.choice([*"the of and to in is".split(), *nouns]) + rng.choice(["", "", ".", "\n"]) for _ in range(rng.randrange(5, 160))) for _ in range(60)]
+    junk = [rng.choice([lambda: "BUY NOW!! " * rng.randrange(3, 30), lambda: "a|b | c|" * rng.randrange(4, 40), lambda: "same line here\n" * rng.randrange(4, 60), lambda: "x " * rng.randrange(10, 90), lambda: "$$% ## ** " * 20])() for _ in range(40)]
+    text = [*fine, *junk, "", " \n\t", None, "A", "é" * 3000, fine[0]]
+    ids = [*range(len(text) - 1), 0]  # one doc_id twice: its smallest text is learnt from
+    table = spark.createDataFrame(list(zip(ids, text, ["k"] * len(text), strict=True)), "doc_id long, text string, _score string").repartition(3)
+    got = sorted((r.doc_id, r.score, r.kept) for r in q.classify(table).collect())
+
+    def counted(t):
+        words, lines = t.split(), [x for x in t.split("\n") if x.strip()]
+        return {
+            "n": len(words), "upper": sum("A" <= c <= "Z" for c in t), "letters": sum(c.isascii() and c.isalpha() for c in t), "symbols": sum(c in "#*$%&<>^~=" for c in t),
+            "runs": sum(a == b for a, b in zip(words, words[1:])), "function": sum(w.encode() in q.FUNCTION_WORDS for w in words), "bars": t.count("|"), "loud": t.count("!!"), "kinds": len(set(words)), "lines": len(lines), "own": len(set(lines)), "words": words,
+        }
+
+    def ballot(c):
+        n = c["n"]
+        three = lambda x, bad, good: -1 if x > bad else 1 if x <= good else 0
+        return (
+            three(c["symbols"] / n, 0.2, 0.02), three(c["upper"] / max(1, c["letters"]), 0.3, 0.12), three(c["runs"] / n, 0.1, 0.02), three(c["bars"] / n, 0.1, 0.01), three(c["loud"] / n, 0.1, 0),
+            0 if n < 20 else -1 if c["function"] / n < 0.04 else 1 if c["function"] / n >= 0.12 else 0,
+            0 if c["lines"] < 4 else three(1 - c["own"] / c["lines"], 0.4, 0.1),
+            0 if n < 50 else -1 if c["kinds"] / n**0.8 < 0.6 else 1 if c["kinds"] / n**0.8 >= 1 else 0,
+        )
+
+    full = [counted(t) for t in text if t and t.strip()]
+    ballots = [ballot(c) for c in full]
+    good = [0.1 if (v.count(-1) >= 2 or v.count(-1) * 2 > v.count(1)) and v.count(-1) else 0.9 for v in ballots]
+    for _ in range(q.ROUNDS):
+        share = (sum(good) + 1) / (len(good) + 2)
+        rate = {}
+        for k in range(len(q.LABELLERS)):
+            for c in (0, 1):
+                n = {x: 0.5 + sum((g if c else 1 - g) for g, v in zip(good, ballots, strict=True) if v[k] == x) for x in (-1, 1)}
+                rate |= {(k, c, x): n[x] / (n[-1] + n[1]) for x in (-1, 1)}
+        log = lambda v, c: math.log(share if c else 1 - share) + sum(math.log(rate[k, c, x]) for k, x in enumerate(v) if x)
+        good = [1 / (1 + math.exp(max(-50, min(50, log(v, 0) - log(v, 1))))) for v in ballots]
+    posterior = dict(zip(ballots, good, strict=True))
+
+    def vector(t):
+        c, x = counted(t), np.zeros(q.DIMS)
+        n = c["n"]
+        for w in c["words"]:
+            shape = re.sub("[0-9]+", "0", re.sub("[A-Z]+", "A", re.sub(r"[^\W\d_A-Z]+", "a", w)))[:12]
+            x[zlib.crc32(b"function" if w.encode() in q.FUNCTION_WORDS else shape.encode()) % (q.DIMS - 8)] += 1 / n
+        x[-8:] = [c["runs"] / n, max(0, 1 - c["kinds"] / n**0.8), c["upper"] / max(1, c["letters"]), min(1, c["symbols"] / n), min(1, c["bars"] / n), 1 - c["own"] / c["lines"], 1 / n, 1]
+        return np.sqrt(x)
+
+    learnt = {}
+    for i, t in zip(ids, text, strict=True):
+        if t is not None and (i not in learnt or t < learnt[i]):
+            learnt[i] = t
+    learnt = [t for t in learnt.values() if t.strip()]
+    x, y = np.array([vector(t) for t in learnt]), np.array([posterior[ballot(counted(t))] for t in learnt])
+    w, m, v = np.zeros(q.DIMS), np.zeros(q.DIMS), np.zeros(q.DIMS)
+    for step in range(1, 401):
+        g = sum((1 / (1 + np.exp(-np.clip(a @ w, -30, 30))) - b) * a for a, b in zip(x, y, strict=True)) / len(x) + 1e-4 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.1 * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    want = sorted((i, float(1 / (1 + np.exp(-vector(t) @ w))) if t and t.strip() else 0.0) for i, t in zip(ids, text, strict=True))
+    assert [i for i, _, _ in got] == [i for i, _ in want]
+    # the operator computes in single precision
+    assert max(abs(a - b) for (_, a, _), (_, b) in zip(got, want, strict=True)) < 0.01
+    assert all(kept == (score >= 0.5) for _, score, kept in got)
+    assert sum(k for i, _, k in got if i < 60) >= 58 and not any(k for i, _, k in got if 60 <= i < 100)

@@ -5,8 +5,11 @@ Each labeller votes fine (1), junk (-1) or abstains (0) on a document. EM over t
 what in each class; every pattern then has a posterior. A logistic scorer over hashed word shapes is trained on
 the posteriors of a bounded, hash-chosen sample (`MAX_TRAIN` rows). No hand label is used.
 
-Defined cases: a null or blank text scores 0 and is rejected; rows with equal doc_id are scored one by one; an
-empty table gives no rows; without any vote against a text the model keeps it.
+Defined cases: a null or blank text scores 0 and is rejected; rows with equal doc_id are scored one by one, and
+the smallest of their texts stands for them in the sample; rows without doc_id are scored and vote, but are not in
+the sample; a score of exactly 0.5 is kept; a very long text is scored whole and comes to Python alone; other
+columns are ignored by classify() and kept by scored(), which adds `_score`; an empty table gives no rows; without any
+vote against a text the model keeps it.
 """
 
 from __future__ import annotations
@@ -163,7 +166,8 @@ def fit(docs: DataFrame) -> Model:
         full = [t for t in text if t and t.strip()]
         return {"pattern": [pattern(votes(t)) for t in full], "x": [features(t).tobytes() for t in full]}
 
-    mine = d.join(F.broadcast(ids), "doc_id").select("text")  # MAX_TRAIN ids
+    # MAX_TRAIN ids and a row each (of equal doc_ids the smallest text), combined before the shuffle
+    mine = d.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
     rows = map_batches(mine, example, "pattern int, x binary").collect()
     w = np.zeros(DIMS, np.float32)
     w[-1] = 1  # without examples everything is kept
