@@ -96,6 +96,9 @@ def resolve_mode(mode: Column, has_maps: Column) -> Column:
     return F.when(mode == "auto", F.when(has_maps, "calibrated").otherwise("v360")).when((mode == "calibrated") & ~has_maps, F.lit(None)).otherwise(mode)
 
 
+# The argument lists of encoder() and conversion_plan(), which the encoding program must find as they are.
+
+
 def encoder(codec: Column, wanted: Column, has_hardware: Column, quality: Column) -> tuple[Column, Column, Column]:
     """(encoder, pixel format, arguments) by codec, wish and hardware; auto takes the hardware that is there."""
     hardware = (wanted == "nvenc") | (wanted == "auto") & has_hardware
