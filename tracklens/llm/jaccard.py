@@ -17,10 +17,12 @@ all be made, but none between different texts may be lost.
 5. Residual join. Let d(x) = x XOR leader. x and y then differ by d(x) XOR d(y). If both link to the leader
    they are connected. If x does not, a y that links to x shares more than half of d(y) with d(x): so the
    prefix rule is applied again, to the differences, under each leader, tokens that the leader lacks first (what
-   the leader has and its members lack is common to all of them). Short lists give pairs to verify; a long list
+   the leader has and its members lack is common to all of them). Components are kept up to date by round, and
+   only pairs of different components are verified: of a list, each member outside its largest component with
+   every other. With at most `short` such members a list gives these pairs, at most `short` a member; one with more
    elects one of its members as leader of the others, whose differences go through this step again. Each
-   round takes lists eight times as long as short, so the rounds end.
-6. Components of all links.
+   round allows eight times as many, so the rounds end.
+6. The components of the last round.
 
 Joins on keys that may be hot (tokens, leaders, equal sets, labels) deal their rows to parts.
 
@@ -245,36 +247,58 @@ class Join:
 
         return map_batches(both, check, "a long, b long, star boolean, linked boolean, n int, d int, uu array<long>, ul array<long>, lu array<long>", text="tb")
 
-    def residual_pairs(self, star: DataFrame, short: int, name: str) -> DataFrame:
-        """a, b, star: pairs under one leader whose differences from it share prefix tokens, at least one of them unlinked.
+    def residual_pairs(self, star: DataFrame, labels: DataFrame, short: int, name: str) -> DataFrame:
+        """a, b, star: pairs of different components under one leader whose differences from it share prefix tokens, at least one of them unlinked.
 
         The keys are long enough for any partner; for the pair at hand, whose sizes are known, the shared token
-        must lie in the shorter prefix that its own least overlap leaves. Lists of more than `short` members elect
-        the one with the smallest doc_id, an unlinked one if there is any, and pair the others with it.
+        must lie in the shorter prefix that its own least overlap leaves. Lists with more than `short` members outside
+        their largest component elect the one with the smallest doc_id, an unlinked one if there is any, and pair the others with it.
         """
         t = self.scratch.table
+        star = star.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b", "left").withColumn("c", F.coalesce("c", "b"))
         # kind 0: unlinked with unlinked; kind 1: unlinked with linked
         each = [(0, "uu", True), (1, "ul", True), (1, "lu", False)]
-        entry = [star.where(F.size(c) > 0).select(F.lit(k).alias("kind"), F.col("a").alias("leader"), F.posexplode(c).alias("p", "token"), F.lit(u).alias("u"), F.col("b").alias("x"), "n", "d") for k, c, u in each]
+        entry = [star.where(F.size(c) > 0).select(F.lit(k).alias("kind"), F.col("a").alias("leader"), F.posexplode(c).alias("p", "token"), F.lit(u).alias("u"), F.col("b").alias("x"), "n", "d", "c") for k, c, u in each]
         entries = entry[0].unionByName(entry[1]).unionByName(entry[2])
         key = ["kind", "leader", "token"]
         one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-        sizes = entries.groupBy(*key).agg(one(F.col("u")).alias("n_u"), one(~F.col("u")).alias("n_l"), F.min(F.struct(~F.col("u"), "x")).alias("z"))
-        meets = F.when(F.col("kind") == 0, F.col("n_u") > 1).otherwise((F.col("n_u") > 0) & (F.col("n_l") > 0))
-        sizes = t(sizes.where(meets).select(*key, (F.col("n_u") + F.col("n_l")).alias("m"), F.col("z.x").alias("z")), f"{name}-lists")
+        by_component = entries.groupBy(*key, "c").agg(one(F.col("u")).alias("n_u"), one(~F.col("u")).alias("n_l"), F.min(F.struct(~F.col("u"), "x")).alias("z"))
+        n = F.col("n_u") + F.col("n_l")
+        sizes = by_component.groupBy(*key).agg(F.sum(n).alias("m"), F.sum("n_u").alias("n_u"), F.sum("n_l").alias("n_l"), F.count("*").alias("n_c"), F.max(F.struct(n.alias("n"), "c")).alias("most"), F.min("z").alias("z"))
+        meets = (F.col("n_c") > 1) & ((F.col("kind") == 0) | (F.col("n_u") > 0) & (F.col("n_l") > 0))
+        sizes = t(sizes.where(meets).select(*key, "m", (F.col("m") - F.col("most.n")).alias("others"), F.col("most.c").alias("major"), F.col("z.x").alias("z")), f"{name}-lists")
         heavy = t(heavy_keys(sizes, key, n="m"), f"{name}-heavy")
         held = t(spread_join(entries, sizes, key, "x", heavy), f"{name}-entries")
         most = F.floor((F.col("nx") + F.col("ny")) * (self.den - self.num) / (self.den + self.num))
         shared = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - most) / 2))
         fits = self._fits(F.col("nx"), F.col("ny")) & (F.col("px") <= F.col("dx") - shared) & (F.col("py") <= F.col("dy") - shared)
-        side = lambda s: held.where(F.col("m") <= short).select(*key, *(F.col(c).alias(f"{c}{s}") for c in ("x", "p", "u", "n", "d")))
-        # of unlinked ones the smaller doc_id first; else the unlinked one first
-        once = F.when(F.col("kind") == 0, F.col("xx") < F.col("xy")).otherwise(F.col("ux") & ~F.col("uy"))
-        near = side("x").join(side("y"), key).where(fits & once & (F.col("xx") != F.col("xy")))
+        side = lambda s, *more: held.where(F.col("others") <= short).select(*key, *(F.col(c).alias(f"{c}{s}") for c in ("x", "p", "u", "n", "d", "c")), *more)
+        few = t(side("x", "major").where("cx <> major"), f"{name}-few")  # at most `short` a list
+        # two members outside the largest component meet once
+        once = (F.col("cy") == F.col("major")) | (F.col("xx") < F.col("xy"))
+        near = spread_join(side("y"), few, key, "xy", heavy).where((F.col("cx") != F.col("cy")) & fits & once & ((F.col("kind") == 0) | (F.col("ux") != F.col("uy"))))
         near = near.select(F.least("xx", "xy").alias("a"), F.greatest("xx", "xy").alias("b")).distinct().withColumn("star", F.lit(False))
-        far = held.where((F.col("m") > short) & (F.col("x") != F.col("z"))).select(F.col("z").alias("a"), F.col("x").alias("b")).distinct().withColumn("star", F.lit(True))
+        far = held.where((F.col("others") > short) & (F.col("x") != F.col("z"))).select(F.col("z").alias("a"), F.col("x").alias("b")).distinct().withColumn("star", F.lit(True))
         return near.unionByName(far)
 
+    def merged(self, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """labels (node, component) after more links (a, b): components of the components that these connect."""
+        t = self.scratch.table
+
+        def with_label(rows: DataFrame, s: str, other: str) -> DataFrame:
+            own = labels.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+            return spread_join(rows, own, [s], other, t(heavy_keys(rows, [s]), f"{name}-heavy-{s}"), "left").withColumn(f"c{s}", F.coalesce(f"c{s}", s))
+
+        edges = with_label(with_label(links, "a", "b"), "b", "a").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        edges = t(edges, f"{name}-edges")
+        if not edges.limit(1).count():
+            return labels
+        joined = t(components(edges, Scratch(self.spark, "components")), f"{name}-joined")
+        large = t(heavy_keys(labels, ["component"]), f"{name}-large")
+        moved = spread_join(labels, joined.select(F.col("node").alias("component"), F.col("component").alias("to")), ["component"], "node", large, "left")
+        fresh = joined.join(labels.select("node"), "node", "left_anti").select("node", "component")
+        return t(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(fresh), name)
+
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         t, summaries = self.scratch.table, self.summaries()
@@ -303,17 +327,17 @@ class Join:
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         sets = self.sets(ids, "tokens")
         self.scratch.free()
-        links, short, round_ = None, 8 * SHORT, 0
+        labels, short, round_ = None, 8 * SHORT, 0
         while True:
             checked = t(self.verified(pairs, sets), f"checked{round_}")
             found = checked.where("linked").select("a", "b")
-            links = found if links is None else links.unionByName(found)
-            pairs = t(self.residual_pairs(checked.where("star"), short, f"residual{round_}"), f"pairs{round_}")
+            labels = t(components(found, Scratch(self.spark, "components")), "labels0") if labels is None else self.merged(labels, found, f"labels{round_}")
+            pairs = t(self.residual_pairs(checked.where("star"), labels, short, f"residual{round_}"), f"pairs{round_}")
             self.scratch.free()
             round_, short = round_ + 1, 8 * short
             if not pairs.limit(1).count():
                 break
-        labels = components(t(links, "links"), self.scratch).select(F.col("node").alias("sid"), F.col("component"))
+        labels = labels.select(F.col("node").alias("sid"), F.col("component"))
         known = rep.select("set1", "set2", "sid").join(labels, "sid", "left").select("set1", "set2", F.coalesce("component", "sid").alias("component"))
         heavy = t(heavy_keys(rep, ["set1", "set2"], n="n_docs"), "heavy-sets")
         rows = spread_join(summaries.select("doc_id", "n", "set1", "set2"), known, ["set1", "set2"], "doc_id", heavy, "left")
