@@ -252,3 +252,18 @@ def test_names_and_views(spark):
     assert one(*media.split_name(F.lit("a.b.osv")), *media.split_name(F.lit(".x")), media.basename(F.lit("/a/b/")), media.dirname(F.lit("/a/b"))) == ("a.b", ".osv", ".x", "", "b", "/a")
     assert one(media.ratio_text(F.lit(2.5), F.lit(3.0)), media.url_quote(F.lit("/a b/c"))) == ("2.5:3", "/a%20b/c")
     assert one(media.view_yaw(F.lit(190.0)), media.view_latitude(F.lit(99.0)), media.jpeg_q(F.lit(95)), media.jpeg_q(F.lit(100))) == (-170.0, 85.0, 2, 2)
+
+
+def test_even_and_quality_at_the_edge_of_the_tolerance(spark, tmp_path):
+    """901.6 / 46 / 10 and 901.6 / 10 / 46 lie on different sides of 1.96."""
+    import duckdb
+
+    from tracklens.plans.queries import QUERIES, SQL
+
+    rows = [(1, 46, 901.6), (2, 46, 902.0), (3, 0, 900.0), (4, 45, 918.0)]
+    path = str(tmp_path / "part.parquet")
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = sorted(con.execute(SQL["even_and_quality"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["even_and_quality"](spark, str(tmp_path)).collect()) == want

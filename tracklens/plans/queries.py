@@ -494,7 +494,7 @@ def _(s, d):
 
 @query("even_and_quality", f"SELECT p_partkey, {_EVEN.format('p_retailprice')} AS even, least(31, greatest(2, CAST(round_even((100 - p_size * 2) * 31e0 / 100, 0) AS INTEGER))) AS q, p_size <> 0 AND abs(p_retailprice / p_size / 10e0 - 2) <= 0.04e0 AS equirect FROM part")
 def _(s, d):
-    return table(s, d, "part").select("p_partkey", media.even(F.col("p_retailprice")).alias("even"), media.jpeg_q(F.col("p_size") * 2).alias("q"), media.is_equirect(F.col("p_retailprice") / 10.0, F.col("p_size").cast("double")).alias("equirect"))
+    return table(s, d, "part").select("p_partkey", media.even(F.col("p_retailprice")).alias("even"), media.jpeg_q(F.col("p_size") * 2).alias("q"), media.is_equirect(F.col("p_retailprice") / F.nullif("p_size", F.lit(0)), F.lit(10.0)).alias("equirect"))
 
 
 @query("view_algebra", """SELECT p_partkey, least(100e0, greatest(30e0, p_size * 3e0)) AS fov, least(85e0, greatest(-85e0, p_size * 5e0 - 125)) AS lat,
