@@ -121,3 +121,55 @@ def test_follow_runs_by_trigger_and_restores_the_session(spark):
         query.stop()
     assert [r.status for r in spark.read.parquet(scratch.path("out")).orderBy("step").collect()] == ["queued", "running"]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+def test_state_is_read_and_written_once_a_call():
+    """Calls to states are messages to the JVM: their number follows calls of a key, not its rows, until a queue is long."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State(dict):
+        def get(self):
+            calls.append("get")
+            return dict.get(self, ())
+
+        def update(self, v):
+            calls.append("update")
+            self[()] = v
+
+        def getValue(self, k):
+            calls.append("getValue")
+            return dict.get(self, k)
+
+        def updateValue(self, k, v):
+            calls.append("updateValue")
+            self[k] = v
+
+        def removeKey(self, k):
+            calls.append("removeKey")
+            del self[k]
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        getMapState = getValueState
+
+        def registerTimer(self, _):
+            calls.append("timer")
+
+    def run(processor, key, rows, batches=4):
+        processor.init(Handle())
+        step = -(-len(rows) // batches)
+        return [x for k in range(batches) for x in processor.handleInputRows((key,), iter(rows[k * step : k * step + step]), None)]
+
+    rng = random.Random(5)
+    rows = [Row(seq=n, k="progress" if n % 5 == 4 else f"a{n % 5}", v=str(n), ms=n) for n in range(500)]
+    blocks = run(ordered.Blocks(1000), "j", rng.sample(rows, 500))
+    assert [b.block for b in blocks] == list(range(100)) and len(calls) == 9
+    for n, bound in ((200, 8), (3000, 12_000)):
+        calls.clear()
+        events = [(k, rng.choice(["submit", "submit", "submit", "progress", "done", "error", "cancel"]), str(rng.randrange(k + 1)), rng.random()) for k in range(n)]
+        got = run(ordered.Jobs(), "q", [Row(seq=k, action=a, job=j, value=v, error=None) for k, a, j, v in rng.sample(events, n)])
+        assert [(r.seq, r.step, r.job, r.status, r.ok) for r in got] == model(events)[0] and len(calls) <= bound
