@@ -267,3 +267,9 @@ def test_even_and_quality_at_the_edge_of_the_tolerance(spark, tmp_path):
     con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{path}/*.parquet')")
     want = sorted(con.execute(SQL["even_and_quality"]).fetchall())
     assert sorted(tuple(r) for r in QUERIES["even_and_quality"](spark, str(tmp_path)).collect()) == want
+
+
+def test_remaining_time_is_scaled_by_the_ratio(spark):
+    """60 * 197.6 / 102.4 would be 115.78125, a tie that rounds to another fourth digit."""
+    got = spark.range(1).select(media.eta_s(F.lit(102.4), F.lit(300.0), F.lit(None).cast("double"), F.lit(60.0)).alias("x")).first().x
+    assert got == 60 * ((300 - 102.4) / 102.4) and got < 115.78125

@@ -80,7 +80,7 @@ def progress(out_s: Column, duration_s: Column, base: float = 0.0, span: float =
 
 def eta_s(out_s: Column, duration_s: Column, speed: Column, elapsed_s: Column) -> Column:
     left = F.greatest(F.lit(0.0), duration_s - out_s)
-    return F.when((duration_s > 0) & out_s.isNotNull(), F.when(speed > 0, left / speed).when(out_s > 0, elapsed_s * left / out_s))
+    return F.when((duration_s > 0) & out_s.isNotNull(), F.when(speed > 0, left / speed).when(out_s > 0, elapsed_s * (left / out_s)))
 
 
 def byte_range(header: Column, size: Column) -> tuple[Column, Column, Column]:
