@@ -224,3 +224,21 @@ def test_movie_headers(spark, tmp_path, big):
     assert got == {"a": (600, 1 << 40, 9, 1, 5, "xxxx", False), "c": (None,) * 7}
     with ranged.RangedFile(big[0]) as f:
         assert list(ranged.HeaderReader({"path": big[0]}).rows(f, big[0], 0, 1)) and f.read_bytes < 3000
+
+
+def test_tables_are_read_once_a_task_not_once_a_range(tmp_path, monkeypatch):
+    from tracklens.sources import ranged
+
+    at = list(range(24, 24 + 40 * 300, 40))
+    (tmp_path / "a.mp4").write_bytes(box(b"ftyp", bytes(8)) + box(b"mdat", bytes(40 * 300)) + box(b"moov", trak(1, b"djmd", [40] * 300, at)))
+    (tmp_path / "b.mp4").write_bytes((tmp_path / "a.mp4").read_bytes())
+    parsed = []
+    whole = ranged.tracks
+    monkeypatch.setattr(ranged, "tracks", lambda f: parsed.append(1) or whole(f))
+    reader = ranged.SampleReader({"path": str(tmp_path), "range_bytes": "64"})
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert sorted((r[0][-5], r[6]) for r in rows) == sorted((n, o) for n in "ab" for o in at)
+    assert len(parsed) == 2
+    monkeypatch.setattr(ranged, "TASK_RANGES", 50)  # a file of many ranges is still shared out
+    parsed.clear()
+    assert len([r for p in reader.partitions() for r in reader.read(p)]) == 600 and len(parsed) == len(reader.partitions()) == 2 * -(-os.path.getsize(tmp_path / "a.mp4") // (64 * 50))

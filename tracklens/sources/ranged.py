@@ -2,8 +2,9 @@
 
 Spark data sources `mp4_boxes`, `mp4_headers`, `mp4_samples` and `byte_chunks` (register() makes them known) read `path`, a file or a folder on
 any file system that Arrow opens. A partition is a list of byte ranges of at most `range_bytes`, so large files are shared
-out and small ones packed together. A range's task seeks to box headers, reads the moov box (tables only, no media)
-and then only the samples that begin in its range. Filters on track_id, codec and seconds are taken before any payload is read.
+out and small ones packed together. A file of several ranges has tasks of its own, each up to TASK_BYTES and TASK_RANGES, that
+take neighbouring ranges as one. A task seeks to box headers, reads the moov box (tables only, no media) once a file
+and then only the samples that begin in its ranges. Filters on track_id, codec and seconds are taken before any payload is read.
 """
 
 from __future__ import annotations
@@ -106,7 +107,8 @@ def plan(path: str, range_bytes: int) -> list[Ranges]:
     for x in sorted((x for x in found if x.is_file and not x.base_name.startswith(("_", "."))), key=lambda x: x.path):
         for lo in range(0, max(x.size, 1), range_bytes):
             hi = min(x.size, lo + range_bytes)
-            if out[-1].ranges and (held + hi - lo > TASK_BYTES or len(out[-1].ranges) >= TASK_RANGES or hi - lo == range_bytes):
+            other = out[-1].ranges and out[-1].ranges[-1][0] != prefix + x.path and (hi - lo == range_bytes or out[-1].ranges[-1][1] > 0)
+            if out[-1].ranges and (held + hi - lo > TASK_BYTES or len(out[-1].ranges) >= TASK_RANGES or other):
                 out.append(Ranges([]))
                 held = 0
             out[-1].ranges.append((prefix + x.path, lo, hi))
@@ -114,6 +116,16 @@ def plan(path: str, range_bytes: int) -> list[Ranges]:
     return out
 
 
+def spans(ranges: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The ranges with neighbours of one file made one, so that a task reads a file's tables once, not once a range."""
+    out: list[tuple[str, int, int]] = []
+    for path, lo, hi in ranges:
+        if out and out[-1][0] == path and out[-1][2] == lo:
+            path, lo, _ = out.pop()
+        out.append((path, lo, hi))
+    return out
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
@@ -123,7 +135,7 @@ class _Reader(DataSourceReader):
         return plan(self.options["path"], self.range_bytes)
 
     def read(self, partition: Ranges) -> Iterator[tuple]:
-        for path, lo, hi in partition.ranges:
+        for path, lo, hi in spans(partition.ranges):
             with RangedFile(path) as f:
                 yield from self.rows(f, path, lo, hi)
 
