@@ -87,6 +87,42 @@ def test_cache_computes_what_is_missing_or_spoilt(spark, tmp_path):
     assert cache.read(keys(5)).count() == 10
 
 
+def test_cache_of_many_small_results(spark, tmp_path):
+    """Runs share files, however many keys they have; a key's rows are those of its last run."""
+    from pyspark.sql import functions as F
+
+    from tracklens.sinks.cache import Cache
+
+    cache, asked = Cache(spark, f"file://{tmp_path}/c", "i int, v long", many=True), []
+
+    def compute(missing):
+        asked.append(missing.count())
+        return missing.repartition(1).select("key", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"), (F.col("seed") * 100 + F.col("i")).alias("v"))
+
+    keys = lambda a, b: spark.range(a, b).select(F.sha1(F.col("id").cast("string")).alias("key"), F.col("id").alias("seed"))
+    for a, b in ((0, 200), (100, 300), (0, 300)):
+        cache.fill(keys(a, b), compute)
+    assert asked == [200, 100]
+    assert len(glob.glob(f"{tmp_path}/c/rows/**/*.parquet", recursive=True)) <= 4
+    want = sorted((x, i, x * 100 + i) for x in range(300) for i in range(3))
+    assert sorted((r.seed, r.i, r.v) for r in cache.read(keys(0, 300)).collect()) == want
+    # a run whose rows were lost is computed again; what is left of its number is replaced, and earlier rows are not given
+    spark.createDataFrame([(0, 7, hashlib.sha1(b"0").hexdigest())], "i int, v long, key string").write.mode("append").parquet(f"file://{tmp_path}/c/rows/run=2")
+    spark.createDataFrame([(0, 7, "left")], "i int, v long, key string").write.parquet(f"file://{tmp_path}/c/rows/run=3")
+    assert cache.rows().count() == 900
+    spark.createDataFrame([], "i int, v long, key string").write.mode("overwrite").parquet(f"file://{tmp_path}/c/rows/run=2")
+    assert cache.fill(keys(0, 300), compute) == 3 and asked == [200, 100, 100]
+    assert sorted((r.seed, r.i, r.v) for r in cache.read(keys(0, 300)).collect()) == want
+
+    def fails(missing):
+        return compute(missing).withColumn("v", F.when(F.col("i") == 2, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("v")))
+
+    with pytest.raises(Exception, match="lost"):
+        cache.fill(keys(300, 310), fails)
+    assert cache.valid(keys(300, 310), content=False).count() == 0 and cache.fill(keys(300, 310), compute) == 4
+    assert cache.read(keys(0, 310)).count() == 930
+
+
 def test_metadata_files(spark, tmp_path):
     from tracklens.sinks import metadata
 

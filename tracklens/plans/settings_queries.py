@@ -133,7 +133,7 @@ k AS (SELECT clip, c.file, CASE WHEN c.file % 10 = 0 THEN '2.0' ELSE '1.0' END A
 SELECT k.clip, {_KEY} AS key, CAST(run AS INTEGER) AS run, count(*) AS n, count(*) FILTER (valid) AS n_valid FROM k JOIN gr ON gr.clip = k.file GROUP BY ALL""")
 def _(s, d):
     """Maps of a third of the clips, then of all, then of all after a tenth of the files changed: each key is computed once."""
-    cache = Cache(s, Scratch(s, "map-cache").root, 'lens int, row int, col int, sx int, sy int, valid boolean, weight double')
+    cache = Cache(s, Scratch(s, "map-cache").root, 'lens int, row int, col int, sx int, sy int, valid boolean, weight double', many=True)
     clips = table(s, d, "supplier").select(F.col("s_suppkey").alias("clip"), F.expr(_FILE).alias("file"))
 
     def keyed(some: DataFrame, mtime) -> DataFrame:
