@@ -273,3 +273,15 @@ def test_remaining_time_is_scaled_by_the_ratio(spark):
     """60 * 197.6 / 102.4 would be 115.78125, a tie that rounds to another fourth digit."""
     got = spark.range(1).select(media.eta_s(F.lit(102.4), F.lit(300.0), F.lit(None).cast("double"), F.lit(60.0)).alias("x")).first().x
     assert got == 60 * ((300 - 102.4) / 102.4) and got < 115.78125
+
+
+def test_generated_images_are_not_broadcast(spark):
+    """Spark takes exploded pixels to be as small as the rows they come from."""
+    clips = spark.range(3).select(F.col("id").alias("clip"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("row"), F.lit(10.0).alias("v_span_deg"), F.lit(0.0).alias("yaw_deg"))
+    image = clips.select("clip", "row", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("col")).selectExpr("clip", "row", "col", "row AS r", "col AS g", "CAST(clip AS INT) AS b")
+    view = remap.views(clips.where("row = 0").drop("row"), "cylindrical", 4, 2)
+    lens = image.selectExpr("clip", "0 AS lens", "row AS sx", "col AS sy", "r", "g", "b")
+    grid = lens.selectExpr("clip", "lens", "sx AS row", "sy AS col", "sx", "sy")
+    for got, n in ((remap.sample(view, image, 6, 6, ("clip",)), 24), (remap.gather(grid, lens, ("clip",)), 108)):
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.where("b = clip").count() == n

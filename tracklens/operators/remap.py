@@ -70,9 +70,14 @@ def mask(grid_: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return w.select(*by, "row", "col", F.rint(F.when(F.col("total") > 0, F.col("second") / F.col("total")).otherwise(F.lit(0.5)) * 255).cast("int").alias("m"))
 
 
+def _shuffled(image: DataFrame) -> DataFrame:
+    """An image that a join never broadcasts: Spark takes generated pixels to be as small as the rows they come from."""
+    return image.hint("merge")
+
+
 def gather(grid_: DataFrame, image: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, lens, row, col, r, g, b: nearest source pixels, black where there is none. image: by, lens, sx, sy, r, g, b."""
-    hit = grid_.select(*by, "lens", "row", "col", "sx", "sy").join(image, [*by, "lens", "sx", "sy"], "left")
+    hit = grid_.select(*by, "lens", "row", "col", "sx", "sy").join(_shuffled(image), [*by, "lens", "sx", "sy"], "left")
     return hit.select(*by, "lens", "row", "col", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"))
 
 
@@ -117,4 +122,4 @@ def sample(view_: DataFrame, image: DataFrame, src_w: int, src_h: int, by: tuple
     at = lambda c, n: F.least(F.lit(n - 1), F.floor(c * n)).cast("int")
     keyed = view_.select(*by, "row", "col", at(u, src_w).alias("_c"), at(v, src_h).alias("_r"))
     src = image.select(*by, F.col("row").alias("_r"), F.col("col").alias("_c"), "r", "g", "b")
-    return keyed.join(src, [*by, "_r", "_c"], "left").select(*by, "row", "col", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"))
+    return keyed.join(_shuffled(src), [*by, "_r", "_c"], "left").select(*by, "row", "col", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"))

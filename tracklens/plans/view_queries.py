@@ -141,7 +141,7 @@ b AS (SELECT clip, "row", col, lon / (2 * pi()) + 0.5e0 AS u, greatest(0e0, leas
 c AS (SELECT clip, "row", col, CAST(least(36, floor((u - floor(u)) * 37)) AS INTEGER) AS sc, CAST(least(18, floor(v * 19)) AS INTEGER) AS sr FROM b)
 SELECT clip, "row", col, sr AS r, sc AS g, CAST((sr * 40 + sc + clip) % 256 AS INTEGER) AS b FROM c""")
 def _(s, d):
-    whole = table(s, d, "supplier").select(F.col("s_suppkey").alias("clip"), F.explode(F.sequence(F.lit(0), F.lit(18))).alias("row")).select("clip", "row", F.explode(F.sequence(F.lit(0), F.lit(36))).alias("col"))
+    whole = table(s, d, "supplier").select(F.col("s_suppkey").alias("clip"), F.explode(F.sequence(F.lit(0), F.lit(18))).alias("row")).repartition("clip", "row").select("clip", "row", F.explode(F.sequence(F.lit(0), F.lit(36))).alias("col"))
     images = whole.select("clip", "row", "col", F.col("row").alias("r"), F.col("col").alias("g"), ((F.col("row") * 40 + F.col("col") + F.col("clip")) % 256).cast("int").alias("b"))
     return remap.sample(remap.views(_params(s, d), "cylindrical", W, H), images, 37, 19, CLIP)
 
