@@ -242,3 +242,24 @@ def test_tables_are_read_once_a_task_not_once_a_range(tmp_path, monkeypatch):
     monkeypatch.setattr(ranged, "TASK_RANGES", 50)  # a file of many ranges is still shared out
     parsed.clear()
     assert len([r for p in reader.partitions() for r in reader.read(p)]) == 600 and len(parsed) == len(reader.partitions()) == 2 * -(-os.path.getsize(tmp_path / "a.mp4") // (64 * 50))
+
+
+def test_packets_are_parts_and_times_may_be_long(spark, tmp_path):
+    """No row holds a file's packets or tracks, and a track may last more than four bytes say; several files share a batch."""
+    from tracklens.sinks import container
+    from tracklens.sources import ranged
+
+    mvhd, data = full(b"mvhd", 0, 0, 1000, 0, *[0] * 20, 7), box(b"mdat", b"abc")
+    others = b"".join(trak(k, b"djmd", [3], [24]) for k in range(1, 6))
+    for name in "ab":
+        (tmp_path / name).write_bytes(box(b"ftyp", bytes(8)) + data + box(b"moov", mvhd + others))
+    files = spark.createDataFrame([(str(tmp_path / x), x) for x in "ab"], "path string, name string").coalesce(1)
+    last = {"a": [3_000_000_000, 2_000_000_000, 5], "b": [7, 7, 9, 9, 1]}
+    rows = spark.createDataFrame([(str(tmp_path / x), k, bytes([k]) * 60, n) for x, ns in last.items() for k, n in enumerate(ns)], "path string, i int, packet binary, duration long")
+    parts = container.muxed(files, rows)
+    assert parts.where("length(bytes) = 60").count() == 8 and parts.where("source IS NOT NULL AND off > 24").count() == 2
+    container.write_files(parts, str(tmp_path / "out"))
+    got = ranged.read(spark, "mp4_samples", str(tmp_path / "out"), codec="camm", payload=True).orderBy("path", "sample").collect()
+    assert [(r.path[-1], r.pts, bytes(r.payload)) for r in got] == [(x, sum(ns[:k]), bytes([k]) * 60) for x, ns in last.items() for k in range(len(ns))]
+    boxes = ranged.read(spark, "mp4_boxes", str(tmp_path / "out"), levels=2)
+    assert {r.depth for r in boxes.collect()} == {0, 1} and boxes.where("typ = 'trak'").count() == 12

@@ -12,11 +12,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
+
+from ..operators import camm
 
 PARTS = "name string, part long, bytes binary, source string, off long, size long"
 #: Bytes copied at a time.
 COPY = 4 << 20
+#: Places of the packets and of moov among a file's parts.
+PACKETS, MOOV = 1 << 40, 1 << 41
 
 
 @dataclass
@@ -26,7 +30,7 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class FileWriter(DataSourceWriter):
+class FileWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = path.rstrip("/")
         self.staging = f"{self.path}/_temporary-{uuid.uuid4().hex}"
@@ -43,26 +47,29 @@ class FileWriter(DataSourceWriter):
         system, own = self._system(self.staging)
         folder = f"{own}/{uuid.uuid4().hex}"  # a repeated attempt has a folder of its own
         system.create_dir(folder, recursive=True)
-        out, name, files = None, None, []
+        out, name, files, seen = None, None, [], set()
         try:
-            for row in iterator:
-                if row.name != name or out is None:
-                    if out is not None:
-                        out.close()
-                    name = row.name
-                    if name in {n for _, n in files} or not name or ".." in name.split("/") or name.startswith("/"):
-                        raise ValueError(f"no file name, or parts of it out of order: {name!r}")
-                    files.append((f"{folder}/{len(files)}", name))
-                    out = system.open_output_stream(files[-1][0])
-                if row.bytes is not None:
-                    out.write(row.bytes)
-                elif row.source is not None:
-                    with RangedFile(row.source) as f:
-                        for at in range(row.off, row.off + row.size, COPY):
-                            got = f.at(at, min(COPY, row.off + row.size - at))
-                            out.write(got)
-                        if row.size and at + len(got) != row.off + row.size:
-                            raise ValueError(f"{row.source} ends before {row.off + row.size}")
+            for batch in iterator:
+                columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("name", "bytes", "source", "off", "size"))
+                for row_name, data, source, off, size in zip(*columns, strict=True):
+                    if row_name != name or out is None:
+                        if out is not None:
+                            out.close()
+                        name = row_name
+                        if name in seen or not name or ".." in name.split("/") or name.startswith("/"):
+                            raise ValueError(f"no file name, or parts of it out of order: {name!r}")
+                        seen.add(name)
+                        files.append((f"{folder}/{len(files)}", name))
+                        out = system.open_output_stream(files[-1][0], buffer_size=1 << 20)
+                    if data is not None:
+                        out.write(data)
+                    elif source is not None:
+                        with RangedFile(source) as f:
+                            for at in range(off, off + size, COPY):
+                                got = f.at(at, min(COPY, off + size - at))
+                                out.write(got)
+                            if size and at + len(got) != off + size:
+                                raise ValueError(f"{source} ends before {off + size}")
         finally:
             if out is not None:
                 out.close()
@@ -114,45 +121,93 @@ def write_files(parts: DataFrame, path: str) -> None:
 def muxed(files: DataFrame, packets: DataFrame | None = None, spherical: bool = False) -> DataFrame:
     """Parts (for write_files) of files (path, name) with a track of packets (path, i, packet, duration) and spherical boxes.
 
-    Media stay where they are and are copied by range when written; only the moov box is read, changed and put at the end, its
-    chunk offsets moved if it stood before media. A file's packets (60 bytes each) are one task's, as a clip is.
+    Media and tracks that do not change stay where they are and are copied by range when written; moov is put at the end, its
+    chunk offsets moved, a track at a time, if it stood before media. Packets (60 bytes each) are parts of their own and never
+    held together: what a task holds of a file is one track and the runs of the durations.
     """
-    own = files.select("path", "name")
+    own, steps = files.select("path", "name"), "array<struct<run:bigint,cnt:bigint,duration:bigint>>"
     if packets is None:
-        joined = own.withColumn("packets", F.array().cast("array<struct<i:long,packet:binary,duration:long>>"))
+        joined = own.withColumn("steps", F.lit(None).cast(steps))
     else:
-        rows = F.struct(F.col("i").cast("long").alias("i"), "packet", F.col("duration").cast("long").alias("duration"))
-        joined = own.join(packets.groupBy("path").agg(F.sort_array(F.collect_list(rows)).alias("packets")), "path", "left")
+        w = Window.partitionBy("path").orderBy("i", "packet", "duration")
+        given = packets.select("path", F.col("i").cast("long").alias("i"), "packet", F.col("duration").cast("long").alias("duration"))
+        rows = given.withColumn("n", F.row_number().over(w).cast("long"))
+        timed = camm.runs(rows.select("path", "n", "duration"), by="path", order="n").groupBy("path")
+        joined = own.join(timed.agg(F.sort_array(F.collect_list(F.struct("run", "cnt", "duration"))).cast(steps).alias("steps")), "path", "left")
+        packet = F.when(F.length("packet") == camm.SIZE, F.col("packet")).otherwise(F.raise_error(F.lit(f"a packet has {camm.SIZE} bytes")).cast("binary"))
+        moved = rows.join(own, "path").select("name", (F.col("n") + PACKETS).alias("part"), packet.alias("bytes"), *(F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("off", "long"), ("size", "long"))))
 
     def run(batches):
         import pyarrow as pa
 
-        from ..sources.mp4 import BoxError
-        from ..sources.ranged import RangedFile, walk
-        from .boxes import Tree, _move_chunks, with_packets, with_spherical
-
         names = [x.split()[0] for x in PARTS.split(", ")]
         types = [pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
         for batch in batches:
-            for row in batch.to_pylist():
-                with RangedFile(row["path"]) as f:
-                    tops = [(typ, off, size) for depth, _, typ, off, size, _ in walk(f) if depth == 0]
-                    place = next(((off, size) for typ, off, size in tops if typ == b"moov"), None)
-                    if place is None:
-                        raise BoxError(f"{row['path']} has no moov box")
-                    moov = Tree.parse(f.at(*place))[0]
-                kept = [(off, size) for _, off, size in tops if off != place[0]]
-                _move_chunks(moov, *place)
-                parts = [(row["name"], k, None, row["path"], off, size) for k, (off, size) in enumerate(kept)]
-                if spherical:
-                    with_spherical(moov)
-                if row["packets"]:
-                    data = with_packets(moov, sum(size for _, size in kept), [p["packet"] for p in row["packets"]], [p["duration"] for p in row["packets"]])
-                    parts.append((row["name"], len(parts), data, None, None, None))
-                parts.append((row["name"], len(parts), moov.write(), None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=names)
-
-    return joined.mapInArrow(run, PARTS)
+            for k in range(batch.num_rows):
+                path, name, timing = (batch.column(batch.schema.get_field_index(c))[k] for c in ("path", "name", "steps"))
+                held, parts = 0, []
+                for part in _remade(path.as_py(), timing.values if timing.is_valid else None, spherical):
+                    parts.append((name.as_py(), *part))
+                    held += len(part[1] or b"")
+                    if held > COPY:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=names)
+                        held, parts = 0, []
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=names)
+
+    made = joined.mapInArrow(run, PARTS)
+    return made if packets is None else made.unionByName(moved)
+
+
+def _remade(path: str, timing, spherical: bool):
+    """(part, bytes, source, off, size) of a file with moov at its end, without the packets themselves."""
+    from ..sources.mp4 import BoxError
+    from ..sources.ranged import RangedFile, walk
+    from .boxes import Tree, _move_chunks, head, packet_track, spherical_track
+
+    with RangedFile(path) as f:
+        tops = [(typ, off, size, n) for _, _, typ, off, size, n in walk(f, levels=1)]
+        place = next(((off, size, n) for typ, off, size, n in tops if typ == b"moov"), None)
+        if place is None:
+            raise BoxError(f"{path} has no moov box")
+        at, size, n = place
+        kept = [(off, length) for _, off, length, _ in tops if off != at]
+        for k, (off, length) in enumerate(kept):
+            yield k, None, path, off, length
+        inside = [(typ, off, length) for _, _, typ, off, length, _ in walk(f, at + n, at + size, 1, at, levels=2)]
+        if sum(length for *_, length in inside) < size - n - 8 * len(inside) - 16:
+            raise BoxError("the file does not end with a whole box")
+        mvhd = next((x for x in inside if x[0] == b"mvhd"), None)
+        small = Tree(b"moov", b"", children=Tree.parse(f.at(*mvhd[1:])) if mvhd else [])
+        if timing is not None:
+            counts, lasting = (timing.field(c).to_numpy(zero_copy_only=False) for c in ("cnt", "duration"))
+            yield PACKETS, packet_track(small, sum(length for _, length in kept), int(counts.sum()), camm.SIZE, counts, lasting), None, None, None
+        behind, wanted, total, same = any(off > at for off, _ in kept), spherical, 0, None
+        for k, (typ, off, length) in enumerate(inside):
+            data = small.children[0].write() if timing is not None and (typ, off, length) == mvhd else None
+            if typ == b"trak" and (behind or wanted):
+                trak = Tree.parse(f.at(off, length))[0]
+                if behind:
+                    _move_chunks(Tree(b"moov", b"", children=[trak]), at, size)
+                done = wanted and spherical_track(trak)
+                wanted &= not done
+                data = trak.write() if behind or done else None
+            total += length if data is None else len(data)
+            if data is None and same and same[2] == off:
+                same = same[0], same[1], off + length
+                continue
+            if same:
+                yield MOOV + 1 + same[0], None, path, same[1], same[2] - same[1]
+            same = (k, off, off + length) if data is None else None
+            if data is not None:
+                yield MOOV + 1 + k, data, None, None, None
+        if same:
+            yield MOOV + 1 + same[0], None, path, same[1], same[2] - same[1]
+        if wanted:
+            raise BoxError("no video track")
+        more = b"".join(c.write() for c in small.children[1:]) if timing is not None else b""
+        yield MOOV, head(b"moov", total + len(more)), None, None, None
+        yield MOOV + 1 + len(inside), more, None, None, None
 
 
 def grown(box_table: DataFrame, inserts: DataFrame) -> DataFrame:
