@@ -16,6 +16,8 @@ from .file_queries import be, box
 from .queries import query, table
 
 FILES = 40
+#: Bytes of a track box besides twelve a sample.
+TRAK = 248
 
 
 def _lines(s, d) -> DataFrame:
@@ -26,26 +28,31 @@ def _lines(s, d) -> DataFrame:
 
 def parts(s, d) -> DataFrame:
     """name, part, bytes: ftyp, mdat with all samples, moov with a track an order."""
-    lines = _lines(s, d).withColumn("data", F.repeat(F.lpad(F.hex("n"), 2, "0"), F.col("q").cast("int")))
-    per = lines.groupBy("clip", "k").agg(F.array_sort(F.collect_list(F.struct("n", "q", "data"))).alias("x"))
-    total = lines.groupBy("clip").agg(F.sum("q").alias("media"))
-    size = F.aggregate("x", F.lit(0).cast("long"), lambda a, e: a + e["q"])
+    lines = _lines(s, d)
+    per = lines.groupBy("clip", "k").agg(F.array_sort(F.collect_list(F.struct("n", "q"))).alias("x"), F.sum("q").alias("bytes"))
+    # what a file's tracks and media take is known from counts, so each order's bytes are made once
+    of = lines.groupBy("clip", "k").agg(F.sum("q").alias("media"), (F.count("*") * 12 + TRAK).alias("moov")).groupBy("clip").agg(F.sum("media").alias("media"), (F.sum("moov") + 8 + 108).alias("n"))
     before = F.sum("bytes").over(Window.partitionBy("clip").orderBy("k")) - F.col("bytes")
-    placed = per.withColumn("bytes", size).withColumn("at", before + 24)
+    placed = per.withColumn("at", before + 24)
     zero, one, n = be(F.lit(0)), be(F.lit(1)), F.size("x")
     words = lambda f: F.array_join(F.transform("x", f), "")
-    chunks = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: be(F.col("at") + F.aggregate(F.slice("x", F.lit(1), i - 1), F.lit(0).cast("long"), lambda a, e: a + e["q"]), 8)), "")
-    codec = F.when(F.col("k") % 3 == 0, "avc1").otherwise("djmd")
-    stbl = box("stbl", box("stsd", zero, one, box(codec, be(F.lit(0), 8))), box("stts", zero, one, be(n), be(F.lit(40))), box("stsc", zero, one, one, one, one), box("stsz", zero, zero, be(n), words(lambda e: be(e["q"]))), box("co64", zero, be(n), chunks))
-    mdia = box("mdia", box("mdhd", be(F.lit(0), 12), be(F.lit(25)), be(F.lit(0), 8)), box("hdlr", be(F.lit(0), 8), F.hex(F.when(F.col("k") % 3 == 0, "vide").otherwise("meta")), be(F.lit(0), 12)), box("minf", stbl))
-    tracks = placed.select("clip", "k", box("trak", box("tkhd", be(F.lit(0), 12), be(F.col("k")), be(F.lit(0), 8)), mdia).alias("hex"))
+    start = F.struct(F.lit("").alias("t"), F.col("at").alias("p"))
+    chunks = F.aggregate("x", start, lambda a, e: F.struct(F.concat(a["t"], be(a["p"], 8)).alias("t"), (a["p"] + e["q"]).alias("p")), lambda a: a["t"])
+    codec = F.when(F.col("k") % 3 == 0, F.hex(F.lit("avc1"))).otherwise(F.hex(F.lit("djmd")))
+    handler = F.when(F.col("k") % 3 == 0, F.hex(F.lit("vide"))).otherwise(F.hex(F.lit("meta")))
+    sized = lambda typ, size, *body: F.concat(be(size), F.hex(F.lit(typ)), *body)
+    fixed = lambda typ, size, *body: sized(typ, F.lit(size), *body)
+    stbl = sized("stbl", 12 * n + 128, fixed("stsd", 32, zero, one, be(F.lit(16)), codec, be(F.lit(0), 8)), fixed("stts", 24, zero, one, be(n), be(F.lit(40))), fixed("stsc", 28, zero, one, one, one, one), sized("stsz", 4 * n + 20, zero, zero, be(n), words(lambda e: be(e["q"]))), sized("co64", 8 * n + 16, zero, be(n), chunks))
+    mdia = sized("mdia", 12 * n + 208, fixed("mdhd", 32, be(F.lit(0), 12), be(F.lit(25)), be(F.lit(0), 8)), fixed("hdlr", 32, be(F.lit(0), 8), handler, be(F.lit(0), 12)), sized("minf", 12 * n + 136, stbl))
+    trak = sized("trak", 12 * n + TRAK, fixed("tkhd", 32, be(F.lit(0), 12), be(F.col("k")), be(F.lit(0), 8)), mdia)
     mvhd = box("mvhd", be(F.lit(0), 12), be(F.lit(1000)), be(F.lit(0), 80), be(F.lit(1_000_000)))
-    moov = tracks.groupBy("clip").agg((F.sum(F.length("hex") / 2) + 8 + 108).cast("long").alias("n"))
     name = F.format_string("clip-%02d.mp4", "clip").alias("name")
-    row = lambda df, section, order, hex_: df.select(name, (F.lit(section) * F.lit(1 << 40) + order).cast("long").alias("part"), F.unhex(hex_).alias("bytes"))
-    head = row(total, 0, F.lit(0), F.concat(box("ftyp", be(F.lit(0), 8)), be(F.col("media") + 8), F.hex(F.lit("mdat"))))
-    media = row(placed, 1, F.col("k"), words(lambda e: e["data"]))
-    return head.unionByName(media).unionByName(row(moov, 2, F.lit(0), F.concat(be(F.col("n")), F.hex(F.lit("moov")), mvhd))).unionByName(row(tracks, 3, F.col("k"), F.col("hex")))
+    part = lambda section, order, hex_: F.struct((F.lit(section) * F.lit(1 << 40) + order).cast("long").alias("part"), F.unhex(hex_).alias("bytes"))
+    row = lambda df, *made: df.select(name, F.explode(F.array(*made)).alias("r")).select("name", "r.part", "r.bytes")
+    head = part(0, F.lit(0), F.concat(box("ftyp", be(F.lit(0), 8)), be(F.col("media") + 8), F.hex(F.lit("mdat"))))
+    moov = part(2, F.lit(0), F.concat(be(F.col("n")), F.hex(F.lit("moov")), mvhd))
+    media = part(1, F.col("k"), words(lambda e: F.repeat(F.lpad(F.hex(e["n"]), 2, "0"), e["q"].cast("int"))))
+    return row(of, head, moov).unionByName(row(placed, media, part(3, F.col("k"), trak)))
 
 
 def _written(s, d) -> str:
@@ -108,7 +115,7 @@ SELECT clip, 1 AS depth, CAST(off AS BIGINT) AS off, CAST(new_off AS BIGINT) AS
 UNION ALL SELECT clip, 0, CAST(min(off) - 116 AS BIGINT), CAST(min(off) - 116 + 100 AS BIGINT), CAST(sum(size) + 116 AS BIGINT), CAST(sum(size) + 116 + sum(more) AS BIGINT) FROM g GROUP BY clip""")
 def _(s, d):
     """moov and its tracks after every second track got 32 bytes more at its end and the file 100 bytes before mdat."""
-    boxes = ranged.read(s, "mp4_boxes", _written(s, d))
+    boxes = Scratch(s, "boxes").table(ranged.read(s, "mp4_boxes", _written(s, d), levels=2), "boxes")
     own = boxes.where("typ IN ('moov', 'trak')").select("path", "depth", "parent_off", "typ", "off", "size")
     inner = boxes.where("typ = 'trak'").withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("off")))
     keys = _lines(s, d).select("clip", "k").distinct().withColumn("r", F.row_number().over(Window.partitionBy("clip").orderBy("k"))).select(F.format_string("clip-%02d.mp4", "clip").alias("file"), "r", "k")
@@ -127,7 +134,7 @@ def _(s, d):
     from ..operators import camm
 
     source = _written(s, d)
-    files = ranged.read(s, "mp4_boxes", source).where("typ = 'ftyp'").select("path", F.regexp_extract("path", r"[^/]+$", 0).alias("name"))
+    files = ranged.read(s, "mp4_boxes", source, levels=1).where("typ = 'ftyp'").select("path", F.regexp_extract("path", r"[^/]+$", 0).alias("name"))
     e = table(s, d, "events").select((F.col("user_id") % FILES).alias("track_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("epoch"), "value", "event_id")
     e = e.withColumn("i", F.row_number().over(Window.partitionBy("track_id").orderBy("event_id")) - 1).withColumn("t_rel", F.col("i") + F.col("event_id") % 3 / 10)
     timed = camm.durations(camm.ticks(e))

@@ -47,8 +47,8 @@ class RangedFile:
         self.file.close()
 
 
-def walk(f: RangedFile, at: int = 0, end: int | None = None, depth: int = 0, parent: int | None = None) -> Iterator[tuple]:
-    """(depth, parent offset, type, offset, size, header size) as mp4.boxes(), from reads of 16 bytes a box."""
+def walk(f: RangedFile, at: int = 0, end: int | None = None, depth: int = 0, parent: int | None = None, levels: int = 1 << 10) -> Iterator[tuple]:
+    """(depth, parent offset, type, offset, size, header size) as mp4.boxes(), from reads of 16 bytes a box. levels: how deep to go."""
     end = f.size if end is None else end
     while at < end:
         try:
@@ -57,14 +57,14 @@ def walk(f: RangedFile, at: int = 0, end: int | None = None, depth: int = 0, par
         except BoxError:
             return
         yield depth, parent, typ, at, size, n
-        if typ in CONTAINERS:
-            yield from walk(f, at + n + 4 * (typ == b"meta"), at + size, depth + 1, at)
+        if typ in CONTAINERS and depth + 1 < levels:
+            yield from walk(f, at + n + 4 * (typ == b"meta"), at + size, depth + 1, at, levels)
         at += size
 
 
 def tracks(f: RangedFile) -> Iterator[dict]:
     """The trak boxes' sample tables: what lies in moov is read, one track at a time."""
-    for depth, _, typ, off, size, head in walk(f):
+    for depth, _, typ, off, size, head in walk(f, levels=2):
         if depth == 1 and typ == b"trak":
             yield track(f.at(off, size), 0, size, head)
 
@@ -141,9 +141,11 @@ class _Reader(DataSourceReader):
 
 
 class BoxReader(_Reader):
+    """All boxes, or those of the first `levels` levels: boxes below are then neither read nor made into rows."""
+
     def rows(self, f: RangedFile, path: str, lo: int, hi: int) -> Iterator[tuple]:
         if lo == 0:  # headers of one file are few; its first range walks them
-            for depth, parent, typ, off, size, head in walk(f):
+            for depth, parent, typ, off, size, head in walk(f, levels=int(self.options.get("levels", 1 << 10))):
                 yield path, depth, parent, typ.decode("latin-1"), off, size, head
 
 
@@ -204,13 +206,13 @@ class HeaderReader(_Reader):
 
         if lo:
             return
-        for depth, _, typ, off, size, head in walk(f):
+        for depth, _, typ, off, size, head in walk(f, levels=1):
             if depth == 0 and typ == b"moov":
                 break
         else:
             return
         scale = duration = following = None
-        for depth, _, typ, at, n, h in walk(f, off + head, off + size, 1, off):
+        for depth, _, typ, at, n, h in walk(f, off + head, off + size, 1, off, levels=2):
             if depth == 1 and typ == b"mvhd":
                 body = f.at(at + h, n - h)
                 long = body[0] == 1
