@@ -138,6 +138,17 @@ def test_metadata_files(spark, tmp_path):
     metadata.write_metadata(f"{root}-empty", frames.limit(0), rates.limit(0))
 
 
+def test_metadata_files_of_many_clips_are_shared_out(spark, tmp_path):
+    """Small rows do not bring the files of all clips to one task."""
+    from tracklens.sinks import metadata
+
+    clips = spark.range(40).selectExpr("id AS clip", "0 AS frame", "0 AS subidx", "1.0D AS qw", "0.0D AS qx", "0.0D AS qy", "0.0D AS qz")
+    metadata.write_metadata(f"file://{tmp_path}/m", clips.drop("subidx"), clips, clips.selectExpr("clip", "'s' AS serial", "array(named_struct('fx', 1.0D)) AS lenses"))
+    for kind, n in (("imu_perframe", 40), ("imu_highrate", 40), ("calibration", 40)):
+        files = [f for f in glob.glob(f"{tmp_path}/m/{kind}/*/*") if not f.endswith(".crc")]
+        assert len(files) == n and len({f.split("/part-")[1][:5] for f in files}) == 4
+
+
 def test_proxies(spark):
     from tracklens.operators import catalog
 

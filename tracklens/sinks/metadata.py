@@ -10,9 +10,15 @@ FRAME_HEADER = {"frame": "frame", "timestamp": "timestamp", "qw": "qw", "qx": "q
 RATE_HEADER = ["frame", "subidx", "qw", "qx", "qy", "qz"]
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by clip in as many partitions as the session shuffles to. The number is named, as Spark else joins partitions of few
+    bytes, and a task then makes the files of all clips one by one: here files cost, not bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "clip")
+
+
 def _csv(rows: DataFrame, columns: list, order: list[str], path: str) -> None:
     # a clip's rows are one sorted file; clips are independent
-    rows.select("clip", *columns).repartition("clip").sortWithinPartitions("clip", *order).write.mode("overwrite").partitionBy("clip").option("header", True).csv(path)
+    _dealt(rows.select("clip", *columns)).sortWithinPartitions("clip", *order).write.mode("overwrite").partitionBy("clip").option("header", True).csv(path)
 
 
 def write_metadata(root: str, frames: DataFrame | None = None, rates: DataFrame | None = None, calibrations: DataFrame | None = None) -> None:
@@ -28,7 +34,7 @@ def write_metadata(root: str, frames: DataFrame | None = None, rates: DataFrame
     if rates is not None:
         _csv(rates, RATE_HEADER, ["frame", "subidx"], f"{root}/imu_highrate")
     if calibrations is not None:
-        calibrations.repartition("clip").write.mode("overwrite").partitionBy("clip").json(f"{root}/calibration")
+        _dealt(calibrations).write.mode("overwrite").partitionBy("clip").json(f"{root}/calibration")
 
 
 def clip_of(path) -> object:
