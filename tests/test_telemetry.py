@@ -285,3 +285,19 @@ def test_generated_images_are_not_broadcast(spark):
     for got, n in ((remap.sample(view, image, 6, 6, ("clip",)), 24), (remap.gather(grid, lens, ("clip",)), 108)):
         assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
         assert got.where("b = clip").count() == n
+
+
+def test_no_window_frame_is_read_to_its_end_for_each_row(spark):
+    """A frame from the row to the end of a series costs the square of its length."""
+    from tracklens.operators.asof import bracket
+    from tracklens.sources.ranged import frames_at
+
+    ticks = spark.createDataFrame([("a", x / 2) for x in range(-3, 9)] + [("c", 1.0)], "k string, at double")
+    points = spark.createDataFrame([("a", float(t), t) for t in range(4)] + [("b", 1.0, 0)], "k string, t double, ord int")
+    got = bracket(ticks, points, "k", "at", "t", "ord")
+    assert sorted((r.at, r.a.t, r.b.t) for r in got.collect()) == [(x / 2, float(min(3, max(0, x // 2))), float(0 if x < 0 else min(3, x // 2 + 1))) for x in range(-3, 9)]
+    index = spark.createDataFrame([("f", 0, 1.0 + i, i, 10 * i, 10) for i in range(3)], "path string, trak int, seconds double, sample long, off long, size long")
+    met = frames_at(index, spark.createDataFrame([("f", 0.0), ("f", 2.5), ("f", 9.0), ("g", 1.0)], "path string, t double"))
+    assert sorted((r.t, r.sample) for r in met.collect()) == [(0.0, 0), (2.5, 1), (9.0, 2)]
+    for df in (got, met):
+        assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().executedPlan().toString()

@@ -23,7 +23,8 @@ def bracket(ticks: DataFrame, points: DataFrame, by: str, tick: str, time: str,
     side = F.when(F.col("_tick").isNotNull(), 1 if left_closed else 0).otherwise(0 if left_closed else 1)
     w = Window.partitionBy(by).orderBy("_t", side, F.col("_tie"))
     past = F.last("_seg", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("_seg", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # a tick without a point before it is before the first one; a frame that begins at the row would be read to its end for each row
+    nxt = F.first("_seg", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     found = both.withColumn("_past", past).withColumn("_next", nxt).where("_tick AND (_past IS NOT NULL OR _next IS NOT NULL)")
     return found.select(by, "_own.*", F.coalesce("_past.a", "_next.a").alias("a"), F.coalesce("_past.b", "_next.a").alias("b"))
 

@@ -296,7 +296,7 @@ def frames_at(samples: DataFrame, wanted: DataFrame, trak: int = 0) -> DataFrame
     own = samples.where(F.col("trak") == trak).select("path", F.col("seconds").alias("t"), F.struct("seconds", *keep).alias("s"), F.lit(0).alias("kind"))
     asked = wanted.select("path", "t", F.lit(None).cast(own.schema["s"].dataType).alias("s"), F.lit(1).alias("kind"))
     w = Window.partitionBy("path").orderBy("t", "kind")
-    first = F.first("s", True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    first = F.first("s", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # from the row on it would be quadratic
     met = own.unionByName(asked).withColumn("s", F.coalesce(F.last("s", True).over(w), first)).where("kind = 1 AND s IS NOT NULL")
     return met.select("path", "t", "s.seconds", *(f"s.{c}" for c in keep))
 
