@@ -301,3 +301,12 @@ def test_no_window_frame_is_read_to_its_end_for_each_row(spark):
     assert sorted((r.t, r.sample) for r in met.collect()) == [(0.0, 0), (2.5, 1), (9.0, 2)]
     for df in (got, met):
         assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_smoothing_is_dealt_in_blocks(spark):
+    """Blocks of any length give what one block gives, and a long clip is not one task's fold."""
+    rng = random.Random(7)
+    df = frames(spark, [axis(0.6, 0, 0.8, rng.uniform(-170, 170)) for _ in range(41)]).unionByName(spark.createDataFrame([("d", 0, None), ("d", 5, dict(zip("wxyz", axis(1, 0, 0, 9), strict=True)))], "clip string, frame long, q struct<w:double,x:double,y:double,z:double>"))
+    whole, *others = ([(r.clip, r.frame, *r.qs) for r in stabilize.smooth(df, 6, block).orderBy("clip", "frame").collect()] for block in (1000, 41, 8, 1))
+    assert len(whole) == 43 and all(x == whole for x in others)
+    assert whole[-2][2:] == whole[-1][2:] == pytest.approx(axis(1, 0, 0, 9))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rotation as R
 from ..functions.rotation import BODY_TO_EQUIRECT, EQUIRECT_DOWN, WORLD_DOWN, matmul, pack_matrix, quat, to_matrix, transpose
 
 MODES = ("horizon", "lock", "smooth")
+#: Frames of a clip that one task smooths.
+BLOCK = 1 << 14
 
 
 def half_window(strength: float, fps: float) -> int:
@@ -16,19 +20,53 @@ def half_window(strength: float, fps: float) -> int:
     return max(1, round((0.1 + 1.4 * strength) * fps * 0.5))
 
 
-def smooth(frames: DataFrame, half: int) -> DataFrame:
-    """Adds qs: the running slerp mean over the frames from i - half to i + half, in order."""
-    w = Window.partitionBy("clip").orderBy("frame").rowsBetween(-half, half)
-    start = F.struct(*(F.lit(0.0).alias(c) for c in "wxyz"), F.lit(0).alias("n"))
-
-    def fold(acc: Column, q: Column) -> Column:
-        a, b = ([x.getField(c) for c in "wxyz"] for x in (acc, q))
-        n = acc.getField("n") + 1
-        mean = R.slerp(a, b, 1.0 / n)
-        return F.struct(*(F.when(n == 1, y).otherwise(x).alias(c) for x, y, c in zip(mean, b, "wxyz", strict=True)), n.alias("n"))
-
-    got = F.aggregate(F.collect_list("q").over(w), start, fold)
-    return frames.withColumn("_m", got).withColumn("qs", F.struct(*(F.col(f"_m.{c}").alias(c) for c in "wxyz"))).drop("_m")
+def _slerp(a: np.ndarray, b: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """rotation.slerp() of rows."""
+    d0 = a[:, 0] * b[:, 0] + a[:, 1] * b[:, 1] + a[:, 2] * b[:, 2] + a[:, 3] * b[:, 3]
+    d = np.minimum(np.abs(d0), 1.0)
+    near, angle = d > 0.9995, np.arccos(d)
+    s = np.where(near, 1.0, np.sin(angle))
+    wa = np.where(near, 1 - f, np.sin((1 - f) * angle) / s)
+    wb = np.where(d0 < 0, -1.0, 1.0) * np.where(near, f, np.sin(f * angle) / s)
+    q = a * wa[:, None] + b * wb[:, None]
+    n = np.sqrt(q[:, 0] * q[:, 0] + q[:, 1] * q[:, 1] + q[:, 2] * q[:, 2] + q[:, 3] * q[:, 3])[:, None]
+    return np.where(n < 1e-12, [1.0, 0.0, 0.0, 0.0], q / np.where(n < 1e-12, 1.0, n))
+
+
+def smooth(frames: DataFrame, half: int, block: int = BLOCK) -> DataFrame:
+    """Adds qs: the running slerp mean over the frames from i - half to i + half, in order.
+
+    A clip's frames are dealt to tasks in blocks, each with the frames of its windows from the blocks beside it. A step
+    of the fold is taken for all frames of a block at once. Frames without q are passed over.
+    """
+    n = F.row_number().over(Window.partitionBy("clip").orderBy("frame")) - 1
+    placed = frames.withColumn("_n", n.cast("long"))
+    into = F.sequence(F.floor((F.col("_n") - half) / block), F.floor((F.col("_n") + half) / block))
+    dealt = placed.withColumn("_block", F.explode(into)).where("_block >= 0")
+    schema = T.StructType([*frames.schema.fields, T.StructField("qs", T.StructType([T.StructField(c, T.DoubleType()) for c in "wxyz"]))])
+
+    def run(key, rows):
+        import pyarrow as pa
+
+        rows = rows.sort_by("_n").combine_chunks()
+        q = rows["q"].combine_chunks()
+        given = np.asarray(q.is_valid())
+        q = np.stack([q.field(c).to_numpy(zero_copy_only=False) for c in "wxyz"], 1).astype(float)
+        at = rows["_n"].to_numpy()
+        own = np.flatnonzero(at // block == key[1].as_py())
+        mean, count = np.zeros((len(own), 4)), np.zeros(len(own), int)
+        for step in range(-half, half + 1):
+            i = own + step
+            hit = np.flatnonzero((i >= 0) & (i < len(at)))
+            hit = hit[given[i[hit]]]
+            count[hit] += 1
+            b = q[i[hit]]
+            mean[hit] = np.where((count[hit] == 1)[:, None], b, _slerp(mean[hit], b, 1.0 / count[hit]))
+        qs = pa.StructArray.from_arrays([pa.array(mean[:, k]) for k in range(4)], names=list("wxyz"))
+        kept = rows.take(pa.array(own)).select([f.name for f in schema.fields[:-1]])
+        return kept.append_column("qs", qs)
+
+    return dealt.groupBy("clip", "_block").applyInArrow(run, schema)
 
 
 def corrections(frames: DataFrame, mode: str = "horizon", strength: float = 1.0, ref_frame: int = 0, fps: float = 25.0, baseline_yaw_deg: float | None = None) -> DataFrame:
