@@ -155,3 +155,33 @@ def test_live_gaps_and_states(spark, tmp_path):
     assert [(r.key, r.duration_s) for r in spark.table("gaps").collect()] == [("a", 9.0)]
     log = spark.createDataFrame([("j", 1, "queued"), ("j", 3, "done"), ("j", 2, "running")], "job string, seq long, status string")
     assert job_states(log).first().status == "done"
+
+
+def test_samples_of_many_tracks_at_once(spark):
+    """Runs, offsets and times against a plain count of chunk after chunk; sizes, chunks and runs that end early, none at all, counts out of range."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        n, c = rng.randrange(12), rng.randrange(6)
+        firsts = sorted(rng.sample(range(0 if k % 7 == 0 else 1, 9), rng.randrange(4)))
+        stsc = [(f, rng.choice([0, 1, 2, 3, 1 << 31]), 1) for f in firsts]
+        stts = [(rng.choice([0, 1, 2, 5, (1 << 32) - 1]), rng.randrange(50)) for _ in range(rng.randrange(4))]
+        rows.append((f"f{k % 9}", k, [rng.randrange(1, 90) for _ in range(n)], [1000 * i + k for i in range(1, c + 1)], stsc, stts))
+    want = []
+    for path, k, sizes, chunks, stsc, stts in rows:
+        sample = 0
+        for chunk, off in enumerate(chunks, 1):
+            spc = next((s for f, s, _ in reversed(stsc) if f <= chunk), 0)
+            for _ in range(min(spc, len(sizes) - sample)):
+                left, pts = sample, 0
+                for cnt, dur in stts:
+                    pts, left = pts + min(left, cnt) * dur, left - min(left, cnt)
+                want.append((path, k, sample, chunk, off, sizes[sample], pts if sample < sum(c for c, _ in stts) else None))
+                off, sample = off + sizes[sample], sample + 1
+    schema = "path string, trak int, sizes array<bigint>, chunk_offsets array<bigint>, stsc array<struct<first:bigint,spc:bigint,sdi:bigint>>, stts array<struct<cnt:bigint,dur:bigint>>"
+    got = mp4.expand_samples(spark.createDataFrame(rows, schema), ["path", "trak"])
+    assert sorted(map(repr, (tuple(r) for r in got.select("path", "trak", "sample", "chunk", "off", "size", "pts").collect()))) == sorted(map(repr, want))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1  # tracks are read once

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import media
 from ..operators import catalog
+from ..scratch import Scratch
 from ..sources import mp4, protobuf, tables
 from .queries import query, rnd, table
 
@@ -33,7 +34,7 @@ def box(typ: str | Column, *body: Column) -> Column:
 
 def joined(df: DataFrame, key: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """key and the values of its rows, joined in order."""
-    return df.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x.getField(value)), "").alias(name))
+    return df.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, value))), lambda x: x.getField(value)), "").alias(name))
 
 
 _LINES = "l AS (SELECT o_custkey AS clip, o_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
@@ -103,8 +104,8 @@ def _(s, d):
 
 @query("mp4_metadata_track", f"{_TRACKS} SELECT clip, CAST(arg_max(trak, first_size * 1000000 - trak) AS INTEGER) AS trak FROM t WHERE codec = 'djmd' GROUP BY clip")
 def _(s, d):
-    tracks = _tracks(s, d)
-    samples = tracks.select("path", "trak", F.lit(0).alias("sample"), F.col("sizes")[0].alias("size"))
+    tracks = Scratch(s, "tracks").table(_tracks(s, d).select("path", "trak", "codec", F.col("sizes")[0].alias("size")), "tracks")
+    samples = tracks.select("path", "trak", F.lit(0).alias("sample"), "size")
     return mp4.metadata_track(tracks, samples).select(F.col("path").cast("long").alias("clip"), "trak")
 
 
