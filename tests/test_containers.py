@@ -263,3 +263,17 @@ def test_packets_are_parts_and_times_may_be_long(spark, tmp_path):
     assert [(r.path[-1], r.pts, bytes(r.payload)) for r in got] == [(x, sum(ns[:k]), bytes([k]) * 60) for x, ns in last.items() for k in range(len(ns))]
     boxes = ranged.read(spark, "mp4_boxes", str(tmp_path / "out"), levels=2)
     assert {r.depth for r in boxes.collect()} == {0, 1} and boxes.where("typ = 'trak'").count() == 12
+
+
+def test_the_sample_source_gives_many_tracks_a_batch(tmp_path):
+    """Batches instead of a row at a time, bounded in rows and payload bytes, in the order of the tracks."""
+    from tracklens.sources import ranged
+
+    traks = b"".join(trak(k, b"djmd", [2, 3], [8, 10]) for k in range(1, 301))
+    path = tmp_path / "many.mp4"
+    path.write_bytes(box(b"mdat", b"abcde") + box(b"moov", traks))
+    reader = ranged.BatchedSampleReader({"path": str(path), "payload": "true"})
+    batches = list(reader.read(ranged.Ranges([(str(path), 0, path.stat().st_size)])))
+    assert [b.num_rows for b in batches] == [600]
+    got = batches[0].to_pydict()
+    assert got["trak"] == [k // 2 for k in range(600)] and got["sample"] == [0, 1] * 300 and got["payload"] == [b"ab", b"cde"] * 300

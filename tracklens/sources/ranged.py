@@ -17,10 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from .mp4 import CONTAINERS, BoxError, header, track
+from .mp4 import CONTAINERS, SAMPLES, BoxError, header, lists, samples, track
 
 #: Bytes of a range, bytes and ranges of a partition, bytes of a chunk.
 RANGE, TASK_BYTES, TASK_RANGES, CHUNK = 256 << 20, 256 << 20, 1024, 1 << 20
+#: Samples and payload bytes that leave Python at a time.
+BATCH_ROWS, BATCH_BYTES = 1 << 16, 32 << 20
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
@@ -69,21 +71,18 @@ def tracks(f: RangedFile) -> Iterator[dict]:
             yield track(f.at(off, size), 0, size, head)
 
 
+_TABLES = (("sizes", ()), ("chunk_offsets", ()), ("stsc", ("first", "spc", "sdi")), ("stts", ("cnt", "dur")))
+
+
+def sample_tables(of: list[dict]) -> tuple[np.ndarray, ...]:
+    """mp4.samples() of tracks read from a file."""
+    return samples(*(lists([t[name] for t in of], fields) for name, fields in _TABLES))
+
+
 def sample_table(t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offset, size and time (in the track's units) of each sample; cut off where sizes or chunks end."""
-    sizes, chunks = np.array(t["sizes"], np.int64), np.array(t["chunk_offsets"], np.int64)
-    first = np.array([r[0] for r in t["stsc"]], np.int64)
-    spc = np.array([r[1] for r in t["stsc"]], np.int64)
-    run = np.searchsorted(first, np.arange(1, len(chunks) + 1), "right") - 1
-    per = np.where(run >= 0, spc[np.maximum(run, 0)], 0) if len(spc) else np.zeros(len(chunks), np.int64)
-    n = int(min(len(sizes), per.sum()))
-    chunk = np.repeat(np.arange(len(chunks)), per)[:n]
-    sizes = sizes[:n]
-    before = np.cumsum(sizes) - sizes
-    starts = np.searchsorted(chunk, chunk, "left")
-    dur = np.repeat(np.array([r[1] for r in t["stts"]], np.int64), np.array([r[0] for r in t["stts"]], np.int64))[:n]
-    dur = np.pad(dur, (0, n - len(dur)))
-    return chunks[chunk] + before - before[starts] if n else before, sizes, np.cumsum(dur) - dur
+    _, _, _, off, size, pts = sample_tables([t])
+    return off, size, pts.data
 
 
 @dataclass
@@ -169,15 +168,41 @@ class SampleReader(_Reader):
         self.after, self.before = float(options.get("from_s", "-inf")), float(options.get("to_s", "inf"))
 
     def rows(self, f: RangedFile, path: str, lo: int, hi: int) -> Iterator[tuple]:
-        payload = self.options.get("payload", "false") == "true"
+        for batch in self.parts(f, path, lo, hi):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def parts(self, f: RangedFile, path: str, lo: int, hi: int) -> Iterator:
+        held, n = [], 0
         for k, t in enumerate(tracks(f)):
             if any(str(t[name]) != str(value) for name, value in self.equal.items()):
                 continue
-            off, size, pts = sample_table(t)
-            seconds = pts / t["timescale"] if t["timescale"] else np.zeros(len(pts))
-            for i in np.flatnonzero((off >= lo) & (off < hi) & (seconds >= self.after) & (seconds < self.before)).tolist():
-                data = f.at(int(off[i]), int(size[i])) if payload else None
-                yield path, k, t["track_id"], t["codec"], t["handler"], i, int(off[i]), int(size[i]), int(pts[i]), float(seconds[i]), data
+            held.append((k, t))
+            n += len(t["sizes"]) + len(t["chunk_offsets"]) + 8
+            if n > SAMPLES:
+                yield from self.batches(f, path, lo, hi, held)
+                held, n = [], 0
+        if held:
+            yield from self.batches(f, path, lo, hi, held)
+
+    def batches(self, f: RangedFile, path: str, lo: int, hi: int, held: list[tuple[int, dict]]) -> Iterator:
+        import pyarrow as pa
+
+        payload = self.options.get("payload", "false") == "true"
+        of, number, _, off, size, pts = sample_tables([t for _, t in held])
+        scale = np.array([t["timescale"] or 0 for _, t in held], np.int64)[of]
+        seconds = np.where(scale > 0, pts.data / np.maximum(scale, 1), 0.0)
+        kept = np.flatnonzero((off >= lo) & (off < hi) & (seconds >= self.after) & (seconds < self.before))
+        column = lambda name, kind: pa.array([t[name] for _, t in held], kind)
+        of_track = [pa.array([k for k, _ in held], pa.int32()), column("track_id", pa.int64()), column("codec", pa.string()), column("handler", pa.string())]
+        names = ["path", "trak", "track_id", "codec", "handler", "sample", "off", "size", "pts", "seconds", "payload"]
+        total, start = np.cumsum(size[kept]), 0
+        while start < len(kept):
+            end = min(start + BATCH_ROWS, int(np.searchsorted(total, (total[start - 1] if start else 0) + BATCH_BYTES, "right"))) if payload else start + BATCH_ROWS
+            i = kept[start : max(end, start + 1)]
+            data = [f.at(o, n) for o, n in zip(off[i].tolist(), size[i].tolist(), strict=True)] if payload else [None] * len(i)
+            own = pa.array(of[i])
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(i)), *(x.take(own) for x in of_track), *(pa.array(x[i]) for x in (number, off, size, pts.data, seconds)), pa.array(data, pa.binary())], names=names)
+            start += len(i)
 
 
 class PushingSampleReader(SampleReader):
@@ -198,6 +223,18 @@ class PushingSampleReader(SampleReader):
                 yield f
 
 
+class BatchedSampleReader(SampleReader):
+    def read(self, partition: Ranges) -> Iterator:
+        """Arrow batches, each of the samples of many tracks worked out at once."""
+        for path, lo, hi in spans(partition.ranges):
+            with RangedFile(path) as f:
+                yield from self.parts(f, path, lo, hi)
+
+
+class PushingBatchedSampleReader(BatchedSampleReader, PushingSampleReader):
+    pass
+
+
 class HeaderReader(_Reader):
     """The movie header and the first video track, one row a file that has a moov box."""
 
@@ -267,7 +304,7 @@ class Mp4SampleSource(DataSource):
         return "path string, trak int, track_id long, codec string, handler string, sample long, off long, size long, pts long, seconds double, payload binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return (PushingSampleReader if self.options.get("pushdown") == "true" else SampleReader)(dict(self.options))
+        return (PushingBatchedSampleReader if self.options.get("pushdown") == "true" else BatchedSampleReader)(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
