@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracklens.llm import jaccard, licenses, packing, quality_classifier, quality_rules, substrings, tokens, toxicity
@@ -261,3 +262,42 @@ def test_license_scan_intersects_postings():
     a, b = list(ix.postings[k].items())[:2]
     assert ix.starts(k, {a[0]: [100]}) == [] and ix.starts(k, {a[0]: [100], b[0]: [0]}) == []
     assert ix.starts(k, {a[0]: [7 + a[1][0]], b[0]: [7 + b[1][0], 900]}) == [7]
+
+
+def test_token_ids_look_a_word_up_once():
+    """op8: encode_all gives encode()'s ids of each text and asks for a distinct word once, however often a batch has it."""
+    from tracklens.llm.tokens import Encoder, public_vocabulary
+
+    asked = []
+
+    class Counting(Encoder):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    own, plain = Counting(public_vocabulary()), Encoder(public_vocabulary())
+    rows = ["alpha Beta alpha beta, it's\n\n alpha", None, "", "  alpha Ñandú 42 <|endoftext|> 漢字 İx é\x85alpha ", "alpha " * 50]
+    got = own.encode_all(pa.array(rows, pa.string()))
+    assert got == [plain.encode(t) for t in rows]
+    assert len(asked) == len(set(asked)) and "alpha" in asked
+    rows.append("a\x1cb alpha")  # separators that the vocabulary does not know as white space
+    assert own.encode_all(pa.array(rows, pa.string())) == [plain.encode(t) for t in rows]
+
+
+def test_token_cache_keeps_what_is_asked_for(monkeypatch):
+    """op8: a full cache drops the half that was not asked for, not all of it."""
+    from tracklens.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE", 8)
+    made = []
+
+    class Upper(tokens._Cache):
+        def make(self, key):
+            made.append(key)
+            return key.upper()
+
+    cache = Upper()
+    for i in range(40):
+        assert cache["often"] == "OFTEN" and cache[f"w{i}"] == f"W{i}"
+        assert len(cache) + len(cache.older) <= 8
+    assert made.count("often") == 1

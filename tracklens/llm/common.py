@@ -9,8 +9,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,13 +102,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def chunks(batch: pa.RecordBatch, at: int | None = 0) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most CHUNK_BYTES of text in column `at`, whatever the session's batch size."""
+def chunks(batch: pa.RecordBatch, at: int | None = 0, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most `most` bytes of text in column `at`, whatever the session's batch size."""
     n, start = batch.num_rows, 0
-    sizes = None if at is None else pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
+    sizes = None if at is None else pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
     while start < n:
         end, held = start + 1, 0 if sizes is None else sizes[start]
-        while end < n and (sizes is None or held + sizes[end] <= CHUNK_BYTES):
+        while end < n and (sizes is None or held + sizes[end] <= most):
             held += 0 if sizes is None else sizes[end]
             end += 1
         yield batch.slice(start, end - start)
@@ -120,10 +121,13 @@ def map_batches(
     schema: str | T.StructType,
     text: str = "text",
     init: Callable | None = None,
+    most: int = CHUNK_BYTES,
+    arrow_text: bool = False,
 ) -> DataFrame:
     """func gets the columns of df as lists, a bounded number of text bytes a call, and returns columns by name.
 
-    init, if given, runs once a task; its result is func's first argument.
+    init, if given, runs once a task; its result is func's first argument. most: text bytes a call. arrow_text: the text comes as
+    an Arrow array.
     """
     schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     arrow = arrow_schema(schema)
@@ -132,8 +136,8 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = (init(),) if init else ()
         for batch in batches:
-            for part in chunks(batch, at):
-                out = func(*head, *(c.to_pylist() for c in part.columns))
+            for part in chunks(batch, at, most):
+                out = func(*head, *(c if arrow_text and i == at else c.to_pylist() for i, c in enumerate(part.columns)))
                 if out is not None:
                     made = pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
                     if made.num_rows:
@@ -148,6 +152,21 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text of each word, its number among the distinct words, the distinct words) by white space as str.split() has it; "" may be among them."""
+    split = pc.utf8_split_whitespace(text)
+    words = split.flatten().dictionary_encode()
+    size = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(size)), size), words.indices.to_numpy(), words.dictionary.to_pylist()
+
+
+def spread(size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of the given sizes stand one after the other: (how many entries each wanted list has, their places)."""
+    n = size[which]
+    first = np.cumsum(size) - size
+    return n, np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class WordHash(dict):
     """64-bit hash of each word (bytes), kept while the table is small."""
 

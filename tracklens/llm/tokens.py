@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer, and a file format for them.
 
 encode_texts() gives the ids that the tokenizers library gives. The library is asked once for each distinct
-word and worker: the vocabulary's pre-tokenizer never joins characters across white space, and its normalizer
+word and worker, and a word is looked up once a batch of texts: the vocabulary's pre-tokenizer never joins characters across white space, and its normalizer
 works on single characters below U+0300, so a text's ids are its words' ids in a row. Every word for which
 that does not hold (other scripts, special tokens) and every text with U+001C-U+001F goes to the library whole.
 
@@ -20,17 +20,22 @@ import bisect
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, texts
+from .common import Scratch, map_batches, split_words, spread, texts
 
 #: Ids and documents of one record of the store at most (a longer document has a record of its own).
 RECORD_IDS, RECORD_DOCS = 1 << 20, 4096
+#: Text bytes that are encoded at a time: the more, the more often a word is met again.
+ENCODE_BYTES = 12 << 20
 #: Words that a worker keeps with their ids before it starts anew.
 CACHE = 400_000
 
@@ -47,31 +52,48 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Parts(dict):
-    def __init__(self, model, dtype):
-        self.model, self.dtype, self.letters = model, dtype, _byte_letters()
+class _Cache(dict):
+    """What make() gives for a key, kept in two halves: when one is full the other one goes, but for what was asked for meanwhile."""
+
+    def __init__(self):
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE:
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
             self.clear()
-        letters = part.encode().decode("latin-1").translate(self.letters)
-        value = self[part] = np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+        self[key] = value
         return value
 
 
-class Encoder(dict):
+class _Parts(_Cache):
+    def __init__(self, model, dtype):
+        super().__init__()
+        self.model, self.kind, self.letters = model, "H" if dtype.itemsize == 2 else "I", _byte_letters()
+
+    def make(self, part: str) -> bytes:
+        letters = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+
+class Encoder(_Cache):
     """word -> its ids as bytes. One a worker and vocabulary file."""
 
     def __init__(self, path: str):
         import os
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         self.parts = _Parts(self.tokenizer.model, self.dtype)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
         #: The short way is written for vocabularies with this normalizer and these word ends; others go to the library whole.
         import json
 
@@ -82,19 +104,13 @@ class Encoder(dict):
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if any(s in word for s in self.special):
-            value = self.library(word)
-        elif word.isascii():
-            value = b"".join(map(self.parts.__getitem__, _ASCII_PARTS.findall(word.lower())))
-        elif _LATIN.fullmatch(word):
-            value = b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
-        else:
-            value = self.library(word)
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value
-        return value
+    def make(self, word: str) -> bytes:
+        if self.special(word) or not _LATIN.fullmatch(word):
+            return self.library(word)
+        low = word.lower()
+        if low.isalpha():  # one part
+            return self.parts[low]
+        return b"".join(map(self.parts.__getitem__, (_ASCII_PARTS if low.isascii() else _PARTS).findall(low)))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -103,6 +119,18 @@ class Encoder(dict):
             return self.library(text)
         return b"".join(map(self.__getitem__, text.split()))
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """encode() of each text; a word is looked up once, however often the texts have it."""
+        if not self.short or pc.any(pc.match_substring_regex(texts, _ODD.pattern)).as_py():
+            return [self.encode(t) for t in texts.to_pylist()]
+        text, which, words = split_words(texts)
+        found = list(map(self.__getitem__, words))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        n, places = spread(size, which)
+        ids = np.frombuffer(b"".join(found), self.dtype)[places]
+        ends = np.cumsum(np.bincount(text, n, len(texts)).astype(np.int64)).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -203,7 +231,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int | None =
     def start():
         return {"part": TaskContext.get().partitionId(), "record": 0, "before": 0}
 
-    def encode(state: dict, doc_id: list, text: list) -> dict[str, list]:
+    def encode(state: dict, doc_id: list, text: pa.Array) -> dict[str, list]:
         enc = encoder(vocabulary)
         end = tail if tail is not None else np.array([end_id], enc.dtype).tobytes()
         width, out = enc.dtype.itemsize, {k: [] for k in ("part", "record", "before", "n_docs", "n_ids", "n_null", "first_id", "doc_ids", "bounds", "width", "ids")}
@@ -220,8 +248,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int | None =
             state["before"] += int(bounds[-1])
 
         ids, parts, held = [], [], 0
-        for i, t in zip(doc_id, text, strict=True):
-            b = enc.encode(t) + end
+        for i, b in zip(doc_id, enc.encode_all(text), strict=True):
+            b += end
             if ids and (held + len(b) > RECORD_IDS * width or len(ids) >= RECORD_DOCS):
                 flush(ids, parts)
                 ids, parts, held = [], [], 0
@@ -232,7 +260,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int | None =
             flush(ids, parts)
         return out
 
-    map_batches(ordered, encode, STORE, init=start).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    map_batches(ordered, encode, STORE, init=start, most=ENCODE_BYTES, arrow_text=True).write.mode("overwrite").option("compression", "zstd").parquet(path)
     return open_ids(docs.sparkSession, path)
 
 
