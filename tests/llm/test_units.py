@@ -301,3 +301,21 @@ def test_token_cache_keeps_what_is_asked_for(monkeypatch):
         assert cache["often"] == "OFTEN" and cache[f"w{i}"] == f"W{i}"
         assert len(cache) + len(cache.older) <= 8
     assert made.count("often") == 1
+
+
+def test_terms_of_a_batch():
+    """op1: terms of many texts at once, a distinct word looked up once."""
+    from tracklens.llm.toxicity import TermIds, count_terms, terms_of
+
+    words = ["fiddle", "Fiddlesticks", "bad", "bad-word", "ab"]
+    vocabulary = {t: i for i, t in enumerate(sorted({t for w in words for t in terms_of(w)}))}
+    rows = ["bad Bad fiddlesticks bad-word", None, "", "none of these", " fiddle ab\nfiddle"]
+    of, term, n = count_terms(TermIds(vocabulary), pa.array(rows, pa.string()))
+    want = [(i, vocabulary[t], k) for i, x in enumerate(rows) for t, k in Counter(t for w in (x or "").split() for t in terms_of(w) if t in vocabulary).items()]
+    assert list(zip(of.tolist(), term.tolist(), n.tolist(), strict=True)) == sorted(want)
+    assert [len(x) for x in count_terms(TermIds({}), pa.array(rows, pa.string()))] == [0, 0, 0]
+    # every kind of letter, alone and between others, where Arrow does the work and where it does not
+    each = [w for c in range(1, 0x500) for w in (f"ab{chr(c)}cdefg", chr(c)) if w.split() == [w]] + ["ΟΔΟΣ", "İstanbul", "x\x00yz"]
+    vocabulary = {t: i for i, t in enumerate(sorted({t for w in each for t in terms_of(w)}))}
+    word, term = TermIds(vocabulary).of(pa.array(each))
+    assert sorted(zip(word.tolist(), term.tolist(), strict=True)) == sorted((i, vocabulary[t]) for i, w in enumerate(each) for t in terms_of(w))

@@ -152,12 +152,12 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
     """(text of each word, its number among the distinct words, the distinct words) by white space as str.split() has it; "" may be among them."""
     split = pc.utf8_split_whitespace(text)
     words = split.flatten().dictionary_encode()
     size = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(size)), size), words.indices.to_numpy(), words.dictionary.to_pylist()
+    return np.repeat(np.arange(len(size)), size), words.indices.to_numpy(), words.dictionary
 
 
 def spread(size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

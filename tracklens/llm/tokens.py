@@ -124,7 +124,7 @@ class Encoder(_Cache):
         if not self.short or pc.any(pc.match_substring_regex(texts, _ODD.pattern)).as_py():
             return [self.encode(t) for t in texts.to_pylist()]
         text, which, words = split_words(texts)
-        found = list(map(self.__getitem__, words))
+        found = list(map(self.__getitem__, words.to_pylist()))
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         n, places = spread(size, which)
         ids = np.frombuffer(b"".join(found), self.dtype)[places]

@@ -24,16 +24,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, Scratch, map_batches, texts
+from .common import Scratch, map_batches, split_words, spread, texts
 
 #: Bound of the model: examples of each class. Neighbours that vote; examples in a block; blocks that are scored first.
 MAX_EXAMPLES, K, BLOCK, FIRST = 2000, 15, 16, 4
@@ -41,6 +40,8 @@ MAX_EXAMPLES, K, BLOCK, FIRST = 2000, 15, 16, 4
 FLOOR, HALF_CHI2 = 0.001, 20.0
 #: So many of the most frequent terms have rows of weights with block maxima; the others have lists.
 DENSE_TERMS = 1024
+#: Text bytes of which the words are looked up at a time.
+BATCH_BYTES = 8 << 20
 #: A neighbour of similarity s votes with weight 1 / (DISTANCE - s).
 DISTANCE = 1.05
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -52,29 +53,49 @@ def held_out(doc_id):
 
 
 def terms_of(word: str) -> list[str]:
-    out = []
-    for w in _LETTERS.findall(word.lower()):
+    out, low = [], word.lower()
+    for w in (low,) if low.isalpha() else _LETTERS.findall(low):
         out.append(w)
         out += [w[:k] + "~" for k in (4, 5) if len(w) > k]
     return out
 
 
-class TermIds(dict):
-    """word -> ids of those of its terms that examples have; kept while the table is small."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-        return value
+class TermIds:
+    """Ids of those terms that examples have, of many words at once."""
 
+    #: Words in which Arrow and Python agree on letters and their lower case; of others terms_of() tells.
+    PLAIN = r"^[\x01-\x{12F}\x{131}-\x{24F}]*$"
 
-def count_terms(ids: TermIds, words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Term ids in ascending order and how often each occurs."""
-    return np.unique(np.fromiter(chain.from_iterable(map(ids.__getitem__, words)), np.int64), return_counts=True)
+    def __init__(self, vocabulary: dict[str, int]):
+        self.terms = pa.array(sorted(vocabulary, key=vocabulary.__getitem__), pa.string())
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def of(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, term id)"""
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        odd = [(i, t) for i in other.tolist() for t in terms_of(words[i].as_py())]
+        runs = pc.split_pattern_regex(pc.utf8_lower(words.filter(plain)), r"[^\pL\p{Nl}\p{No}]+")
+        run, of, size = runs.flatten(), pc.list_parent_indices(runs), pc.utf8_length(runs.flatten())
+        found, who = [run, pa.array([t for _, t in odd], pa.string())], [of.to_numpy(), np.array([i for i, _ in odd], np.int64)]
+        who[0] = np.flatnonzero(plain.to_numpy(zero_copy_only=False))[who[0]]
+        for k in (4, 5):
+            more = pc.greater(size, k)
+            found.append(pc.binary_join_element_wise(pc.utf8_slice_codeunits(run.filter(more), 0, k), "~", ""))
+            who.append(who[0][more.to_numpy(zero_copy_only=False)])
+        ids = pc.fill_null(pc.index_in(pa.concat_arrays(found), value_set=self.terms), -1).to_numpy()
+        return np.concatenate(who)[ids >= 0], ids[ids >= 0]
+
+
+def count_terms(ids: TermIds, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, how often) of all terms of the texts that examples have, by text and term; a word is looked up once."""
+    of, which, words = split_words(text)
+    word, term = ids.of(words)
+    n, places = spread(np.bincount(word, minlength=len(words)), which)
+    key, count = np.unique(np.repeat(of, n) * max(1, len(ids)) + term[np.argsort(word, kind="stable")][places], return_counts=True)
+    return key // max(1, len(ids)), key % max(1, len(ids)), count
 
 
 @dataclass
@@ -207,14 +228,12 @@ def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray
     def start() -> TermIds:
         return TermIds(shared.value)
 
-    def look(ids: TermIds, doc_id: list, text: list) -> dict[str, object]:
-        n = np.zeros(len(ids.vocabulary), np.int64)
-        for t in text:
-            n[count_terms(ids, set(t.split()) if t else ())[0]] += 1
+    def look(ids: TermIds, doc_id: list, text: pa.Array) -> dict[str, object]:
+        n = np.bincount(count_terms(ids, text)[1], minlength=len(ids))
         on = np.flatnonzero(n)
         return {"term": pa.array(np.append(on, -1), pa.int32()), "n": pa.array(np.append(n[on], len(doc_id)))}
 
-    got = map_batches(texts(docs), look, "term int, n long", init=start).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = map_batches(texts(docs), look, "term int, n long", init=start, most=BATCH_BYTES, arrow_text=True).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = got["term"].to_numpy(), got["n"].to_numpy()
     df = np.zeros(len(vocabulary), np.int64)
     df[term[term >= 0]] = n[term >= 0]
@@ -292,10 +311,12 @@ def scores(docs: DataFrame, model: Model, vocabulary: dict[str, int]) -> DataFra
     def start() -> TermIds:
         return TermIds(shared.value[1])
 
-    def rate(words: TermIds, doc_id: list, text: list) -> dict[str, list]:
+    def rate(words: TermIds, doc_id: list, text: pa.Array) -> dict[str, list]:
         m = shared.value[0]
         out = {"doc_id": doc_id, "score": [m.empty] * len(doc_id), "evidence": [[] for _ in doc_id]}
-        counts = [(i, n) for i, t in enumerate(text) if t and len((n := count_terms(words, t.split()))[0])]
+        of, term, count = count_terms(words, text)
+        some, first = np.unique(of, return_index=True)
+        counts = list(zip(some.tolist(), zip(np.split(term, first[1:]), np.split(count, first[1:]), strict=True), strict=True)) if len(some) else []
         for at in range(0, len(counts), 256):
             own = counts[at : at + 256]
             best, who = m.closest(m.weigh([n for _, n in own]))
@@ -304,7 +325,7 @@ def scores(docs: DataFrame, model: Model, vocabulary: dict[str, int]) -> DataFra
                 out["evidence"][i] = [{"doc_id": int(m.ids[e]), "similarity": x, "toxic": int(m.toxic[e])} for x, e in zip(b, w, strict=True) if e >= 0]
         return out
 
-    made = map_batches(texts(docs), rate, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>", init=start)
+    made = map_batches(texts(docs), rate, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>", init=start, most=BATCH_BYTES, arrow_text=True)
     return made.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
