@@ -570,3 +570,24 @@ def test_quality_classifier_against_brute_force(spark):
     assert max(abs(a - b) for (_, a, _), (_, b) in zip(got, want, strict=True)) < 0.01
     assert all(kept == (score >= 0.5) for _, score, kept in got)
     assert sum(k for i, _, k in got if i < 60) >= 58 and not any(k for i, _, k in got if 60 <= i < 100)
+
+
+def test_single_windows_stay_out_of_the_join(spark, monkeypatch):
+    """op5: windows of repeated anchors that only one document has are filtered before the join's shuffle."""
+    from tracklens.llm import substrings
+    from tracklens.llm.common import Scratch
+
+    shared = [f"s{i}" for i in range(45)]  # an anchor in common, never a whole window
+    docs = spark.createDataFrame([(k, " ".join([*(f"a{k}_{i}" for i in range(200)), *shared, *(f"b{k}_{i}" for i in range(200))])) for k in range(20)] + [(90, " ".join(f"x{i}" for i in range(60))), (91, " ".join(f"x{i}" for i in range(60)))], "doc_id long, text string").repartition(22)
+    kept, plain = [], substrings.possible_hits
+
+    def counted(rows, column, *more):
+        out = plain(rows, column, *more)
+        if column == "h1":
+            kept.append((rows.count(), out.where("_maybe").count()))
+        return out
+
+    monkeypatch.setattr(substrings, "possible_hits", counted)
+    got = substrings.repeated_windows(docs, Scratch(spark, "single-windows")).collect()
+    assert {(r.doc_id, r["at"]) for r in got} == {(91, i) for i in range(11)}
+    assert len(kept) == 1 and kept[0][1] < 40 < 100 < kept[0][0]

@@ -207,12 +207,18 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, n: int = N, gram: int =
     d = texts(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * n - 1))
     hits = repeated_anchors(d, n, gram, shard_anchors).groupBy("doc_id", "crc").agg(F.collect_list("anchor").alias("anchors"))  # fewer than the document has words
     hits = scratch.table(hits, "anchors")
+    scratch.free()
     found = scratch.table(_candidates(_likely(d, hits, "doc_id").where("_maybe").drop("_maybe"), hits, n, gram), "windows")
+    scratch.free()
     open_ = found.where("h1 IS NOT NULL")
     first = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
     # written, so that the join reads an exchange on either side and can be split where a window is in many batches
     first = scratch.table(first, "first")
-    gone = open_.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("doc_id") > F.col("first")))
+    scratch.free()
+    # most windows of repeated anchors are in one document only: a Bloom filter keeps them out of the shuffle
+    n_blocks = bloom_blocks(first.count())
+    met = possible_hits(open_, "h1", bloom(first, "g1", n_blocks), n_blocks).where("_maybe").drop("_maybe")
+    gone = met.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("doc_id") > F.col("first")))
     return gone.select("doc_id", "crc", "at").unionByName(found.where("h1 IS NULL").select("doc_id", "crc", "at"))
 
 
@@ -272,6 +278,7 @@ def dedup(docs: DataFrame, n: int = N, keep: list[str] | None = None, verbatim:
     windows = repeated_windows(docs, scratch, n, **options)
     # the starts of a document's windows, one integer each: never more than its text has words
     found = scratch.table(windows.groupBy(F.col("doc_id").alias("_doc"), F.col("crc").alias("_c")).agg(F.collect_set("at").alias("_places")), "places")
+    scratch.free()
     extra = [F.col(c).alias(f"_keep_{c}") for c in keep or []]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
     probed = _likely(own, found, "_doc").withColumn("_maybe", F.coalesce("_maybe", F.lit(False)))
