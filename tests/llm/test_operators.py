@@ -591,3 +591,19 @@ def test_single_windows_stay_out_of_the_join(spark, monkeypatch):
     got = substrings.repeated_windows(docs, Scratch(spark, "single-windows")).collect()
     assert {(r.doc_id, r["at"]) for r in got} == {(91, i) for i in range(11)}
     assert len(kept) == 1 and kept[0][1] < 40 < 100 < kept[0][0]
+
+
+def test_heap_is_freed_as_it_grows(spark, monkeypatch):
+    """pipeline: what jobs leave in the driver is given back before it piles up, and not after every table."""
+    from tracklens.llm.common import HEAP_GROWTH, Scratch
+
+    heap, freed = [0], []
+    scratch = Scratch(spark, "heap")
+    monkeypatch.setattr(Scratch, "_held", 0)
+    monkeypatch.setattr(Scratch, "_heap", lambda self: heap[0])
+    monkeypatch.setattr(Scratch, "free", lambda self: freed.append(heap[0]) or setattr(Scratch, "_held", heap[0]))
+    for k in range(6):
+        heap[0] += HEAP_GROWTH // 2 + 1
+        scratch.table(spark.range(1), f"t{k}")
+    assert len(freed) == 3
+    scratch.drop()

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Text bytes that one call of a batch function gets at most (a longer text comes alone).
 CHUNK_BYTES = 2 << 20
+#: Bytes by which the driver's heap may grow between two tables before it is freed.
+HEAP_GROWTH = 96 << 20
 #: Entries of a worker's word cache before it starts anew.
 CACHE_WORDS = 300_000
 
@@ -52,6 +54,9 @@ class Scratch:
     Python process does.
     """
 
+    #: The driver's heap when it was last freed.
+    _held = 0
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         _scratches.append(self)
@@ -59,17 +64,23 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if self._heap() - Scratch._held > HEAP_GROWTH:
+            self.free()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
         drop(self.spark, f"{self.root}/{name}" if name else self.root)
 
     def free(self) -> None:
-        """Lets the driver clean shuffle files of jobs that are over."""
+        """Lets the driver clean shuffle files of jobs that are over and give back what their plans took of its memory."""
         import gc
 
         gc.collect()
         self.spark._jvm.System.gc()
+        Scratch._held = self._heap()
+
+    def _heap(self) -> int:
+        return self.spark._jvm.Runtime.getRuntime().totalMemory()
 
 
 _scratches: list[Scratch] = []

@@ -164,15 +164,20 @@ def fit(docs: DataFrame) -> Model:
 
     def example(text: list) -> dict[str, list]:
         full = [t for t in text if t and t.strip()]
-        return {"pattern": [pattern(votes(t)) for t in full], "x": [features(t).tobytes() for t in full]}
+        x = [features(t) for t in full]
+        on = [np.flatnonzero(v) for v in x]  # most are zero
+        return {"pattern": [pattern(votes(t)) for t in full], "at": [i.astype(np.uint16).tobytes() for i in on], "x": [v[i].tobytes() for v, i in zip(x, on, strict=True)]}
 
     # MAX_TRAIN ids and a row each (of equal doc_ids the smallest text), combined before the shuffle
     mine = d.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
-    rows = map_batches(mine, example, "pattern int, x binary").collect()
+    rows = map_batches(mine, example, "pattern int, at binary, x binary").toArrow()
     w = np.zeros(DIMS, np.float32)
     w[-1] = 1  # without examples everything is kept
-    if rows:
-        w = logistic(np.stack([np.frombuffer(r.x, np.float32) for r in rows]), np.array([posterior[r.pattern] for r in rows], np.float32))
+    if len(rows):
+        x = np.zeros((len(rows), DIMS), np.float32)
+        for own, at, value in zip(x, rows["at"], rows["x"], strict=True):
+            own[np.frombuffer(at.as_py(), np.uint16)] = np.frombuffer(value.as_py(), np.float32)
+        w = logistic(x, np.array([posterior[p] for p in rows["pattern"].to_pylist()], np.float32))
     return Model(w, rates, share)
 
 
